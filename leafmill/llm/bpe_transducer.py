@@ -20,6 +20,7 @@ whole, in one pass; equal texts have equal results; rows may repeat.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -31,6 +32,8 @@ from .common import map_text, table
 
 #: Entries at which a worker's tables (states, pieces) are flushed.
 MAX_STATES, MAX_PIECES, MAX_PIECE_CHARS = 150_000, 250_000, 48
+#: A rank after all others.
+NEVER = 1 << 60
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -38,25 +41,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def merge(ranks: dict[bytes, int], data: bytes) -> list[bytes]:
-    """Plain BPE: join the neighbours of lowest rank, the leftmost of equals, until none can be joined."""
-    parts = [data[i : i + 1] for i in range(len(data))]
-    while len(parts) > 1:
-        rank, at = min((ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-        if rank == 1 << 60:
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return parts
-
-
 class State:
     __slots__ = ("context", "end", "guesses", "next")
 
-    def __init__(self, context: bytes | None, guesses: tuple) -> None:
-        self.context = context  # the last token emitted, if some guess has finished none since
-        self.guesses = guesses  # pairs: tokens finished but not emitted, bytes of a token in progress
+    def __init__(self, context: int, guesses: tuple) -> None:
+        self.context = context  # the last token emitted, if some guess has finished none since; else -1
+        self.guesses = guesses  # pairs: tokens finished but not emitted, trie node of a token in progress
         self.next: dict[int, tuple[State, tuple[int, ...]]] = {}
-        self.end: tuple[bytes, ...] | None = None
+        self.end: tuple[int, ...] | None = None
 
 
 class Transducer:
@@ -64,49 +56,108 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES) -> None:
         self.ranks, self.max_states = ranks, max_states
-        self.begins = {t[:i] for t in ranks for i in range(1, len(t) + 1)}
-        self.agree: dict[tuple[bytes | None, bytes], bool] = {}
+        self.tokens = {i: t for t, i in ranks.items()}
+        self.child: dict[int, int] = {}  # node << 8 | byte -> node
+        self.token = [-1]
+        for t, i in ranks.items():
+            node = 0
+            for byte in t:
+                if (to := self.child.get(node << 8 | byte)) is None:
+                    to = self.child[node << 8 | byte] = len(self.token)
+                    self.token.append(-1)
+                node = to
+            self.token[node] = i
+        self.edges: dict[int, tuple[list, list]] = {}
+        self.agree: dict[int, bool] = {}
         self.flush()
 
     def flush(self) -> None:
         self.states: dict[tuple, State] = {}
-        self.start = State(None, (((), b""),))
+        self.start = State(-1, (((), 0),))
         self.start.end = ()
+        # Tables of this size make the collector's passes dear; it has work only after a flush.
+        gc.set_threshold(1_000_000, 50, 1000)
+        gc.collect()
+
+    def edge(self, token: int) -> tuple[list, list]:
+        """How the first and the last symbol grow while BPE makes this token: pairs of a symbol and the rank that joins it."""
+        if (known := self.edges.get(token)) is None:
+            parts = [self.tokens[token][i : i + 1] for i in range(len(self.tokens[token]))]
+            first, last = [], []
+            while len(parts) > 1:
+                rank, at = min((self.ranks.get(a + b, NEVER), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+                if rank == NEVER:
+                    break
+                if at == 0:
+                    first.append((parts[0], rank))
+                if at == len(parts) - 2:
+                    last.append((parts[-1], rank))
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            whole = NEVER if len(parts) == 1 else -1
+            self.edges[token] = known = [*first, (parts[0], whole)], [*last, (parts[-1], whole)]
+        return known
 
-    def agrees(self, left: bytes | None, right: bytes) -> bool:
-        """Whether these neighbours are what BPE makes of their bytes."""
-        if (known := self.agree.get((left, right))) is None:
-            known = merge(self.ranks, (left or b"") + right) == ([right] if left is None else [left, right])
+    def agrees(self, left: int, right: int) -> bool:
+        """Whether these neighbours (left -1: none) are what BPE makes of their bytes.
+
+        Ranks are met in rising order, so it is enough to follow the symbols on
+        both sides of the border: the pair stays apart unless the border's rank
+        comes before the ranks that join its symbols inwards.
+        """
+        key = left << 20 | right
+        if (known := self.agree.get(key)) is None:
+            first = self.edge(right)[0]
+            known = first[-1][1] == NEVER
+            if known and left >= 0:
+                last = self.edge(left)[1]
+                i = j = 0
+                while True:
+                    (x, inner), (y, after) = last[i], first[j]
+                    border = self.ranks.get(x + y, NEVER)
+                    if border < inner and border <= after:
+                        known = False
+                        break
+                    if inner == NEVER and after == NEVER:
+                        break
+                    if inner <= after:
+                        i += 1
+                    else:
+                        j += 1
             if len(self.agree) >= 4 * self.max_states:
                 self.agree.clear()
-            self.agree[left, right] = known
+            self.agree[key] = known
         return known
 
-    def ended(self, state: State) -> tuple[bytes, ...]:
-        """Tokens still to come if the input ends here: the one guess whose last token is whole."""
+    def ended(self, state: State) -> tuple[int, ...]:
+        """Tokens still to come if the input ends here: those of the one guess whose last token is whole."""
         if state.end is None:
-            state.end = next(done + (part,) for done, part in state.guesses if part in self.ranks and self.agrees(done[-1] if done else state.context, part))
+            token = self.token
+            state.end = next(
+                (*done, t) for done, node in state.guesses if (t := token[node]) >= 0 and self.agrees(done[-1] if done else state.context, t)
+            )
         return state.end
 
     def grow(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
         """Make the transition of ``state`` on ``byte``."""
-        b = bytes([byte])
-        guesses = [(done, part + b) for done, part in state.guesses if part + b in self.begins]
-        if state is not self.start and state.guesses != (((), b""),):
-            guesses.append((self.ended(state), b))
-        done = [d for d, _ in guesses]
-        n = 0
-        while all(len(d) > n and d[n] == done[0][n] for d in done):
-            n += 1
-        out = done[0][:n]
-        rest = tuple((d[n:], p) for d, p in guesses)
-        context = (out[-1] if out else state.context) if any(not d for d, _ in rest) else None
+        child = self.child
+        guesses = [(done, to) for done, node in state.guesses if (to := child.get(node << 8 | byte)) is not None]
+        if state.guesses != (((), 0),):
+            guesses.append((self.ended(state), child[byte]))
+        out: tuple[int, ...] = ()
+        if guesses[0][0]:
+            n, shared = 0, guesses[0][0]
+            while all(len(d) > n and d[n] == shared[n] for d, _ in guesses):
+                n += 1
+            if n:
+                out, guesses = shared[:n], [(d[n:], node) for d, node in guesses]
+        context = (out[-1] if out else state.context) if not all([d for d, _ in guesses]) else -1
+        rest = tuple(guesses)
         key = (context, rest)
         if (to := self.states.get(key)) is None:
             if len(self.states) >= self.max_states:
                 self.flush()
             to = self.states[key] = State(context, rest)
-        state.next[byte] = move = (to, tuple(self.ranks[t] for t in out))
+        state.next[byte] = move = (to, out)
         return move
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
@@ -118,7 +169,7 @@ class Transducer:
             state, emitted = state.next.get(byte) or self.grow(state, byte)
             if emitted:
                 out += emitted
-        out += [self.ranks[t] for t in self.ended(state)]
+        out += self.ended(state)
         return tuple(out)
 
 
