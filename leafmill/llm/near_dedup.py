@@ -9,9 +9,11 @@
    with no other class beside them drop out.
 3. In a first round each class is held against one hub of each list, the class
    with the most common hashes (of copies with edits, that is the original),
-   and verified with the best.  In the last round the lists give each pair
-   that no verified chain of links joins yet.  So no list emits all its pairs,
-   and every link between different components is found.
+   and verified with the best.  Then the lists give each pair that no verified
+   chain of links joins yet; so no list emits all its pairs, and every link
+   between different components is found.  In crowded lists this would still be
+   a product: their classes retain their whole sets, and the exact prefix and
+   position filters over those say which pairs can reach the threshold.
 4. Candidates pass a union-sketch estimate, then exact similarity of full sets.
 5. Components come from contraction with pointer jumps, all in tables.
 
@@ -37,6 +39,8 @@ from .shingles import shingle_sets
 SKETCH = 32
 #: Part of a sketch that similar sets share at least.
 SHARED = 0.4
+#: Members of a list up to which it gives its pairs as they are; longer lists go by whole sets.
+CROWD = 64
 #: Members of a hub that go to one copy of it.
 PER_COPY = 2_000
 
@@ -95,11 +99,15 @@ def connected(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else spark.createDataFrame([], "node long, component long")
 
 
+def sets_of(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """The full set of each of ``ids`` as a written table; ``docs`` has ``id`` and ``text`` of all of them."""
+    return settle(full_sets(docs.join(ids.distinct(), "id", "left_semi").dropDuplicates(["id"]), "id", "text", words), "sets")
+
+
 def similar_pairs(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (``a``, ``b``) whose full sets are similar enough; ``docs`` has ``id`` and ``text`` of all of them."""
+    """Those of ``pairs`` (``a``, ``b``) whose full sets are similar enough."""
     pairs = settle(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = settle(full_sets(docs.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "id", "text", words), "sets")
+    sets = sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), docs, words)
     copies = pairs.groupBy("b").agg(F.ceil(F.count("*") / PER_COPY).cast("int").alias("copies"))
     dealt = pairs.join(copies, "b").withColumn("copy", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int"))
     hubs = copies.join(sets.withColumnRenamed("id", "b"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("hashes").alias("right"))
@@ -109,6 +117,31 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -
     return settle(held.where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent).select("a", "b"), "similar")
 
 
+def by_rarity(held: DataFrame) -> DataFrame:
+    """For rows ``id``, ``value``: the values that several ids hold, rarest first, as ``shared`` of each id."""
+    common = held.groupBy("value").agg(F.count("*").alias("f")).where("f > 1")
+    return held.join(common, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "value"))).alias("shared"))
+
+
+def open_pairs(lists: DataFrame, condition: Column) -> DataFrame:
+    """Pairs from lists (``value``, ``id``, ``n``, ``place``, ``c``, ``large``) across components, where ``condition`` holds for n, place and m, spot.
+
+    Each pair has a member outside its list's largest component, which is never held against itself.
+    """
+    left = lists.where("c <> large").select("value", F.col("id").alias("a"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("c").alias("d"))
+    right = lists.select("value", F.col("id").alias("b"), "n", "place", "c", "large")
+    new = (F.col("c") != F.col("d")) & ((F.col("c") == F.col("large")) | (F.col("a") < F.col("b")))
+    found = left.join(right, "value").where(new & condition)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def still_open(lists: DataFrame) -> DataFrame:
+    """Rows of those lists (``value``, ``c``) that hold several components, with the largest and the number of members."""
+    sizes = lists.groupBy("value", "c").agg(F.count("*").alias("members"))
+    largest = sizes.groupBy("value").agg(F.max_by("c", F.struct("members", "c")).alias("large"), F.count("*").alias("parts"), F.sum("members").alias("members"))
+    return lists.join(largest.where("parts > 1").drop("parts"), "value")
+
+
 def likely(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """``pairs`` with the union-sketch estimate, without those below the shared part."""
     left = classes.select(F.col("id").alias("a"), F.col("sketch").alias("left"))
@@ -124,9 +157,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     real = made.where("id is not null and set_key is not null")
     classes = settle(real.groupBy("set_key").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
 
-    held = classes.select("id", F.explode("sketch").alias("value"))
-    common = held.groupBy("value").agg(F.count("*").alias("f")).where("f > 1")
-    shared = held.join(common, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "value"))).alias("shared"))
+    shared = by_rarity(classes.select("id", F.explode("sketch").alias("value")))
     size = F.size("sketch")
     # The hashes that no other class has come first in the order by rarity, then the shared ones.
     prefix = size - F.ceil(size * SHARED) + 1 - (size - F.size("shared"))
@@ -141,24 +172,32 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = similar_pairs(best, docs, words, percent)
 
     grown = connected(links)
-    placed = lists.join(grown.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
-    sizes = placed.groupBy("value", "c").agg(F.count("*").alias("members"))
-    largest = sizes.groupBy("value").agg(F.max_by("c", F.struct("members", "c")).alias("large"), F.count("*").alias("parts")).where("parts > 1")
-    open_lists = settle(placed.join(largest, "value").select("value", "id", "n", "c", "large"), "open")
-    # Each pair has a member outside its list's largest component; the largest is never held against itself.
-    left = open_lists.where("c <> large").select("value", F.col("id").alias("a"), F.col("n").alias("m"), F.col("c").alias("d"))
-    right = open_lists.select("value", F.col("id").alias("b"), "n", "c", "large")
-    rest = left.join(right, "value").where((F.col("c") != F.col("d")) & ((F.col("c") == F.col("large")) | (F.col("a") < F.col("b"))) & comparable(F.col("n"), F.col("m"), percent))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    component = grown.withColumnRenamed("node", "id")
+    placed = lists.drop("typical").join(component, "id", "left").withColumn("c", F.coalesce("component", "id"))
+    opened = settle(still_open(placed).withColumn("place", F.lit(0)), "open")
+    rest = open_pairs(opened.where(F.col("members") <= CROWD), comparable(F.col("n"), F.col("m"), percent))
     more = similar_pairs(likely(rest, classes, k).select("a", "b"), docs, words, percent)
+
+    crowd = opened.where(F.col("members") > CROWD).select("id", "c").distinct()
+    sets = sets_of(crowd.select("id"), docs, words).withColumn("n", F.size("hashes").cast("long"))
+    most = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    whole = by_rarity(sets.select("id", F.explode("hashes").alias("value"))).join(sets.select("id", "n"), "id")
+    alone = F.col("n") - F.size("shared")
+    whole = whole.where(alone < most).select("id", "n", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), (most - alone).cast("int"))).alias("i", "x"))
+    whole = whole.select("id", "n", (F.col("alone") + F.col("i") + 1).alias("place"), F.col("x.value").alias("value")).join(crowd, "id")
+    # Two sets of n and m reach the threshold only with this many in common, and no more can follow their first common value.
+    needed = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
+    reach = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("spot")) + 1 >= needed
+    rest = open_pairs(settle(still_open(whole), "whole"), comparable(F.col("n"), F.col("m"), percent) & reach)
+    more = more.union(similar_pairs(likely(rest, classes, k).select("a", "b"), docs, words, percent))
     if not more.isEmpty():
         grown = connected(links.union(more))
 
     members = classes.select("set_key", F.col("id").alias("first")).join(grown.withColumnRenamed("node", "first"), "first", "left")
     members = members.select("set_key", F.coalesce("component", "first").alias("group"))
-    component = F.when(F.col("id").isNotNull(), F.coalesce("group", "id"))
+    smallest = F.when(F.col("id").isNotNull(), F.coalesce("group", "id"))
     out = made.select("id", "n_shingles", "set_key").join(members, "set_key", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", smallest.alias("component_id"), F.coalesce(smallest == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_transducer import op5_byte_bpe
 from .matroska import op1_media_columns
+from .near_dedup import op8_minhash_near_dedup
+from .packing import op4_best_fit_packing
 from .token_counts import op10_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_byte_bpe": op5_byte_bpe,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
