@@ -1,16 +1,60 @@
-"""A corpus pipeline of four stages over ``documents``."""
+"""A corpus pipeline over ``documents``: toxicity, quality rules, near-dedup, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and returns
+what it keeps with the columns of ``docs``; the last returns the packed pieces.
+Classifiers learn from the tables ``documents`` and ``labels`` of ``sf_dir``, so a
+stage's verdict on a text doesn't depend on the stages before it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafmill.llm import near_dedup, packing, quality, toxicity
+from leafmill.llm.common import settle, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score reaches the threshold go."""
+    model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.drop_toxic(docs, "text", model)
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules or the classifier reject go."""
+    model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.drop_poor(docs, "text", model)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays (five-word shingles, similarity 0.8): the one with the smallest id.
+
+    Rows with a null id can't be named and stay; rows that repeat an id are one document.
+    """
+    found = near_dedup.near_duplicates(docs)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    named = docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    repeated = named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("__twice"))
+    single = named.join(repeated, named["doc_id"] == F.col("__twice"), "left_anti")
+    double = named.join(repeated, named["doc_id"] == F.col("__twice"), "left_semi").dropDuplicates(["doc_id"])
+    return single.unionByName(double)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All that is left, packed into sequences of 1024 tokens."""
+    return packing.pack_documents(docs)
+
 
-STAGES: list = []
+STAGES = [("toxicity", drop_toxic), ("quality", drop_poor), ("near_dedup", drop_near_duplicates), ("packing", pack)]
 
+#: SQL can express neither the learned classifiers nor the tokens.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over ``documents``; each stage's rows are written and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,13 +10,17 @@ from .bpe_transducer import op5_byte_bpe
 from .matroska import op1_media_columns
 from .near_dedup import op8_minhash_near_dedup
 from .packing import op4_best_fit_packing
+from .quality import op3_quality_rules
 from .token_counts import op10_token_counts
+from .toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
+    "op3_quality_rules": op3_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_byte_bpe": op5_byte_bpe,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
 }
 
