@@ -99,9 +99,14 @@ def connected(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else spark.createDataFrame([], "node long, component long")
 
 
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id is among ``ids``.  The ids grow with the data, so they are never broadcast, at any size."""
+    return docs.join(ids.distinct().hint("merge"), "id", "left_semi")
+
+
 def sets_of(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """The full set of each of ``ids`` as a written table; ``docs`` has ``id`` and ``text`` of all of them."""
-    return settle(full_sets(docs.join(ids.distinct(), "id", "left_semi").dropDuplicates(["id"]), "id", "text", words), "sets")
+    return settle(full_sets(only(docs, ids), "id", "text", words), "sets")
 
 
 def similar_pairs(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -165,6 +170,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lists = lists.select("id", "n", F.size("shared").alias("typical"), F.explode(F.slice("shared", F.lit(1), prefix.cast("int"))).alias("x"))
     lists = settle(lists.select("id", "n", "typical", F.col("x.value").alias("value")), "lists")
 
+    # Texts of the classes that stand in lists: all later rounds read these, not the whole corpus.
+    docs = settle(only(docs, lists.select("id")).dropDuplicates(["id"]), "texts")
+
     hubs = lists.groupBy("value").agg(F.max_by(F.struct(F.col("id").alias("b"), F.col("n").alias("m")), F.struct("typical", -F.col("id"))).alias("hub"))
     to_hub = lists.join(hubs, "value").where((F.col("id") != F.col("hub.b")) & comparable(F.col("n"), F.col("hub.m"), percent))
     to_hub = to_hub.select(F.col("id").alias("a"), F.col("hub.b").alias("b")).distinct()
