@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import documents
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**documents.QUERIES}
+ORACLES: dict[str, str] = {**documents.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many documents go to each review outcome."""
+    """The review outcome of each document."""
     return QUERIES["document_review_routing"](spark, sf_dir)
