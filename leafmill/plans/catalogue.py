@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents
+from . import documents, lifecycle
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**documents.QUERIES}
-ORACLES: dict[str, str] = {**documents.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**documents.QUERIES, **lifecycle.QUERIES}
+ORACLES: dict[str, str] = {**documents.ORACLES, **lifecycle.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
