@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, lifecycle
+from . import documents, labels, lifecycle
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**documents.QUERIES, **lifecycle.QUERIES}
-ORACLES: dict[str, str] = {**documents.ORACLES, **lifecycle.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**documents.QUERIES, **lifecycle.QUERIES, **labels.QUERIES}
+ORACLES: dict[str, str] = {**documents.ORACLES, **lifecycle.ORACLES, **labels.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
