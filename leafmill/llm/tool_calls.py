@@ -4,9 +4,10 @@ DataFrame functions only.  Messages carry an identifier where they call a tool
 and where they answer a call.  Of several calls (results) with one identifier the
 earliest counts, by turn and text digest; what counts is found by a minimum for
 each identifier before any join, so a hot identifier costs one row.  Calls may
-wait for other calls: levels are made round by round, each round settling the
-calls whose calls before are settled, so rounds are as many as the longest chain;
-what is left waits in a circle.  Arguments are held against the tool's parameters.
+wait for other calls.  Chains, in which each call waits for one other, are passed
+by doubling pointers, in rounds as many as the logarithm of their length; calls
+that wait for several are settled round by round over what chains lead to.  What
+is left waits in a circle.  Arguments are held against the tool's parameters.
 
 A message's place is (``topo``, ``turn``): a call of level k has topo 2k, its
 results 2k + 1, other messages none.
@@ -70,18 +71,45 @@ def argument_errors(name: Column, arguments: Column, tools: dict[str, list[Param
     return out
 
 
+def pointers(single: DataFrame) -> DataFrame:
+    """For calls that wait for one call (``call_id``, ``before``): the first call up their chain that doesn't, and how far it is.
+
+    Pointers double, so rounds are the logarithm of the longest chain.  What still
+    moves when chains must have ended goes round in a circle and is left out.
+    """
+    every = settle(single.select("call_id", F.col("before").alias("root"), F.lit(1).cast("long").alias("far"), F.lit(True).alias("moving")), "pointers")
+    left, total = 1, every.count()
+    while not every.where("moving").isEmpty():
+        if left > 2 * total:
+            return every.where("not moving").drop("moving")
+        up = every.select(F.col("call_id").alias("root"), F.col("root").alias("top"), F.col("far").alias("more"))
+        moved = every.where("moving").join(up, "root", "left")
+        moved = moved.select("call_id", F.coalesce("top", "root").alias("root"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.col("top").isNotNull().alias("moving"))
+        every, left = settle(every.where("not moving").unionByName(moved), "pointers"), left * 2
+    return every.drop("moving")
+
+
 def levels(calls: DataFrame) -> DataFrame:
-    """Level of each call (``call_id``, ``after``): 0 without calls before it, else one above the highest; none inside a circle."""
+    """Level of each call (``call_id``, ``after``): 0 without calls before it, else one above the highest; none in or behind a circle."""
     waits = calls.select("call_id", F.explode(F.array_distinct("after")).alias("before"))
     waits = settle(waits.join(calls.select(F.col("call_id").alias("before")), "before", "left_semi"), "waits")
-    done = settle(calls.select("call_id").join(waits.select("call_id").distinct(), "call_id", "left_anti").withColumn("level", F.lit(0)), "levels")
+    fan = waits.groupBy("call_id").agg(F.count("*").alias("n"), F.min("before").alias("before"))
+    single, several = fan.where("n = 1"), settle(fan.where("n > 1").select("call_id", "n"), "several")
+    chained = pointers(single.select("call_id", "before"))
+    free = calls.select("call_id").join(single.select("call_id"), "call_id", "left_anti").select("call_id", F.col("call_id").alias("root"), F.lit(0).cast("long").alias("far"))
+    placed = settle(chained.unionByName(free), "placed")
+    if several.isEmpty():
+        return placed.select("call_id", F.col("far").cast("int").alias("level"))
+    known = settle(free.select("root").join(several.select(F.col("call_id").alias("root")), "root", "left_anti").withColumn("level", F.lit(0).cast("long")), "known")
+    where = placed.select(F.col("call_id").alias("before"), "root", "far")
+    edges = settle(waits.join(several, "call_id").join(where, "before").select("call_id", "n", "root", "far"), "edges")
     while True:
-        known = done.select(F.col("call_id").alias("before"), "level")
-        ready = waits.join(known, "before", "left").groupBy("call_id").agg(F.count("*").alias("n"), F.count("level").alias("settled"), (F.max("level") + 1).alias("level"))
-        ready = settle(ready.where("n = settled").select("call_id", "level").join(done.select("call_id"), "call_id", "left_anti"), "levels")
+        ready = edges.join(known, "root").groupBy("call_id", "n").agg(F.count("*").alias("settled"), (F.max(F.col("level") + F.col("far")) + 1).alias("level")).where("n = settled")
+        ready = settle(ready.select(F.col("call_id").alias("root"), "level").join(known.select("root"), "root", "left_anti"), "ready")
         if ready.isEmpty():
-            return done
-        done = done.union(ready)
+            break
+        known = settle(known.unionByName(ready), "known")
+    return placed.join(known, "root").select("call_id", (F.col("level") + F.col("far")).cast("int").alias("level"))
 
 
 def link_tool_calls(messages: DataFrame, tools: dict[str, list[Parameter]]) -> DataFrame:
