@@ -10,7 +10,9 @@ that holds a template to the threshold needs at least ``need`` of its tokens, so
   block's first ``tokens - need + 1``;
 * position: from the first token they share, enough are left on both sides.
 
-What passes is verified by the exact overlap.  The templates and so the tokens
+Most texts have no word that any template can't do without (of each template,
+its longest words, one more than may be missing); those texts' lines aren't cut
+into words.  What passes is verified by the exact overlap.  The templates and so the tokens
 that are broadcast are a fixed list; frequencies are one row for each of them.
 
 Cases: null and empty texts have no words and no labels (empty strings) and score
@@ -26,8 +28,10 @@ from pyspark.sql import functions as F
 from .common import settle, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Characters of words, in lower-cased and in raw text, and those between words.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
-GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+RAW = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Percentage of a template's distinct words that a block must hold.
 CONTAINMENT = 90
 #: Score of a text with a base phrase where no template is met.
@@ -60,8 +64,27 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"{WORD}+"), F.lit(0))
 
 
+def count_words(raw: Column) -> Column:
+    return F.regexp_count(raw, F.lit(f"{RAW}+")).cast("long")
+
+
 def phrase_pattern(phrase: str) -> str:
-    return f"(?<!{WORD})" + f"{GAP}+".join(phrase.split()) + f"(?!{WORD})"
+    """A phrase in raw text; only A-Z are taken in either case."""
+    return f"(?i)(?<!{RAW})" + f"{GAP}+".join(phrase.split()) + f"(?!{RAW})"
+
+
+def holds_any(text: Column, parts: set[str]) -> Column:
+    """Whether a text holds one of the strings; strings that hold another are left out."""
+    least = [p for p in sorted(parts) if not any(q != p and q in p for q in parts)]
+    out = F.lit(False)
+    for p in least:
+        out = out | text.contains(p)
+    return out
+
+
+def needed_words(sets: list[tuple[str, list[str], int]]) -> set[str]:
+    """Words of which any block that meets a template has one: of each template its longest, one more than may be missing."""
+    return {w for _, words, need in sets for w in sorted(words, key=lambda w: (-len(w), w))[: len(words) - need + 1]}
 
 
 def template_sets(templates: dict[str, str], percent: int) -> list[tuple[str, list[str], int]]:
@@ -83,18 +106,21 @@ def license_scan(
     vocabulary, least = sorted({w for _, words, _ in sets for w in words}), min(need for *_, need in sets)
     any_phrase = "|".join(map(phrase_pattern, phrases))
 
-    low = df.select(df[id_col].alias("id"), F.xxhash64(df[text_col]).alias("print"), lowered(df[text_col]).alias("low"))
-    lines = F.transform(F.split("low", "\n"), lambda x: F.array_intersect(words_of(x), strings(vocabulary)))
-    known = F.filter(lines, lambda x: F.size(x) >= least)
-    first = words_of(F.split(F.col("low"), any_phrase, 2)[0])
-    last = words_of(F.regexp_extract("low", f"(?s)^(.*)(?:{any_phrase})", 1))
-    labelled = [F.when(F.col("low").rlike(phrase_pattern(p)), F.lit(label)) for p, label in sorted(phrases.items(), key=lambda x: x[1])]
-    base = low.withColumn("n_base", F.regexp_count("low", F.lit(any_phrase)).cast("long")).select(
-        "id", "print", F.size(words_of(F.col("low"))).cast("long").alias("n_words"), "n_base",
-        F.when(F.col("n_base") > 0, F.size(first).cast("long")).alias("first_word"),
-        F.when(F.col("n_base") > 0, F.size(last).cast("long")).alias("last_word"),
-        F.when(F.col("n_base") > 0, F.array_compact(F.array(*labelled))).otherwise(F.array().cast("array<string>")).alias("found"),
-        known.alias("blocks"),
+    # lower() may also change other letters, but never misses what A-Z in either case spell.
+    low = df.select(df[id_col].alias("id"), F.xxhash64(df[text_col]).alias("print"), F.coalesce(df[text_col], F.lit("")).alias("raw"), F.lower(F.coalesce(df[text_col], F.lit(""))).alias("low"))
+    low = low.select("id", "print", "raw", holds_any(F.col("low"), {max(p.split(), key=len) for p in phrases}).alias("maybe"), holds_any(F.col("low"), needed_words(sets)).alias("open"))
+    low = low.withColumn("n_base", F.when(F.col("maybe"), F.regexp_count("raw", F.lit(any_phrase)).cast("long")).otherwise(F.lit(0)))
+    none = F.array().cast("array<string>")
+    lines = F.filter(F.split(F.translate("raw", UPPER, LOWER), "\n"), lambda x: holds_any(x, needed_words(sets)))
+    lines = F.transform(lines, lambda x: F.array_intersect(words_of(x), strings(vocabulary)))
+    known = F.when(F.col("open"), F.filter(lines, lambda x: F.size(x) >= least)).otherwise(F.array().cast("array<array<string>>"))
+    first = count_words(F.split(F.col("raw"), any_phrase, 2)[0])
+    last = count_words(F.regexp_extract("raw", f"(?s)^(.*)(?:{any_phrase})", 1))
+    labelled = [F.when(F.col("raw").rlike(phrase_pattern(p)), F.lit(label)) for p, label in sorted(phrases.items(), key=lambda x: x[1])]
+    met = F.col("n_base") > 0
+    base = low.select(
+        "id", "print", count_words(F.col("raw")).alias("n_words"), "n_base", F.when(met, first).alias("first_word"), F.when(met, last).alias("last_word"),
+        F.when(met, F.array_compact(F.array(*labelled))).otherwise(none).alias("found"), known.alias("blocks"),
     )
     base = settle(base, "licenses")
 
