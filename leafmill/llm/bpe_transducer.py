@@ -23,6 +23,7 @@ import base64
 import gc
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,10 +31,12 @@ from pyspark.sql import types as T
 
 from .common import map_text, table
 
-#: Entries at which a worker's tables (states, pieces) are flushed.
-MAX_STATES, MAX_PIECES, MAX_PIECE_CHARS = 150_000, 250_000, 48
+#: Entries at which a worker's tables (states, pieces) are flushed; pieces have a younger and an older table of that size.
+MAX_STATES, MAX_PIECES, MAX_PIECE_CHARS = 300_000, 700_000, 48
 #: A rank after all others.
 NEVER = 1 << 60
+#: The guess before any input.
+START = (((), 0),)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -73,7 +76,7 @@ class Transducer:
 
     def flush(self) -> None:
         self.states: dict[tuple, State] = {}
-        self.start = State(-1, (((), 0),))
+        self.start = State(-1, START)
         self.start.end = ()
         # Tables of this size make the collector's passes dear; it has work only after a flush.
         gc.set_threshold(1_000_000, 50, 1000)
@@ -123,34 +126,58 @@ class Transducer:
                         i += 1
                     else:
                         j += 1
-            if len(self.agree) >= 4 * self.max_states:
+            if len(self.agree) >= 2 * self.max_states:
                 self.agree.clear()
             self.agree[key] = known
         return known
 
     def ended(self, state: State) -> tuple[int, ...]:
         """Tokens still to come if the input ends here: those of the one guess whose last token is whole."""
-        if state.end is None:
-            token = self.token
-            state.end = next(
-                (*done, t) for done, node in state.guesses if (t := token[node]) >= 0 and self.agrees(done[-1] if done else state.context, t)
-            )
-        return state.end
+        if (end := state.end) is None:
+            token, agree = self.token, self.agree
+            for done, node in state.guesses:
+                if (t := token[node]) >= 0:
+                    left = done[-1] if done else state.context
+                    if (ok := agree.get(left << 20 | t)) is None:
+                        ok = self.agrees(left, t)
+                    if ok:
+                        state.end = end = (*done, t)
+                        break
+        return end
 
     def grow(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
         """Make the transition of ``state`` on ``byte``."""
-        child = self.child
-        guesses = [(done, to) for done, node in state.guesses if (to := child.get(node << 8 | byte)) is not None]
-        if state.guesses != (((), 0),):
+        child, guesses = self.child, []
+        for done, node in state.guesses:
+            if (to := child.get(node << 8 | byte)) is not None:
+                guesses.append((done, to))
+        if state is not self.start and state.guesses != START:
             guesses.append((self.ended(state), child[byte]))
-        out: tuple[int, ...] = ()
-        if guesses[0][0]:
-            n, shared = 0, guesses[0][0]
-            while all(len(d) > n and d[n] == shared[n] for d, _ in guesses):
-                n += 1
+        context, out = state.context, ()
+        shared = guesses[0][0]
+        if len(guesses) == 1:
+            if shared:
+                out, context, guesses = shared, shared[-1], [((), guesses[0][1])]
+        elif shared:
+            n = 0
+            for n, t in enumerate(shared):  # noqa: B007
+                for d, _ in guesses:
+                    if len(d) <= n or d[n] != t:
+                        break
+                else:
+                    continue
+                break
+            else:
+                n = len(shared)
             if n:
-                out, guesses = shared[:n], [(d[n:], node) for d, node in guesses]
-        context = (out[-1] if out else state.context) if not all([d for d, _ in guesses]) else -1
+                out, context = shared[:n], shared[n - 1]
+                guesses = [(d[n:], node) for d, node in guesses]
+            if guesses[0][0]:
+                for d, _ in guesses:
+                    if not d:
+                        break
+                else:
+                    context = -1
         rest = tuple(guesses)
         key = (context, rest)
         if (to := self.states.get(key)) is None:
@@ -164,30 +191,36 @@ class Transducer:
         """Identifiers of one piece; a piece that is itself a token stays whole."""
         if (whole := self.ranks.get(piece)) is not None:
             return (whole,)
-        state, out = self.start, []
+        state, out, grow = self.start, (), self.grow
         for byte in piece:
-            state, emitted = state.next.get(byte) or self.grow(state, byte)
+            state, emitted = state.next.get(byte) or grow(state, byte)
             if emitted:
                 out += emitted
-        out += self.ended(state)
-        return tuple(out)
+        return out + self.ended(state)
 
 
 class Pieces(dict):
-    """Identifiers (and their decimal form) of pieces of text, from the transducer, kept for pieces that come again."""
+    """Identifiers of pieces of text, from the transducer, kept for pieces that come again."""
 
     def __init__(self, transducer: Transducer) -> None:
         super().__init__()
-        self.transducer = transducer
+        self.transducer, self.old = transducer, {}
 
-    def __missing__(self, piece: str) -> tuple[tuple[int, ...], str]:
-        ids = self.transducer.encode(piece.encode())
-        made = ids, " ".join(map(str, ids))
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        if (ids := self.old.get(piece)) is None:
+            ids = self.transducer.encode(piece.encode())
         if len(piece) <= MAX_PIECE_CHARS:
             if len(self) >= MAX_PIECES:
+                self.old = dict(self)
                 self.clear()
-            self[piece] = made
-        return made
+            self[piece] = ids
+        return ids
+
+
+@lru_cache(maxsize=2)
+def worker_pieces(path: str) -> Pieces:
+    """The tables of one worker process, which keeps them from task to task."""
+    return Pieces(Transducer(load_ranks(path)))
 
 
 # -- UTF-8 ------------------------------------------------------------------
@@ -275,10 +308,10 @@ def encode_texts(df: DataFrame, keep: list[str], text_col: str, path: str, patte
     def start():
         import regex
 
-        pieces, split = Pieces(Transducer(load_ranks(path))), regex.compile(pattern)
+        pieces, split = worker_pieces(path), regex.compile(pattern)
 
         def work(texts):
-            return [[[i for p in split.findall(t or "") for i in pieces[p][0]] for t in texts]]
+            return [[[i for p in split.findall(t or "") for i in pieces[p]] for t in texts]]
 
         return work
 
@@ -291,13 +324,13 @@ def round_trip(df: DataFrame, keep: list[str], text_col: str, path: str, pattern
     def start():
         import regex
 
-        ranks = load_ranks(path)
-        pieces, split, decoder = Pieces(Transducer(ranks)), regex.compile(pattern), Decoder({i: t for t, i in ranks.items()})
+        pieces, split = worker_pieces(path), regex.compile(pattern)
+        tokens = pieces.transducer.tokens
+        decoder, decimal = Decoder(tokens), {i: str(i) for i in tokens}
 
         def one(text):
-            coded = list(map(pieces.__getitem__, split.findall(text or "")))
-            ids = list(chain.from_iterable([c[0] for c in coded]))
-            return len(ids), hashlib.sha256(" ".join([c[1] for c in coded]).encode()).hexdigest(), hashlib.sha256(decoder.decode(ids)).hexdigest()
+            ids = list(chain.from_iterable(map(pieces.__getitem__, split.findall(text or ""))))
+            return len(ids), hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decoder.decode(ids)).hexdigest()
 
         return lambda texts: list(zip(*map(one, texts))) or [[]] * 3
 
