@@ -252,6 +252,8 @@ def parse(data: bytes) -> Media:
     top = list(_children(data, 0, len(data)))
     if not top or top[0][0] != EBML:
         raise ValueError("no EBML head")
+    if not any(ident == SEGMENT for ident, *_ in top):
+        raise ValueError("no segment")
 
     def block(a: int, b: int, base: int, cluster: int, key: bool | None, length: int | None) -> None:
         width = 9 - data[a].bit_length()
