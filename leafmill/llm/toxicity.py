@@ -4,8 +4,8 @@ Words become symbols: insult, threat, target, negation, report, quotation mark o
 other.  Transducers for negation, reported speech and targets, composed into one,
 run over each clause that holds an insult or a threat: a negation shortly before
 lowers its weight, a report or an opening quotation mark before it lowers it to
-the clause's end, a target shortly before raises it, and a target shortly after an
-insult adds to the clause.  A document's score is a logistic function of its
+the clause's end, a target shortly before raises it, and a target shortly after
+it adds to the clause.  A document's score is a logistic function of its
 clauses' weights.
 
 Insults and their weights come from a fixed list and from labelled rows: words,
@@ -57,11 +57,11 @@ NEGATED, REPORTED, TARGETED, TARGET_AFTER = 0.35, 0.5, 1.25, 0.5
 
 
 def grammar() -> Transducer:
-    """Negation, reported speech and targets composed; put out ``i``, ``t`` with their factors and ``+`` for a target after an insult."""
+    """Negation, reported speech and targets composed; put out ``i``, ``t`` with their factors and ``+`` for a target after them."""
     negation = window("n", 3, {s: Arc(0, s, NEGATED) for s in "it"})
     report = latch("rq", {s: Arc(1, s, REPORTED) for s in "it"})
     target = window("g", 4, {s: Arc(0, s, TARGETED) for s in "it"})
-    after = window("i", 3, {"g": Arc(0, "+", 1.0)})
+    after = window("it", 3, {"g": Arc(0, "+", 1.0)})
     return negation.compose(report, ALPHABET).compose(target, ALPHABET).compose(after, ALPHABET)
 
 
@@ -109,7 +109,7 @@ class Scorer:
         return CLASSES.get(word, "q" if word in '"“”«»„' else "o"), 0.0
 
     def clause(self, text: str) -> float:
-        """Weight of one clause."""
+        """Weight of one clause, by one pass of the composed transducers."""
         state, total = 0, 0.0
         for word in WORD.findall(text):
             symbol, weight = self.symbol(word)

@@ -38,11 +38,11 @@ class Transducer:
         return Transducer(arcs, [0] * len(arcs))
 
 
-def window(trigger: str, span: int, marks: dict[str, Arc]) -> Transducer:
-    """After ``trigger``, for ``span`` symbols, symbols in ``marks`` are put out with their marks and weights (``to`` is ignored)."""
+def window(triggers: str, span: int, marks: dict[str, Arc]) -> Transducer:
+    """After any of ``triggers``, for ``span`` symbols, symbols in ``marks`` are put out with their marks and weights (``to`` is ignored)."""
     arcs: list[dict[str, Arc]] = []
     for left in range(span + 1):
-        row = {trigger: Arc(span, trigger, 1.0)}
+        row = {t: Arc(span, t, 1.0) for t in triggers}
         if left:
             row |= {s: Arc(left - 1, a.out, a.weight) for s, a in marks.items()}
         arcs.append(row)
