@@ -17,6 +17,8 @@ from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +27,7 @@ from .common import filter_text, map_text, table
 from .shingles import BLOCK_BYTES, GOLD, mix, word_hashes
 
 #: Bound of the labelled rows that the regression is fitted on.
-TRAIN_ROWS = 4_000
+TRAIN_ROWS = 2_000
 BITS = 16
 #: Offsets of the three kinds of n-gram in the table of weights.
 WORDS, PAIRS, BYTES = 0, 1 << BITS, 2 << BITS
@@ -125,28 +127,50 @@ def sparse(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([i + (k << BITS) for k, i in zip(count, index)]).astype(np.int32), np.concatenate(values).astype(np.float32)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int, bool]], epochs: int = 150, rate: float = 2.0, decay: float = 1e-6) -> Model:
-    """Logistic regression by full AdaGrad steps on rows (indices, values, label, held out), calibrated on those held out."""
-    train, held = [r for r in rows if not r[3]], [r for r in rows if r[3]]
-    if len({r[2] for r in train}) < 2 or len({r[2] for r in held}) < 2:
+class Sample(NamedTuple):
+    """Rows of a sparse matrix: each row's entries lie between two of ``bounds``."""
+
+    index: np.ndarray  # int32
+    value: np.ndarray  # float32
+    bounds: np.ndarray
+    label: np.ndarray
+    held: np.ndarray
+
+    def rows(self, w: np.ndarray, bias: float, a: int, z: int) -> np.ndarray:
+        """Log odds of the rows from ``a`` to ``z``."""
+        part = slice(self.bounds[a], self.bounds[z])
+        terms = self.value[part] * w[self.index[part]]
+        return np.bincount(self.owner(a, z), terms, z - a) + bias
+
+    def owner(self, a: int, z: int) -> np.ndarray:
+        return np.repeat(np.arange(z - a), np.diff(self.bounds[a : z + 1]))
+
+
+def fit(sample: Sample, epochs: int = 150, rate: float = 2.0, decay: float = 1e-6, at_once: int = 256) -> Model:
+    """Logistic regression by full AdaGrad steps on the rows that aren't held, calibrated on those that are.
+
+    Gradients are summed over blocks of ``at_once`` rows, so nothing but the sample itself grows with it.
+    """
+    y, fits = sample.label.astype(float), ~sample.held
+    if min(len(set(y[fits])), len(set(y[sample.held]))) < 2:
         return Model(np.zeros(SIZE, np.float32), 0.0, 1.0, 0.0, False)
-    index = np.concatenate([r[0] for r in train])
-    value = np.concatenate([r[1] for r in train])
-    row = np.repeat(np.arange(len(train)), [len(r[0]) for r in train])
-    y = np.array([r[2] for r in train], float)
-    each = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))  # both classes weigh the same
-    w, bias, seen, seen_bias = np.zeros(SIZE), 0.0, np.full(SIZE, 1e-8), 1e-8
+    # Both classes weigh the same; rows held back weigh nothing.
+    each = np.where(fits, np.where(y == 1, 0.5 / (y[fits] == 1).sum(), 0.5 / (y[fits] == 0).sum()), 0.0)
+    w, bias, seen, seen_bias = np.zeros(SIZE, np.float32), 0.0, np.full(SIZE, 1e-8, np.float32), 1e-8
+    blocks = [(a, min(len(y), a + at_once)) for a in range(0, len(y), at_once)]
     for _ in range(epochs):
-        z = np.bincount(row, value * w[index], len(train)) + bias
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * each
-        gradient = np.bincount(index, value * error[row], SIZE) + decay * w
-        seen += gradient**2
-        w -= rate * gradient / np.sqrt(seen)
-        seen_bias += error.sum() ** 2
-        bias -= 0.1 * error.sum() / np.sqrt(seen_bias)
-    w = w.astype(np.float32)
-    z = np.array([float((w[i] * v).sum()) + bias for i, v, _, _ in held])
-    return Model(w, bias, *platt(z, np.array([r[2] for r in held], float)), True)
+        gradient, slope = decay * w.astype(np.float64), 0.0
+        for a, z in blocks:
+            error = (1 / (1 + np.exp(-np.clip(sample.rows(w, bias, a, z), -30, 30))) - y[a:z]) * each[a:z]
+            part = slice(sample.bounds[a], sample.bounds[z])
+            gradient += np.bincount(sample.index[part], sample.value[part] * error[sample.owner(a, z)], SIZE)
+            slope += error.sum()
+        seen += (gradient**2).astype(np.float32)
+        w -= (rate * gradient / np.sqrt(seen)).astype(np.float32)
+        seen_bias += slope**2
+        bias -= 0.1 * slope / np.sqrt(seen_bias)
+    z = np.concatenate([sample.rows(w, bias, a, z) for a, z in blocks])[sample.held]
+    return Model(w, float(bias), *platt(z, y[sample.held]), True)
 
 
 def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -174,10 +198,20 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         return lambda texts: list(zip(*map(sparse, texts))) or [[], []]
 
     made = map_text(found.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "id"), F.lit(3)) == 0), start, "text", ["id", "quality", "held"], SAMPLE)
-    got = made.toArrow()  # the bounded sample
-    at = {n: got.column(n) for n in got.column_names}
-    flat = [(i, np.array(x.values if x.is_valid else [], np.int32), np.array(v.values, np.float32), int(q), bool(h)) for i, x, v, q, h in zip(at["id"].to_pylist(), at["index"], at["value"], at["quality"].to_pylist(), at["held"].to_pylist())]
-    return fit([r[1:] for r in sorted(flat, key=lambda r: r[0])])
+    return fit(collect(made))
+
+
+def collect(made: DataFrame) -> Sample:
+    """The bounded sample on the driver, in the order of ids, so that equal tables give equal models."""
+    got = made.orderBy("id").toArrow()
+    lists = {c: got.column(c).chunks for c in ("index", "value")}
+    whole = {c: np.concatenate([x.flatten().to_numpy() for x in chunks] or [np.zeros(0, np.float32)]) for c, chunks in lists.items()}
+    sizes = [pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in lists["index"]]
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes or [[]]))]).astype(np.int64)
+    sample = Sample(whole["index"].astype(np.int32), whole["value"], bounds, got.column("quality").to_numpy(), got.column("held").to_numpy().astype(bool))
+    del got, lists
+    pa.default_memory_pool().release_unused()
+    return sample
 
 
 RESULT = T.StructType([
