@@ -155,3 +155,52 @@ def png_metadata(data: bytes) -> int:
                 total += len(zlib.decompressobj().decompress(packed, 1 << 21))
         at += 12 + size
     return total
+
+
+HEADER = T.StructType([T.StructField("format", T.StringType()), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("metadata_bytes", T.LongType()), T.StructField("error", T.StringType())])
+
+
+def header(data: bytes) -> tuple[str, int, int]:
+    """Format and size of a PNG, JPEG or WebP image, by its head."""
+    if data[:8] == b"\x89PNG\r\n\x1a\n" and data[12:16] == b"IHDR":
+        return "png", *struct.unpack(">II", data[16:24])
+    if data[:3] == b"\xff\xd8\xff":
+        at = 2
+        while at + 9 < len(data) and data[at] == 0xFF:
+            kind, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+            if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+                height, width = struct.unpack(">HH", data[at + 5 : at + 9])
+                return "jpeg", width, height
+            at += 2 + size
+        raise ValueError("no frame in the JPEG head")
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+        if data[12:16] == b"VP8X":
+            return "webp", 1 + int.from_bytes(data[24:27], "little"), 1 + int.from_bytes(data[27:30], "little")
+        if data[12:16] == b"VP8L":
+            bits = int.from_bytes(data[21:25], "little")
+            return "webp", 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF)
+        if data[12:16] == b"VP8 ":
+            width, height = struct.unpack("<HH", data[26:30])
+            return "webp", width & 0x3FFF, height & 0x3FFF
+    raise ValueError("not a PNG, JPEG or WebP image")
+
+
+@F.pandas_udf(HEADER)
+def read_header(content: pd.Series) -> pd.DataFrame:
+    rows = []
+    for data in content:
+        try:
+            kind, width, height = header(bytes(data))
+            rows.append((kind, width, height, png_metadata(bytes(data)) if kind == "png" else 0, None))
+        except (ValueError, IndexError, struct.error, TypeError, zlib.error) as e:
+            rows.append((None, None, None, None, str(e)))
+    return pd.DataFrame(rows, columns=HEADER.names).astype({"width": "Int32", "height": "Int32", "metadata_bytes": "Int64"})
+
+
+def inspect(files: DataFrame, content: str, declared: str, most_pixels: int = 100_000_000, most_metadata: int = 1 << 20) -> DataFrame:
+    """Size and verdict of image files held against their declared MIME type: ok, unreadable, mismatch, too_large or metadata."""
+    i = files.withColumn("image", read_header(content))
+    mime = F.concat(F.lit("image/"), F.col("image.format"))
+    pixels = F.col("image.width").cast("long") * F.col("image.height")
+    outcome = F.when(F.col("image.error").isNotNull(), "unreadable").when(mime != F.col(declared), "mismatch").when((pixels > most_pixels) | (pixels == 0), "too_large").when(F.col("image.metadata_bytes") > most_metadata, "metadata").otherwise("ok")
+    return i.withColumn("outcome", outcome)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, labels, lifecycle, streams
+from . import documents, labels, lifecycle, stores, streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**documents.QUERIES, **lifecycle.QUERIES, **labels.QUERIES, **streams.QUERIES}
-ORACLES: dict[str, str] = {**documents.ORACLES, **lifecycle.ORACLES, **labels.ORACLES, **streams.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**documents.QUERIES, **lifecycle.QUERIES, **labels.QUERIES, **streams.QUERIES, **stores.QUERIES}
+ORACLES: dict[str, str] = {**documents.ORACLES, **lifecycle.ORACLES, **labels.ORACLES, **streams.ORACLES, **stores.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,3 +194,27 @@ def test_hybrid(spark):
     n = spark.createDataFrame([(1, ["a"]), (2, []), (3, []), (4, [])], "page int, observations array<string>")
     p = spark.createDataFrame([(2, ["b"], None), (3, None, "permanent"), (4, None, "timeout")], "page int, observations array<string>, error string")
     assert {r.page: (r.source, r.observations) for r in hybrid_pages(n, p, ["page"]).collect()} == {1: ("native", ["a"]), 2: ("provider", ["b"]), 3: ("empty_native", []), 4: ("retry", [])}
+
+
+def test_image_heads(spark):
+    import struct
+
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR" + struct.pack(">II", 30, 20) + b"0" * 9
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08" + struct.pack(">HH", 20, 30) + b"0" * 9
+    webp = b"RIFF0000WEBPVP8X" + b"0" * 8 + (29).to_bytes(3, "little") + (19).to_bytes(3, "little")
+    rows = [("a", png, "image/png"), ("b", jpeg, "image/jpeg"), ("c", webp, "image/webp"), ("d", png, "image/jpeg"), ("e", b"no", "image/png")]
+    got = {r.name: (r.outcome, r.image.width, r.image.height) for r in images.inspect(spark.createDataFrame([(n, bytearray(c), m) for n, c, m in rows], "name string, content binary, mime string"), "content", "mime").collect()}
+    assert got == {"a": ("ok", 30, 20), "b": ("ok", 30, 20), "c": ("ok", 30, 20), "d": ("mismatch", 30, 20), "e": ("unreadable", None, None)}
+
+
+def test_store_parts(spark):
+    from leafmill.operators import store
+
+    a, b = spark.range(3), spark.range(1, 4)
+    assert store.same_keys(a, a.union(a), "id") and not store.same_keys(a, b, "id")
+    f = spark.createDataFrame([(1, 0, 1), (1, 1, 1), (2, 0, 2), (2, 1, 2)], "doc int, frame int, page_count int")
+    assert store.first_frame_only(f, "doc").count() == 3
+    p = spark.createDataFrame([(1, 0, 10, 20, 20, 10), (2, 0, 10, 20, 10, 20), (1, 0, 10, 21, 10, 20)], "p int, i int, w int, h int, ww int, wh int")
+    assert [r[0] for r in p.select(store.page_source_ok(*map(F.col, p.columns))).collect()] == [True, False, False]
+    runs = spark.createDataFrame([("p", "t", "uploads"), ("p", "t", "workflows"), ("p", "u", "uploads")], "product_id string, tenant_id string, outcome string")
+    assert tuple(store.dispatch_counters(runs).first()) == (2, 2, 1, 0)
