@@ -37,7 +37,8 @@ def row_hash(id_col: Column, text: Column) -> Column:
 
 
 def prefix(h: str, depth: Column) -> Column:
-    return F.expr(f"shiftright({h}, {BITS} - depth)") if depth is None else F.call_function("shiftright", F.col(h), F.lit(BITS) - depth)
+    """The first ``depth`` bits of a hash."""
+    return F.call_function("shiftright", F.col(h), F.lit(BITS) - depth)
 
 
 def leaves(items: DataFrame, limit: int, least: int, most: int) -> DataFrame:
