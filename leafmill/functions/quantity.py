@@ -13,7 +13,7 @@ HEADERS = [("per serving", "per_serving"), ("per serve", "per_serving"), ("per 1
 COLUMNS = ["per_serving", "per_100g", "per_100ml"]
 
 #: Bound mark (group 1), number (2) and unit word (3).  A digit behind a letter starts no number; a bound mark may stand before spaces.
-TOKEN = r"(?:(?<=(<|less than) {0,60}))?(?<!\p{IsAlphabetic})(\d(?:\d|[.,](?=\d))*) *([\p{IsAlphabetic}%]*)"
+TOKEN = r"(?=\d)(?<!\p{IsAlphabetic})(?:(?<=(<|less than) {0,60}))?(\d(?:\d|[.,](?=\d))*) *([\p{IsAlphabetic}%]*)"
 
 
 def round3(value: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quantity as Q
 from ..functions.ids import gtin_valid
+from ..sources.staging import staged
 
 MOST_LABEL_CHARS = 40
 
@@ -39,23 +40,24 @@ def row_label(text: Column) -> Column:
     return F.when(F.length(raw) <= MOST_LABEL_CHARS, label)
 
 
-def row_kind(text: Column) -> Column:
-    """What a nutrient row of lower-case text is about, or null."""
-    label = row_label(text)
+def row_kind(label: Column) -> Column:
+    """What the nutrient row of a cleaned label is about, or null."""
     out = F.when(label.isNull() | label.rlike("|".join(EXCLUDED)), F.lit(None).cast("string"))
     for prefix, kind in ROWS:
         out = out.when(label.startswith(prefix), kind)
     return out
 
 
-def label_unit(text: Column) -> Column:
-    label = row_label(text)
+def label_unit(label: Column) -> Column:
     return F.coalesce(*[F.when(label.contains(mark), F.lit(unit)) for mark, unit in LABEL_UNITS])
 
 
 def classify(lines: DataFrame) -> DataFrame:
     """Each line with its lower text, quantities and class; the first class that fits counts."""
-    low = lines.withColumn("lower", F.lower("text")).withColumns({"columns": Q.header_columns(F.col("lower")), "kind": row_kind(F.col("lower")), "quantities": Q.quantities(F.col("lower"))})
+    low = lines.withColumn("lower", F.lower("text"))
+    # Each costly part in a projection of its own, so that it is computed once.
+    low = low.withColumns({"label": row_label(F.col("lower")), "columns": Q.header_columns(F.col("lower")), "quantities": Q.quantities(F.col("lower"))})
+    low = low.withColumns({"kind": row_kind(F.col("label")), "given": label_unit(F.col("label"))}).drop("label")
     cls = (
         F.when(F.col("lower").contains("servings per"), "servings").when(F.size("columns") > 0, "header")
         .when(F.col("lower").contains("serving size") | F.col("lower").contains("serve size"), "serving").when(F.col("kind").isNotNull(), "row").otherwise("other")
@@ -64,8 +66,8 @@ def classify(lines: DataFrame) -> DataFrame:
 
 
 def readings(rows: DataFrame, doc: str) -> DataFrame:
-    """Quantities of rows (``lower``, ``kind``, ``quantities``, ``at``) as nutrient, slot and amount; a bound takes a slot but gives nothing."""
-    q = rows.select(doc, "at", "kind", F.coalesce(label_unit(F.col("lower")), F.when(F.col("kind") == "calories", "kcal")).alias("given"), "confidence", F.posexplode("quantities").alias("i", "q"))
+    """Quantities of rows (``given``, ``kind``, ``quantities``, ``at``) as nutrient, slot and amount; a bound takes a slot but gives nothing."""
+    q = rows.select(doc, "at", "kind", F.coalesce("given", F.when(F.col("kind") == "calories", "kcal")).alias("given"), "confidence", F.posexplode("quantities").alias("i", "q"))
     unit = F.coalesce("q.unit", "given")
     energy = F.col("kind").isin("energy", "calories")
     nutrient = F.when(energy & (unit == "kj"), "energy_kj").when(energy & (unit == "kcal"), "energy_kcal").when(~energy, F.col("kind"))
@@ -161,9 +163,9 @@ def spatial_readings(lines: DataFrame, doc: str) -> DataFrame:
     small = lines.join(pages, [doc, "page"], "left_semi").select(doc, "page", "reading_order", "class", "kind", "lower", "polygon", "columns", "slots", F.size("quantities").alias("n_quantities"))
     cells = small.groupBy(doc, "page").applyInPandas(match, f"{doc} {kind}, page int, label int, cell int, header int, slot int")
     part = lambda name, **cols: lines.select(doc, "page", F.col("reading_order").alias(name), *[F.col(a).alias(b) for b, a in cols.items()])
-    both = cells.join(part("label", kind="kind", l_lower="lower", at="at", c1="confidence"), [doc, "page", "label"])
+    both = cells.join(part("label", kind="kind", given="given", at="at", c1="confidence"), [doc, "page", "label"])
     both = both.join(part("cell", quantities="quantities", c2="confidence"), [doc, "page", "cell"]).join(part("header", c3="confidence"), [doc, "page", "header"])
-    both = both.withColumns({"confidence": F.least("c1", "c2", "c3"), "lower": F.col("l_lower"), "at": F.struct("at.page", "at.reading_order", "slot")})
+    both = both.withColumns({"confidence": F.least("c1", "c2", "c3"), "at": F.struct("at.page", "at.reading_order", "slot")})
     found = readings(both, doc)
     # A cell's readings all go to its header's column.
     return found.withColumn("slot", F.col("at.slot")).withColumn("at", F.struct("at.page", "at.reading_order"))
@@ -179,7 +181,7 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def extract(lines: DataFrame, doc: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Fields (``doc``, name, value, confidence) and failures (``doc``, code, severity) of each document's label."""
-    c = classify(lines)
+    c = staged(classify(lines), "classified")
     heads = c.where("class = 'header'").select(doc, "at", "confidence", F.posexplode("columns").alias("i", "column"))
     columns = first_wins(heads, [doc, "column"], ["at", "i"])
     order = Window.partitionBy(doc).orderBy("at", "i")
@@ -189,11 +191,12 @@ def extract(lines: DataFrame, doc: str = "doc_id") -> tuple[DataFrame, DataFrame
     before = F.filter(F.coalesce("known", F.array().cast(c.select("known").schema.fields[0].dataType)), lambda k: k["since"] < F.col("at"))
     c = c.withColumn("slots", F.transform(before, lambda k: k["column"]))
 
+    c = staged(c.drop("known"), "lines")
     rows = c.where("class = 'row'")
     own, spatial = readings(rows, doc), spatial_readings(c, doc)
-    all_readings = own.unionByName(spatial)
+    all_readings = staged(own.unionByName(spatial), "readings")
     placed = all_readings.join(columns.select(doc, "slot", "column"), [doc, "slot"])
-    values = first_wins(placed, [doc, "column", "nutrient"], ["at", "i"]).select(doc, "column", "nutrient", "amount", "confidence")
+    values = staged(first_wins(placed, [doc, "column", "nutrient"], ["at", "i"]).select(doc, "column", "nutrient", "amount", "confidence"), "values")
 
     counts = rows.select(doc, "at", F.exists("quantities", lambda q: q["upper_bound"]).alias("bound"), (F.size("quantities") == 0).alias("bare"), F.size("slots").alias("open"))
     got = all_readings.groupBy(doc, "at").agg(F.countDistinct("slot").alias("filled"))
