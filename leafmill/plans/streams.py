@@ -69,5 +69,7 @@ ORACLES = {
     "outbox_stream_leases": """with c as (select count(*) as n, count(*) filter (event_id % 2 = 0) as a from events)
         select outcome, cast(attempts as integer) as attempts, n from (select 'inserted' as outcome, 0 as attempts, n from c union all select 'claimed', 1, n from c
           union all select 'renewed', 1, a from c union all select 'published', 1, a from c union all select 'refused', 1, n - a from c union all select 'lease_lost', 1, n - a from c)""",
+    "event_windows_stream": """with w as (select time_bucket(interval 6 hour, ts) as start, event_type, count(*) as n, round(sum(value), 2) as value from events group by all)
+        select * from w where start + interval 6 hour <= (select max(ts) - interval 1 hour from events)""",
     "props_equivalence": "select event_id, '{\"k\":' || json_extract_string(props, '$.k') || '}' as canonical, event_id % 3 <> 0 as equivalent from events",
 }
