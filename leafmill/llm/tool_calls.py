@@ -124,7 +124,8 @@ def link_tool_calls(messages: DataFrame, tools: dict[str, list[Parameter]]) -> D
     called = m.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct("order", "after")).alias("x"))
     called = settle(called.select("call_id", F.col("x.order").alias("first_call"), F.col("x.after").alias("after")), "calls")
     answered = m.where("result_of is not null").groupBy("result_of").agg(F.min("order").alias("first_result"), F.count("*").alias("results"))
-    linked = called.join(answered, called["call_id"] == answered["result_of"], "left").join(levels(called), "call_id", "left")
+    # One row for each identifier on both sides: the results of a partition make a small hash table.
+    linked = called.join(answered.hint("shuffle_hash"), called["call_id"] == answered["result_of"], "left").join(levels(called), "call_id", "left")
     known = called.select(F.col("call_id").alias("known"))
     lost = called.select("call_id", F.explode(F.array_distinct("after")).alias("before"))
     lost = lost.join(known, F.col("before") == F.col("known"), "left_anti").groupBy("call_id").agg(F.array_sort(F.collect_set(F.concat(F.lit("no_call:"), "before"))).alias("lost"))
