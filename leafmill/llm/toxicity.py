@@ -158,7 +158,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     usable = labels.select(F.col("doc_id").alias("id"), "toxic").where("toxic is not null").where(F.crc32(F.col("id").cast("string")) % 4 != 2).dropDuplicates(["id"])
     part = min(1.0, rows / max(1, usable.count()))
     usable = usable.where(fold(F.col("id"), 1_000_003) < int(part * 1_000_003) + 1)
-    return docs.select(F.col("doc_id").alias("id"), "text").join(usable, "id")
+    # The sample is bounded, so it goes to the texts and not they to it.
+    return docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(usable), "id")
 
 
 def learn_lexicon(rows: DataFrame) -> Lexicon:
