@@ -192,7 +192,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     usable = labels.select(F.col("doc_id").alias("id"), "quality").where("quality is not null and doc_id is not null").dropDuplicates(["id"])
     part = min(1.0, rows / max(1, usable.count()))
     usable = usable.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(part * 1_000_003) + 1)
-    found = docs.select(F.col("doc_id").alias("id"), "text").join(usable, "id")
+    # The sample is bounded, so it goes to the texts and not they to it.
+    found = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(usable), "id")
 
     def start():
         return lambda texts: list(zip(*map(sparse, texts))) or [[], []]
