@@ -1,8 +1,10 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-DataFrame functions only.  A block is a line; its tokens are those of its words
-that some template has, for no other word can add to an overlap.  Tokens are
-ordered by their frequency over all blocks of the corpus, rarest first.  A block
+DataFrame functions only.  A block is a line, or a run of words across line ends
+that is as long as the longest template, for license texts are often wrapped.  Its
+tokens are those of its words that some template has, for no other word can add to
+an overlap; so a run that begins with another word has no more than the next one
+that doesn't, and such runs are left out.  Tokens are ordered by their frequency over all blocks of the corpus, rarest first.  A block
 that holds a template to the threshold needs at least ``need`` of its tokens, so
 
 * length: it has that many tokens at all;
@@ -12,7 +14,7 @@ that holds a template to the threshold needs at least ``need`` of its tokens, so
 
 Most texts have no word that any template can't do without (of each template,
 its longest words, one more than may be missing); those texts' lines aren't cut
-into words.  What passes is verified by the exact overlap.  The templates and so the tokens
+into words, and neither are runs without such a word made.  What passes is verified by the exact overlap.  The templates and so the tokens
 that are broadcast are a fixed list; frequencies are one row for each of them.
 
 Cases: null and empty texts have no words and no labels (empty strings) and score
@@ -93,6 +95,19 @@ def template_sets(templates: dict[str, str], percent: int) -> list[tuple[str, li
     return [(label, words, -(-len(words) * percent // 100)) for label, words in sets]
 
 
+def known_words(text: Column, vocabulary: list[str]) -> Column:
+    """Those words of a lower-cased text that are in ``vocabulary``, with their places among all its words."""
+    placed = F.transform(words_of(text), lambda w, i: F.struct(i.alias("at"), w.alias("word")))
+    return F.filter(placed, lambda x: x["word"].isin(vocabulary))
+
+
+def runs(known: str, length: int, needed: set[str]) -> Column:
+    """Distinct words of each run of ``length`` words that begins with a known word and holds one of ``needed``; ``known`` is a column of ``known_words``."""
+    each = F.transform(known, lambda x, i: F.filter(F.slice(known, i + 1, F.lit(length)), lambda y: y["at"] < x["at"] + length))
+    each = F.filter(each, lambda run: F.exists(run, lambda y: y["word"].isin(sorted(needed))))
+    return F.transform(each, lambda run: F.array_distinct(run["word"]))
+
+
 def strings(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
@@ -104,27 +119,31 @@ def license_scan(
     spark = df.sparkSession
     sets = template_sets(templates, percent)
     vocabulary, least = sorted({w for _, words, _ in sets for w in words}), min(need for *_, need in sets)
+    needed, longest = needed_words(sets), max(len(text.split()) for text in templates.values())
     any_phrase = "|".join(map(phrase_pattern, phrases))
 
     # lower() may also change other letters, but never misses what A-Z in either case spell.
     low = df.select(df[id_col].alias("id"), F.xxhash64(df[text_col]).alias("print"), F.coalesce(df[text_col], F.lit("")).alias("raw"), F.lower(F.coalesce(df[text_col], F.lit(""))).alias("low"))
-    low = low.select("id", "print", "raw", holds_any(F.col("low"), {max(p.split(), key=len) for p in phrases}).alias("maybe"), holds_any(F.col("low"), needed_words(sets)).alias("open"))
+    low = low.select("id", "print", "raw", holds_any(F.col("low"), {max(p.split(), key=len) for p in phrases}).alias("maybe"), holds_any(F.col("low"), needed).alias("open"))
     low = low.withColumn("n_base", F.when(F.col("maybe"), F.regexp_count("raw", F.lit(any_phrase)).cast("long")).otherwise(F.lit(0)))
     none = F.array().cast("array<string>")
-    lines = F.filter(F.split(F.translate("raw", UPPER, LOWER), "\n"), lambda x: holds_any(x, needed_words(sets)))
+    lines = F.filter(F.split(F.translate("raw", UPPER, LOWER), "\n"), lambda x: holds_any(x, needed))
     lines = F.transform(lines, lambda x: F.array_intersect(words_of(x), strings(vocabulary)))
-    known = F.when(F.col("open"), F.filter(lines, lambda x: F.size(x) >= least)).otherwise(F.array().cast("array<array<string>>"))
+    lines = F.when(F.col("open"), F.filter(lines, lambda x: F.size(x) >= least)).otherwise(F.array().cast("array<array<string>>"))
+    known = F.when(F.col("open") & F.col("raw").contains("\n"), known_words(F.translate("raw", UPPER, LOWER), vocabulary)).otherwise(F.array().cast("array<struct<at:int,word:string>>"))
     first = count_words(F.split(F.col("raw"), any_phrase, 2)[0])
     last = count_words(F.regexp_extract("raw", f"(?s)^(.*)(?:{any_phrase})", 1))
     labelled = [F.when(F.col("raw").rlike(phrase_pattern(p)), F.lit(label)) for p, label in sorted(phrases.items(), key=lambda x: x[1])]
     met = F.col("n_base") > 0
     base = low.select(
         "id", "print", count_words(F.col("raw")).alias("n_words"), "n_base", F.when(met, first).alias("first_word"), F.when(met, last).alias("last_word"),
-        F.when(met, F.array_compact(F.array(*labelled))).otherwise(none).alias("found"), known.alias("blocks"),
+        F.when(met, F.array_compact(F.array(*labelled))).otherwise(none).alias("found"), lines.alias("lines"), known.alias("known"),
     )
     base = settle(base, "licenses")
 
-    blocks = base.where(F.size("blocks") > 0).select("id", "print", F.explode("blocks").alias("tokens"))
+    blocks = base.where(F.size("lines") > 0).select("id", "print", F.explode("lines").alias("tokens"))
+    wrapped = base.where(F.size("known") >= least).select("id", "print", F.explode(runs("known", longest, needed)).alias("tokens"))
+    blocks = blocks.union(wrapped.where(F.size("tokens") >= least))
     counted = {r.token: r.n for r in blocks.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}  # one row for each word of the templates
     order = sorted(vocabulary, key=lambda w: (counted.get(w, 0), w))
     place = {w: i for i, w in enumerate(order)}
@@ -151,7 +170,7 @@ def license_scan(
     matches = verified.groupBy("id", "print").agg(F.collect_set("label").alias("more"), F.max(F.col("shared") / F.col("of")).alias("best"))
 
     matches = matches.withColumnsRenamed({"id": "match_id", "print": "match_print"})
-    out = base.drop("blocks").join(matches, base["id"].eqNullSafe(F.col("match_id")) & base["print"].eqNullSafe(F.col("match_print")), "left")
+    out = base.drop("lines", "known").join(matches, base["id"].eqNullSafe(F.col("match_id")) & base["print"].eqNullSafe(F.col("match_print")), "left")
     everything = F.array_sort(F.array_distinct(F.concat("found", F.coalesce("more", F.array().cast("array<string>")))))
     score = F.greatest(F.coalesce("best", F.lit(0.0)), F.when(F.col("n_base") > 0, F.lit(PHRASE_SCORE)).otherwise(0.0))
     return out.select(

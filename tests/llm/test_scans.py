@@ -32,6 +32,51 @@ def test_licenses(spark):
     assert L.license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+WRAPPED = {
+    "text-mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
+    "text-gpl": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3",
+    "text-apache-2.0": " * Unless required by applicable law or agreed to in writing, software\r\n * distributed under the License is distributed on an \"AS IS\" BASIS,\r\n * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express",
+    "text-bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "text-isc": "Permission to use, copy, modify, and/or distribute this software for any\n\npurpose with or without fee is hereby granted, provided",
+    "notice-cc0": "To the extent possible under law, the author has waived all copyright\nand related or neighboring rights to this work.",
+    "notice-mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla\nPublic License, v. 2.0. If a copy",
+}
+
+
+def test_wrapped_licenses(spark):
+    rows = [(k, f"some code here\n{t}\nand more") for k, t in WRAPPED.items()]
+    words = L.TEMPLATES["text-mit"].split()
+    rows += [("one a line", "\n".join(words)), ("far apart", "\n".join(words[:9] + ["x"] * 30 + words[9:])), ("too few", "\n".join(words[:12]))]
+    got = {r.doc_id: (r.labels.split(","), r.score) for r in L.license_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert all(k in got[k][0] and got[k][1] == 1.0 for k in WRAPPED)
+    assert got["one a line"] == (["text-mit"], 1.0) and got["far apart"] == got["too few"] == ([""], 0.0)
+
+
+def test_runs_by_brute_force(spark):
+    """Every run of words, and every line, against every template."""
+    import random
+    import re
+
+    rng, sets, longest = random.Random(5), L.template_sets(L.TEMPLATES, L.CONTAINMENT), max(len(t.split()) for t in L.TEMPLATES.values())
+    texts = []
+    for _ in range(150):
+        words = rng.choice(list(L.TEMPLATES.values())).split()
+        for _ in range(rng.randrange(14)):
+            words.insert(rng.randrange(len(words) + 1), rng.choice(["x", "the", "license", "of"]))
+        if rng.random() < 0.3:
+            words.pop(rng.randrange(len(words)))
+        texts.append("".join(w + rng.choice([" ", " ", " ", "\n", "\n# "]) for w in [*rng.choices(["of", "y", "permission"], k=rng.randrange(9)), *words]))
+    want = []
+    for text in texts:
+        words = re.findall(f"{L.WORD}+", text)
+        blocks = [set(re.findall(f"{L.WORD}+", line)) for line in text.split("\n")]
+        blocks += [set(words[i : i + longest]) for i in range(len(words))]
+        met = {label: best for label, own, need in sets if (best := max(len(b & set(own)) for b in blocks) / len(own)) * len(own) > need - 0.5}
+        want.append((set(met), max(met.values(), default=0.0)))
+    got = L.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), phrases={"no such phrase": "none"}).orderBy("doc_id").collect()
+    assert [(set(filter(None, r.labels.split(","))), r.score) for r in got] == want
+
+
 def shard_of(rows, limit):
     """Buckets by splitting on one bit at a time."""
     import hashlib
