@@ -80,22 +80,42 @@ def polygon_validity(spark, sf_dir):
 def benchmark_pairs(spark, sf_dir):
     b = tables.read(spark, sf_dir, "benchmark")
     after = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("candidate"))
-    return b.join(after, "item_id").where(~(F.col("text").rlike("[^\\x00-\\x7F]") | F.col("candidate").rlike("[^\\x00-\\x7F]"))).withColumnRenamed("text", "reference")
+    return b.join(after, "item_id").withColumnRenamed("text", "reference")
+
+
+def ascii_pairs(spark, sf_dir):
+    """The pairs that SQL can check: DuckDB's levenshtein counts bytes."""
+    return benchmark_pairs(spark, sf_dir).where(~(F.col("reference").rlike("[^\\x00-\\x7F]") | F.col("candidate").rlike("[^\\x00-\\x7F]")))
 
 
 def char_error_rate_pairs(spark, sf_dir):
-    p = benchmark_pairs(spark, sf_dir)
+    """ASCII pairs only, for the SQL; ``char_error_rate_all_pairs`` has every pair."""
+    p = ascii_pairs(spark, sf_dir)
     e = X.char_edits(F.col("reference"), F.col("candidate"))
     n = F.length("reference").cast("long")
     return p.select("item_id", e.alias("char_edits"), n.alias("char_units"), F.round(X.rate(e, n), 6).alias("char_error_rate"))
 
 
 def corpus_error_rate(spark, sf_dir):
+    """ASCII pairs only, for the SQL; ``corpus_error_rate_all_pairs`` sums every pair."""
     p = char_error_rate_pairs(spark, sf_dir)
     g = p.groupBy((F.col("item_id") % 4).alias("cohort")).agg(F.sum("char_edits").alias("char_edits"), F.sum("char_units").alias("char_units"))
     return g.withColumn("char_error_rate", F.round(X.rate(F.col("char_edits"), F.col("char_units")), 6))
 
 
+def char_error_rate_all_pairs(spark, sf_dir):
+    e = evaluate.evaluate_text(benchmark_pairs(spark, sf_dir), "reference", "candidate")
+    return e.select("item_id", "char_edits", "char_units", F.round("char_error_rate", 6).alias("char_error_rate"), "limit")
+
+
+def corpus_error_rate_all_pairs(spark, sf_dir):
+    """Rates of the pairs within the bounds, with the number of all pairs and of those beyond."""
+    p = char_error_rate_all_pairs(spark, sf_dir)
+    within = lambda c: F.sum(F.when(F.col("limit").isNull(), F.col(c))).alias(c)
+    g = p.groupBy((F.col("item_id") % 4).alias("cohort")).agg(F.count("*").alias("pairs"), F.count("limit").alias("limited"), within("char_edits"), within("char_units"))
+    return g.withColumn("char_error_rate", F.round(X.rate(F.col("char_edits"), F.col("char_units")), 6))
+
+
 def word_error_rate_pairs(spark, sf_dir):
     e = evaluate.evaluate_text(benchmark_pairs(spark, sf_dir), "reference", "candidate")
     return e.select("item_id", "char_edits", "char_units", "word_edits", "word_units", "char_error_rate", "word_error_rate", "limit")
@@ -146,7 +166,7 @@ def html_lines(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     observation_lines, leaf_observations, assembled_text_digest, document_review_routing, provenance_classes, usable_page_filter, identifier_violations, polygon_validity,
-    char_error_rate_pairs, corpus_error_rate, word_error_rate_pairs, latency_nearest_rank, field_score_join, benchmark_mismatch_report, content_dedup, quality_cohort_rollup, html_lines,
+    char_error_rate_pairs, corpus_error_rate, char_error_rate_all_pairs, corpus_error_rate_all_pairs, word_error_rate_pairs, latency_nearest_rank, field_score_join, benchmark_mismatch_report, content_dedup, quality_cohort_rollup, html_lines,
 )}
 
 _PAIRS = """pairs as (select a.item_id, a.text as reference, b.text as candidate from benchmark a join benchmark b on b.item_id = a.item_id + 1

@@ -39,6 +39,25 @@ def test_word_distance():
     assert word_distance([], ["a"]) == 1
 
 
+def test_all_pairs(spark, tmp_path):
+    """Queries over benchmark pairs leave none out: code points of NFC by brute force."""
+    from unicodedata import normalize
+
+    from leafmill.plans.documents import QUERIES
+
+    texts = ["cafe au lait", "café au lait", "cafe\u0301 au lait", "日本 語", "日 語", "plain", "", "naïve 😀 plain", "plainer text"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    run = lambda name: {r[0]: r for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    pairs = {i: tuple(normalize("NFC", t) for t in ab) for i, ab in enumerate(zip(texts, texts[1:]))}
+    chars, words = run("char_error_rate_all_pairs"), run("word_error_rate_pairs")
+    want = {i: (word_distance(list(a), list(b)), len(a)) for i, (a, b) in pairs.items()}
+    assert {i: (r.char_edits, r.char_units) for i, r in chars.items()} == want
+    assert {i: (r.char_edits, r.char_units) for i, r in words.items()} == want
+    assert {i: (r.word_edits, r.word_units) for i, r in words.items()} == {i: (word_distance(a.split(), b.split()), len(a.split())) for i, (a, b) in pairs.items()}
+    sums = {k: tuple(map(sum, zip(*[want[i] for i in want if i % 4 == k]))) for k in range(4)}
+    assert {k: (r.char_edits, r.char_units) for k, r in run("corpus_error_rate_all_pairs").items()} == sums
+
+
 def test_benchmark(spark):
     m = spark.createDataFrame([("a", "h1", "one two", {"x": "50", "y": "k"}), ("b", "h2", "three", {"x": "1"})], "id string, sha256 string, reference_text string, expected_fields map<string,string>")
     s = spark.createDataFrame([("a", "h1", "completed", 100, "one two", {"x": "50.0"}), ("b", "h2", "failed", 300, "", {"x": "1.1"})], "id string, sha256 string, status string, elapsed_ms long, text string, fields map<string,string>")
