@@ -3,8 +3,8 @@
 1. One hash function gives each text's shingle set and its sketch, the k
    smallest hashes.  Texts with one set are a class with one representative.
 2. Inverted lists of the retained hashes give candidates.  Sketches of two sets
-   that are similar enough share at least a part ``SHARED`` of k hashes (the
-   chance of fewer is about 1e-7 at similarity 0.8), so lists need only hold
+   that are similar enough share at least a part of k hashes (``shared_part``; the
+   chance of fewer is at most ``MISS``, and 2e-7 at similarity 0.8), so lists need only hold
    each class under the rarest of its hashes, by the prefix principle; classes
    with no other class beside them drop out.
 3. In a first round each class is held against one hub of each list, the class
@@ -37,8 +37,10 @@ from .common import map_text, settle, table
 from .shingles import shingle_sets
 
 SKETCH = 32
-#: Part of a sketch that similar sets share at least.
+#: Part of a sketch that similar sets share at least, where a smaller one isn't needed for ``MISS``.
 SHARED = 0.4
+#: Greatest chance that two sets just similar enough share less.
+MISS = 1e-6
 #: Members of a list up to which it gives its pairs as they are; longer lists go by whole sets.
 CROWD = 64
 #: Members of a hub that go to one copy of it.
@@ -66,6 +68,17 @@ def full_sets(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFram
     return map_text(df, lambda: lambda texts: [shingle_sets(texts, words)], text_col, [id_col], SETS)
 
 
+def shared_part(percent: int, k: int) -> float:
+    """Part of k hashes that sets of this similarity share, but for a chance of ``MISS``; raises if the sketch is too small to share any."""
+    p = percent / 100
+    below = least = 0  # the chance of fewer than ``least`` in common
+    while least <= k and (below := below + math.comb(k, least) * p**least * (1 - p) ** (k - least)) <= MISS:
+        least += 1
+    if not least:
+        raise ValueError(f"sketches of {k} hashes miss more than {MISS} of the pairs at {percent} %")
+    return SHARED if math.ceil(k * SHARED) <= least else (least - 0.5) / k
+
+
 def estimate(a: Column, b: Column, k: int) -> Column:
     """Part of the k smallest hashes of the union that both sketches hold."""
     union = F.slice(F.array_sort(F.array_union(a, b)), 1, k)
@@ -147,16 +160,17 @@ def still_open(lists: DataFrame) -> DataFrame:
     return lists.join(largest.where("parts > 1").drop("parts"), "value")
 
 
-def likely(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """``pairs`` with the union-sketch estimate, without those below the shared part."""
+def likely(pairs: DataFrame, classes: DataFrame, k: int, part: float) -> DataFrame:
+    """``pairs`` with the union-sketch estimate, without those below ``part``."""
     left = classes.select(F.col("id").alias("a"), F.col("sketch").alias("left"))
     right = classes.select(F.col("id").alias("b"), F.col("sketch").alias("right"))
     scored = pairs.join(left, "a").join(right, "b").select("a", "b", estimate(F.col("left"), F.col("right"), k).alias("part"))
-    return scored.where(F.col("part") >= SHARED)
+    return scored.where(F.col("part") >= part)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
     """Component of each row: ``id_col``, ``n_shingles``, ``component_id``, ``kept``; linked sets have Jaccard similarity of ``percent`` / 100 or more."""
+    part = shared_part(percent, k)
     docs = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
     made = settle(sketches(docs, "id", "text", words, k), "sketches")
     real = made.where("id is not null and set_key is not null")
@@ -165,7 +179,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = by_rarity(classes.select("id", F.explode("sketch").alias("value")))
     size = F.size("sketch")
     # The hashes that no other class has come first in the order by rarity, then the shared ones.
-    prefix = size - F.ceil(size * SHARED) + 1 - (size - F.size("shared"))
+    prefix = size - F.ceil(size * part) + 1 - (size - F.size("shared"))
     lists = shared.join(classes, "id").where(prefix > 0)
     lists = lists.select("id", "n", F.size("shared").alias("typical"), F.explode(F.slice("shared", F.lit(1), prefix.cast("int"))).alias("x"))
     lists = settle(lists.select("id", "n", "typical", F.col("x.value").alias("value")), "lists")
@@ -176,7 +190,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hubs = lists.groupBy("value").agg(F.max_by(F.struct(F.col("id").alias("b"), F.col("n").alias("m")), F.struct("typical", -F.col("id"))).alias("hub"))
     to_hub = lists.join(hubs, "value").where((F.col("id") != F.col("hub.b")) & comparable(F.col("n"), F.col("hub.m"), percent))
     to_hub = to_hub.select(F.col("id").alias("a"), F.col("hub.b").alias("b")).distinct()
-    best = likely(to_hub, classes, k).groupBy("a").agg(F.max_by("b", F.struct("part", -F.col("b"))).alias("b"))
+    best = likely(to_hub, classes, k, part).groupBy("a").agg(F.max_by("b", F.struct("part", -F.col("b"))).alias("b"))
     links = similar_pairs(best, docs, words, percent)
 
     grown = connected(links)
@@ -184,7 +198,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = lists.drop("typical").join(component, "id", "left").withColumn("c", F.coalesce("component", "id"))
     opened = settle(still_open(placed).withColumn("place", F.lit(0)), "open")
     rest = open_pairs(opened.where(F.col("members") <= CROWD), comparable(F.col("n"), F.col("m"), percent))
-    more = similar_pairs(likely(rest, classes, k).select("a", "b"), docs, words, percent)
+    more = similar_pairs(likely(rest, classes, k, part).select("a", "b"), docs, words, percent)
 
     crowd = opened.where(F.col("members") > CROWD).select("id", "c").distinct()
     sets = sets_of(crowd.select("id"), docs, words).withColumn("n", F.size("hashes").cast("long"))
@@ -197,7 +211,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     needed = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
     reach = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("spot")) + 1 >= needed
     rest = open_pairs(settle(still_open(whole), "whole"), comparable(F.col("n"), F.col("m"), percent) & reach)
-    more = more.union(similar_pairs(likely(rest, classes, k).select("a", "b"), docs, words, percent))
+    more = more.union(similar_pairs(likely(rest, classes, k, part).select("a", "b"), docs, words, percent))
     if not more.isEmpty():
         grown = connected(links.union(more))
 

@@ -75,6 +75,31 @@ def test_crowd(spark):
     assert found(df, words=3, percent=85) == brute(rows, 3, 85)
 
 
+def test_shared_part():
+    from math import ceil, comb
+
+    for percent, k in [(40, 32), (50, 32), (60, 32), (80, 32), (85, 32), (80, 10), (60, 48)]:
+        least, p = ceil(k * N.shared_part(percent, k)), percent / 100
+        assert 0 < least and sum(comb(k, i) * p**i * (1 - p) ** (k - i) for i in range(least)) <= N.MISS
+    assert N.shared_part(80, 32) == N.shared_part(85, 32) == 0.4
+    with pytest.raises(ValueError):
+        N.shared_part(80, 4)
+
+
+def test_low_similarity(spark):
+    """Pairs of single words just above 50 %, of which many share fewer than 13 of 32 hashes."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(200):
+        common, left, right = ([f"w{i}{c}{j}" for j in range(n)] for c, n in (("c", 101), ("l", 50), ("r", 50)))
+        for j, own in enumerate((left, right)):
+            words = common + own
+            rng.shuffle(words)
+            rows.append((2 * i + j, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert found(df, words=1, percent=50) == brute(rows, 1, 50)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)] + [(200, i) for i in range(201, 240)]
