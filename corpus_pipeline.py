@@ -30,14 +30,17 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays (five-word shingles, similarity 0.8): the one with the smallest id.
 
-    Rows with a null id can't be named and stay; rows that repeat an id are one document.
+    Rows with a null id can't be named and stay; rows that repeat an id and text are one document, and other texts of an id documents of their own.
     """
-    found = near_dedup.near_duplicates(docs)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    named = docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
-    repeated = named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("__twice"))
-    single = named.join(repeated, named["doc_id"] == F.col("__twice"), "left_anti")
-    double = named.join(repeated, named["doc_id"] == F.col("__twice"), "left_semi").dropDuplicates(["doc_id"])
+    found = near_dedup.near_duplicate_rows(docs)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("text_print").alias("__gone_print")).distinct()
+    own = near_dedup.text_print(docs["text"])
+    named = docs.join(gone, (docs["doc_id"].cast("long") == F.col("__gone")) & (own == F.col("__gone_print")), "left_anti")
+    own = near_dedup.text_print(named["text"])
+    repeated = named.groupBy(named["doc_id"].alias("__twice"), own.alias("__twice_print")).agg(F.count("*").alias("__n")).where("__n > 1 and __twice is not null").drop("__n")
+    again = (named["doc_id"] == F.col("__twice")) & (own == F.col("__twice_print"))
+    single = named.join(repeated, again, "left_anti")
+    double = named.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "text"])
     return single.unionByName(double)
 
 

@@ -1,7 +1,9 @@
 """Near-duplicate groups by bottom-k sketches.
 
 1. One hash function gives each text's shingle set and its sketch, the k
-   smallest hashes.  Texts with one set are a class with one representative.
+   smallest hashes.  Texts with one set are a class with one representative, the
+   row with the smallest id (and print of the text); a class's node is a number
+   from these two, so an id may stand on several texts.
 2. Inverted lists of the retained hashes give candidates.  Sketches of two sets
    that are similar enough share at least a part of k hashes (``shared_part``; the
    chance of fewer is at most ``MISS``, and 2e-7 at similarity 0.8), so lists need only hold
@@ -20,8 +22,9 @@
 A hub with very many members is copied, with its members dealt over the copies.
 
 Cases: null and empty texts link with nothing; rows with a null id are in no
-component (null) and kept; repeated rows have one component; ties go to the
-smallest id; an empty table gives an empty result; other columns are ignored.
+component (null) and kept; repeated rows have one component; rows that share an
+id only are told apart by a print of their texts; ties go to the smallest id,
+then print; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,7 +53,7 @@ SKETCHES = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructFiel
 SETS = T.StructType([T.StructField("hashes", T.ArrayType(T.LongType()))])
 
 
-def sketches(df: DataFrame, id_col: str, text_col: str, words: int, k: int = SKETCH) -> DataFrame:
+def sketches(df: DataFrame, keep: list[str], text_col: str, words: int, k: int = SKETCH) -> DataFrame:
     """Size, digest and bottom-k sketch of each text's shingle set; the digest is null for an empty set."""
 
     def start():
@@ -60,7 +63,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, words: int, k: int = SKE
 
         return work
 
-    return map_text(df, start, text_col, [id_col], SKETCHES)
+    return map_text(df, start, text_col, keep, SKETCHES)
 
 
 def full_sets(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -168,13 +171,36 @@ def likely(pairs: DataFrame, classes: DataFrame, k: int, part: float) -> DataFra
     return scored.where(F.col("part") >= part)
 
 
+def text_print(text: Column) -> Column:
+    """What tells texts of one id apart."""
+    return F.xxhash64(text)
+
+
+def numbered(classes: DataFrame) -> DataFrame:
+    """``classes`` with a number ``id`` of their own instead of ``row``; another seed is taken should two have the same."""
+    for seed in range(100):
+        number = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("row.id"), F.col("row.print")), 1)
+        if classes.groupBy(number.alias("id")).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            return classes.withColumn("id", number)
+    raise ValueError("no seed tells the classes apart")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
-    """Component of each row: ``id_col``, ``n_shingles``, ``component_id``, ``kept``; linked sets have Jaccard similarity of ``percent`` / 100 or more."""
+    """Component of each row: ``id_col``, ``n_shingles``, ``component_id``, ``kept``; linked sets have Jaccard similarity of ``percent`` / 100 or more.
+
+    ``component_id`` is the id of the kept row; where ids stand on several texts, ``near_duplicate_rows`` tells components apart.
+    """
+    return near_duplicate_rows(df, id_col, text_col, words, percent, k).drop("text_print", "component_print")
+
+
+def near_duplicate_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
+    """As ``near_duplicates``, with the ``text_print`` of each row and ``component_print``, that of the row its component keeps."""
     part = shared_part(percent, k)
-    docs = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
-    made = settle(sketches(docs, "id", "text", words, k), "sketches")
+    docs = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text")).withColumn("print", text_print(F.col("text")))
+    made = settle(sketches(docs, ["id", "print"], "text", words, k), "sketches")
     real = made.where("id is not null and set_key is not null")
-    classes = settle(real.groupBy("set_key").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    grouped = settle(real.groupBy("set_key").agg(F.min(F.struct("id", "print")).alias("row"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    classes = numbered(grouped)
 
     shared = by_rarity(classes.select("id", F.explode("sketch").alias("value")))
     size = F.size("sketch")
@@ -185,7 +211,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lists = settle(lists.select("id", "n", "typical", F.col("x.value").alias("value")), "lists")
 
     # Texts of the classes that stand in lists: all later rounds read these, not the whole corpus.
-    docs = settle(only(docs, lists.select("id")).dropDuplicates(["id"]), "texts")
+    rows = lists.select("id").distinct().join(classes.select("id", "row"), "id").select("row.id", "row.print", F.col("id").alias("node"))
+    # Duplicates go by the join's own keys, so that texts are shuffled once.
+    docs = docs.join(rows.hint("merge"), ["id", "print"]).dropDuplicates(["id", "print"])
+    docs = settle(docs.select(F.col("node").alias("id"), "text"), "texts")
 
     hubs = lists.groupBy("value").agg(F.max_by(F.struct(F.col("id").alias("b"), F.col("n").alias("m")), F.struct("typical", -F.col("id"))).alias("hub"))
     to_hub = lists.join(hubs, "value").where((F.col("id") != F.col("hub.b")) & comparable(F.col("n"), F.col("hub.m"), percent))
@@ -215,11 +244,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not more.isEmpty():
         grown = connected(links.union(more))
 
-    members = classes.select("set_key", F.col("id").alias("first")).join(grown.withColumnRenamed("node", "first"), "first", "left")
-    members = members.select("set_key", F.coalesce("component", "first").alias("group"))
-    smallest = F.when(F.col("id").isNotNull(), F.coalesce("group", "id"))
-    out = made.select("id", "n_shingles", "set_key").join(members, "set_key", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", smallest.alias("component_id"), F.coalesce(smallest == F.col("id"), F.lit(True)).alias("kept"))
+    members = classes.select("set_key", "row", F.col("id").alias("node")).join(grown, "node", "left")
+    members = members.select("set_key", "row", F.coalesce("component", "node").alias("group"))
+    first = members.groupBy("group").agg(F.min("row").alias("first"))
+    members = members.select("set_key", "group").join(first, "group").select("set_key", "first")
+    own = F.struct("id", "print")
+    smallest = F.when(F.col("id").isNotNull(), F.coalesce("first", own))
+    out = made.select("id", "print", "n_shingles", "set_key").join(members, "set_key", "left").withColumn("smallest", smallest)
+    return out.select(
+        F.col("id").alias(id_col), "n_shingles", F.col("smallest.id").alias("component_id"), F.coalesce(F.col("smallest") == own, F.lit(True)).alias("kept"),
+        F.col("print").alias("text_print"), F.col("smallest.print").alias("component_print"),
+    )
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,6 +75,20 @@ def test_crowd(spark):
     assert found(df, words=3, percent=85) == brute(rows, 3, 85)
 
 
+def test_shared_ids(spark):
+    """An id on several texts: only rows with like texts are merged, and links of each text count."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    a, b, c, d = (" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(80)) for _ in range(4))
+    rows = [(1, a), (2, a + " end"), (2, b), (3, b + " end"), (4, c), (4, d), (4, d), (5, d + " end"), (6, None), (6, c + " end")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, at int").repartition(3)
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in N.near_duplicate_rows(df).collect())
+    assert got == Counter([(1, 1, True), (2, 1, False), (2, 2, True), (3, 2, False), (4, 4, True), (4, 4, True), (4, 4, True), (5, 4, False), (6, 6, True), (6, 4, False)])
+    kept = corpus_pipeline.drop_near_duplicates(spark, df, "").collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(1, a), (2, b), (4, c), (4, d), (6, None)])
+
+
 def test_shared_part():
     from math import ceil, comb
 
