@@ -10,8 +10,9 @@ is emitted at once, so output lags by a bounded lookahead (a guess dies once its
 bytes begin no token).  Tables are flushed at a fixed size; results don't depend
 on that.
 
-Decoding looks up bytes and runs a UTF-8 automaton over them, lifted from bytes
-to tokens: a token moves the automaton from state to state.
+Decoding streams: a UTF-8 automaton, lifted from bytes to tokens (a token moves it
+from state to state), says which bytes of a chunk make whole characters; a cut
+character's wait for the next chunk.
 
 Cases: null and empty texts have no tokens; texts of any length are encoded
 whole, in one pass; equal texts have equal results; rows may repeat.
@@ -22,7 +23,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
 
@@ -71,6 +72,7 @@ class Transducer:
                 node = to
             self.token[node] = i
         self.edges: dict[int, tuple[list, list]] = {}
+        self.shift = max(ranks.values(), default=0).bit_length()  # of the left token in a key of ``agree``
         self.agree: dict[int, bool] = {}
         self.flush()
 
@@ -107,7 +109,7 @@ class Transducer:
         both sides of the border: the pair stays apart unless the border's rank
         comes before the ranks that join its symbols inwards.
         """
-        key = left << 20 | right
+        key = left << self.shift | right
         if (known := self.agree.get(key)) is None:
             first = self.edge(right)[0]
             known = first[-1][1] == NEVER
@@ -134,11 +136,11 @@ class Transducer:
     def ended(self, state: State) -> tuple[int, ...]:
         """Tokens still to come if the input ends here: those of the one guess whose last token is whole."""
         if (end := state.end) is None:
-            token, agree = self.token, self.agree
+            token, agree, shift = self.token, self.agree, self.shift
             for done, node in state.guesses:
                 if (t := token[node]) >= 0:
                     left = done[-1] if done else state.context
-                    if (ok := agree.get(left << 20 | t)) is None:
+                    if (ok := agree.get(left << shift | t)) is None:
                         ok = self.agrees(left, t)
                     if ok:
                         state.end = end = (*done, t)
@@ -188,15 +190,16 @@ class Transducer:
         return move
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
-        """Identifiers of one piece; a piece that is itself a token stays whole."""
+        """Identifiers of one piece, in time linear in its length; a piece that is itself a token stays whole."""
         if (whole := self.ranks.get(piece)) is not None:
             return (whole,)
-        state, out, grow = self.start, (), self.grow
+        out: list[int] = []
+        state, grow = self.start, self.grow
         for byte in piece:
             state, emitted = state.next.get(byte) or grow(state, byte)
             if emitted:
-                out += emitted
-        return out + self.ended(state)
+                out.extend(emitted)
+        return (*out, *self.ended(state))
 
 
 class Pieces(dict):
@@ -267,34 +270,26 @@ class Decoder:
         self.tokens = tokens
         self.moves = [Moves(s, tokens) for s in range(REJECT + 1)]
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        """The bytes of a whole sequence; ``ValueError`` if they aren't UTF-8."""
-        state, moves = ACCEPT, self.moves
-        for i in ids:
-            state = moves[state][i]
-        if state != ACCEPT:
-            raise ValueError("the tokens' bytes aren't whole UTF-8")
-        return b"".join(map(self.tokens.__getitem__, ids))
-
-    def stream(self, chunks: Iterable[Iterable[int]]) -> Iterator[str]:
-        """Text of each chunk of tokens as soon as its characters are whole."""
-        state, held = ACCEPT, b""
+    def stream(self, chunks: Iterable[Sequence[int]]) -> Iterator[bytes]:
+        """UTF-8 of each chunk of tokens as soon as its characters are whole; ``ValueError`` if the bytes aren't UTF-8."""
+        state, moves, token, held = ACCEPT, self.moves, self.tokens.__getitem__, b""
         for chunk in chunks:
-            out = bytearray(held)
-            whole = 0
             for i in chunk:
-                for byte in self.tokens[i]:
-                    state = utf8_step(state, byte)
-                    if state == REJECT:
-                        raise ValueError("the tokens' bytes aren't UTF-8")
-                    out.append(byte)
-                    if state == ACCEPT:
-                        whole = len(out)
-            held = bytes(out[whole:])
-            yield bytes(out[:whole]).decode()
+                state = moves[state][i]
+            if state == REJECT:
+                raise ValueError("the tokens' bytes aren't UTF-8")
+            out, held = held + b"".join(map(token, chunk)), b""
+            if state != ACCEPT:  # the bytes from the last one that begins a character wait
+                cut = next(k for k in range(len(out) - 1, -1, -1) if out[k] & 0xC0 != 0x80)
+                out, held = out[:cut], out[cut:]
+            yield out
         if held:
             raise ValueError("the tokens end inside a character")
 
+    def decode(self, ids: Sequence[int], chunk: int = 4096) -> Iterator[bytes]:
+        """The bytes of a whole sequence, streamed in chunks of tokens."""
+        return self.stream(ids[at : at + chunk] for at in range(0, len(ids), chunk))
+
 
 # -- columns ---------------------------------------------------------------
 
@@ -330,7 +325,10 @@ def round_trip(df: DataFrame, keep: list[str], text_col: str, path: str, pattern
 
         def one(text):
             ids = list(chain.from_iterable(map(pieces.__getitem__, split.findall(text or ""))))
-            return len(ids), hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decoder.decode(ids)).hexdigest()
+            back = hashlib.sha256()
+            for part in decoder.decode(ids):
+                back.update(part)
+            return len(ids), hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest(), back.hexdigest()
 
         return lambda texts: list(zip(*map(one, texts))) or [[]] * 3
 

@@ -52,8 +52,9 @@ def test_any_text(text):
     pieces = B.worker_pieces(RANKS)
     ids = [i for p in regex.findall(public.PATTERN, text) for i in pieces[p]]
     d = B.Decoder(pieces.transducer.tokens)
-    assert d.decode(ids) == text.encode()
-    assert "".join(d.stream([i] for i in ids)) == text
+    for chunk in (1, 3, 4096):
+        parts = list(d.decode(ids, chunk))
+        assert b"".join(parts) == text.encode() and "".join(p.decode() for p in parts) == text  # each part is whole characters
 
 
 @settings(max_examples=300, deadline=None)
@@ -70,10 +71,45 @@ def test_utf8(data):
     assert (state == B.ACCEPT) == whole
 
 
+def test_broken_streams(ranks):
+    d, euro = B.Decoder({i: bytes([i]) for i in range(256)}), "€".encode()
+    assert list(d.stream([euro[:1], euro[1:2], euro[2:] + b"x"])) == [b"", b"", euro + b"x"]
+    for ids in (euro[:2], b"\xff", b"\x80", euro[:2] + b"a"):
+        with pytest.raises(ValueError):
+            list(d.decode(ids))
+
+
+def test_long_pieces_take_linear_time(ranks, library):
+    import time
+
+    t = B.Transducer(ranks)
+    for part in ("a", "ab", "日本語", "ACGT", "="):
+        assert list(t.encode((part * 20_000).encode())) == library.encode_ordinary(part * 20_000)
+        began = time.time()
+        t.encode((part * 500_000).encode())
+        assert time.time() - began < 15
+    rng = random.Random(2)
+    text = "".join(rng.choices("abcdefghijklmnop", k=30_000))
+    assert list(t.encode(text.encode())) == library.encode_ordinary(text)
+
+
+def test_vocabularies_of_any_size():
+    far = {bytes([i]): i for i in range(256)} | {b"ab": 1 << 20, b"abc": 1 << 21, b"bc": (1 << 20) + 1, b"ca": 1 << 22}
+    import tiktoken
+
+    order = {b: i for i, b in enumerate(sorted(far, key=far.get))}
+    library, t = tiktoken.Encoding("far", pat_str=r"[a-z]+", mergeable_ranks=order, special_tokens={}), B.Transducer(far)
+    ids = sorted(far.values())
+    rng = random.Random(8)
+    for _ in range(500):
+        text = "".join(rng.choices("abc", k=rng.randint(1, 15)))
+        assert list(t.encode(text.encode())) == [ids[i] for i in library.encode_ordinary(text)]
+
+
 def test_round_trip(spark, library):
     import hashlib
 
-    texts = ["", None, "hello  world\n", "日本" * 3, "x" * 30_000, STRANGE]
+    texts = ["", None, "hello  world\n", "日本" * 3, "x" * 30_000, "é" * 9_001, STRANGE]
     got = B.round_trip(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"], "text", RANKS, public.PATTERN).collect()
     for r, t in zip(got, texts):
         ids = library.encode_ordinary(t or "")
