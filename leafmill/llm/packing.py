@@ -6,8 +6,9 @@ corpus holds.  On this histogram the reduction fixes sets of up to three pieces
 that dominate every other choice for their largest piece (a perfect pair, say),
 shrinks the instance, and best fit decreasing packs the rest, each step for all
 pieces of a length at once.  The plan says for runs of pieces of one length, by
-rank, which sequences and offsets they get; pieces find their ranks without a
-global sort, from their order within their task and the counts of the tasks.
+rank, which sequences and offsets they get, and has as many runs for a thousand
+times the pieces; pieces find their ranks without a global sort, from their order
+within their task and the counts of the tasks, and their run by binary search.
 
 Cases: null and empty texts are one piece, the end token; a document longer than
 the capacity is cut so that only its first piece may be shorter; ties are broken
@@ -21,6 +22,7 @@ import heapq
 import json
 import zlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -34,9 +36,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import SLICE_ROWS, settle, table
 
-#: Rows of a plan up to which it is broadcast.  A plan's size follows from the capacity, not from the corpus.
-BROADCAST_RUNS = 200_000
-
 
 class Run(NamedTuple):
     """Pieces ``first``, ``first + 1``, ... of one length: ``copies`` side by side in each of ``bins`` sequences."""
@@ -97,7 +96,10 @@ def reduce(sizes: Sizes, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     other piece fits, w stands alone; if the largest piece that fits fills r, or
     no two others fit, or no pair that fits beats it, w and that piece are fixed;
     if a pair beats it that holds that piece and no three others fit, and the
-    next two larger than its second don't fit, w and the pair are fixed.
+    next two larger than its second don't fit, w and the pair are fixed.  A set
+    that dominates goes on doing so until one of its lengths runs out, for pieces
+    taken out only leave fewer rivals; so it is fixed as often as there are pieces
+    for it, and the number of sets follows from the number of lengths.
     """
     fixed: list[tuple[tuple[int, ...], int]] = []
     changed = True
@@ -114,15 +116,17 @@ def reduce(sizes: Sizes, capacity: int) -> list[tuple[tuple[int, ...], int]]:
                 if w not in sizes.order:
                     sizes.order.insert(bisect_right(sizes.order, w), w)
                 if k == 0:
-                    found, many = (w,), n if 2 * w > capacity else 1
+                    found = (w,)
                 elif star == room or k == 1 or pair and star >= sum(pair):
-                    found, many = (w, star), n // 2 if star == w else min(n, sizes.count[star])
+                    found = (w, star)
                 elif pair and pair[0] == star and w + 2 * next((x for x in sizes.order if x > pair[1]), capacity) > capacity:
-                    found, many = (w, *pair), 1
+                    found = (w, *pair)
                 else:
                     break
-                for x in found:
-                    sizes.take(x, many)
+                times = Counter(found)
+                many = min(sizes.count[x] // c for x, c in times.items())
+                for x, c in times.items():
+                    sizes.take(x, many * c)
                 fixed.append((found, many))
                 changed = True
     return fixed
@@ -186,12 +190,31 @@ def byte_of() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: The pre-tokenizer whose pieces the pattern gives; a fixed value of the file format.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+
+
+def plain_ranks(data: dict) -> dict[bytes, int] | None:
+    """The ranks of a tokenizer file that merges bytes in the order of identifiers and does nothing else; null for any other file."""
+    model, at = data["model"], byte_of()
+    if data.get("normalizer") or data.get("pre_tokenizer") != BYTE_LEVEL or model.get("type") != "BPE":
+        return None
+    if any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    special = {t["content"] for t in data.get("added_tokens", [])}
+    ranks = {bytes(at[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    made = [model["vocab"][t] for t in merged]
+    return ranks if made == sorted(made) and len(merged) + 256 == len(ranks) else None
+
+
 class Tokenizer:
     """Identifiers as the tokenizer file's own library gives them, without added special tokens.
 
     Texts whose letters all library versions class alike go through a faster
-    library with the same vocabulary, ranks and pattern; others, and texts with
-    the string of a special token, through the file's own.
+    library with the same vocabulary, ranks and pattern, if the file is of the
+    plain kind (:func:`plain_ranks`); others, and texts with the string of a
+    special token, through the file's own.
     """
 
     def __init__(self, path: str, pattern: str) -> None:
@@ -203,14 +226,13 @@ class Tokenizer:
         self.own = tokenizers.Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             data = json.load(file)
+        ranks = plain_ranks(data)
+        self.fast = ranks and tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         special = [t["content"] for t in data.get("added_tokens", [])]
-        at = byte_of()
-        ranks = {bytes(at[c] for c in t): i for t, i in data["model"]["vocab"].items() if t not in special}
-        self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.other = re.compile("|".join(["[^\\x00-\\u024f\\u2010-\\u2027]", *map(re.escape, special)]))
 
     def ids(self, text: str) -> np.ndarray:
-        if self.other.search(text):
+        if not self.fast or self.other.search(text):
             return np.array(self.own.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return np.array(self.fast.encode_ordinary(text), dtype="<u4")
 
@@ -248,25 +270,49 @@ def pieces(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str, c
     return df.select(df[id_col], df[text_col]).mapInArrow(run, out)
 
 
+PLACE = T.StructType([T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+
+
+class Places:
+    """A plan as sorted arrays: the run of a piece is the last of its length that begins at its rank or before."""
+
+    def __init__(self, runs: list[Run]) -> None:
+        runs = sorted(runs)  # by length, then by first rank
+        table = np.array(runs, np.int64).reshape(-1, len(Run._fields))
+        self.length, self.first, _, self.copies, self.sequence, self.offset = map(np.ascontiguousarray, table.T)
+        self.begin = {w: i for i, w in reversed(list(enumerate(self.length.tolist())))}
+        self.end = {w: i + 1 for i, w in enumerate(self.length.tolist())}
+
+    def of(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sequences and offsets of pieces."""
+        run = np.empty(len(rank), np.int64)
+        for w in np.unique(length):
+            here = length == w
+            begin = self.begin[w]
+            run[here] = begin - 1 + np.searchsorted(self.first[begin : self.end[w]], rank[here], "right")
+        at = rank - self.first[run]
+        return self.sequence[run] + at // self.copies[run], self.offset[run] + at % self.copies[run] * length
+
+
 def pack(found: DataFrame, capacity: int) -> DataFrame:
     """Sequence and offset for each row of :func:`pieces`, which must be a written table (its slots must not change)."""
     counts = {r.length: r.n for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # one row for each length at most
-    runs = found.sparkSession.createDataFrame(
-        plan(counts, capacity), "run_length long, first long, bins long, copies long, sequence long, at long"
-    )
-    if runs.count() <= BROADCAST_RUNS:
-        runs = F.broadcast(runs)
+    runs = plan(counts, capacity)  # goes to the tasks; its size follows from the capacity alone
     tasks = found.groupBy("task", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     tasks = tasks.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = found.join(tasks, ["task", "length"]).withColumn("rank", F.col("before") + F.col("slot"))
-    here = F.col("rank") - F.col("first")
-    hit = (F.col("length") == F.col("run_length")) & (here >= 0) & (here < F.col("bins") * F.col("copies"))
-    return ranked.join(runs, hit).select(
-        *[c for c in found.columns if c not in ("task", "slot")],
-        (F.col("sequence") + F.floor(here / F.col("copies"))).cast("long").alias("sequence_id"),
-        (F.col("at") + here % F.col("copies") * F.col("length")).cast("long").alias("offset"),
-    )
+    kept = [c for c in found.columns if c not in ("task", "slot")]
+    ranked = found.join(tasks, ["task", "length"]).select(*kept, (F.col("before") + F.col("slot")).alias("__rank"))
+    out, at = T.StructType([*found.select(*kept).schema.fields, *PLACE.fields]), kept.index("length")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, types = Places(runs), to_arrow_schema(out)
+        for batch in batches:
+            length, rank = batch.column(at).to_numpy(), batch.column(len(kept)).to_numpy()
+            columns = [batch.column(i).cast(types.field(i).type) for i in range(len(kept))]
+            yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, places.of(length, rank))], schema=types)
+
+    return ranked.mapInArrow(place, out)
 
 
 def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2, path: str | None = None, pattern: str | None = None) -> DataFrame:

@@ -148,6 +148,36 @@ def test_plan(counts):
         assert at <= 50
 
 
+def test_plan_does_not_grow():
+    """A plan has as many runs for any multiple of the pieces, and wastes no more."""
+    rng, hard = random.Random(6), [{1022: 1, 1: 2}, {850: 1, 70: 1, 71: 1, 100: 1}]
+    for counts in [*hard, *({rng.randint(1, 1024): rng.randint(1, 9) for _ in range(300)} for _ in range(20))]:
+        plans = [P.plan({w: n * many for w, n in counts.items()}, 1024) for many in (1000, 1_000_000)]
+        bins = [max(r.sequence + r.bins for r in p) for p in plans]
+        assert len(plans[1]) <= 1.1 * len(plans[0]) + 5 and bins[1] <= 1000 * bins[0]
+    assert [len(P.plan({w: n * 40_000 for w, n in c.items()}, 1024)) for c in hard] == [3, 5]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(1, 50), st.integers(1, 20), min_size=1, max_size=25))
+def test_places(counts):
+    runs = P.plan(counts, 50)
+    want = {(r.length, r.first + i): (r.sequence + i // r.copies, r.offset + i % r.copies * r.length) for r in runs for i in range(r.bins * r.copies)}
+    length, rank = np.array(sorted(want)).T
+    assert list(zip(*(x.tolist() for x in P.Places(runs).of(length, rank)))) == [want[k] for k in sorted(want)]
+
+
+def test_only_plain_files_have_ranks():
+    import json
+
+    with open(public.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        data = json.load(file)
+    assert P.plain_ranks(data) == B.load_ranks(RANKS)
+    assert P.plain_ranks({**data, "normalizer": {"type": "NFC"}}) is P.plain_ranks({**data, "pre_tokenizer": {"type": "Whitespace"}}) is None
+    turned = {**data["model"], "merges": data["model"]["merges"][::-1]}
+    assert P.plain_ranks({**data, "model": turned}) is None
+
+
 def optimum(items, capacity):
     """Fewest bins, by trying all placements."""
     best = len(items)
