@@ -129,7 +129,7 @@ MESSAGES = "conv_id long, turn long, role string, text string, call_id string, n
 
 
 def test_tool_calls(spark):
-    tools = {"add": [C.Parameter("a", "BIGINT", True, 0), C.Parameter("note", "STRING", False, 2)]}
+    tools = {"add": [C.Parameter("a", "integer", True, 0), C.Parameter("note", "string", False, 2)]}
     call = lambda turn, i, args, *after, name="add": (1, turn, "assistant", None, i, name, args, list(after), None)
     result = lambda turn, of, text="ok": (1, turn, "tool", text, None, None, None, [], of)
     rows = [
@@ -140,7 +140,7 @@ def test_tool_calls(spark):
     got = {r.turn: r for r in C.link_tool_calls(df, tools).collect()}
     assert [got[t].status for t in range(11)] == ["plain", "answered", "linked", "duplicate_result", "unanswered", "unanswered", "duplicate_call", "circular", "circular", "unanswered", "orphan"]
     assert [got[t].topo for t in range(11)] == [None, 0, 1, 1, 2, 4, 4, None, None, 0, None]
-    assert [got[t].errors for t in (1, 4, 5, 7, 9)] == ["", "type:a", "least:a,least:note,unknown:z,no_call:nope", "not_an_object", "unknown_tool"]
+    assert [got[t].errors for t in (1, 4, 5, 7, 9)] == ["", "type:a", "least:a,least:note,unknown:z,no_call:nope", "not_json", "unknown_tool"]
     assert got[1].canonical == '{"arguments":{"a":1,"note":"xy"},"id":"c1","name":"add","role":"assistant"}'
     assert json.loads(got[0].canonical) == {"content": 'say "hi"\n', "role": "user"} and json.loads(got[10].canonical)["content"] is None
     assert C.link_tool_calls(df.limit(0), tools).count() == 0
@@ -148,8 +148,110 @@ def test_tool_calls(spark):
     assert twice.count() == 22 and twice.distinct().count() == 11
 
 
+def test_calls_of_other_conversations(spark):
+    """Conversations share identifiers; nothing links across them, and a null conversation is one of its own."""
+    rows = []
+    for conv in (1, 2, 11, None):
+        rows += [(conv, 0, "assistant", None, "call_0", "add", '{"a":1}', ["call_9"] if conv == 2 else [], None), (conv, 1, "tool", "ok", None, None, None, [], "call_0")]
+    rows += [(1, 2, "assistant", None, "call_9", "add", '{"a":1}', ["call_0"], None), (3, 0, "tool", "ok", None, None, None, [], "call_0"), (1, 5, "tool", "x", None, None, None, [], "1:call_0")]
+    got = {(r.conv_id, r.turn): (r.status, r.topo, r.errors) for r in C.link_tool_calls(spark.createDataFrame(rows, MESSAGES), {"add": [C.Parameter("a", "integer", True)]}).collect()}
+    for conv in (1, 11, None):
+        assert got[conv, 0] == ("answered", 0, "") and got[conv, 1] == ("linked", 1, "")
+    assert got[2, 0] == ("answered", 0, "no_call:call_9") and got[1, 2] == ("unanswered", 2, "") and got[3, 0][0] == got[1, 5][0] == "orphan"
+
+
+def canonical_by_hand(text):
+    """Canonical JSON by Python's exact numbers; null for what isn't JSON or repeats a key."""
+    from decimal import Decimal
+
+    def number(x):
+        d = Decimal(x)
+        if not d:
+            return "0"
+        sign, digits, power = d.normalize().as_tuple() if len(d.as_tuple().digits) < 28 else d.as_tuple()
+        short = "".join(map(str, digits))
+        power += len(short) - len(short.rstrip("0"))
+        short = short.rstrip("0")
+        point, sign = len(short) + power, "-" * sign
+        if 0 <= power <= 20:
+            return sign + short + "0" * power
+        if power < 0 < point:
+            return sign + short[:point] + "." + short[point:]
+        if power < 0 and -20 < point:
+            return sign + "0." + "0" * -point + short
+        return sign + short[0] + ("." + short[1:] if len(short) > 1 else "") + ("e+" if point > 0 else "e") + str(point - 1)
+
+    class Number(str):
+        pass
+
+    def single(pairs):
+        if len(dict(pairs)) < len(pairs):
+            raise ValueError
+        return dict(pairs)
+
+    def write(x):
+        if isinstance(x, Number):
+            return number(x)
+        if isinstance(x, dict):
+            return "{" + ",".join(json.dumps(k, ensure_ascii=False) + ":" + write(x[k]) for k in sorted(x, key=str.encode)) + "}"
+        return "[" + ",".join(map(write, x)) + "]" if isinstance(x, list) else json.dumps(x, ensure_ascii=False)
+
+    def refuse(x):
+        raise ValueError
+
+    try:
+        return write(json.loads(text, parse_int=Number, parse_float=Number, parse_constant=refuse, object_pairs_hook=single))
+    except (ValueError, TypeError):
+        return None
+
+
+def test_canonical_json(spark):
+    """Equal values have one spelling; other values have others."""
+    import random
+
+    rng = random.Random(12)
+    numbers = ["0", "-0", "-0.0", "0e5", "1", "1.0", "1e0", "10E-1", "100", "1e2", "-1.50", "123456789" * 6, "0." + "123456789" * 5, "1e20", "1e21", "1E+400", "-2.5e-400", "0.0000001", "12e-22", "1e-25", "9007199254740993", "1.0000000000000000000000000001"]
+    strings = ["a", "", 'q"u', "b\\", "￿5", "\\uffff7", "\\\\uffff", "tab\\t", "é", "1.0", "\\u0041", "\\/", "￿￿"]
+    broken = ["{", "[1", "[1] x", "[1],[2]", '{"a":1} ,"b":2', "[01]", "[1.]", "[.5]", "[+1]", "{1:2}", "[1 2]", "[tru]", "", " ", "[NaN]", '{"a":1,"a":1}', '[{"a":{"b":1,"b":2}}]', "[1]]", "[1]}", "'a'", '{"a":1}}', "[-]", '"a" 1']
+
+    def value(depth):
+        k = rng.random()
+        if k < 0.4 or depth > 3:
+            return rng.choice(numbers)
+        if k < 0.6:
+            return json.dumps(rng.choice(strings), ensure_ascii=rng.random() < 0.5) if rng.random() < 0.4 else '"' + rng.choice(strings).replace('q"u', "q").replace("b\\", "b") + '"'
+        if k < 0.7:
+            return rng.choice(["true", "false", "null"])
+        space = rng.choice(["", " ", "\n\t"])
+        if k < 0.85:
+            return "[" + f"{space},".join(value(depth + 1) for _ in range(rng.randrange(4))) + "]"
+        return "{" + f",{space}".join(json.dumps(rng.choice(["a", "b", "B", "é", "z z", "￿"]) + str(i)) + f"{space}:" + value(depth + 1) for i in range(rng.randrange(4))) + "}"
+
+    texts = [*broken, *(f"[{n}]" for n in numbers), *(value(0) for _ in range(400)), '["' + "\\n" * 60_000 + '"]', "[" + ",".join(["1.0"] * 20_000) + "]", "[" * 300 + "]" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.c for r in df.select("i", C.canonical(C.parsed(F.col("t"))).alias("c")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == canonical_by_hand(t), t[:80]
+    assert got[len(broken) + 8] == got[len(broken) + 9] == "[100]"
+
+
+def test_argument_errors(spark):
+    """Each reason by itself, with numbers of all spellings."""
+    tools = {"t": [C.Parameter("i", "integer", True, 1, 9), C.Parameter("n", "number", False, 0, 1), C.Parameter("s", "string", False, 2, 3), C.Parameter("b", "boolean", False), C.Parameter("l", "array", False), C.Parameter("o", "object", False)]}
+    cases = {
+        '{"i":1}': "", '{"i":1.0,"n":5e-1,"s":"ab","b":false,"l":[],"o":{}}': "", "{}": "missing:i", '{"i":1.5}': "type:i", '{"i":null}': "type:i", '{"i":"1"}': "type:i", '{"i":10}': "most:i", '{"i":0e9}': "least:i",
+        '{"i":' + "9" * 50 + "}": "most:i", '{"i":1e400}': "most:i", '{"i":2,"n":"0"}': "type:n", '{"i":2,"n":1.0000000001}': "most:n", '{"i":2,"s":"a"}': "least:s", '{"i":2,"s":"abcd"}': "most:s", '{"i":2,"s":"￿5"}': "", '{"i":2,"s":5}': "type:s",
+        '{"i":2,"b":0}': "type:b", '{"i":2,"l":{}}': "type:l", '{"i":2,"o":[]}': "type:o", '{"i":2,"x":1,"w":1}': "unknown:w,unknown:x", "[1]": "not_an_object", '"x"': "not_an_object", "{": "not_json", '{"i":1} 2': "not_json", '{"i":1,"i":1}': "repeated_key", '{"i":1,"o":{"a":1,"a":1}}': "repeated_key",
+    }
+    df = spark.createDataFrame([("t", k) for k in cases] + [("t", None), ("u", "{}"), (None, "{}")], "name string, a string")
+    got = df.select("name", "a", F.array_join(C.argument_errors(F.col("name"), F.col("a"), C.parsed(F.col("a")), tools), ",").alias("e")).collect()
+    assert {r.a: r.e for r in got if r.name == "t" and r.a is not None} == cases
+    assert [r.e for r in got[-3:]] == ["not_json", "unknown_tool", "unknown_tool"]
+
+
 def test_deep_chains(spark):
     n = 300
     calls = [(str(i), [str(i - 1)] if i else []) for i in range(n)] + [("x", ["5", "40"]), ("y", ["x", "299"])]
+    calls += [("left", ["right"]), ("right", ["left", "3"]), ("behind", ["left", "x"])]
     got = {r.call_id: r.level for r in C.levels(spark.createDataFrame(calls, "call_id string, after array<string>")).collect()}
     assert got == {**{str(i): i for i in range(n)}, "x": 41, "y": 300}
