@@ -2,13 +2,18 @@
 
 A row's hash is 60 bits of the digest of its id and text.  A bucket of rows that
 share a prefix splits on the next bit until it fits the byte limit or holds one
-row.  Byte sums are made for fine cells first (some bits more than the number of
+row.  The directory's entries are cells, prefixes of as many bits as the deepest
+buckets need; each points to its bucket, several to one that split less often.
+
+Byte sums are made for the entries first (some bits more than the number of
 shards asks for) and rolled up to all shorter prefixes, so one round settles
-nearly all buckets; cells that are still too large go on with more bits.  Rows
-that agree in all 60 bits (repeated rows) go to numbered overflow shards by
-running bytes, within tasks and then over tasks.
+nearly all buckets; entries that are still too large go on with more bits, in a
+next table.  Rows that agree in all 60 bits (repeated rows) go to numbered
+overflow shards by running bytes, within tasks and then over tasks.
 
-The directory grows with the data, so it stays a table.
+The directory grows with the data, so it stays a table.  Short prefixes would be
+hot keys: there are at most ``2 ** SHORT`` of each length, so those that fit are
+broadcast; longer ones hold so small a part of the rows that they are joined.
 
 Cases: null and empty texts have no bytes; a row above the limit is a shard by
 itself; null ids count as empty strings; repeated rows overflow; an empty table
@@ -26,7 +31,11 @@ from .common import settle, table
 
 #: Bytes of text in a shard at most.
 LIMIT = 32 << 20
+#: The same for the query over ``documents``, so that small tables split, too.
+QUERY_LIMIT = 128 << 10
 BITS = 60
+#: Bits up to which prefixes that fit are broadcast: at most 2 ** (SHORT + 1) rows of a few numbers.
+SHORT = 14
 #: Bits beyond the expected depth that cells have in the first round, and bits added in each later one.
 SPARE = 4
 
@@ -41,17 +50,26 @@ def prefix(h: str, depth: Column) -> Column:
     return F.call_function("shiftright", F.col(h), F.lit(BITS) - depth)
 
 
-def leaves(items: DataFrame, limit: int, least: int, most: int) -> DataFrame:
-    """For cells of ``most`` bits of ``items`` (``h``, ``n_bytes``): the shortest prefix, of ``least`` bits or more, that fits; null if none does."""
+def directory(items: DataFrame, limit: int, least: int, most: int) -> DataFrame:
+    """Entries of ``most`` bits for the hashes of ``items`` (``h``, ``n_bytes``), each with its bucket.
+
+    ``entry`` is a prefix of ``most`` bits; ``bucket`` holds the shortest prefix
+    of ``least`` bits or more that fits, with its bytes and rows, and is null
+    where the entry itself is too large.
+    """
     deep = F.lit(most)
-    cells = items.groupBy(prefix("h", deep).alias("cell")).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("rows"))
-    spread = cells.select("cell", "bytes", "rows", F.explode(F.sequence(F.lit(least), deep)).alias("depth"))
-    spread = spread.withColumn("prefix", F.call_function("shiftright", "cell", deep - F.col("depth")))
+    cells = items.groupBy(prefix("h", deep).alias("entry")).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("rows"))
+    cells = settle(cells, "cells")
+    spread = cells.select("entry", "bytes", "rows", F.explode(F.sequence(F.lit(least), deep)).alias("depth"))
+    spread = spread.withColumn("prefix", F.call_function("shiftright", "entry", deep - F.col("depth")))
     sums = spread.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("rows").alias("shard_docs"))
-    fits = (F.col("shard_bytes") <= limit) | (F.col("shard_docs") == 1)
-    held = spread.join(sums, ["depth", "prefix"]).where(fits)
-    best = held.groupBy("cell").agg(F.min(F.struct("depth", "prefix", "shard_bytes", "shard_docs")).alias("leaf"))
-    return cells.select("cell").join(best, "cell", "left")
+    sums = settle(sums.where((F.col("shard_bytes") <= limit) | (F.col("shard_docs") == 1)), "fitting")
+    at, is_short = ["depth", "prefix"], F.col("depth") <= SHORT
+    held = spread.where(is_short).join(F.broadcast(sums.where(is_short)), at)
+    if most > SHORT:
+        held = held.unionByName(spread.where(~is_short).join(sums.where(~is_short).hint("merge"), at))
+    best = held.groupBy("entry").agg(F.min(F.struct("depth", "prefix", "shard_bytes", "shard_docs")).alias("bucket"))
+    return cells.select("entry").join(best, "entry", "left")
 
 
 def shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
@@ -62,12 +80,12 @@ def shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit:
     total = items.agg(F.sum("n_bytes")).first()[0] or 0
     depth, low, parts = min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + SPARE), 0, []
     while True:
-        found = settle(leaves(items, limit, low, depth), "leaves")
-        keyed = items.withColumn("cell", prefix("h", F.lit(depth))).join(found, "cell")
-        parts.append(keyed.where("leaf is not null").select("id", "n_bytes", "leaf.*", F.lit(0).cast("long").alias("overflow")))
-        if found.where("leaf is null").isEmpty():
+        entries = settle(directory(items, limit, low, depth), "directory")
+        found = items.withColumn("entry", prefix("h", F.lit(depth))).join(entries, "entry")
+        parts.append(found.where("bucket is not null").select("id", "n_bytes", "bucket.*", F.lit(0).cast("long").alias("overflow")))
+        if entries.where("bucket is null").isEmpty():
             break
-        items = keyed.where("leaf is null").select("id", "n_bytes", "h", "task")
+        items = found.where("bucket is null").select("id", "n_bytes", "h", "task")
         if depth == BITS:
             parts.append(overflow(items, limit))
             break
@@ -101,11 +119,11 @@ def write_shards(placed: DataFrame, docs: DataFrame, id_col: str, path: str) ->
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shards of ``documents`` of 32 MiB of text at most."""
-    return shards(table(spark, sf_dir, "documents"))
+    """Shards of ``documents`` of 128 KiB of text at most."""
+    return shards(table(spark, sf_dir, "documents"), limit=QUERY_LIMIT)
 
 
-def oracle(limit: int = LIMIT) -> str:
+def oracle(limit: int = QUERY_LIMIT) -> str:
     """The same buckets from the sums of all prefixes (tables of so few rows need no more than 40 bits)."""
     return f"""
 with items as (select doc_id, row_number() over () as r, coalesce(octet_length(encode(text)), 0) as n_bytes,

@@ -100,8 +100,9 @@ def shard_of(rows, limit):
     return out
 
 
-@pytest.mark.parametrize("limit", [50, 300, 5000])
-def test_shards(spark, limit):
+@pytest.mark.parametrize(("limit", "short"), [(50, 14), (50, 3), (300, 14), (5000, 14), (5000, 0)])
+def test_shards(spark, limit, short, monkeypatch):
+    monkeypatch.setattr(H, "SHORT", short)
     rows = [(i, "x" * (i * 37 % 90)) for i in range(300)] + [(900, "y" * 400), (901, None), (None, "z"), (902, "é" * 30)]
     got = H.shards(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, overflow int"), limit=limit).collect()
     want = shard_of(rows, limit)
@@ -109,6 +110,14 @@ def test_shards(spark, limit):
     assert all(r.shard_bytes <= limit or r.shard_docs == 1 for r in got)
 
 
+def test_directory(spark):
+    """Several entries point to a bucket that split less often; entries that are too large point to none."""
+    top = H.BITS - 4
+    rows = [(h << top, n) for h, n in ((0, 10), (1, 10), (4, 10), (8, 60), (9, 60), (12, 70), (12, 70))]
+    got = {r.entry: r.bucket and (r.bucket.depth, r.bucket.prefix, r.bucket.shard_bytes, r.bucket.shard_docs) for r in H.directory(spark.createDataFrame(rows, "h long, n_bytes long"), 100, 0, 4).collect()}
+    assert got == {0: (1, 0, 30, 3), 1: (1, 0, 30, 3), 4: (1, 0, 30, 3), 8: (4, 8, 60, 1), 9: (4, 9, 60, 1), 12: None}
+
+
 def test_shard_overflow(spark):
     df = spark.createDataFrame([(7, "a" * 40)] * 23 + [(8, "b")] * 3, "doc_id long, text string").repartition(4)
     got = H.shards(df, limit=100).collect()
