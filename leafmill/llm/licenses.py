@@ -24,6 +24,8 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,8 +73,19 @@ def count_words(raw: Column) -> Column:
 
 
 def phrase_pattern(phrase: str) -> str:
-    """A phrase in raw text; only A-Z are taken in either case."""
-    return f"(?i)(?<!{RAW})" + f"{GAP}+".join(phrase.split()) + f"(?!{RAW})"
+    """A place where a phrase begins in raw text; only A-Z are taken in either case.  It is of no width, so places may overlap."""
+    return f"(?i)(?<!{RAW})(?=" + f"{GAP}++".join(phrase.split()) + f"(?!{RAW}))"
+
+
+def checked(phrases: dict[str, str]) -> dict[str, str]:
+    """The phrases in lower case; ``ValueError`` for one that isn't words with single spaces."""
+    found = {}
+    for phrase, label in phrases.items():
+        low = "".join(c.lower() if c in UPPER else c for c in phrase)
+        if not low or any(not re.fullmatch(f"{WORD}+", w) for w in low.split(" ")):
+            raise ValueError(f"not words: {phrase!r}")
+        found[low] = label
+    return found
 
 
 def holds_any(text: Column, parts: set[str]) -> Column:
@@ -120,18 +133,19 @@ def license_scan(
     sets = template_sets(templates, percent)
     vocabulary, least = sorted({w for _, words, _ in sets for w in words}), min(need for *_, need in sets)
     needed, longest = needed_words(sets), max(len(text.split()) for text in templates.values())
+    phrases = checked(phrases)
     any_phrase = "|".join(map(phrase_pattern, phrases))
 
     # lower() may also change other letters, but never misses what A-Z in either case spell.
     low = df.select(df[id_col].alias("id"), F.xxhash64(df[text_col]).alias("print"), F.coalesce(df[text_col], F.lit("")).alias("raw"), F.lower(F.coalesce(df[text_col], F.lit(""))).alias("low"))
     low = low.select("id", "print", "raw", holds_any(F.col("low"), {max(p.split(), key=len) for p in phrases}).alias("maybe"), holds_any(F.col("low"), needed).alias("open"))
-    low = low.withColumn("n_base", F.when(F.col("maybe"), F.regexp_count("raw", F.lit(any_phrase)).cast("long")).otherwise(F.lit(0)))
+    low = low.withColumn("n_base", F.when(F.col("maybe"), sum((F.regexp_count("raw", F.lit(phrase_pattern(p))) for p in phrases), F.lit(0)).cast("long")).otherwise(F.lit(0)))
     none = F.array().cast("array<string>")
     lines = F.filter(F.split(F.translate("raw", UPPER, LOWER), "\n"), lambda x: holds_any(x, needed))
     lines = F.transform(lines, lambda x: F.array_intersect(words_of(x), strings(vocabulary)))
     lines = F.when(F.col("open"), F.filter(lines, lambda x: F.size(x) >= least)).otherwise(F.array().cast("array<array<string>>"))
     known = F.when(F.col("open") & F.col("raw").contains("\n"), known_words(F.translate("raw", UPPER, LOWER), vocabulary)).otherwise(F.array().cast("array<struct<at:int,word:string>>"))
-    first = count_words(F.split(F.col("raw"), any_phrase, 2)[0])
+    first = count_words(F.regexp_extract("raw", f"(?s)^(.*?)(?:{any_phrase})", 1))
     last = count_words(F.regexp_extract("raw", f"(?s)^(.*)(?:{any_phrase})", 1))
     labelled = [F.when(F.col("raw").rlike(phrase_pattern(p)), F.lit(label)) for p, label in sorted(phrases.items(), key=lambda x: x[1])]
     met = F.col("n_base") > 0
@@ -185,13 +199,15 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same rows by brute force: every line against every template, every word against every phrase."""
+    """The same rows by brute force: every line and every run of words against every template, every word against every phrase."""
     quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
     starts = [
         "list_filter(range(1, len(w) + 1), lambda i: " + " and ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split())) + ")" for p in PHRASES
     ]
-    rows = ", ".join(f"('{label}', {quoted(words)}, {need})" for label, words, need in template_sets(TEMPLATES, CONTAINMENT))
+    sets = template_sets(TEMPLATES, CONTAINMENT)
+    rows = ", ".join(f"('{label}', {quoted(words)}, {need})" for label, words, need in sets)
     found = ", ".join(f"case when len(p{k}) > 0 then '{label}' end" for k, label in enumerate(PHRASES.values()))
+    vocabulary, least, longest = sorted({w for _, words, _ in sets for w in words}), min(need for *_, need in sets), max(len(text.split()) for text in TEMPLATES.values())
     pattern = WORD + "+"
     return f"""
 with low as (select doc_id, row_number() over () as r, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') as low from documents),
@@ -200,7 +216,9 @@ placed as (select doc_id, r, len(w) as n_words, {', '.join(f'{s} as p{k}' for k,
 based as (select doc_id, r, n_words, list_concat({', '.join(f'p{k}' for k in range(len(PHRASES)))}) as places,
   list_sort(list_distinct(list_filter([{found}], lambda x: x is not null))) as found from placed),
 templates(label, words, need) as (values {rows}),
-blocks as (select r, list_distinct(regexp_extract_all(line, '{pattern}')) as words from (select r, unnest(string_split(low, chr(10))) as line from low)),
+every_block as (select r, w[i : i + {longest - 1}] as words from worded, unnest(range(1, len(w) + 1)) as u(i)
+  union all select r, regexp_extract_all(line, '{pattern}') as words from (select r, unnest(string_split(low, chr(10))) as line from low)),
+blocks as (select r, words from (select r, list_distinct(list_intersect(words, {quoted(vocabulary)})) as words from every_block) where len(words) >= {least}),
 matches as (select r, list_distinct(list(label)) as more, max(len(list_intersect(t.words, b.words)) / len(t.words)) as best
   from blocks b join templates t on len(list_intersect(t.words, b.words)) >= t.need group by r)
 select doc_id, cast(n_words as bigint) as n_words, cast(len(places) as bigint) as n_base,

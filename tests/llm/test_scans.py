@@ -32,6 +32,21 @@ def test_licenses(spark):
     assert L.license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_phrases_that_overlap(spark):
+    """All places count, also those within others, at a text's begin and end, with any characters between and around."""
+    import re
+
+    texts = ["a a a", "A-a\ta", "aa a", "b a a b", "a b a b a", "é a a", "𝄞 a a 𝄞a a", "x", "B", "a\na b"]
+    got = L.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), phrases={"a a": "two", "A B": "ab", "b": "one"}).orderBy("doc_id").collect()
+    for text, r in zip(texts, got):
+        words = re.findall(f"{L.WORD}+", text.lower())
+        places = [i for p in ("a a", "a b", "b") for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(places), min(places, default=None), max(places, default=None)), text
+    for wrong in ("", "a  b", "a.b", " a"):
+        with pytest.raises(ValueError):
+            L.license_scan(spark.createDataFrame([], "doc_id long, text string"), phrases={wrong: "x"})
+
+
 WRAPPED = {
     "text-mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
     "text-gpl": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3",
