@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -21,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a folder of our own only where none is set (local tests)."""
+    """The folder in spark.checkpoint.dir; a folder of our own only in local mode, where none is set."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="leafmill-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -49,6 +52,21 @@ def drop_settled(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def settled_labels(labels: DataFrame, label: str) -> DataFrame:
+    """``id`` and ``label`` of each identifier that has one value of it; those labelled several ways are left out."""
+    known = labels.select(F.col("doc_id").alias("id"), F.col(label).alias("label")).where("id is not null and label is not null")
+    sides = known.groupBy("id").agg(F.min("label").alias(label), F.max("label").alias("most"))
+    return sides.where(F.col(label) == F.col("most")).drop("most")
+
+
+def sampled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """The rows of ``sample`` (``id``, bounded) with the ``text`` of their document; of several texts with one id, the least by digest."""
+    # The sample is bounded, so it goes to the texts and not they to it.
+    found = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(sample), "id")
+    others = [c for c in sample.columns if c != "id"]
+    return found.groupBy("id", *others).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+
+
 def map_text(
     df: DataFrame,
     start: Callable[[], Callable[[list], Sequence[list]]],

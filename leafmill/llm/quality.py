@@ -1,37 +1,43 @@
 """Quality rules: counted rules, and a calibrated logistic regression on hashed word and character n-grams.
 
 Features of a text are the relative frequencies of its hashed word 1- and
-2-grams and byte 4-grams, of the whole text.  Weights are learned from labelled
-quality rows on the driver, from a sample of at most about ``TRAIN_ROWS`` rows;
-a part of the sample that the weights haven't seen calibrates the probability
-(Platt scaling).  Scoring sums weights in Arrow batches, no matrix is built.
+2-grams and 4-grams of characters (code points), of the whole text.  Weights are
+learned from labelled quality rows on the driver, from a sample of at most about
+``TRAIN_ROWS`` rows with at most ``TRAIN_ENTRIES`` features; a part of the sample
+that the weights haven't seen calibrates the probability (Platt scaling).  Scoring
+sums weights in Arrow batches, no matrix is built.
 
 Cases: null and empty texts have no words and fail the rules; texts of any length
-are read whole (in blocks of fixed size); without usable labels the rules alone
-decide; equal texts have equal results; rows may repeat.
+are read whole, and blocks of fixed size lose no n-gram between them; without
+usable labels the rules alone decide; identifiers labelled both ways are left out
+of the sample, and of several texts with one identifier the least by digest is
+taken; equal texts have equal results; rows may repeat.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import filter_text, map_text, table
-from .shingles import BLOCK_BYTES, GOLD, mix, word_hashes
+from .common import filter_text, map_text, sampled_texts, settle, settled_labels, table
+from .shingles import GOLD, mix, word_blocks, word_hashes
 
-#: Bound of the labelled rows that the regression is fitted on.
-TRAIN_ROWS = 2_000
+#: Bounds of the labelled rows that the regression is fitted on, and of their features in all.
+TRAIN_ROWS, TRAIN_ENTRIES = 2_000, 12_000_000
 BITS = 16
 #: Offsets of the three kinds of n-gram in the table of weights.
-WORDS, PAIRS, BYTES = 0, 1 << BITS, 2 << BITS
+WORDS, PAIRS, CHARACTERS = 0, 1 << BITS, 2 << BITS
 SIZE = 3 << BITS
+#: Characters looked at together.
+CHARACTERS_AT_ONCE = 1 << 18
 #: Calibrated probability of good quality from which a text is kept, and the limits of the rules.
 KEEP, LEAST_WORDS, MOST_REPEATED = 0.3, 50, 50
 SYMBOLS = b"#*$%&|<>"
@@ -63,24 +69,24 @@ def fails_rules(n_words: int, n_repeat_words: int) -> bool:
     return n_words < LEAST_WORDS or 100 * n_repeat_words > MOST_REPEATED * n_words
 
 
-def grams(data: bytes):
-    """Indices of a block's n-grams in the table of weights, by kind."""
-    _, h = word_hashes(data)
-    shift = np.uint64(64 - BITS)
-    if len(h):
-        yield (h >> shift).astype(np.int64) + WORDS
-    if len(h) > 1:
-        yield (mix(h[:-1] * GOLD + h[1:]) >> shift).astype(np.int64) + PAIRS
-    if len(data) > 3:
-        b = np.frombuffer(data, np.uint8).astype(np.uint32)
-        four = b[:-3] | b[1:-2] << np.uint32(8) | b[2:-1] << np.uint32(16) | b[3:] << np.uint32(24)
-        yield ((four * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int64) + BYTES
-
-
-def blocks(text: str | None):
-    data = (text or "").encode()
-    for at in range(0, len(data), BLOCK_BYTES):
-        yield data[at : at + BLOCK_BYTES]
+def grams(text: str | None) -> Iterator[np.ndarray]:
+    """Indices of a text's n-grams in the table of weights, one kind at a time."""
+    if not text:
+        return
+    shift, last = np.uint64(64 - BITS), np.zeros(0, np.uint64)
+    for block in word_blocks(text.encode()):
+        _, h = word_hashes(block)
+        if len(h):
+            yield (h >> shift).astype(np.int64) + WORDS
+            h = np.concatenate([last, h])
+            if len(h) > 1:
+                yield (mix(h[:-1] * GOLD + h[1:]) >> shift).astype(np.int64) + PAIRS
+            last = h[-1:]
+    for at in range(0, len(text) - 3, CHARACTERS_AT_ONCE):
+        c = np.frombuffer(text[at : at + CHARACTERS_AT_ONCE + 3].encode("utf-32-le", "surrogatepass"), np.uint32)
+        four = ((c[:-3] * np.uint32(0x01000193) + c[1:-2]) * np.uint32(0x01000193) + c[2:-1]) * np.uint32(0x01000193) + c[3:]
+        four ^= four >> np.uint32(15)
+        yield ((four * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int64) + CHARACTERS
 
 
 def kind(index: np.ndarray) -> int:
@@ -96,11 +102,10 @@ class Model(NamedTuple):
 
     def logit(self, text: str | None) -> float:
         sums, counts = np.zeros(3), np.zeros(3)
-        for block in blocks(text):
-            for index in grams(block):
-                k = kind(index)
-                sums[k] += self.weights[index].sum(dtype=np.float64)
-                counts[k] += len(index)
+        for index in grams(text):
+            k = kind(index)
+            sums[k] += self.weights[index].sum(dtype=np.float64)
+            counts[k] += len(index)
         return self.bias + float((sums / np.maximum(counts, 1)).sum())
 
     def probability(self, text: str | None) -> float:
@@ -116,10 +121,9 @@ SAMPLE = T.StructType([T.StructField("index", T.ArrayType(T.IntegerType())), T.S
 def sparse(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """A text's features: indices and relative frequencies."""
     count: dict[int, np.ndarray] = {}
-    for block in blocks(text):
-        for index in grams(block):
-            k = kind(index)
-            count[k] = count.get(k, 0) + np.bincount(index - (k << BITS), minlength=1 << BITS)
+    for index in grams(text):
+        k = kind(index)
+        count[k] = count.get(k, 0) + np.bincount(index - (k << BITS), minlength=1 << BITS)
     index = [np.flatnonzero(c) for c in count.values()]
     values = [c[i] / c.sum() for c, i in zip(count.values(), index)]
     if not index:
@@ -187,19 +191,22 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(beta[0]), float(beta[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, entries: int = TRAIN_ENTRIES) -> Model:
     """Fit on about ``rows`` labelled documents, chosen by hash of their id, a third of them for the calibration."""
-    usable = labels.select(F.col("doc_id").alias("id"), "quality").where("quality is not null and doc_id is not null").dropDuplicates(["id"])
+    usable = settled_labels(labels, "quality")
     part = min(1.0, rows / max(1, usable.count()))
     usable = usable.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(part * 1_000_003) + 1)
-    # The sample is bounded, so it goes to the texts and not they to it.
-    found = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(usable), "id")
+    found = sampled_texts(docs, usable)
 
     def start():
         return lambda texts: list(zip(*map(sparse, texts))) or [[], []]
 
     made = map_text(found.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "id"), F.lit(3)) == 0), start, "text", ["id", "quality", "held"], SAMPLE)
-    return fit(collect(made))
+    made = settle(made, "quality-sample")
+    # One row of two numbers for each of the bounded sample's rows.
+    so_far = F.sum(F.size("index")).over(Window.orderBy(F.xxhash64(F.lit("order"), "id"), "id"))
+    few = made.select("id", so_far.alias("so_far")).where(F.col("so_far") <= entries).select("id")
+    return fit(collect(made.join(F.broadcast(few), "id")))
 
 
 def collect(made: DataFrame) -> Sample:

@@ -7,6 +7,7 @@ bottom-k sketch by the same one hash function.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ import numpy as np
 #: Bytes hashed at once; longer texts are cut between words.
 BLOCK_BYTES = 1 << 20
 BASE, MIX_A, MIX_B, GOLD = (np.uint64(x) for x in (0x9E3779B97F4A7C55, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
+SPACE = re.compile(rb"[\t-\r ]")
 GAP = np.zeros(256, bool)
 GAP[[9, 10, 11, 12, 13, 32]] = True
 _powers = np.ones(1, np.uint64)
@@ -51,12 +53,12 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return starts, mix(np.add.reduceat(terms, begin) + lengths.astype(np.uint64) * GOLD)
 
 
-def _blocks(data: bytes) -> Iterator[bytes]:
+def word_blocks(data: bytes) -> Iterator[bytes]:
+    """``data`` in blocks, cut between words only."""
     at = 0
     while at < len(data):
-        end = at + BLOCK_BYTES
-        while end < len(data) and not GAP[data[end]]:
-            end += 1
+        gap = SPACE.search(data, at + BLOCK_BYTES)
+        end = gap.start() if gap else len(data)
         yield data[at:end]
         at = end
 
@@ -95,7 +97,7 @@ def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
         if len(data) > BLOCK_BYTES:
             flush()
             size = 0
-            words = np.concatenate([word_hashes(b)[1] for b in _blocks(data)])
+            words = np.concatenate([word_hashes(b)[1] for b in word_blocks(data)])
             out.append(np.unique(_fold(words, n).view(np.int64)))
             continue
         group.append(data)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import filter_text, map_text, table
+from .common import filter_text, map_text, sampled_texts, settled_labels, table
 from .wfst import Arc, Transducer, latch, window
 
 #: Bound of the labelled rows that the lexicon and the calibration are learned from.
@@ -155,11 +155,10 @@ def fold(key: Column, n: int) -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """About ``rows`` labelled documents (all, if fewer) whose crc32 remainder is not 2, by hash of their id: ``id``, ``text``, ``toxic``."""
-    usable = labels.select(F.col("doc_id").alias("id"), "toxic").where("toxic is not null").where(F.crc32(F.col("id").cast("string")) % 4 != 2).dropDuplicates(["id"])
+    usable = settled_labels(labels, "toxic").where(F.crc32(F.col("id").cast("string")) % 4 != 2)
     part = min(1.0, rows / max(1, usable.count()))
     usable = usable.where(fold(F.col("id"), 1_000_003) < int(part * 1_000_003) + 1)
-    # The sample is bounded, so it goes to the texts and not they to it.
-    return docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(usable), "id")
+    return sampled_texts(docs, usable)
 
 
 def learn_lexicon(rows: DataFrame) -> Lexicon:

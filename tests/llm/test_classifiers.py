@@ -42,6 +42,72 @@ def test_rules(spark, sf_dir):
         assert r.base_failed == (counts[0] < 50 or 100 * counts[4] > 50 * counts[0]) and not (r.base_failed and r.kept)
 
 
+def slow_grams(text):
+    """Every n-gram by itself, as the only one of a small text."""
+    words, out = re.findall(r"[^\x20\x09-\x0D]+", text), []
+    one = lambda t, k: next(int(i[0]) for i in Q.grams(t) if Q.kind(i) == k)
+    out += [one(w, 0) for w in words]
+    out += [one(f"{a} {b}", 1) for a, b in zip(words, words[1:])]
+    return sorted(out + [one(text[i : i + 4], 2) for i in range(len(text) - 3)])
+
+
+def test_grams_over_blocks(monkeypatch):
+    """No gram is lost or cut where blocks end, and each character counts as one."""
+    from leafmill.llm import shingles
+
+    rng = random.Random(4)
+    texts = ["", "a", "é日 𝄞", "x" * 50, *("".join(rng.choices(["ab", "é", "日", "𝄞", " ", "\n", "z"], k=60)) for _ in range(20))]
+    want = [slow_grams(t) for t in texts]
+    for size in (1, 7, 1 << 20):
+        monkeypatch.setattr(shingles, "BLOCK_BYTES", size)
+        monkeypatch.setattr(Q, "CHARACTERS_AT_ONCE", size)
+        assert [sorted(i for part in Q.grams(t) for i in part.tolist()) for t in texts] == want
+    assert len(slow_grams("日本日本")) == 1 + 1 and list(Q.grams(None)) == []
+
+
+def test_model_by_brute_force():
+    """Probabilities from single n-grams and their weights; the fit against plain descent on a dense matrix."""
+    rng, texts = random.Random(5), ["good fine words here", "bad junk junk", "é fine", "", "a b c d " * 30]
+    weights = np.random.default_rng(1).normal(size=Q.SIZE).astype(np.float32)
+    model = Q.Model(weights, 0.25, 1.5, -0.5, True)
+    for t in texts:
+        logit = 0.25
+        for k in range(3):
+            own = [i for i in slow_grams(t) if i >> Q.BITS == k]
+            logit += sum(float(weights[i]) for i in own) / max(1, len(own))
+        assert abs(model.probability(t) - 1 / (1 + np.exp(-(1.5 * logit - 0.5)))) < 1e-6
+        index, value = Q.sparse(t)
+        assert sorted(set(slow_grams(t))) == sorted(index.tolist()) and abs(model.logit(t) - 0.25 - float(weights[index] @ value)) < 1e-4
+    rows = [(" ".join(rng.choices(["fine", "good", "the", "of"] if y else ["junk", "spam", "the", "of"], k=20)), y) for y in (0, 1) * 40]
+    found = [Q.sparse(t) for t, _ in rows]
+    held = np.arange(len(rows)) % 3 == 0
+    sample = Q.Sample(np.concatenate([i for i, _ in found]), np.concatenate([v for _, v in found]), np.cumsum([0, *[len(i) for i, _ in found]]), np.array([y for _, y in rows]), held)
+    fitted = Q.fit(sample, at_once=7)
+    dense = np.zeros((len(rows), Q.SIZE))
+    for r, (i, v) in enumerate(found):
+        dense[r, i] = v
+    assert np.allclose(sample.rows(fitted.weights, fitted.bias, 0, len(rows)), dense @ fitted.weights + fitted.bias, atol=1e-4)
+    loss = lambda w, b: np.mean(np.logaddexp(0, -(2 * sample.label[~held] - 1) * (dense[~held] @ w + b)))
+    assert loss(fitted.weights, fitted.bias) < 0.05 < loss(np.zeros(Q.SIZE), 0.0)
+    p = np.array([fitted.probability(t) for t, _ in rows])
+    assert ((p > 0.5) == (sample.label == 1)).all()
+
+
+def test_sample_bounds(spark):
+    """Ids labelled both ways are left out, repeated ids give one text, and features stay within their bound."""
+    docs = spark.createDataFrame([(i, f"word{i % 2} text " * 20) for i in range(40)] + [(1, "z other")] * 5, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(2, 1), (3, None), (None, 1), (4, 0)], "doc_id long, quality int")
+    from leafmill.llm import common
+
+    known = {r.id: r.quality for r in common.settled_labels(labels, "quality").collect()}
+    assert known == {i: i % 2 for i in range(40) if i != 2}
+    texts = common.sampled_texts(docs.repartition(3), common.settled_labels(labels, "quality")).collect()
+    assert len(texts) == len({r.id for r in texts}) == 39
+    assert Q.train(docs, labels).fitted and not Q.train(docs, labels, entries=5).fitted
+    again = [Q.train(docs.repartition(n), labels.repartition(n)) for n in (1, 4)]
+    assert (again[0].weights == again[1].weights).all() and again[0][1:] == again[1][1:]
+
+
 def test_quality_accuracy(spark):
     """Trained on two thirds of the labels, the model tells the rest apart and is calibrated."""
     docs, labels = table(spark, BIG, "documents"), table(spark, BIG, "labels")
