@@ -1,12 +1,20 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words become symbols: insult, threat, target, negation, report, quotation mark or
-other.  Transducers for negation, reported speech and targets, composed into one,
-run over each clause that holds an insult or a threat: a negation shortly before
-lowers its weight, a report or an opening quotation mark before it lowers it to
-the clause's end, a target shortly before raises it, and a target shortly after
-it adds to the clause.  A document's score is a logistic function of its
-clauses' weights.
+Words become symbols: insult, harm, harm and target in one, misfortune, target
+(addressed or not), speaker, intent, copula, article or intensifier, negation, report, quotation mark,
+words of phrases, other.  Five transducers, each fed by the one before, run over
+each clause that holds an insult, a phrase's word, a harm or a misfortune:
+
+* insults: of several words, and insults said of someone ("you are such a ...");
+* threats: harm with an intent and a target ("we will hurt you", "ich werde dich
+  schlagen"), orders to harm, misfortune wished on a target.  Harm without such a
+  frame ("this soap will kill germs", "he killed time") weighs nothing;
+* negation: one shortly before lowers a match's weight;
+* reported speech: a report or an opening quotation mark before lowers it to the
+  clause's end;
+* targets: one shortly before raises it, one shortly after adds to the clause.
+
+A document's score is a logistic function of its clauses' weights.
 
 Insults and their weights come from a fixed list and from labelled rows: words,
 and stems with several endings, that occur in many different contexts of toxic
@@ -34,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import filter_text, map_text, sampled_texts, settled_labels, table
-from .wfst import Arc, Transducer, latch, window
+from .wfst import Arc, Cascade, Matcher, Pattern, latch, window
 
 #: Bound of the labelled rows that the lexicon and the calibration are learned from.
 TRAIN_ROWS = 20_000
@@ -45,24 +53,62 @@ THRESHOLD = 0.3
 
 # Word lists of the grammar; fixed values.
 INSULTS = "idiot idiots moron morons stupid scum loser losers trash worthless pathetic clown clowns disgusting dumb fool imbecile jerk bastard dumm dummkopf idioten abschaum arschloch trottel crétin imbécile connard débile ordure estúpido imbécil basura escoria payaso".split()
-THREATS = "kill murder hurt destroy strangle stab shoot beat töten umbringen tuer frapper détruire matar destruir golpear".split()
-TARGETS = "you your yours yourself he she they them him her his their du dich dir dein deine ihr euch sie er tu toi ton ta tes vous votre vos il elle tú usted ustedes él ella".split()
-NEGATIONS = "not no never neither nor nobody isn't aren't wasn't don't nicht kein keine nie niemals pas jamais aucun nunca jamás ningún".split()
+HARM = "kill murder hurt destroy strangle stab shoot beat crush smash töten umbringen verprügeln schlagen erschießen tuer frapper détruire égorger matar golpear destruir".split()
+HARM_TARGET = "matarte matarlo matarla golpearte golpearlo destruirte destruirlo".split()
+MISFORTUNE = "regret bleed perish suffer bereuen sterben verrecken bluten regretter mourir crever saigner morir sangrar arrepentirte".split()
+ADDRESSED = "you your yours yourself yourselves du dich dir dein deine ihr euch tu toi te ton ta tes vous votre vos tú usted ustedes".split()
+TARGETS = "he she they them him her his their sie er il elle él ella".split()
+SPEAKERS = "i we ich wir je nous yo nosotros".split()
+INTENTS = "will shall gonna going want must should werden wird soll vas va".split()
+COPULAS = "are is re was were bist seid ist es êtes est eres sos".split()
+INTENSIFIERS = "a an the such total complete absolute utter real ein eine so echt un une vrai una tan todo".split()
+NEGATIONS = "not no never neither nor nobody isn't aren't wasn't don't won't nicht kein keine nie niemals pas jamais aucun nunca jamás ningún".split()
 REPORTS = "said says wrote writes quoted quote quotes called reported claims claimed sagte schrieb zitierte nannte dit écrit cité appelé dijo escribió citó llamó".split()
-
-ALPHABET = 'oitgnrq'
-#: Weight of a threat and of an insult without learned weight; factors of the grammar.
-THREAT_WEIGHT, SEED_WEIGHT = 1.0, 4.0
-NEGATED, REPORTED, TARGETED, TARGET_AFTER = 0.35, 0.5, 1.25, 0.5
-
-
-def grammar() -> Transducer:
-    """Negation, reported speech and targets composed; put out ``i``, ``t`` with their factors and ``+`` for a target after them."""
-    negation = window("n", 3, {s: Arc(0, s, NEGATED) for s in "it"})
-    report = latch("rq", {s: Arc(1, s, REPORTED) for s in "it"})
-    target = window("g", 4, {s: Arc(0, s, TARGETED) for s in "it"})
-    after = window("it", 3, {"g": Arc(0, "+", 1.0)})
-    return negation.compose(report, ALPHABET).compose(target, ALPHABET).compose(after, ALPHABET)
+#: Words that stand for several symbols.
+CONTRACTIONS = {
+    "i'll": "sm", "we'll": "sm", "i'm": "sc", "we're": "sc", "you'll": "um", "he'll": "gm", "she'll": "gm", "they'll": "gm", "you're": "uc", "he's": "gc", "she's": "gc", "they're": "gc",
+    "werde": "sm", "vais": "sm", "allons": "sm", "voy": "sm", "vamos": "sm", "quiero": "sm",
+}
+#: Insults of several words, none of which need be one by itself.
+PHRASES = ["waste of space", "piece of shit", "son of a bitch", "good for nothing", "drop dead", "go to hell", "stück scheiße", "fils de pute", "sac à merde", "hijo de puta", "pedazo de mierda"]
+
+CLASSES = {w: s for s, words in (("a", INTENSIFIERS), ("c", COPULAS), ("m", INTENTS), ("s", SPEAKERS), ("u", ADDRESSED), ("g", TARGETS), ("n", NEGATIONS), ("r", REPORTS), ("d", MISFORTUNE), ("k", HARM), ("e", HARM_TARGET)) for w in words}
+#: Each word of a phrase that has no class is a symbol of its own.
+PHRASE_SYMBOLS = {w: chr(0xE000 + i) for i, w in enumerate(sorted({w for p in PHRASES for w in p.split()} - CLASSES.keys()))}
+
+#: Matches: insult, insult said of someone, insult of several words, threat.
+MATCHES = "ifpt"
+ALPHABET = [*MATCHES, *"qo", *sorted({*CLASSES.values(), *PHRASE_SYMBOLS.values()})]
+#: Weights of matches without learned weight; factors of the grammar.
+SEED_WEIGHT, PHRASE_WEIGHT = 4.0, 4.0
+THREAT, LIKELY_THREAT, POSSIBLE_THREAT = 4.0, 3.0, 1.5
+FRAMED, NEGATED, REPORTED, TARGETED, TARGET_AFTER = 1.25, 0.35, 0.5, 1.25, 0.5
+
+
+def insults() -> Matcher:
+    """Insults of several words, and insults with a target and a copula before them."""
+    symbol = lambda w: CLASSES.get(w) or PHRASE_SYMBOLS[w]
+    phrases = [Pattern(tuple(map(symbol, p.split())), 0, "p", PHRASE_WEIGHT) for p in PHRASES]
+    return Matcher([*phrases, Pattern(("ug", "c", "i"), 3, "f", FRAMED)])
+
+
+def threats() -> Matcher:
+    """Harm and misfortune in the frames that make them a threat, in the orders of words of several languages."""
+    return Matcher([
+        Pattern(("s", "m", "k", "ug"), 2, "t", THREAT), Pattern(("s", "m", "ug", "k"), 2, "t", THREAT), Pattern(("u", "s", "m", "k"), 2, "t", THREAT), Pattern(("m", "e"), 2, "t", THREAT),
+        Pattern(("m", "k", "u"), 2, "t", LIKELY_THREAT), Pattern(("m", "k", "g"), 2, "t", POSSIBLE_THREAT), Pattern(("k", "ug"), 0, "t", LIKELY_THREAT, begins=True), Pattern(("u", "m", "d"), 1, "t", LIKELY_THREAT),
+    ])
+
+
+def grammar() -> Cascade:
+    """Insults, threats, negation, reported speech and targets composed; put out matches with their factors and ``+`` for a target after them."""
+    near = window("n", 3, {s: Arc(0, s, NEGATED) for s in "if"})
+    far = window("n", 6, {s: Arc(0, s, NEGATED) for s in "pt"})  # these matches end some words after they begin
+    report = latch("rq", {s: Arc(1, s, REPORTED) for s in MATCHES})
+    target = window("ug", 4, {s: Arc(0, s, TARGETED) for s in "ip"})
+    after = window(MATCHES, 3, {s: Arc(0, "+", 1.0) for s in "ug"})
+    context = near.compose(far, ALPHABET).compose(report, ALPHABET).compose(target, ALPHABET).compose(after, ALPHABET)
+    return Cascade(insults(), threats(), context)
 
 
 class Lexicon(NamedTuple):
@@ -82,7 +128,6 @@ class Calibration(NamedTuple):
 
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*|[\"“”«»„]")
 CLAUSE = re.compile(r"[.!?;\n]+")
-CLASSES = {w: s for s, words in (("g", TARGETS), ("n", NEGATIONS), ("r", REPORTS)) for w in words}
 
 
 class Scorer:
@@ -93,32 +138,32 @@ class Scorer:
 
         self.lexicon, self.machine = lexicon, grammar()
         self.find = ahocorasick.Automaton()
-        for w in {*lexicon.words, *lexicon.stems, *THREATS}:
+        for w in {*lexicon.words, *lexicon.stems, *HARM, *HARM_TARGET, *MISFORTUNE, *(max(p.split(), key=len) for p in PHRASES)}:
             self.find.add_word(w, w)
         self.find.make_automaton()
 
-    def symbol(self, word: str) -> tuple[str, float]:
-        """The class of a word and its weight."""
+    def symbols(self, word: str) -> tuple[str, float]:
+        """The symbols that a word stands for, and its weight as an insult."""
         if (weight := self.lexicon.words.get(word)) is not None:
             return "i", weight
         for n in STEMS:
             if (weight := self.lexicon.stems.get(word[:n])) is not None and len(word) > n:
                 return "i", weight
-        if word in THREATS:
-            return "t", THREAT_WEIGHT
-        return CLASSES.get(word, "q" if word in '"“”«»„' else "o"), 0.0
+        found = CLASSES.get(word) or PHRASE_SYMBOLS.get(word) or CONTRACTIONS.get(word)
+        return found or ("q" if word in '"“”«»„' else "o"), 1.0
 
     def clause(self, text: str) -> float:
         """Weight of one clause, by one pass of the composed transducers."""
-        state, total = 0, 0.0
+        state, total = self.machine.start, 0.0
         for word in WORD.findall(text):
-            symbol, weight = self.symbol(word)
-            state, out, factor = self.machine.step(state, symbol)
-            total += weight * factor if out in "it" else TARGET_AFTER if out == "+" else 0.0
+            symbols, weight = self.symbols(word)
+            for symbol in symbols:
+                state, out, factor = self.machine.step(state, symbol)
+                total += weight * factor if out in MATCHES else TARGET_AFTER if out == "+" else 0.0
         return total
 
     def clauses(self, text: str | None) -> list[float]:
-        """Weights of the clauses that hold a word or stem of the lexicon."""
+        """Weights of the clauses with a match; only those that hold a word one can't do without are read."""
         if not text:
             return []
         low = text.lower()

@@ -133,7 +133,9 @@ LEXICON = X.Lexicon({"idiot": 4.0}, {"lowei": 4.0})
     ("less", "more"),
     [
         ("he is not an idiot", "he is an idiot"), ("the idiot left", "you idiot left"), ('they said "an idiot"', "an idiot"), ("an idiot", "idiot, you"),
-        ("nothing here", "an idiot"), ("an idiot", "an idiot. an idiot"), ("i will kill time", "i will kill you"), ("viscidiot idiotic", "idiot"), ("lowei", "loweiig"),
+        ("nothing here", "an idiot"), ("an idiot", "an idiot. an idiot"), ("i will kill time", "i will kill you"), ("he killed them", "i will kill them"), ("this soap will kill germs", "this man will kill you"), ("they will beat them", "we will beat you"),
+        ("i do not want to hurt you", "i want to hurt you"), ("he is not a son of a bitch", "he is a son of a bitch"), ("idiot", "you are such an idiot"), ("a piece of cake", "a piece of shit"), ("go kill time", "kill yourself"),
+        ("die sonne wird scheinen", "du wirst es bereuen, du wird sterben"), ("ich werde schlagen", "ich werde dich schlagen"), ("voy a matar el tiempo", "voy a matarte"), ("voy a matar el tiempo", "te voy a matar"), ("viscidiot idiotic", "idiot"), ("lowei", "loweiig"),
     ],
 )
 def test_grammar(less, more):
@@ -141,6 +143,61 @@ def test_grammar(less, more):
     assert sum(s.clauses(less)) < sum(s.clauses(more))
 
 
+def clause_by_hand(scorer, text):
+    """A clause's weight from its symbols, rule by rule, without automata."""
+    symbols = [(s, w) for word in X.WORD.findall(text) for found, w in [scorer.symbols(word)] for s in found]
+
+    def ends(tape, x, j):
+        """Whether a match of pattern ``x`` ends at ``j``."""
+        def back(step, at):
+            if tape[at] not in x.steps[step]:
+                return False
+            if not step:
+                return not x.begins or at == 0
+            return any(back(step - 1, at - 1 - g) for g in range(x.gap + 1) if at - 1 - g >= 0)
+
+        return back(len(x.steps) - 1, j)
+
+    tape, factors = [s for s, _ in symbols], [1.0] * len(symbols)
+    for machine in (X.insults(), X.threats()):
+        found = [max((x for x in machine.patterns if ends(tape, x, j)), key=lambda x: x.rank(), default=None) for j in range(len(tape))]
+        tape, factors = [x.out if x else s for s, x in zip(tape, found)], [f * x.weight if x else f for f, x in zip(factors, found)]
+    total = 0.0
+    for j, s in enumerate(tape):
+        before = lambda n: tape[max(0, j - n) : j]
+        if s in X.MATCHES:
+            weight = symbols[j][1] * factors[j]
+            weight *= X.NEGATED if "n" in before(3 if s in "if" else 6) else 1
+            weight *= X.REPORTED if {"r", "q"} & set(tape[:j]) else 1
+            weight *= X.TARGETED if s in "ip" and {"u", "g"} & set(before(4)) else 1
+            total += weight
+        elif s in "ug":
+            last = max((i for i in range(j) if tape[i] in X.MATCHES), default=None)
+            total += X.TARGET_AFTER if last is not None and j - last <= 3 else 0
+    return total
+
+
+def test_clauses_by_brute_force():
+    """Random clauses of the grammar's words weigh what the rules say, one by one."""
+    rng, s = random.Random(9), X.Scorer(LEXICON)
+    words = ["idiot", "you", "him", "i", "will", "kill", "not", "said", "are", "a", "the", "regret", "matarte", "te", "voy", "i'll", "you're", '"', "o", "x", "waste", "of", "space", "son", "bitch", "loweiig", "don't", "schlagen", "werde", "dich"]
+    heavy = 0
+    for _ in range(6000):
+        text = " ".join(rng.choices(words, k=rng.randint(1, 12)))
+        assert abs(s.clause(text) - clause_by_hand(s, text)) < 1e-9, text
+        heavy += s.clause(text) > 0
+    assert 1000 < heavy < 6000
+
+
+def test_cascade_forgets(monkeypatch):
+    """Results don't depend on the moves that are kept."""
+    monkeypatch.setattr(X.Cascade, "MOST", 3)
+    small = X.Scorer(LEXICON)
+    monkeypatch.undo()
+    for text in ("i will not kill you", "you are such an idiot", "he said you idiot", "waste of space"):
+        assert small.clause(text) == X.Scorer(LEXICON).clause(text) > 0
+
+
 def test_scope_of_marks():
     s = X.Scorer(LEXICON)
     assert s.clauses("not now. idiot") == s.clauses("well now. idiot")  # a clause ends a negation
