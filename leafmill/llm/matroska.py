@@ -4,10 +4,15 @@ The parser walks variable-length EBML elements, reads tracks, clusters, blocks
 with any lacing (none, Xiph, fixed, EBML) and cues, and gives each packet its
 track, timestamp and byte range.  The muxer stores bytes as 8-bit PCM samples.
 
-Cases: null media gives no packets; elements of unknown size are taken to end
-where an element of their parent's level begins; what is cut off raises
-``ValueError`` in :func:`parse` and gives no rows and a reason in
-:func:`packet_table`; repeated rows give repeated packets.
+Files become rows in steps: a column of files, a column of their packets and
+tracks beside it, and from these a table of packets, or features that are read by
+the packets' byte ranges.
+
+Cases: null media gives null packets, no rows and null features; elements of
+unknown size are taken to end where an element of their parent's level begins;
+what is cut off, nested more than ``DEPTH`` unknown sizes deep or out of the range
+of 64 bits raises ``ValueError`` in :func:`parse` and gives a reason as ``error``
+in the columns; repeated rows give repeated packets.
 """
 
 from __future__ import annotations
@@ -19,16 +24,18 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE_ROWS, map_text, table
+from .common import map_text, table
 
 #: Samples of 8 bits in a packet, packets in a laced block, blocks in a cluster.
 FRAME, LACE, BLOCKS = 576, 8, 64
 RATE = 48_000
 SCALE = 1_000_000
+#: Elements of unknown size that may stand in each other; a segment and its cluster make two.
+DEPTH = 6
 
 # Element identifiers of the Matroska specification (RFC 9559); fixed values.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -156,26 +163,43 @@ def _head(data: bytes, at: int, end: int) -> tuple[int, int | None, int]:
     return ident, None if size == (1 << 7 * width) - 1 else size, at + width
 
 
-def _children(data: bytes, at: int, end: int, stop: set[int] = frozenset()) -> Iterator[tuple[int, int, int, int]]:
+def _children(data: bytes, at: int, end: int, stop: set[int] = frozenset(), depth: int = 0) -> Iterator[tuple[int, int, int, int]]:
     """Identifier, start, body and end of each element in a range; an element in ``stop`` ends it."""
     while at < end:
         ident, size, body = _head(data, at, end)
         if ident in stop:
             return
         if size is None:
-            close = end if ident == SEGMENT else _unknown_end(data, body, end)
+            close = end if ident == SEGMENT else _unknown_end(data, body, end, depth + 1)
         elif (close := body + size) > end:
             raise ValueError(f"element {ident:x} at {at} is cut off")
         yield ident, at, body, close
         at = close
 
 
-def _unknown_end(data: bytes, at: int, end: int) -> int:
-    for _, _, _, close in _children(data, at, end, TOP):
+def _unknown_end(data: bytes, at: int, end: int, depth: int) -> int:
+    if depth > DEPTH:
+        raise ValueError(f"more than {DEPTH} unknown sizes before {at}")
+    for _, _, _, close in _children(data, at, end, TOP, depth):
         at = close
     return at
 
 
+def _vint_at(data: bytes, at: int) -> tuple[int, int, int]:
+    """Value, width and end of the variable-length integer at ``at``."""
+    if not data[at]:
+        raise ValueError(f"no integer at {at}")
+    width = 9 - data[at].bit_length()
+    return int.from_bytes(data[at : at + width], "big") ^ 1 << 7 * width, width, at + width
+
+
+def _fits(*numbers: int | None) -> None:
+    """``ValueError`` unless all numbers are of 64 bits."""
+    for n in numbers:
+        if n is not None and not -(1 << 63) <= n < 1 << 63:
+            raise ValueError(f"{n} is out of range")
+
+
 def _number(data: bytes, a: int, b: int) -> int:
     return int.from_bytes(data[a:b], "big")
 
@@ -185,8 +209,8 @@ def _real(data: bytes, a: int, b: int) -> float:
 
 
 def _signed_vint(data: bytes, at: int) -> tuple[int, int]:
-    width = 9 - data[at].bit_length()
-    return (int.from_bytes(data[at : at + width], "big") ^ 1 << 7 * width) - ((1 << 7 * width - 1) - 1), at + width
+    n, width, end = _vint_at(data, at)
+    return n - ((1 << 7 * width - 1) - 1), end
 
 
 def _frames(data: bytes, at: int, end: int, flags: int) -> list[tuple[int, int]]:
@@ -208,8 +232,7 @@ def _frames(data: bytes, at: int, end: int, flags: int) -> list[tuple[int, int]]
                 sizes.append(n + data[at])
                 at += 1
         else:
-            width = 9 - data[at].bit_length()
-            n, at = int.from_bytes(data[at : at + width], "big") ^ 1 << 7 * width, at + width
+            n, _, at = _vint_at(data, at)
             sizes.append(n)
             for _ in range(count - 2):
                 step, at = _signed_vint(data, at)
@@ -243,7 +266,14 @@ def _track(data: bytes, body: int, close: int) -> Track:
 
 
 def parse(data: bytes) -> Media:
-    """Tracks, packets and cues of a Matroska file."""
+    """Tracks, packets and cues of a Matroska file; ``ValueError`` for what isn't one."""
+    try:
+        return _parse(data)
+    except (IndexError, KeyError, OverflowError, struct.error) as e:
+        raise ValueError(f"cut off or damaged: {e}") from e
+
+
+def _parse(data: bytes) -> Media:
     tracks: dict[int, Track] = {}
     packets: list[Packet] = []
     cues: list[tuple[int, int, int]] = []
@@ -256,14 +286,14 @@ def parse(data: bytes) -> Media:
         raise ValueError("no segment")
 
     def block(a: int, b: int, base: int, cluster: int, key: bool | None, length: int | None) -> None:
-        width = 9 - data[a].bit_length()
-        track = int.from_bytes(data[a : a + width], "big") ^ 1 << 7 * width
-        relative, flags = struct.unpack_from(">hB", data, a + width)
-        ranges = _frames(data, a + width + 3, b, flags)
+        track, _, at = _vint_at(data, a)
+        relative, flags = struct.unpack_from(">hB", data, at)
+        ranges = _frames(data, at + 3, b, flags)
         step = tracks[track].default_ns if track in tracks else None
         if length is not None:
             step = length * scale // len(ranges)
         k, time = counts.get(track, 0), (base + relative) * scale
+        _fits(step, time, time + len(ranges) * (step or 0))
         for i, (offset, size) in enumerate(ranges):
             packets.append(Packet(track, k + i, time + i * (step or 0), step, bool(flags & 0x80) if key is None else key, cluster, offset, size))
         counts[track] = k + len(ranges)
@@ -306,42 +336,50 @@ def parse(data: bytes) -> Media:
                                 raw_cues.append((time, x.get(CUE_TRACK, 0), start + x.get(CUE_CLUSTER, 0)))
         duration = max(duration, round(raw_duration * scale))
     cues = [(t * scale, track, at) for t, track, at in raw_cues]
+    _fits(duration, *(n for cue in cues for n in cue), *(n for t in tracks.values() for n in (t.number, t.kind, t.channels, t.bits, t.default_ns)))
     return Media(tracks, packets, cues, clusters, duration)
 
 
 # -- columns ---------------------------------------------------------------
 
-PACKETS = T.StructType([
-    T.StructField("track", T.IntegerType()), T.StructField("packet", T.LongType()), T.StructField("timestamp_ns", T.LongType()),
-    T.StructField("duration_ns", T.LongType()), T.StructField("keyframe", T.BooleanType()), T.StructField("cluster_offset", T.LongType()),
-    T.StructField("offset", T.LongType()), T.StructField("size", T.LongType()), T.StructField("error", T.StringType()),
-])
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+LONG, STRING = T.LongType(), T.StringType()
+PACKET = _struct(track=LONG, packet=LONG, timestamp_ns=LONG, duration_ns=LONG, keyframe=T.BooleanType(), cluster_offset=LONG, offset=LONG, size=LONG)
+TRACK = _struct(number=LONG, kind=LONG, codec=STRING, rate=T.DoubleType(), channels=LONG, bits=LONG, default_ns=LONG)
+CUE = _struct(timestamp_ns=LONG, track=LONG, cluster_offset=LONG)
+PARSED = _struct(packets=T.ArrayType(PACKET), tracks=T.ArrayType(TRACK), cues=T.ArrayType(CUE), clusters=LONG, duration_ns=LONG, error=STRING)
+
+
+def _columns(media: bytes | None) -> tuple:
+    """A file as the values of ``PARSED``."""
+    if media is None:
+        return (None,) * 6
+    try:
+        m = parse(media)
+    except ValueError as e:
+        return *(None,) * 5, str(e)
+    named = lambda kind, rows: [dict(zip(kind.names, row)) for row in rows]
+    return named(PACKET, m.packets), named(TRACK, [m.tracks[n] for n in sorted(m.tracks)]), named(CUE, m.cues), m.clusters, m.duration_ns, None
+
+
+def parse_media(df: DataFrame, keep: list[str], media_col: str = "media", out: str = "parsed") -> DataFrame:
+    """The columns ``keep`` and, as one struct ``out``, of each file its packets, tracks, cues, number of clusters, duration and ``error``."""
+
+    def start():
+        return lambda files: [[dict(zip(PARSED.names, _columns(f))) for f in files]]
+
+    return map_text(df, start, media_col, keep, T.StructType([T.StructField(out, PARSED)]))
 
 
 def packet_table(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
     """One row for each packet of each Matroska file in ``media_col``; a file that can't be parsed gives one row with ``error``."""
-    key = df.select(id_col).schema.fields[0]
-    out = T.StructType([T.StructField("media_id", key.dataType), *PACKETS.fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        types = to_arrow_schema(out)
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                rows: list[tuple] = []
-                part = batch.slice(at, SLICE_ROWS)
-                for key, media in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    if media is None:
-                        continue
-                    try:
-                        rows += [(key, *p, None) for p in parse(media).packets]
-                    except (ValueError, IndexError, KeyError, struct.error) as e:
-                        rows.append((key, *[None] * 8, str(e)))
-                columns = list(zip(*rows)) or [[]] * len(types)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, types)], schema=types)
-
-    return df.select(df[id_col], df[media_col]).mapInArrow(run, out)
+    found = parse_media(df, [id_col], media_col, "__parsed")
+    error = F.col("__parsed.error")
+    packets = F.when(error.isNotNull(), F.array(F.lit(None).cast(PACKET))).otherwise(F.col("__parsed.packets"))
+    return found.select(F.col(id_col).alias("media_id"), error.alias("error"), F.explode(packets).alias("p")).select("media_id", "p.*", "error")
 
 
 def pad(payload: bytes, unit: int = FRAME) -> bytes:
@@ -371,27 +409,38 @@ FEATURES = T.StructType([
 ])
 
 
-def digest(media: bytes) -> tuple:
+def digest(file: dict) -> tuple:
     """The payload that a stored file's packets hold, read by their byte ranges, as digests and a feature string."""
-    m = parse(media)
-    payload = b"".join([media[p.offset : p.offset + p.size] for p in m.packets])
-    x, track = np.frombuffer(payload, np.uint8).astype(np.float64), m.tracks[1]
-    starts = {p.cluster_offset for p in m.packets}
-    good = all(at in starts for _, _, at in m.cues)
-    feature = (
-        f"{track.codec};{track.rate:.0f};{track.channels};{track.bits};packets={len(m.packets)};clusters={m.clusters}"
-        f";cues={len(m.cues)}{'' if good else '?'};ms={m.duration_ns // 1_000_000};mean={x.mean():.3f};rms={np.sqrt(np.mean((x - 128) ** 2)):.3f}"
-    )
-    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
+    media = file["media"]
+    if media is None:
+        return (None,) * 6
+    whole = len(media), hashlib.sha256(media).hexdigest()
+    if file["error"] is not None:
+        return None, None, None, *whole, f"error: {file['error']}"
+    packets, cues, track = file["packets"], file["cues"], file["track"]
+    payload = b"".join([media[p["offset"] : p["offset"] + p["size"]] for p in packets])
+    known = f"{track['codec']};{track['rate']:.0f};{track['channels']};{track['bits']}" if track else "no track"
+    good = set(cues) <= {p["cluster_offset"] for p in packets}
+    feature = f"{known};packets={len(packets)};clusters={file['clusters']};cues={len(cues)}{'' if good else '?'};ms={file['duration_ns'] // 1_000_000}"
+    if payload:
+        x = np.frombuffer(payload, np.uint8).astype(np.float64)
+        feature += f";mean={x.mean():.3f};rms={np.sqrt(np.mean((x - 128) ** 2)):.3f}"
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *whole, feature
 
 
 def media_features(df: DataFrame, keep: list[str], media_col: str = "media") -> DataFrame:
-    """Digests and features of the stored files, from their packets."""
+    """Digests and features of the stored files, of the first track's packets; null for null media, digests null where there is an error."""
+    kept = df.select(*keep, F.col(media_col).alias("__media"))
+    parsed, x = parse_media(kept, [*keep, "__media"], "__media", "__parsed"), F.col("__parsed")
+    track = F.when(F.size(x["tracks"]) > 0, F.element_at(x["tracks"], 1))
+    own = F.filter(x["packets"], lambda p: track.isNull() | (p["track"] == track["number"]))
+    ranges = F.transform(own, lambda p: F.struct(p["offset"].alias("offset"), p["size"].alias("size"), p["cluster_offset"].alias("cluster_offset")))
+    file = F.struct(F.col("__media").alias("media"), ranges.alias("packets"), track.alias("track"), x["cues"]["cluster_offset"].alias("cues"), x["clusters"].alias("clusters"), x["duration_ns"].alias("duration_ns"), x["error"].alias("error"))
 
     def start():
         return lambda files: list(zip(*map(digest, files))) or [[]] * 6
 
-    return map_text(df, start, media_col, keep, FEATURES)
+    return map_text(parsed.select(*keep, file.alias("__file")), start, "__file", keep, FEATURES)
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
