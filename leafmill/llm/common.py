@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Paths settled inside the innermost :func:`scratch`; null outside of any.
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -40,16 +46,68 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/leafmill/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if (paths := _scratch.get()) is not None:
+        paths.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are settled inside are deleted at the end, but for those that the given function marks as kept.
+
+    What is kept belongs to the scratch around this one, if there is one;
+    otherwise it is left for the reader of the result (``drop_settled``).
+    """
+    paths: list[str] = []
+    outer = _scratch.set(paths)
+
+    def keep(df: DataFrame) -> DataFrame:
+        paths.remove(df.settled_at)
+        kept.append(df.settled_at)
+        return df
+
+    kept: list[str] = []
+    try:
+        yield keep
+    finally:
+        _scratch.reset(outer)
+        if (around := _scratch.get()) is not None:
+            around.extend(kept)
+        for path in paths:
+            delete(spark, path)
 
 
 def drop_settled(df: DataFrame) -> None:
-    """Delete the files of a table that :func:`settle` made, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    """Delete a table that :func:`settle` made, once nothing reads it any more."""
+    delete(df.sparkSession, df.settled_at)
+
+
+#: A key is hot if it holds more than this part of a table's rows, and more rows than a task takes lightly; so there are fewer hot keys than ``HOT``.
+HOT, LIGHT = 1_000, 1_000
+
+
+def look_up(rows: DataFrame, facts: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join ``rows`` with ``facts``, which have one row for each key ``on``.
+
+    The facts of hot keys, fewer than ``HOT`` rows, are broadcast, so no task gets
+    all rows of a hot key.  ``rows`` are read several times: settle them first.
+    """
+    counted = rows.groupBy(on).agg(F.count("*").alias("__n"))
+    total, most = counted.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.coalesce(F.max("__n"), F.lit(0))).first()
+    least = max(LIGHT, total // HOT)
+    if most <= least:
+        return rows.join(facts, on, how)
+    hot = F.broadcast(settle(counted.where(F.col("__n") > least).select(on), "hot"))
+    few = F.broadcast(facts.join(hot, on, "left_semi"))
+    rest = rows.join(hot, on, "left_anti").join(facts, on, how)
+    return rows.join(hot, on, "left_semi").join(few, on, how).unionByName(rest)
 
 
 def settled_labels(labels: DataFrame, label: str) -> DataFrame:

@@ -19,7 +19,9 @@
 4. Candidates pass a union-sketch estimate, then exact similarity of full sets.
 5. Components come from contraction with pointer jumps, all in tables.
 
-A hub with very many members is copied, with its members dealt over the copies.
+No key gets all of its rows into one task: facts of hot values, hubs and
+components, which are few, are broadcast (``look_up``), a hub with very many
+members is copied, with its members dealt over the copies, and so are long lists.
 
 Cases: null and empty texts link with nothing; rows with a null id are in no
 component (null) and kept; repeated rows have one component; rows that share an
@@ -36,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text, settle, table
+from .common import look_up, map_text, scratch, settle, table
 from .shingles import shingle_sets
 
 SKETCH = 32
@@ -101,14 +103,15 @@ def connected(edges: DataFrame) -> DataFrame:
     while not links.isEmpty():
         hooks = settle(links.groupBy("a").agg(F.least("a", F.min("b")).alias("to")), "hooks")
         above = hooks.select(F.col("a").alias("to"), F.col("to").alias("top"))
-        jumps = settle(hooks.join(above, "to", "left").select("a", F.coalesce("top", "to").alias("to")), "jumps")
+        jumps = settle(look_up(hooks, above, "to", "left").select("a", F.coalesce("top", "to").alias("to")), "jumps")
         if labels is None:
-            labels = jumps.select(F.col("a").alias("node"), F.col("to").alias("component"))
+            labels = settle(jumps.select(F.col("a").alias("node"), F.col("to").alias("component")), "labels")
         else:
             move = jumps.select(F.col("a").alias("component"), "to")
-            labels = settle(labels.join(move, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+            labels = settle(look_up(labels, move, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
         left, right = jumps.select("a", F.col("to").alias("x")), jumps.select(F.col("a").alias("b"), F.col("to").alias("y"))
-        kept = links.join(left, "a").join(right, "b").select("x", "y")
+        # Links stand in both directions, so each of the two joins has the same hot keys.
+        kept = look_up(settle(look_up(links, left, "a").select("x", "b"), "half"), right, "b").select("x", "y")
         tops = jumps.select(F.col("to").alias("x")).join(jumps.select(F.col("a").alias("x"), F.col("to").alias("y")), "x")
         kept = kept.union(tops).where("x <> y")
         links = settle(kept.union(kept.select("y", "x")).distinct().toDF("a", "b"), "links")
@@ -130,7 +133,7 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -
     pairs = settle(pairs, "pairs")
     sets = sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), docs, words)
     copies = pairs.groupBy("b").agg(F.ceil(F.count("*") / PER_COPY).cast("int").alias("copies"))
-    dealt = pairs.join(copies, "b").withColumn("copy", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int"))
+    dealt = look_up(pairs, copies, "b").withColumn("copy", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int"))
     hubs = copies.join(sets.withColumnRenamed("id", "b"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("hashes").alias("right"))
     held = dealt.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("left")), "a").join(hubs, ["b", "copy"])
     both = F.size(F.array_intersect("left", "right"))
@@ -140,34 +143,38 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -
 
 def by_rarity(held: DataFrame) -> DataFrame:
     """For rows ``id``, ``value``: the values that several ids hold, rarest first, as ``shared`` of each id."""
-    common = held.groupBy("value").agg(F.count("*").alias("f")).where("f > 1")
-    return held.join(common, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "value"))).alias("shared"))
+    common = settle(held.groupBy("value").agg(F.count("*").alias("f")).where("f > 1"), "common")
+    return look_up(held, common, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "value"))).alias("shared"))
 
 
 def open_pairs(lists: DataFrame, condition: Column) -> DataFrame:
-    """Pairs from lists (``value``, ``id``, ``n``, ``place``, ``c``, ``large``) across components, where ``condition`` holds for n, place and m, spot.
+    """Pairs from lists (``value``, ``id``, ``n``, ``place``, ``c``, ``large``, ``members``) across components, where ``condition`` holds for n, place and m, spot.
 
-    Each pair has a member outside its list's largest component, which is never held against itself.
+    Each pair has a member outside its list's largest component, which is never
+    held against itself.  A long list is cut into copies, with all of those
+    outside the largest component in each.
     """
-    left = lists.where("c <> large").select("value", F.col("id").alias("a"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("c").alias("d"))
-    right = lists.select("value", F.col("id").alias("b"), "n", "place", "c", "large")
+    copies = F.ceil(F.col("members") / PER_COPY).cast("int")
+    left = lists.where("c <> large").select("value", F.col("id").alias("a"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("c").alias("d"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+    right = lists.select("value", F.col("id").alias("b"), "n", "place", "c", "large", F.pmod(F.xxhash64("id"), copies).cast("int").alias("copy"))
     new = (F.col("c") != F.col("d")) & ((F.col("c") == F.col("large")) | (F.col("a") < F.col("b")))
-    found = left.join(right, "value").where(new & condition)
+    found = left.join(right, ["value", "copy"]).where(new & condition)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def still_open(lists: DataFrame) -> DataFrame:
     """Rows of those lists (``value``, ``c``) that hold several components, with the largest and the number of members."""
+    lists = settle(lists, "placed")
     sizes = lists.groupBy("value", "c").agg(F.count("*").alias("members"))
     largest = sizes.groupBy("value").agg(F.max_by("c", F.struct("members", "c")).alias("large"), F.count("*").alias("parts"), F.sum("members").alias("members"))
-    return lists.join(largest.where("parts > 1").drop("parts"), "value")
+    return look_up(lists, settle(largest.where("parts > 1").drop("parts"), "largest"), "value")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, k: int, part: float) -> DataFrame:
     """``pairs`` with the union-sketch estimate, without those below ``part``."""
     left = classes.select(F.col("id").alias("a"), F.col("sketch").alias("left"))
     right = classes.select(F.col("id").alias("b"), F.col("sketch").alias("right"))
-    scored = pairs.join(left, "a").join(right, "b").select("a", "b", estimate(F.col("left"), F.col("right"), k).alias("part"))
+    scored = look_up(settle(pairs, "candidates"), right, "b").join(left, "a").select("a", "b", estimate(F.col("left"), F.col("right"), k).alias("part"))
     return scored.where(F.col("part") >= part)
 
 
@@ -185,24 +192,58 @@ def numbered(classes: DataFrame) -> DataFrame:
     raise ValueError("no seed tells the classes apart")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, k: int = SKETCH, exact: bool = False) -> DataFrame:
     """Component of each row: ``id_col``, ``n_shingles``, ``component_id``, ``kept``; linked sets have Jaccard similarity of ``percent`` / 100 or more.
 
     ``component_id`` is the id of the kept row; where ids stand on several texts, ``near_duplicate_rows`` tells components apart.
     """
-    return near_duplicate_rows(df, id_col, text_col, words, percent, k).drop("text_print", "component_print")
+    return near_duplicate_rows(df, id_col, text_col, words, percent, k, exact).drop("text_print", "component_print")
 
 
-def near_duplicate_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
-    """As ``near_duplicates``, with the ``text_print`` of each row and ``component_print``, that of the row its component keeps."""
+def near_duplicate_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, k: int = SKETCH, exact: bool = False) -> DataFrame:
+    """As ``near_duplicates``, with the ``text_print`` of each row and ``component_print``, that of the row its component keeps.
+
+    With ``exact``, all classes go by whole sets, as those of crowded lists do,
+    and no estimate drops a pair; this shuffles all shingles.
+    """
+    with scratch(df.sparkSession) as keep:
+        made, members = grouped_rows(df, id_col, text_col, words, percent, k, exact)
+        rows = made.select("id", "print", "n_shingles", "set_key")
+        empty = rows.where("set_key is null").withColumn("first", F.lit(None).cast(members.schema["first"].dataType))
+        placed = look_up(rows.where("set_key is not null"), members, "set_key", "left").unionByName(empty)
+        out = keep(settle(placed.drop("set_key"), "components"))
+    own = F.struct("id", "print")
+    out = out.withColumn("smallest", F.when(F.col("id").isNotNull(), F.coalesce("first", own)))
+    return out.select(
+        F.col("id").alias(id_col), "n_shingles", F.col("smallest.id").alias("component_id"), F.coalesce(F.col("smallest") == own, F.lit(True)).alias("kept"),
+        F.col("print").alias("text_print"), F.col("smallest.print").alias("component_print"),
+    )
+
+
+def whole_pairs(crowd: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs across components (``id``, ``c``) that can reach the threshold, by prefix and position filters over whole sets."""
+    sets = sets_of(crowd.select("id"), docs, words).withColumn("n", F.size("hashes").cast("long"))
+    most = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    whole = by_rarity(settle(sets.select("id", F.explode("hashes").alias("value")), "values")).join(sets.select("id", "n"), "id")
+    alone = F.col("n") - F.size("shared")
+    whole = whole.where(alone < most).select("id", "n", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), (most - alone).cast("int"))).alias("i", "x"))
+    whole = whole.select("id", "n", (F.col("alone") + F.col("i") + 1).alias("place"), F.col("x.value").alias("value")).join(crowd, "id")
+    # Two sets of n and m reach the threshold only with this many in common, and no more can follow their first common value.
+    needed = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
+    reach = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("spot")) + 1 >= needed
+    return open_pairs(settle(still_open(whole), "whole"), comparable(F.col("n"), F.col("m"), percent) & reach)
+
+
+def grouped_rows(df: DataFrame, id_col: str, text_col: str, words: int, percent: int, k: int, exact: bool) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: rows with digests of their sets (``id``, ``print``, ``n_shingles``, ``set_key``), and for each ``set_key`` the ``first`` row of its component."""
     part = shared_part(percent, k)
     docs = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text")).withColumn("print", text_print(F.col("text")))
     made = settle(sketches(docs, ["id", "print"], "text", words, k), "sketches")
     real = made.where("id is not null and set_key is not null")
     grouped = settle(real.groupBy("set_key").agg(F.min(F.struct("id", "print")).alias("row"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    classes = numbered(grouped)
+    classes = settle(numbered(grouped), "numbered")
 
-    shared = by_rarity(classes.select("id", F.explode("sketch").alias("value")))
+    shared = by_rarity(settle(classes.select("id", F.explode("sketch").alias("value")), "values"))
     size = F.size("sketch")
     # The hashes that no other class has come first in the order by rarity, then the shared ones.
     prefix = size - F.ceil(size * part) + 1 - (size - F.size("shared"))
@@ -211,13 +252,14 @@ def near_duplicate_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     lists = settle(lists.select("id", "n", "typical", F.col("x.value").alias("value")), "lists")
 
     # Texts of the classes that stand in lists: all later rounds read these, not the whole corpus.
-    rows = lists.select("id").distinct().join(classes.select("id", "row"), "id").select("row.id", "row.print", F.col("id").alias("node"))
+    listed = classes if exact else lists.select("id").distinct().join(classes, "id")
+    rows = listed.select("row.id", "row.print", F.col("id").alias("node"))
     # Duplicates go by the join's own keys, so that texts are shuffled once.
     docs = docs.join(rows.hint("merge"), ["id", "print"]).dropDuplicates(["id", "print"])
     docs = settle(docs.select(F.col("node").alias("id"), "text"), "texts")
 
-    hubs = lists.groupBy("value").agg(F.max_by(F.struct(F.col("id").alias("b"), F.col("n").alias("m")), F.struct("typical", -F.col("id"))).alias("hub"))
-    to_hub = lists.join(hubs, "value").where((F.col("id") != F.col("hub.b")) & comparable(F.col("n"), F.col("hub.m"), percent))
+    hubs = settle(lists.groupBy("value").agg(F.max_by(F.struct(F.col("id").alias("b"), F.col("n").alias("m")), F.struct("typical", -F.col("id"))).alias("hub")), "hubs")
+    to_hub = look_up(lists, hubs, "value").where((F.col("id") != F.col("hub.b")) & comparable(F.col("n"), F.col("hub.m"), percent))
     to_hub = to_hub.select(F.col("id").alias("a"), F.col("hub.b").alias("b")).distinct()
     best = likely(to_hub, classes, k, part).groupBy("a").agg(F.max_by("b", F.struct("part", -F.col("b"))).alias("b"))
     links = similar_pairs(best, docs, words, percent)
@@ -225,38 +267,42 @@ def near_duplicate_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     grown = connected(links)
     component = grown.withColumnRenamed("node", "id")
     placed = lists.drop("typical").join(component, "id", "left").withColumn("c", F.coalesce("component", "id"))
-    opened = settle(still_open(placed).withColumn("place", F.lit(0)), "open")
-    rest = open_pairs(opened.where(F.col("members") <= CROWD), comparable(F.col("n"), F.col("m"), percent))
-    more = similar_pairs(likely(rest, classes, k, part).select("a", "b"), docs, words, percent)
-
-    crowd = opened.where(F.col("members") > CROWD).select("id", "c").distinct()
-    sets = sets_of(crowd.select("id"), docs, words).withColumn("n", F.size("hashes").cast("long"))
-    most = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    whole = by_rarity(sets.select("id", F.explode("hashes").alias("value"))).join(sets.select("id", "n"), "id")
-    alone = F.col("n") - F.size("shared")
-    whole = whole.where(alone < most).select("id", "n", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), (most - alone).cast("int"))).alias("i", "x"))
-    whole = whole.select("id", "n", (F.col("alone") + F.col("i") + 1).alias("place"), F.col("x.value").alias("value")).join(crowd, "id")
-    # Two sets of n and m reach the threshold only with this many in common, and no more can follow their first common value.
-    needed = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
-    reach = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("spot")) + 1 >= needed
-    rest = open_pairs(settle(still_open(whole), "whole"), comparable(F.col("n"), F.col("m"), percent) & reach)
-    more = more.union(similar_pairs(likely(rest, classes, k, part).select("a", "b"), docs, words, percent))
+    more = None
+    if exact:
+        crowd = classes.select("id").join(component, "id", "left").select("id", F.coalesce("component", "id").alias("c"))
+    else:
+        opened = settle(still_open(placed).withColumn("place", F.lit(0)), "open")
+        rest = open_pairs(opened.where(F.col("members") <= CROWD), comparable(F.col("n"), F.col("m"), percent))
+        more = similar_pairs(likely(rest, classes, k, part).select("a", "b"), docs, words, percent)
+        crowd = opened.where(F.col("members") > CROWD).select("id", "c").distinct()
+
+    if exact or not crowd.isEmpty():
+        found = whole_pairs(crowd, docs, words, percent)
+        found = similar_pairs(found if exact else likely(found, classes, k, part).select("a", "b"), docs, words, percent)
+        more = more.union(found) if more else found
     if not more.isEmpty():
         grown = connected(links.union(more))
 
     members = classes.select("set_key", "row", F.col("id").alias("node")).join(grown, "node", "left")
-    members = members.select("set_key", "row", F.coalesce("component", "node").alias("group"))
+    members = settle(members.select("set_key", "row", F.coalesce("component", "node").alias("group")), "groups")
     first = members.groupBy("group").agg(F.min("row").alias("first"))
-    members = members.select("set_key", "group").join(first, "group").select("set_key", "first")
-    own = F.struct("id", "print")
-    smallest = F.when(F.col("id").isNotNull(), F.coalesce("first", own))
-    out = made.select("id", "print", "n_shingles", "set_key").join(members, "set_key", "left").withColumn("smallest", smallest)
-    return out.select(
-        F.col("id").alias(id_col), "n_shingles", F.col("smallest.id").alias("component_id"), F.coalesce(F.col("smallest") == own, F.lit(True)).alias("kept"),
-        F.col("print").alias("text_print"), F.col("smallest.print").alias("component_print"),
-    )
+    return made, settle(look_up(members, first, "group").select("set_key", "first"), "members")
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of ``documents``: three-word shingles, similarity 0.85 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+#: Every pair of texts that share a shingle, by exact similarity; components by all that can be reached.  For tables with unique ids.
+ORACLE = r"""
+with recursive worded as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (select doc_id, list_distinct(case when len(w) = 0 then []::varchar[] when len(w) < 3 then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s from worded),
+shingles as (select doc_id, len(s) as n, unnest(s) as x from sets),
+shared as (select a.doc_id as a, b.doc_id as b, a.n as n, b.n as m, count(*) as common from shingles a join shingles b on a.x = b.x and a.doc_id <> b.doc_id group by all),
+links as (select a, b from shared where 100 * common >= 85 * (n + m - common)),
+reach(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from reach r join links l on r.b = l.a)
+select doc_id, cast(len(s) as bigint) as n_shingles, c as component_id, doc_id = c as kept
+from sets join (select a, min(b) as c from reach group by a) on a = doc_id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_transducer import op5_byte_bpe
-from . import licenses, sharding, tool_calls
+from . import licenses, near_dedup, sharding, tool_calls
 from .licenses import op2_license_scans
 from .matroska import op1_media_columns
 from .near_dedup import op8_minhash_near_dedup
@@ -35,4 +35,5 @@ ORACLES: dict[str, str] = {
     "op2_license_scans": licenses.oracle(),
     "op6_sharding": sharding.oracle(),
     "op7_chat_formatting": tool_calls.ORACLE,
+    "op8_minhash_near_dedup": near_dedup.ORACLE,
 }

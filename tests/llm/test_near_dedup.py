@@ -75,6 +75,56 @@ def test_crowd(spark):
     assert found(df, words=3, percent=85) == brute(rows, 3, 85)
 
 
+def test_exact(spark):
+    """All classes by whole sets, without estimates; also with sketches too small to find much."""
+    rows = crowd()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert found(df, words=3, percent=85, exact=True, k=12) == brute(rows, 3, 85)
+
+
+def test_hot_keys(spark, monkeypatch):
+    """Results don't depend on which keys count as hot, or on how lists are cut."""
+    from leafmill.llm import common
+
+    monkeypatch.setattr(common, "HOT", 20)
+    monkeypatch.setattr(common, "LIGHT", 5)
+    monkeypatch.setattr(N, "PER_COPY", 7)
+    rows = crowd()
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words=3, percent=85) == brute(rows, 3, 85)
+
+
+def test_look_up(spark, monkeypatch):
+    from leafmill.llm import common
+
+    monkeypatch.setattr(common, "LIGHT", 50)
+    rows = common.settle(spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(5000)] + [(k, -k) for k in range(20, 3000)], "k int, i int"), "rows")
+    facts = spark.createDataFrame([(k, f"f{k}") for k in range(0, 3000, 2)], "k int, f string")
+    for how in ("inner", "left"):
+        assert sorted(map(str, common.look_up(rows, facts, "k", how).collect())) == sorted(map(str, rows.join(facts, "k", how).collect()))
+
+
+def test_scratch(spark):
+    """Only what is kept stays; inner scratch hands it to the outer one."""
+    import os
+
+    from leafmill.llm import common
+
+    there = lambda df: os.path.isdir(df.settled_at)
+    with common.scratch(spark) as keep:
+        with common.scratch(spark) as inner:
+            a, b = common.settle(spark.range(3), "a"), inner(common.settle(spark.range(4), "b"))
+        c = keep(common.settle(b, "c"))
+        assert not there(a) and there(b)
+    assert not there(b) and there(c) and c.count() == 4
+    common.drop_settled(c)
+    assert not there(c)
+    folder = os.path.dirname(c.settled_at)
+    before = set(os.listdir(folder))
+    got = N.near_duplicates(spark.createDataFrame(crowd()[:50], "doc_id long, text string"))
+    left = set(os.listdir(folder)) - before
+    assert got.count() == 50 and [x.split("-")[0] for x in left] == ["components"]
+
+
 def test_shared_ids(spark):
     """An id on several texts: only rows with like texts are merged, and links of each text count."""
     import corpus_pipeline
