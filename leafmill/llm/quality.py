@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import filter_text, map_text, sampled_texts, settle, settled_labels, table
+from .common import filter_text, map_text, sampled_texts, scratch, settle, settled_labels, table
 from .shingles import GOLD, mix, word_blocks, word_hashes
 
 #: Bounds of the labelled rows that the regression is fitted on, and of their features in all.
@@ -202,11 +202,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, entries: i
         return lambda texts: list(zip(*map(sparse, texts))) or [[], []]
 
     made = map_text(found.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "id"), F.lit(3)) == 0), start, "text", ["id", "quality", "held"], SAMPLE)
-    made = settle(made, "quality-sample")
-    # One row of two numbers for each of the bounded sample's rows.
-    so_far = F.sum(F.size("index")).over(Window.orderBy(F.xxhash64(F.lit("order"), "id"), "id"))
-    few = made.select("id", so_far.alias("so_far")).where(F.col("so_far") <= entries).select("id")
-    return fit(collect(made.join(F.broadcast(few), "id")))
+    with scratch(docs.sparkSession):
+        made = settle(made, "quality-sample")
+        # One row of two numbers for each of the bounded sample's rows.
+        so_far = F.sum(F.size("index")).over(Window.orderBy(F.xxhash64(F.lit("order"), "id"), "id"))
+        few = made.select("id", so_far.alias("so_far")).where(F.col("so_far") <= entries).select("id")
+        sample = collect(made.join(F.broadcast(few), "id"))
+    return fit(sample)
 
 
 def collect(made: DataFrame) -> Sample:

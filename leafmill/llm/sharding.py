@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import scratch, settle, table
 
 #: Bytes of text in a shard at most.
 LIMIT = 32 << 20
@@ -80,7 +80,8 @@ def shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit:
     total = items.agg(F.sum("n_bytes")).first()[0] or 0
     depth, low, parts = min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + SPARE), 0, []
     while True:
-        entries = settle(directory(items, limit, low, depth), "directory")
+        with scratch(df.sparkSession) as keep:
+            entries = keep(settle(directory(items, limit, low, depth), "directory"))
         found = items.withColumn("entry", prefix("h", F.lit(depth))).join(entries, "entry")
         parts.append(found.where("bucket is not null").select("id", "n_bytes", "bucket.*", F.lit(0).cast("long").alias("overflow")))
         if entries.where("bucket is null").isEmpty():

@@ -32,7 +32,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import look_up, scratch, settle, table
 
 
 class Parameter(NamedTuple):
@@ -191,21 +191,19 @@ def key(conv_id: Column, call_id: Column) -> Column:
     return F.concat(conv, F.lit(":"), call_id)
 
 
-def link_tool_calls(messages: DataFrame, tools: dict[str, list[Parameter]]) -> DataFrame:
-    """Status, place, errors and canonical JSON of each message.
-
-    ``messages``: conv_id, turn, role, text, call_id, name, arguments (JSON),
-    after (array of call ids), result_of; identifiers are those of the message's
-    conversation.  Of a message that both calls and answers, the call is taken.
-    """
+def keyed(messages: DataFrame) -> DataFrame:
+    """Messages with the keys of their call or result and of the calls they wait for, and their place among messages with one key."""
     own = lambda c: key(F.col("conv_id"), c)
     m = messages.select("conv_id", "turn", "role", "text", "call_id", "name", "arguments", "after", F.when(F.col("call_id").isNull(), F.col("result_of")).alias("result_of"))
     m = m.withColumn("order", F.struct("turn", F.md5(F.concat_ws("\n", "text", "name", "arguments")).alias("print")))
-    m = m.withColumns({"call": own(F.col("call_id")), "result": own(F.col("result_of"))})
     waits = F.transform(F.array_distinct("after"), lambda x: F.struct(own(x).alias("key"), x.alias("id")))
-    called = m.where("call is not null").groupBy("call").agg(F.min(F.struct("order", "conv_id", "after")).alias("x"))
-    called = called.select("call", "x.order", "x.conv_id", "x.after").select("call", F.col("order").alias("first_call"), waits.alias("waits"))
-    called = settle(called, "calls")
+    return m.withColumns({"call": own(F.col("call_id")), "result": own(F.col("result_of")), "waits": waits})
+
+
+def call_facts(m: DataFrame) -> DataFrame:
+    """One row for each call (``link``): the call and the result that count, the number of results, level, and calls it waits for that don't exist."""
+    called = m.where("call is not null").groupBy("call").agg(F.min(F.struct("order", "waits")).alias("x"))
+    called = settle(called.select("call", F.col("x.order").alias("first_call"), F.col("x.waits").alias("waits")), "calls")
     answered = m.where("result is not null").groupBy("result").agg(F.min("order").alias("first_result"), F.count("*").alias("results"))
     # One row for each identifier on both sides: the results of a partition make a small hash table.
     linked = called.join(answered.hint("shuffle_hash"), called["call"] == answered["result"], "left")
@@ -214,11 +212,23 @@ def link_tool_calls(messages: DataFrame, tools: dict[str, list[Parameter]]) -> D
     lost = called.select("call", F.explode("waits").alias("before"))
     lost = lost.join(known, F.col("before.key") == F.col("known"), "left_anti").groupBy("call").agg(F.array_sort(F.collect_set(F.concat(F.lit("no_call:"), "before.id"))).alias("lost"))
     facts = linked.join(placed, "call", "left").join(lost, "call", "left")
-    facts = facts.select(F.col("call").alias("link"), "first_call", "first_result", F.coalesce("results", F.lit(0)).alias("results"), "level", F.coalesce("lost", F.array().cast("array<string>")).alias("lost"))
+    return facts.select(F.col("call").alias("link"), "first_call", "first_result", F.coalesce("results", F.lit(0)).alias("results"), "level", F.coalesce("lost", F.array().cast("array<string>")).alias("lost"))
+
+
+def link_tool_calls(messages: DataFrame, tools: dict[str, list[Parameter]]) -> DataFrame:
+    """Status, place, errors and canonical JSON of each message.
+
+    ``messages``: conv_id, turn, role, text, call_id, name, arguments (JSON),
+    after (array of call ids), result_of; identifiers are those of the message's
+    conversation.  Of a message that both calls and answers, the call is taken.
+    """
+    m = keyed(messages)
+    with scratch(messages.sparkSession) as keep:
+        facts = keep(settle(call_facts(m), "facts"))
 
     # A message without identifiers gets one that no other has, so that it isn't joined in one heap of nulls.
     at = F.coalesce("call", "result", F.concat(F.lit("\0"), F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")))
-    m = m.withColumn("at", at).join(facts, F.col("at") == F.col("link"), "left").drop("call", "result")
+    m = look_up(m.withColumn("at", at).drop("call", "result", "waits"), facts.withColumn("at", F.col("link")), "at", "left")
     call, result = F.col("call_id").isNotNull(), F.col("result_of").isNotNull()
     status = (
         F.when(call & (F.col("order") != F.col("first_call")), "duplicate_call").when(call & F.col("level").isNull(), "circular")
