@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import near_dedup, packing, quality, toxicity
-from leafmill.llm.common import settle, table
+from leafmill.llm.common import drop_settled, scratch, settle, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +56,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each stage's rows are written and read again by the next, and deleted when that one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as keep:
+            docs = keep(settle(stage(spark, docs, sf_dir), name))
+        if before is not None:
+            drop_settled(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
