@@ -14,8 +14,11 @@
    and verified with the best.  Then the lists give each pair that no verified
    chain of links joins yet; so no list emits all its pairs, and every link
    between different components is found.  In crowded lists this would still be
-   a product: their classes retain their whole sets, and the exact prefix and
-   position filters over those say which pairs can reach the threshold.
+   a product: their classes retain their whole sets.  Each is held against the
+   most typical member of its lists first, the one with the most common values,
+   which the whole sets tell better than the sketches; then the exact prefix and
+   position filters say which of the pairs that are still apart can reach the
+   threshold.
 4. Candidates pass a union-sketch estimate, then exact similarity of full sets.
 5. Components come from contraction with pointer jumps, all in tables.
 
@@ -220,18 +223,32 @@ def near_duplicate_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
 
 
-def whole_pairs(crowd: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs across components (``id``, ``c``) that can reach the threshold, by prefix and position filters over whole sets."""
-    sets = sets_of(crowd.select("id"), docs, words).withColumn("n", F.size("hashes").cast("long"))
+def whole_lists(ids: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Inverted lists of whole sets by the prefix principle: ``id``, ``n``, ``typical`` (mean frequency of its values), ``place`` of ``value`` among them."""
+    sets = sets_of(ids, docs, words).withColumn("n", F.size("hashes").cast("long"))
     most = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     whole = by_rarity(settle(sets.select("id", F.explode("hashes").alias("value")), "values")).join(sets.select("id", "n"), "id")
-    alone = F.col("n") - F.size("shared")
-    whole = whole.where(alone < most).select("id", "n", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), (most - alone).cast("int"))).alias("i", "x"))
-    whole = whole.select("id", "n", (F.col("alone") + F.col("i") + 1).alias("place"), F.col("x.value").alias("value")).join(crowd, "id")
+    alone, total = F.col("n") - F.size("shared"), F.aggregate("shared", F.lit(0).cast("long"), lambda t, x: t + x["f"])
+    whole = whole.where(alone < most).select("id", "n", (total / F.col("n")).alias("typical"), alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), (most - alone).cast("int"))).alias("i", "x"))
+    return settle(whole.select("id", "n", "typical", (F.col("alone") + F.col("i") + 1).alias("place"), F.col("x.value").alias("value")), "whole")
+
+
+def whole_hubs(lists: DataFrame, crowd: DataFrame, percent: int) -> DataFrame:
+    """One pair for each id of another component (``crowd``: ``id``, ``c``) than the most typical member of its lists: with that member."""
+    hub = F.max_by(F.struct(F.col("id").alias("b"), F.col("n").alias("m"), "typical"), F.struct("typical", -F.col("id"))).alias("hub")
+    found = look_up(lists, settle(lists.groupBy("value").agg(hub), "hubs"), "value").where((F.col("id") != F.col("hub.b")) & comparable(F.col("n"), F.col("hub.m"), percent))
+    best = found.groupBy("id").agg(F.max_by("hub.b", F.struct("hub.typical", -F.col("hub.b"))).alias("b"))
+    best = settle(best.join(crowd, "id").select(F.col("id").alias("a"), "c", "b"), "best")
+    other = look_up(best, crowd.select(F.col("id").alias("b"), F.col("c").alias("d")), "b")
+    return other.where("c <> d").select("a", "b")
+
+
+def whole_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components (``c``) of :func:`whole_lists` that can reach the threshold, by position."""
     # Two sets of n and m reach the threshold only with this many in common, and no more can follow their first common value.
     needed = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
     reach = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("spot")) + 1 >= needed
-    return open_pairs(settle(still_open(whole), "whole"), comparable(F.col("n"), F.col("m"), percent) & reach)
+    return open_pairs(settle(still_open(lists), "open"), comparable(F.col("n"), F.col("m"), percent) & reach)
 
 
 def grouped_rows(df: DataFrame, id_col: str, text_col: str, words: int, percent: int, k: int, exact: bool) -> tuple[DataFrame, DataFrame]:
@@ -277,9 +294,14 @@ def grouped_rows(df: DataFrame, id_col: str, text_col: str, words: int, percent:
         crowd = opened.where(F.col("members") > CROWD).select("id", "c").distinct()
 
     if exact or not crowd.isEmpty():
-        found = whole_pairs(crowd, docs, words, percent)
-        found = similar_pairs(found if exact else likely(found, classes, k, part).select("a", "b"), docs, words, percent)
-        more = more.union(found) if more else found
+        whole = whole_lists(crowd.select("id"), docs, words, percent)
+        first = similar_pairs(whole_hubs(whole, crowd, percent), docs, words, percent)
+        links = links.union(more.union(first) if more else first)
+        component = connected(links).withColumnRenamed("node", "id")
+        placed = whole.join(component, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        found = whole_pairs(placed, percent)
+        more = similar_pairs(found if exact else likely(found, classes, k, part).select("a", "b"), docs, words, percent)
+        grown = component.withColumnRenamed("id", "node")
     if not more.isEmpty():
         grown = connected(links.union(more))
 
