@@ -96,18 +96,20 @@ HOT, LIGHT = 1_000, 1_000
 def look_up(rows: DataFrame, facts: DataFrame, on: str, how: str = "inner") -> DataFrame:
     """Join ``rows`` with ``facts``, which have one row for each key ``on``.
 
-    The facts of hot keys, fewer than ``HOT`` rows, are broadcast, so no task gets
-    all rows of a hot key.  ``rows`` are read several times: settle them first.
+    Rows of hot keys are dealt over copies of their fact, fewer than ``HOT`` in
+    all, so no task gets all rows of a hot key; rows without a key are dealt, too.
+    ``rows`` are read twice: settle what is dear to make.
     """
     counted = rows.groupBy(on).agg(F.count("*").alias("__n"))
     total, most = counted.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.coalesce(F.max("__n"), F.lit(0))).first()
     least = max(LIGHT, total // HOT)
     if most <= least:
         return rows.join(facts, on, how)
-    hot = F.broadcast(settle(counted.where(F.col("__n") > least).select(on), "hot"))
-    few = F.broadcast(facts.join(hot, on, "left_semi"))
-    rest = rows.join(hot, on, "left_anti").join(facts, on, how)
-    return rows.join(hot, on, "left_semi").join(few, on, how).unionByName(rest)
+    hot = settle(counted.where(F.col("__n") > least).select(on, F.ceil(F.col("__n") / least).cast("int").alias("__copies")), "hot")
+    copies = F.when(F.col(on).isNull(), HOT).otherwise(F.coalesce("__copies", F.lit(1)))
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("__copy", F.pmod(F.xxhash64(*rows.columns), copies).cast("int")).drop("__copies")
+    copied = facts.join(F.broadcast(hot), on, "left").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.coalesce("__copies", F.lit(1)) - 1))).drop("__copies")
+    return dealt.join(copied, [on, "__copy"], how).drop("__copy")
 
 
 def settled_labels(labels: DataFrame, label: str) -> DataFrame:

@@ -97,7 +97,7 @@ def test_look_up(spark, monkeypatch):
     from leafmill.llm import common
 
     monkeypatch.setattr(common, "LIGHT", 50)
-    rows = common.settle(spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(5000)] + [(k, -k) for k in range(20, 3000)], "k int, i int"), "rows")
+    rows = common.settle(spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(5000)] + [(k, -k) for k in range(20, 3000)] + [(None, i) for i in range(400)], "k int, i int"), "rows")
     facts = spark.createDataFrame([(k, f"f{k}") for k in range(0, 3000, 2)], "k int, f string")
     for how in ("inner", "left"):
         assert sorted(map(str, common.look_up(rows, facts, "k", how).collect())) == sorted(map(str, rows.join(facts, "k", how).collect()))
