@@ -11,8 +11,8 @@ from contextvars import ContextVar
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 #: Rows handled at once inside a Python worker; an Arrow batch (64 MB at most) is cut into such slices.
 SLICE_ROWS = 512
@@ -102,13 +102,14 @@ def look_up(rows: DataFrame, facts: DataFrame, on: str, how: str = "inner") -> D
     """
     counted = rows.groupBy(on).agg(F.count("*").alias("__n"))
     total, most = counted.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.coalesce(F.max("__n"), F.lit(0))).first()
-    least = max(LIGHT, total // HOT)
-    if most <= least:
-        return rows.join(facts, on, how)
-    hot = settle(counted.where(F.col("__n") > least).select(on, F.ceil(F.col("__n") / least).cast("int").alias("__copies")), "hot")
+    least, key = max(LIGHT, total // HOT), rows.schema[on]
+    # Fewer than HOT rows; none in most cases.
+    found = counted.where(F.col("__n") > least).where(F.col(on).isNotNull()).collect() if most > least else []
+    schema = T.StructType([T.StructField(on, key.dataType), T.StructField("__copies", T.IntegerType())])
+    hot = F.broadcast(rows.sparkSession.createDataFrame([(r[0], -(-r[1] // least)) for r in found], schema))
     copies = F.when(F.col(on).isNull(), HOT).otherwise(F.coalesce("__copies", F.lit(1)))
-    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("__copy", F.pmod(F.xxhash64(*rows.columns), copies).cast("int")).drop("__copies")
-    copied = facts.join(F.broadcast(hot), on, "left").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.coalesce("__copies", F.lit(1)) - 1))).drop("__copies")
+    dealt = rows.join(hot, on, "left").withColumn("__copy", F.pmod(F.xxhash64(*rows.columns), copies).cast("int")).drop("__copies")
+    copied = facts.join(hot, on, "left").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.coalesce("__copies", F.lit(1)) - 1))).drop("__copies")
     return dealt.join(copied, [on, "__copy"], how).drop("__copy")
 
 
@@ -132,7 +133,7 @@ def map_text(
     start: Callable[[], Callable[[list], Sequence[list]]],
     source: str,
     keep: Sequence[str],
-    fields: StructType,
+    fields: T.StructType,
 ) -> DataFrame:
     """Map column ``source`` to new ``fields`` in Arrow batches, keeping the columns ``keep``.
 
@@ -140,7 +141,7 @@ def map_text(
     values to one list for each field.
     """
     kept = df.select(*keep).schema
-    out = StructType([*kept.fields, *fields.fields])
+    out = T.StructType([*kept.fields, *fields.fields])
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
