@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,15 +32,18 @@ def char_edits(reference: Column, candidate: Column) -> Column:
 
 
 def word_distance(a: list[str], b: list[str]) -> int:
-    """Levenshtein distance of two lists by two rows."""
-    if len(a) < len(b):
-        a, b = b, a
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    """Levenshtein distance of two lists, a whole row of the table at a time."""
+    number: dict[str, int] = {}
+    x, y = (np.array([number.setdefault(w, len(number)) for w in side], np.int64) for side in (a, b))
+    if len(x) < len(y):
+        x, y = y, x
+    place = np.arange(len(y) + 1)
+    row = place
+    for i, word in enumerate(x, 1):
+        made = np.minimum(row[1:] + 1, row[:-1] + (y != word))
+        # What comes from the left costs one a step: least of all before, less their places.
+        row = np.minimum.accumulate(np.concatenate(([i], made)) - place) + place
+    return int(row[-1])
 
 
 @F.pandas_udf(T.LongType())

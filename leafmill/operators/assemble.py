@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LOW_CONFIDENCE = 0.6
+#: Bytes of a document's text at most.
+MOST_BYTES = 64 << 20
+POLYGON = "array<struct<x:double,y:double>>"
 
 
 def leaves(observations: DataFrame, *keys: str) -> DataFrame:
@@ -14,14 +17,30 @@ def leaves(observations: DataFrame, *keys: str) -> DataFrame:
     return observations.join(parents, [*keys, "observation_id"], "left_anti")
 
 
-def assemble(observations: DataFrame, key: str) -> DataFrame:
-    """Text, citations and least confidence of each document: lines joined by line ends, pages by empty lines."""
-    line = F.struct("reading_order", "text", "observation_id")
-    pages = observations.groupBy(key, "page").agg(F.sort_array(F.collect_list(line)).alias("lines"), F.min("confidence").alias("confidence"))
-    docs = pages.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("page", "lines"))).alias("pages"), F.min("confidence").alias("confidence"))
+def assemble(observations: DataFrame, key: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Text, citations and least confidence of each document: lines joined by line ends, pages by empty lines.
+
+    Citations hold page, observation and polygon (null if there is none).  A
+    document whose text is longer than ``most_bytes`` has none, and ``limit`` says so.
+    """
+    polygon = [F.col("polygon")] if "polygon" in observations.columns else [F.lit(None).cast(POLYGON).alias("polygon")]
+    line = F.struct("reading_order", "text", "observation_id", *polygon)
+    pages = observations.groupBy(key, "page").agg(F.array_sort(F.collect_list(line), lambda a, b: order(a, b)).alias("lines"), F.min("confidence").alias("confidence"))
+    docs = pages.groupBy(key).agg(F.collect_list(F.struct("page", "lines")).alias("pages"), F.min("confidence").alias("confidence"))
+    docs = docs.withColumn("pages", F.array_sort("pages", lambda a, b: F.when(a["page"] < b["page"], -1).when(a["page"] > b["page"], 1).otherwise(0)))
     text = F.array_join(F.transform("pages", lambda p: F.array_join(F.transform(p["lines"], lambda x: x["text"]), "\n")), "\n\n")
-    cited = F.flatten(F.transform("pages", lambda p: F.transform(p["lines"], lambda x: F.struct(p["page"].alias("page"), x["observation_id"].alias("observation_id")))))
-    return docs.select(key, text.alias("text"), cited.alias("citations"), "confidence")
+    cited = F.flatten(F.transform("pages", lambda p: F.transform(p["lines"], lambda x: F.struct(p["page"].alias("page"), x["observation_id"].alias("observation_id"), x["polygon"].alias("polygon")))))
+    docs = docs.withColumn("text", text).withColumn("limit", F.when(F.octet_length("text") > most_bytes, "text"))
+    return docs.select(key, F.when(F.col("limit").isNull(), F.col("text")).alias("text"), cited.alias("citations"), "confidence", "limit")
+
+
+def order(a: Column, b: Column) -> Column:
+    """Of two lines, the earlier by reading order, then text, then observation."""
+    parts = ("reading_order", "text", "observation_id")
+    out = F.lit(0)
+    for c in reversed(parts):
+        out = F.when(a[c] < b[c], -1).when(a[c] > b[c], 1).otherwise(out)
+    return out
 
 
 def provenance(observation_id: Column) -> Column:
@@ -38,7 +57,8 @@ def review_signals(facts: DataFrame, extraction_codes: str | None = None) -> Dat
     """Failures, warnings and state of each document.
 
     ``facts`` has provider, empty_page, low_confidence, no_text (booleans), and
-    maybe an array column ``extraction_codes`` of an extraction's own failures.
+    maybe an array column ``extraction_codes`` of an extraction's own failures,
+    and ``workflow``, the page workflow's state: what is partial there stays so.
     """
     own = F.col(extraction_codes) if extraction_codes else F.array().cast("array<string>")
     legacy = F.col("provider") == "legacy-mixed"
@@ -53,7 +73,8 @@ def review_signals(facts: DataFrame, extraction_codes: str | None = None) -> Dat
     )
     warnings = F.array_compact(F.array(F.when(legacy, F.lit("manual_review_required")), F.when(F.col("empty_page"), F.lit("manual_review_required")), retake))
     out = facts.withColumn("failures", F.concat(own, failures)).withColumn("warnings", warnings)
-    return out.withColumn("state", F.when(F.size("failures") > 0, "review_required").otherwise("completed"))
+    partial = F.coalesce(F.col("workflow") == "partial", F.lit(False)) if "workflow" in facts.columns else F.lit(False)
+    return out.withColumn("state", F.when(partial, "partial").when(F.size("failures") > 0, "review_required").otherwise("completed"))
 
 
 def hybrid_pages(native: DataFrame, provider: DataFrame, keys: list[str]) -> DataFrame:

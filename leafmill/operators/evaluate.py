@@ -58,12 +58,12 @@ def field_scores(expected: DataFrame, found: DataFrame, keys: list[str], field:
 
 def run_problems(manifest: DataFrame, samples: DataFrame) -> DataFrame:
     """Why a run can't be scored: samples (``id``, ``sha256``, ``status``) held against the manifest (``id``, ``sha256``); no rows if it can."""
-    s = samples.groupBy("id").agg(F.count("*").alias("n"), F.min("sha256").alias("sample_digest"), F.bool_and(F.col("status").isin(STATUSES)).alias("known"))
+    s = samples.groupBy("id").agg(F.count("*").alias("n"), F.min("sha256").alias("sample_digest"), F.bool_and(F.coalesce(F.col("status").isin(STATUSES), F.lit(False))).alias("known"))
     m = manifest.groupBy("id").agg(F.count("*").alias("m"), F.min("sha256").alias("digest"))
     j = m.join(s, "id", "full_outer")
     why = (
         F.when(F.col("m").isNull(), "not_in_manifest").when(F.col("n").isNull(), "no_sample").when((F.col("m") > 1) | (F.col("n") > 1), "duplicate")
-        .when(F.col("digest") != F.col("sample_digest"), "digest").when(~F.col("known"), "status")
+        .when(~F.coalesce(F.col("digest") == F.col("sample_digest"), F.lit(False)), "digest").when(~F.col("known"), "status")
     )
     return j.select("id", why.alias("problem")).where("problem is not null")
 

@@ -20,8 +20,18 @@ MEASURES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("contrast",
 SKEW = T.StructType([T.StructField("degrees", T.DoubleType()), T.StructField("confidence", T.DoubleType()), T.StructField("sampled", T.IntegerType())])
 
 
-def pixels(luma: bytes, width: int, height: int) -> np.ndarray:
-    return np.frombuffer(luma, np.uint8).reshape(height, width)
+def pixels(luma: bytes | None, width: int | None, height: int | None) -> np.ndarray | None:
+    """The image, or None for what isn't one: nothing there, no size, or another number of pixels than the size says."""
+    if luma is None or pd.isna(width) or pd.isna(height) or width < 1 or height < 1 or len(luma) != int(width) * int(height):
+        return None
+    return np.frombuffer(luma, np.uint8).reshape(int(height), int(width))
+
+
+def each(work, columns: list[str], *images: pd.Series) -> pd.DataFrame:
+    """``work`` of each image as a row; nulls for what isn't an image."""
+    found = [pixels(p, w, h) for p, w, h in zip(*images)]
+    rows = [work(x) if x is not None else (None,) * len(columns) for x in found]
+    return pd.DataFrame(rows, columns=columns, dtype=object)
 
 
 def measures(image: np.ndarray) -> tuple[float, float, float, bool]:
@@ -36,11 +46,11 @@ def measures(image: np.ndarray) -> tuple[float, float, float, bool]:
 
 @F.pandas_udf(MEASURES)
 def measure(luma: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([measures(pixels(p, w, h)) for p, w, h in zip(luma, width, height)], columns=MEASURES.names)
+    return each(measures, MEASURES.names, luma, width, height)
 
 
 def quality(images: DataFrame, least_width: int = 64, least_height: int = 64, least_sharpness: float = 0.01) -> DataFrame:
-    """Measures, warnings in their fixed order, score, disposition and the verdict for the photographer."""
+    """Measures, warnings in their fixed order, score, disposition and the verdict for the photographer; what isn't an image has null measures and is unreadable."""
     m = images.withColumn("m", measure("luma", "width", "height")).select("*", "m.*").drop("m")
     blank = F.col("contrast") < BLANK
     small = (F.col("width") < least_width) | (F.col("height") < least_height)
@@ -52,7 +62,9 @@ def quality(images: DataFrame, least_width: int = 64, least_height: int = 64, le
     resolution = F.least(F.col("width") / least_width, F.col("height") / least_height, F.lit(1.0))
     exposure = F.greatest(1.0 - F.abs(F.col("mean_luminance") - 0.5) * 2.0, F.lit(0.0))
     m = m.withColumns({"warnings": warnings, "quality_score": F.when(blank, 0.0).otherwise(F.col("contrast") * resolution * exposure)})
-    return m.withColumns({"disposition": F.when(F.size("warnings") == 0, "continue").otherwise("request_better_source"), "verdict": verdict(F.col("warnings"))})
+    out = {"disposition": F.when(F.size("warnings") == 0, "continue").otherwise("request_better_source"), "verdict": verdict(F.col("warnings"))}
+    unreadable = F.col("contrast").isNull()
+    return m.withColumns({"warnings": F.when(unreadable, F.array(F.lit("unreadable"))).otherwise(F.col("warnings"))} | {k: F.when(~unreadable, v).otherwise({"disposition": "request_better_source", "verdict": "unusable"}[k]) for k, v in out.items()})
 
 
 def verdict(warnings: Column) -> Column:
@@ -87,7 +99,7 @@ def skew(image: np.ndarray) -> tuple[float, float, int]:
 
 @F.pandas_udf(SKEW)
 def estimate_skew(luma: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([skew(pixels(p, w, h)) for p, w, h in zip(luma, width, height)], columns=SKEW.names)
+    return each(skew, SKEW.names, luma, width, height)
 
 
 def rotated(image: np.ndarray, degrees: float) -> np.ndarray:
@@ -113,7 +125,7 @@ def rotate(luma: pd.Series, width: pd.Series, height: pd.Series, degrees: pd.Ser
 def deskew(images: DataFrame, least_degrees: float = 0.5, least_confidence: float = 0.1) -> DataFrame:
     """Images turned upright where the angle matters and is sure enough, with the decision."""
     e = images.withColumn("skew", estimate_skew("luma", "width", "height"))
-    decision = F.when(F.abs("skew.degrees") < least_degrees, "below_material_angle").when(F.col("skew.confidence") < least_confidence, "below_confidence").otherwise("applied")
+    decision = F.when(F.col("skew.degrees").isNull(), "unreadable").when(F.abs("skew.degrees") < least_degrees, "below_material_angle").when(F.col("skew.confidence") < least_confidence, "below_confidence").otherwise("applied")
     e = e.withColumn("decision", decision).withColumn("turn", F.when(F.col("decision") == "applied", F.col("skew.degrees")).otherwise(0.0))
     turned = e.where("decision = 'applied'").withColumn("luma", rotate("luma", "width", "height", "turn"))
     return turned.unionByName(e.where("decision <> 'applied'")).drop("turn")

@@ -164,6 +164,17 @@ def cached(records: DataFrame, now: Column, active_ttl: int, terminal_ttl: int)
     return records.where(F.col("stored_at") + F.make_dt_interval(secs=ttl) > now)
 
 
+def cache_lookup(requests: DataFrame, records: DataFrame, now: Column, active_ttl: int, terminal_ttl: int) -> DataFrame:
+    """Outcome of asking the cache for jobs: hit, miss, or foreign where the record's own scope isn't the request's (it is then not shown)."""
+    live = cached(records, now, active_ttl, terminal_ttl).select("job_id", *[F.col(c).alias(f"own_{c}") for c in SCOPE], F.col("status").alias("own_status"))
+    j = requests.join(live, "job_id", "left")
+    same = F.lit(True)
+    for c in SCOPE:
+        same = same & F.col(c).eqNullSafe(F.col(f"own_{c}"))
+    outcome = F.when(F.col("own_status").isNull(), "miss").when(same, "hit").otherwise("foreign")
+    return j.select(*requests.columns, outcome.alias("outcome"), F.when(outcome == "hit", F.col("own_status")).alias("status"))
+
+
 def transitions_table(spark: SparkSession) -> DataFrame:
     """Both relations as rows."""
     rows = [("domain", *t) for t in DOMAIN_TRANSITIONS] + [("store", *t) for t in STORE_TRANSITIONS]

@@ -18,10 +18,9 @@ def region_valid(r: Column) -> Column:
 
 
 def suppress(regions: Column, threshold: float) -> Column:
-    """Greedy suppression of an array of regions: by confidence, keep what overlaps nothing kept by ``threshold`` or more; then reading order."""
-    keyed = F.transform(regions, lambda r: F.struct((-r["confidence"]).alias("rank"), r["top"].alias("top"), r["left"].alias("left"), r["right"].alias("right"), r["bottom"].alias("bottom"), r["confidence"].alias("confidence")))
-    # Ties by left, then top: the sort key puts left before top.
-    keyed = F.array_sort(F.transform(keyed, lambda r: F.struct(r["rank"].alias("rank"), r["left"].alias("left"), r["top"].alias("top"), r["right"].alias("right"), r["bottom"].alias("bottom"), r["confidence"].alias("confidence"))))
+    """Greedy suppression of an array of regions: by confidence (ties by top, then left), keep what overlaps nothing kept by ``threshold`` or more; then reading order."""
+    ranked = F.transform(regions, lambda r: F.struct((-r["confidence"]).alias("rank"), r["top"].alias("top"), r["left"].alias("left"), r["bottom"].alias("bottom"), r["right"].alias("right"), r["confidence"].alias("confidence")))
+    keyed = F.array_sort(ranked)
     kept = F.aggregate(keyed, F.slice(keyed, 1, 0), lambda k, r: F.when(F.exists(k, lambda o: iou(o, r) >= threshold), k).otherwise(F.concat(k, F.array(r))))
     shaped = F.transform(kept, lambda r: F.struct(r["top"].alias("top"), r["left"].alias("left"), r["bottom"].alias("bottom"), r["right"].alias("right"), r["confidence"].alias("confidence")))
     return F.array_sort(shaped)

@@ -11,7 +11,7 @@ SCOPE = ["product_id", "tenant_id"]
 MOST_BYTES, MOST_PAGES, MOST_FIELD_NAME, MOST_RATIO = 64 << 20, 1000, 128, 200
 QUOTA_WAIT_SECONDS = 65
 # Kinds of failure and whether work is tried again; fixed values.
-RETRYABLE = {"timeout": True, "unavailable": True, "quota": True, "internal": True, "invalid_document": False, "scope_violation": False}
+RETRYABLE = {"provider_rate_limited": True, "dependency_unavailable": True, "revision_conflict": True, "invalid_input": False, "scope_not_found": False, "iteration_limit": False}
 
 
 def unnest(df: DataFrame, *arrays: str) -> DataFrame:
@@ -110,12 +110,12 @@ def same_keys(a: DataFrame, b: DataFrame, key: str) -> bool:
 
 
 def retry_plan(kind: Column, attempt: Column, most: int = 3) -> Column:
-    """Seconds until work that failed with ``kind`` is tried again, or null: quotas wait longer, permanent kinds and the last attempt don't."""
+    """Seconds until work that failed with ``kind`` is tried again, or null: rate limits wait longer; permanent and unknown kinds and the last attempt get no other."""
     again = F.lit(False)
     for name, retry in RETRYABLE.items():
         if retry:
             again = again | (kind == name)
-    wait = F.when(kind == "quota", QUOTA_WAIT_SECONDS).otherwise(F.least(F.lit(30), F.pow(F.lit(2), attempt - 1).cast("int")))
+    wait = F.when(kind == "provider_rate_limited", QUOTA_WAIT_SECONDS).otherwise(F.least(F.lit(30), F.pow(F.lit(2), attempt - 1).cast("int")))
     return F.when(again & (attempt < most), wait)
 
 

@@ -138,8 +138,8 @@ ORACLES = {
     "upload_verification": """select case when p_partkey % 9 = 0 then 'too_short' when p_partkey % 5 = 0 then 'length' when p_partkey % 7 = 0 then 'digest' else 'verified' end as outcome,
         p_partkey <= p_partkey % 10 * 200 as ratio_ok, count(*) as uploads from part group by all""",
     "job_ages": "select o_orderkey as k, greatest(0, date_diff('millisecond', o_orderdate, timestamp '1998-01-01')) as age_ms, o_orderkey % 120 <= 60 as clock_ok from orders",
-    "retry_decisions": """with e as (select (['timeout', 'unavailable', 'quota', 'internal', 'invalid_document', 'scope_violation'])[event_id % 6 + 1] as kind, cast((event_id // 6) % 3 + 1 as integer) as attempt from events)
-        select kind, attempt, count(*) as failures, cast(max(case when kind in ('invalid_document', 'scope_violation') or attempt >= 3 then null when kind = 'quota' then 65 else pow(2, attempt - 1) end) as integer) as wait_seconds from e group by all""",
+    "retry_decisions": """with e as (select (['provider_rate_limited', 'dependency_unavailable', 'revision_conflict', 'invalid_input', 'scope_not_found', 'iteration_limit'])[event_id % 6 + 1] as kind, cast((event_id // 6) % 3 + 1 as integer) as attempt from events)
+        select kind, attempt, count(*) as failures, cast(max(case when kind in ('invalid_input', 'scope_not_found', 'iteration_limit') or attempt >= 3 then null when kind = 'provider_rate_limited' then 65 else pow(2, attempt - 1) end) as integer) as wait_seconds from e group by all""",
     "artifact_totals": """with a as (select l_orderkey, count(*) as n, sum(case when l_orderkey % 8 = 0 then 0 else cast(l_quantity as bigint) * 400000 end) as b from lineitem group by 1)
         select case when b > 67108864 then 'too_large' when b = 0 then 'corrupt' else 'within' end as outcome, count(*) as documents, cast(sum(n) as bigint) as artifacts from a group by 1""",
     "result_violations": """select rule, count(*) as results from (select unnest(list_filter([case when o_orderkey % 5 = 0 then 'document_id' end, case when o_orderkey % 4 = 0 then 'citations' end,

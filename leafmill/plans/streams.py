@@ -8,17 +8,13 @@ from pyspark.sql import functions as F
 
 from ..functions import jsoncmp
 from ..sources import tables
+from ..sources.staging import shared_folder
 from ..streaming import outbox, windows
 
 
 def folder(spark) -> str:
     """A new folder in the one that all executors share."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        import tempfile
-
-        path = tempfile.mkdtemp(prefix="leafmill-")
-    return f"{path.rstrip('/')}/leafmill-stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/leafmill-stream-{uuid.uuid4().hex}"
 
 
 def run_once(spark, stream, mode="append"):

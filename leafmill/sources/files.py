@@ -41,11 +41,20 @@ def _fields(ddl: str) -> str:
 
 
 def pinned(spark: SparkSession, path: str, expected: DataFrame, most_bytes: int = 20 << 20) -> DataFrame:
-    """Files under ``path`` held against ``expected`` (name, sha256): ok, missing, too_large or changed."""
+    """Files under ``path`` held against ``expected`` (name, the path from there; sha256): ok, missing, too_large, changed or outside.
+
+    Files that are too large are told by their length and not read.
+    """
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("found"))
-    j = expected.join(files, "name", "left")
-    return j.withColumn("outcome", F.when(F.col("found").isNull(), "missing").when(F.col("length") > most_bytes, "too_large").when(F.col("found") != F.col("sha256"), "changed").otherwise("ok"))
+    name = F.expr(f"substring(path, {len(root) + 2})").alias("name")
+    sizes = files.select(name, "length")
+    digests = files.where(F.col("length") <= most_bytes).select(name, F.sha2("content", 256).alias("found"))
+    j = expected.join(sizes, "name", "left").join(digests, "name", "left")
+    outside = F.col("name").startswith("/") | F.array_contains(F.split("name", "/"), "..")
+    outcome = F.when(outside, "outside").when(F.col("length").isNull(), "missing").when(F.col("length") > most_bytes, "too_large").when(F.col("found").eqNullSafe(F.col("sha256")), "ok").otherwise("changed")
+    return j.withColumn("outcome", outcome)
 
 
 def anchored(text: Column, segments: Column) -> Column:
@@ -66,15 +75,19 @@ def provider_lines(responses: DataFrame, json_col: str, *keys: str) -> DataFrame
 
 
 def layout_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of extracted layout XML (page, flow, block, line, word with box attributes), boxes as parts of the page; empty boxes are left out."""
+    """Lines of extracted layout XML files (doc, page, flow, block, line, word with box attributes): ``document`` is the file, ``page`` counts from 1.
+
+    Boxes are parts of the page; empty boxes are left out, but count in ``place``.
+    """
     word = "struct<_VALUE:string,_xMin:double,_yMin:double,_xMax:double,_yMax:double>"
     line = f"struct<_xMin:double,_yMin:double,_xMax:double,_yMax:double,word:array<{word}>>"
-    schema = f"_width double, _height double, flow array<struct<block:array<struct<line:array<{line}>>>>>"
-    pages = spark.read.format("xml").option("rowTag", "page").schema(schema).load(path).withColumn("__at", F.monotonically_increasing_id())
-    rows = pages.select("__at", "_width", "_height", F.posexplode(F.flatten(F.flatten(F.transform("flow", lambda f: F.transform(f["block"], lambda b: b["line"]))))).alias("i", "l"))
+    schema = f"page array<struct<_width:double,_height:double,flow:array<struct<block:array<struct<line:array<{line}>>>>>>>"
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("document"), F.regexp_extract("value", r"(?s)<doc\b.*</doc>", 0).alias("xml"))
+    pages = whole.select("document", F.posexplode(F.from_xml("xml", schema)["page"]).alias("at", "p")).select("document", (F.col("at") + 1).alias("page"), "p.*")
+    rows = pages.select("document", "page", "_width", "_height", F.posexplode(F.flatten(F.flatten(F.transform("flow", lambda f: F.transform(f["block"], lambda b: b["line"]))))).alias("place", "l"))
     part = lambda c, side: F.least(F.greatest(F.col(f"l.{c}") / F.col(side), F.lit(0.0)), F.lit(1.0))
-    rows = rows.select("__at", "i", F.array_join(F.transform("l.word", lambda w: w["_VALUE"]), " ").alias("text"), part("_xMin", "_width").alias("left"), part("_yMin", "_height").alias("top"), part("_xMax", "_width").alias("right"), part("_yMax", "_height").alias("bottom"))
-    return rows.where("left < right and top < bottom").withColumnsRenamed({"__at": "page_key", "i": "place"})
+    rows = rows.select("document", "page", "place", F.array_join(F.transform("l.word", lambda w: w["_VALUE"]), " ").alias("text"), part("_xMin", "_width").alias("left"), part("_yMin", "_height").alias("top"), part("_xMax", "_width").alias("right"), part("_yMax", "_height").alias("bottom"))
+    return rows.where("left < right and top < bottom")
 
 
 def configured(value: Column) -> Column:

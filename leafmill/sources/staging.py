@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a folder of our own only in local mode, where none is set."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="leafmill-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as a table in the folder that executors share (``spark.checkpoint.dir``) and read again.
 
-    Where no such folder is set, it is kept in memory and on disk, and made again if lost.
+    Where no such folder is set (local mode only), a folder of our own takes its place.
     """
     spark = df.sparkSession
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    path = f"{path.rstrip('/')}/leafmill/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/leafmill/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

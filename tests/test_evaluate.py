@@ -37,6 +37,27 @@ def test_limits(spark):
 def test_word_distance():
     assert word_distance("a b c d".split(), "a x c".split()) == 2
     assert word_distance([], ["a"]) == 1
+    import random
+
+    def slow(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(1)
+    for _ in range(500):
+        a, b = (rng.choices("abcd", k=rng.randrange(12)) for _ in range(2))
+        assert word_distance(a, b) == slow(a, b)
+
+
+def test_unknown_digests_and_states(spark):
+    """A run with a missing digest or state isn't clean."""
+    m = spark.createDataFrame([("a", "h"), ("b", None), ("c", "h"), ("d", "h")], "id string, sha256 string")
+    s = spark.createDataFrame([("a", None, "completed"), ("b", None, "completed"), ("c", "h", None), ("d", "h", "completed")], "id string, sha256 string, status string")
+    assert {r.id: r.problem for r in evaluate.run_problems(m, s).collect()} == {"a": "digest", "b": "digest", "c": "status"}
 
 
 def test_all_pairs(spark, tmp_path):

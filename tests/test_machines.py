@@ -86,6 +86,9 @@ def test_suppression(spark):
     df = spark.createDataFrame([(r,)], "regions array<struct<left:double,top:double,right:double,bottom:double,confidence:double>>")
     kept = df.select(regions.suppress(F.col("regions"), 0.5).alias("k")).first().k
     assert [x.confidence for x in kept] == [0.9, 0.7]
+    # Of two that overlap with like confidence the upper one stays, though the lower one is further left.
+    tie = spark.createDataFrame([([(0.1, 0.2, 0.5, 0.4, 0.9), (0.2, 0.1, 0.6, 0.35, 0.9)],)], df.schema).select(regions.suppress(F.col("regions"), 0.2).alias("k")).first().k
+    assert [(x.left, x.top) for x in tie] == [(0.2, 0.1)]
 
 
 def test_images(spark):
@@ -97,6 +100,9 @@ def test_images(spark):
     got = {r.name: (r.verdict, r.warnings, r.quality_score) for r in images.quality(df, least_sharpness=0.005).collect()}
     assert got["flat"][0] == "unusable" and got["flat"][2] == 0 and got["ramp"][0] == "usable"
     assert got["dark"][0] == "add_light" and "glare" in got["glare"][1]
+    odd = spark.createDataFrame([("null", None, 4, 4), ("short", bytearray(b"abc"), 4, 4), ("size", bytearray(b"abcd"), None, 4), ("flat", bytearray(flat.tobytes()), 64, 64)], df.schema)
+    assert {r.name: (r.verdict, r.warnings) for r in images.quality(odd).where("name <> 'flat'").collect()} == dict.fromkeys(["null", "short", "size"], ("unusable", ["unreadable"]))
+    assert {r.name: r.decision for r in images.deskew(odd).collect()} == {"null": "unreadable", "short": "unreadable", "size": "unreadable", "flat": "below_material_angle"}
 
 
 @pytest.mark.parametrize("degrees", [-4.0, 0.0, 3.0])
@@ -167,6 +173,12 @@ def test_files(spark, tmp_path):
     want = hashlib.sha256(b"abc").hexdigest()
     e = spark.createDataFrame([("a.bin", want), ("b.bin", want), ("c.bin", want)], "name string, sha256 string")
     assert {r.name: r.outcome for r in files.pinned(spark, str(tmp_path / "in"), e).collect()} == {"a.bin": "ok", "b.bin": "changed", "c.bin": "missing"}
+    for folder in ("x", "y"):
+        (tmp_path / "in" / folder).mkdir()
+        (tmp_path / "in" / folder / "same.bin").write_bytes(folder.encode() * 30)
+    deep = spark.createDataFrame([(n, hashlib.sha256(b"x" * 30).hexdigest()) for n in ("x/same.bin", "y/same.bin", "same.bin", "../in/a.bin")] + [("a.bin", None)], "name string, sha256 string")
+    assert {r.name: r.outcome for r in files.pinned(spark, str(tmp_path / "in"), deep).collect()} == {"x/same.bin": "ok", "y/same.bin": "changed", "same.bin": "missing", "../in/a.bin": "outside", "a.bin": "changed"}
+    assert {r.outcome for r in files.pinned(spark, str(tmp_path / "in"), deep.limit(1), most_bytes=10).collect()} == {"too_large"}
 
     response = {"document": {"text": "héllo\nworld\n", "pages": [{"pageNumber": 1, "lines": [{"layout": {"textAnchor": {"textSegments": [{"endIndex": "6"}]}, "confidence": 0.9, "boundingPoly": {"normalizedVertices": [{"x": 0.1, "y": 0.2}]}}}, {"layout": {"textAnchor": {"textSegments": [{"startIndex": "6", "endIndex": "12"}]}}}]}]}}
     df = spark.createDataFrame([(1, json.dumps(response))], "id int, json string")
@@ -178,6 +190,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "l.xml").write_text('<doc><page width="100" height="200"><flow><block><line xMin="10" yMin="20" xMax="50" yMax="30"><word xMin="10" yMin="20" xMax="30" yMax="30">two</word><word xMin="30" yMin="20" xMax="50" yMax="30">words</word></line><line xMin="5" yMin="1" xMax="5" yMax="2"></line></block></flow></page></doc>')
     lines = files.layout_lines(spark, str(tmp_path / "l.xml")).collect()
     assert [(r.text, r.left, r.top, r.right, r.bottom) for r in lines] == [("two words", 0.1, 0.1, 0.5, 0.15)]
+    assert lines[0].page == 1 and lines[0].document.endswith("l.xml")
 
     out = str(tmp_path / "out")
     files.create_only(e, out)
@@ -207,6 +220,48 @@ def test_image_heads(spark):
     assert got == {"a": ("ok", 30, 20), "b": ("ok", 30, 20), "c": ("ok", 30, 20), "d": ("mismatch", 30, 20), "e": ("unreadable", None, None)}
 
 
+def test_retries(spark):
+    from leafmill.operators import store
+
+    kinds = ["provider_rate_limited", "dependency_unavailable", "revision_conflict", "invalid_input", "scope_not_found", "iteration_limit", "other"]
+    df = spark.createDataFrame([(k, n) for k in kinds for n in (1, 2, 3)], "kind string, attempt int")
+    got = {(r.kind, r.attempt): r.w for r in df.select("kind", "attempt", store.retry_plan(F.col("kind"), F.col("attempt")).alias("w")).collect() if r.w is not None}
+    assert got == {("provider_rate_limited", 1): 65, ("provider_rate_limited", 2): 65, ("dependency_unavailable", 1): 1, ("dependency_unavailable", 2): 2, ("revision_conflict", 1): 1, ("revision_conflict", 2): 2}
+
+
+def test_assembly(spark):
+    """Citations hold the polygon; texts above the bound are left out; a partial workflow stays partial."""
+    from leafmill.operators import assemble
+
+    rows = [(1, 2, 0, "b", "o3", 0.9, [(0.1, 0.2)]), (1, 1, 1, "a2", "o2", 0.5, [(0.3, 0.4)]), (1, 1, 0, "a1", "o1", 0.8, None), (2, 1, 0, "x" * 50, "o4", 0.9, None)]
+    df = spark.createDataFrame(rows, "doc int, page int, reading_order int, text string, observation_id string, confidence double, polygon array<struct<x:double,y:double>>")
+    got = {r.doc: r for r in assemble.assemble(df, "doc", most_bytes=40).collect()}
+    assert got[1].text == "a1\na2\n\nb" and got[1].limit is None and (got[2].text, got[2].limit) == (None, "text")
+    assert [(c.page, c.observation_id, c.polygon and tuple(c.polygon[0])) for c in got[1].citations] == [(1, "o1", None), (1, "o2", (0.3, 0.4)), (2, "o3", (0.1, 0.2))]
+    assert got[1].confidence == 0.5 and assemble.assemble(df.drop("polygon"), "doc").count() == 2
+    facts = spark.createDataFrame([(1, "partial", True), (2, "completed", True), (3, "completed", False), (4, None, False)], "doc int, workflow string, low_confidence boolean").withColumns({"provider": F.lit("native-text"), "empty_page": F.lit(False), "no_text": F.lit(False)})
+    assert {r.doc: r.state for r in assemble.review_signals(facts).collect()} == {1: "partial", 2: "review_required", 3: "completed", 4: "completed"}
+
+
+def test_cache_lookup(spark):
+    records = spark.sql("select 'j1' as job_id, 'p' as product_id, 't' as tenant_id, 'completed' as status, timestamp'2024-01-01' as stored_at union all select 'j2', 'p', 'u', 'completed', timestamp'2024-01-01' union all select 'j3', 'p', 't', 'processing', timestamp'2024-01-01'")
+    asked = spark.createDataFrame([("j1", "p", "t"), ("j2", "p", "t"), ("j3", "p", "t"), ("j4", "p", "t")], "job_id string, product_id string, tenant_id string")
+    got = lifecycle.cache_lookup(asked, records, F.lit("2024-01-01 00:10:00").cast("timestamp"), 60, 3600).collect()
+    assert {r.job_id: (r.outcome, r.status) for r in got} == {"j1": ("hit", "completed"), "j2": ("foreign", None), "j3": ("miss", None), "j4": ("miss", None)}
+
+
+def test_top_k_over_blocks(spark, monkeypatch):
+    from leafmill.operators import semantic
+
+    rng = np.random.default_rng(3)
+    rows = [(i, "t", [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, tenant_id string, embedding array<double>")
+    run = lambda: sorted((r.query_id, r.place, r.record_id) for r in semantic.top_k(df.where("vec_id < 5"), df, 7).collect())
+    many = run()
+    monkeypatch.setattr(semantic, "BLOCKS", 1)
+    assert many == run() and len(many) == 35
+
+
 def test_store_parts(spark):
     from leafmill.operators import store
 
