@@ -135,6 +135,12 @@ ORACLES = {
           union all select 'row', unnest(['energy', 'protein_g', 'fat_g', 'saturated_fat_g', 'carbohydrate_g', 'sugars_g', 'sodium_mg']), n from n) where lines > 0""",
     "spatial_cells": """select p_partkey as doc_id, unnest(['per_serving.protein_g', 'per_100g.protein_g', 'per_100g.sodium_mg']) as name, unnest([p_partkey % 90, p_partkey % 80, p_partkey % 600])::double as value from part
         union all select p_partkey, 'per_serving.sodium_mg', p_partkey % 700 from part where p_partkey % 5 <> 0 union all select p_partkey, 'nutrition_row_incomplete', null from part where p_partkey % 5 = 0""",
+    "nms_regions": """with recursive li as (select l_orderkey, l_linenumber, min(l_partkey) as p, min(l_suppkey) as s from lineitem group by all),
+        r as (select l_orderkey as o, {'l': p % 8 / 16.0::double, 't': s % 8 / 16.0::double, 'c': ((l_linenumber * 13 + p) % 64) / 64.0::double} as x, row_number() over (partition by l_orderkey order by (l_linenumber * 13 + p) % 64 desc, s % 8, p % 8) as n from li),
+        k as (select o, cast(0 as bigint) as n, []::struct(l double, t double, c double)[] as kept from r where r.n = 1
+          union all select k.o, r.n, case when len(list_filter(k.kept, lambda q: greatest(0, 0.25 - abs(q.l - r.x.l)) * greatest(0, 0.25 - abs(q.t - r.x.t)) >= 0.3 * (0.125 - greatest(0, 0.25 - abs(q.l - r.x.l)) * greatest(0, 0.25 - abs(q.t - r.x.t))))) > 0
+            then k.kept else list_append(k.kept, r.x) end from k join r on r.o = k.o and r.n = k.n + 1)
+        select o as l_orderkey, max(n) as candidates, cast(max_by(len(kept), n) as bigint) as kept, max_by(list_sum(list_transform(kept, lambda q: q.c)), n) as confidence from k group by o""",
     "transform_inverse": """with a as (select o_orderkey, o_orderkey as k, (o_orderkey % 16) / 16.0::double as x, (o_orderkey % 32) / 32.0::double as y from orders),
         b as (select o_orderkey, k, case when k % 2 = 0 then 1 - x else x end as x, case when k % 2 = 0 then y else 1 - y end as y from a),
         c as (select o_orderkey, case k % 4 when 0 then y when 1 then 1 - x when 2 then 1 - y else x end as x, case k % 4 when 0 then 1 - x when 1 then 1 - y when 2 then x else 1 - y end as y from b)
