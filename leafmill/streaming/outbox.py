@@ -1,6 +1,8 @@
-"""Streaming forms of outbox and upload leases: state for each event, removed by a processing-time timer once the event has long been published or dead.
+"""Streaming forms of outbox and upload leases: state for each event.
 
-Leases end by the commands' own times, so results don't depend on when a batch runs.
+Leases end by the commands' own times, so results don't depend on when a batch
+runs, and no timers are needed.  Published and dead events keep their state, so
+that later commands find them so: state grows with the number of events.
 """
 
 from __future__ import annotations
@@ -18,8 +20,6 @@ from ..operators.outbox import LEASE_MINUTES, MOST_ATTEMPTS
 STATE = "attempts int, owner string, expires timestamp, published boolean, dead boolean"
 OUTPUT = "event_id long, owner string, outcome string, attempts int, lease_expires_at timestamp"
 COMMANDS = "event_id long, kind string, owner string, at timestamp"
-#: Milliseconds for which a published or dead event still knows that it is; later commands don't find it.
-KEPT_MS = 24 * 60 * 60 * 1000
 
 
 def step(state: tuple | None, kind: str, owner: str | None, at: datetime) -> tuple[tuple, str]:
@@ -46,7 +46,7 @@ class Deliveries(StatefulProcessor):
     """Delivery state of each outbox event; commands of one batch are taken in the order of their time."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.delivery = handle, handle.getValueState("delivery", STATE)
+        self.delivery = handle.getValueState("delivery", STATE)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         commands = pd.concat(list(rows)).sort_values(["at", "kind"], kind="stable")
@@ -59,24 +59,16 @@ class Deliveries(StatefulProcessor):
                 state = made
             out.append((key[0], made[1], outcome, made[0], made[2]))
         if state is not None:
-            done_before = self.delivery.exists() and any(tuple(self.delivery.get())[3:])
             self.delivery.update(state)
-            if any(state[3:]) and not done_before:
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + KEPT_MS)
         yield pd.DataFrame(out, columns=["event_id", "owner", "outcome", "attempts", "lease_expires_at"]).astype({"lease_expires_at": "datetime64[ns]"})
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if self.delivery.exists() and any(tuple(self.delivery.get())[3:]):
-            self.delivery.clear()
-        return iter(())
-
     def close(self) -> None:
         pass
 
 
 def deliveries(commands: DataFrame) -> DataFrame:
     """Outcomes of a stream of commands (``event_id``, kind, owner, at) against each event's delivery state."""
-    return commands.groupBy("event_id").transformWithStateInPandas(Deliveries(), OUTPUT, "append", "ProcessingTime")
+    return commands.groupBy("event_id").transformWithStateInPandas(Deliveries(), OUTPUT, "append", "None")
 
 
 def once(events: DataFrame, key: str, at: str, delay: str) -> DataFrame:
