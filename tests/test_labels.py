@@ -25,24 +25,24 @@ def run(spark, *docs):
 
 
 PANEL = [
-    "NUTRITION INFORMATION", "Servings per package: 4", "Serving size: 30g", "Per Serving  Per 100g", "Energy 540kJ (129Cal) 1800kJ (430Cal)", "Protein 2.1g 7g", "Fat, total 3g 10g",
-    "- saturated 1.2 g 4 g", "Trans fat 0g 0g", "Carbohydrate 21g 70g", "- sugars 6g 20g", "Dietary fibre <1g 3g", "Sodium 0.15g 500mg", "9 300675 024235",
+    "Rolled oats with raisins", "Nutrition Information", "Servings per pack: 12", "Serving size: 45g", "Per Serving  Per 100g", "Sodium 0.09g 200mg", "Protein 5.4g 12g", "Dietary fibre <1g 8g",
+    "Carbohydrate 27g 60g", "- sugars 9g 20g", "Fat, total 4.5g 10g", "- saturated 0.9 g 2 g", "Energy 720kJ (172Cal) 1600kJ (382Cal)", "9 300000 000019",
 ]
 
 
 def test_two_columns(spark):
     (fields, failures), = run(spark, PANEL)
-    assert fields["per_serving.energy_kj"] == "540.0" and fields["per_100g.energy_kcal"] == "430.0"
-    assert fields["per_serving.sodium_mg"] == "150.0" and fields["per_100g.sodium_mg"] == "500.0"
-    assert "per_serving.fibre_g" not in fields and fields["per_100g.fibre_g"] == "3.0"
-    assert fields["servings_per_pack"] == "4.0" and fields["barcode"] == "9300675024235" and fields["locale"] == "en-AU"
-    assert json.loads(fields["serving_size"]) == {"amount": 30.0, "unit": "g"} and json.loads(fields["column_headers"]) == ["per_serving", "per_100g"]
+    assert fields["per_serving.energy_kj"] == "720.0" and fields["per_100g.energy_kcal"] == "382.0"
+    assert fields["per_serving.sodium_mg"] == "90.0" and fields["per_100g.sodium_mg"] == "200.0"
+    assert "per_serving.fibre_g" not in fields and fields["per_100g.fibre_g"] == "8.0"
+    assert fields["servings_per_pack"] == "12.0" and fields["barcode"] == "9300000000019" and fields["locale"] == "en-AU"
+    assert json.loads(fields["serving_size"]) == {"amount": 45.0, "unit": "g"} and json.loads(fields["column_headers"]) == ["per_serving", "per_100g"]
     assert failures == set()
 
 
 def test_missing_parts(spark):
     headless = [x for x in PANEL if "Per Serving" not in x]
-    nothing, no_heads, bad_code = run(spark, ["hello", "12345678"], headless, [*PANEL[:-1], "9 300675 024236"])
+    nothing, no_heads, bad_code = run(spark, ["hello", "12345678"], headless, [*PANEL[:-1], "9 300000 000011"])
     assert nothing == ({}, {"nutrition_panel_not_found"})
     assert no_heads[1] == {"nutrition_columns_unidentified"} and not [k for k in no_heads[0] if "." in k]
     assert "barcode" not in bad_code[0]
