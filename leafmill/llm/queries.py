@@ -10,6 +10,7 @@ from .bpe_transducer import op5_byte_bpe
 from . import licenses, near_dedup, sharding, tool_calls
 from .licenses import op2_license_scans
 from .matroska import op1_media_columns
+from .mixture import op11_mixture_packing
 from .near_dedup import op8_minhash_near_dedup
 from .packing import op4_best_fit_packing
 from .quality import op3_quality_rules
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op11_mixture_packing": op11_mixture_packing,
 }
 
 ORACLES: dict[str, str] = {
