@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_transducer import op5_byte_bpe
 from . import licenses, near_dedup, sharding, tool_calls
+from .dialogue import op12_conversation_repair
 from .licenses import op2_license_scans
 from .matroska import op1_media_columns
 from .mixture import op11_mixture_packing
 from .near_dedup import op8_minhash_near_dedup
 from .packing import op4_best_fit_packing
 from .quality import op3_quality_rules
+from .runs import op13_periodic_runs
 from .sharding import op6_sharding
 from .token_counts import op10_token_counts
 from .tool_calls import op7_chat_formatting
@@ -31,6 +33,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
     "op11_mixture_packing": op11_mixture_packing,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
