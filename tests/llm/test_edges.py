@@ -13,7 +13,7 @@ from leafmill.llm.queries import QUERIES
 
 ROWS = [(1, None), (2, ""), (3, "  \n\t"), (4, "word " * 30_000), (5, "same text here"), (5, "same text here"), (6, "same text here"), (None, "no id"), (None, None), (7, "\x00퟿\U0010ffff")]
 #: Columns that results or inner steps also use.
-CLASH = {"score": "score", "kept": "kept", "id": "id", "n_bytes": "n_bytes", "length": "length", "hash": "print", "value": "value", "__source": "__source"}
+CLASH = {"source": "queue", "score": "score", "kept": "kept", "id": "id", "n_bytes": "n_bytes", "length": "length", "hash": "print", "value": "value", "__source": "__source"}
 
 
 def tables(spark, path, rows):
@@ -44,7 +44,7 @@ def test_query(name, spark, edges, nothing):
     whole = [r for r in rows if "sequence_id" not in r or r.start == 0]
     assert len(whole) == want
     twice = [tuple(v for k, v in r.asDict().items() if k not in ("sequence_id", "offset")) for r in rows if r[key] == 5]
-    assert len(set(twice)) == 1 or key == "conv_id"
+    assert len(set(twice)) == 1 or key == "conv_id" or name == "op11_mixture_packing"  # which cuts anywhere
     empty = QUERIES[name](spark, nothing)
     assert empty.count() == 0 and empty.columns == QUERIES[name](spark, edges).columns
 
