@@ -274,6 +274,8 @@ def pack_mixture(
     numbered = parts.join(F.broadcast(queues), F.col("source").eqNullSafe(F.col("named")), "left").select("task", "source", "n", F.coalesce("queue", F.lit(len(top))).alias("queue"))
     before = Window.partitionBy("queue").orderBy("task", "source").rowsBetween(Window.unboundedPreceding, -1)
     offsets = numbered.select(F.col("task").alias("of_task"), F.col("source").alias("of_source"), "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    # Written, so that its size is known before it is joined: below Spark's threshold it goes to the documents, and they needn't move.
+    offsets = settle(offsets, "offsets")
     placed = found.join(offsets, (F.col("task") == F.col("of_task")) & F.col("source").eqNullSafe(F.col("of_source")))
     placed = placed.select("key", "source", "n", "width", "ids", "queue", (F.col("before") + F.col("slot")).alias("position"))
     return filled(shares(placed, mixture, block * capacity), mixture, capacity, block, visit, id_col)
