@@ -24,8 +24,10 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -160,7 +162,13 @@ OTHER = r"[^\t\n\r\f\v\x20-\x7e\xa0-įı-ſ‐-‧]"
 NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Pieces whose identifiers a task remembers at most; when there are more it begins anew.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+
+
+@lru_cache(maxsize=2)
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One tokenizer for all tasks of a worker, with what it remembers."""
+    return WordTokenizer(path)
 
 
 class WordTokenizer:
@@ -181,6 +189,7 @@ class WordTokenizer:
         self.size = max(self.own.get_vocab_size(), 1)
         self.dtype = "<u2" if self.size <= 1 << 16 else "<u4"
         first = (data.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+        self.pack = lambda *ids: struct.pack(f"<{len(ids)}{'H' if self.dtype == '<u2' else 'I'}", *ids)
         self.words = data.get("normalizer") == NORMAL and first.get("pattern") == {"Regex": SPLIT} and not data["model"].get("dropout") and not data.get("post_processor")
         special = [re.escape(t["content"]) for t in data.get("added_tokens", [])]
         self.other = re.compile("|".join([OTHER, *special]))
@@ -194,7 +203,7 @@ class WordTokenizer:
             tokens = self.own.model.tokenize(piece.encode().decode("latin1").translate(self.to_chars))
             if len(self.seen) >= REMEMBERED:
                 self.seen.clear()
-            got = self.seen[piece] = np.array([t.id for t in tokens], self.dtype).tobytes()
+            got = self.seen[piece] = self.pack(*[t.id for t in tokens])
         return got
 
     def plain(self, text: str) -> bytes:
@@ -225,7 +234,7 @@ def tokens(df: DataFrame, id_col: str, text_col: str, source_col: str, path: str
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, types, task, slots = WordTokenizer(path), to_arrow_schema(out), TaskContext.get().partitionId(), {}
+        tokenizer, types, task, slots = tokenizer_of(path), to_arrow_schema(out), TaskContext.get().partitionId(), {}
         dtype = tokenizer.dtype if end_id < 1 << 16 else "<u4"
         end, width = np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
         for batch in batches:
