@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, labels, lifecycle, service, stores, streams
+from . import documents, files, labels, lifecycle, service, stores, streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**documents.QUERIES, **lifecycle.QUERIES, **labels.QUERIES, **streams.QUERIES, **stores.QUERIES, **service.QUERIES}
-ORACLES: dict[str, str] = {**documents.ORACLES, **lifecycle.ORACLES, **labels.ORACLES, **streams.ORACLES, **stores.ORACLES, **service.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**documents.QUERIES, **lifecycle.QUERIES, **labels.QUERIES, **streams.QUERIES, **stores.QUERIES, **service.QUERIES, **files.QUERIES}
+ORACLES: dict[str, str] = {**documents.ORACLES, **lifecycle.ORACLES, **labels.ORACLES, **streams.ORACLES, **stores.ORACLES, **service.ORACLES, **files.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
