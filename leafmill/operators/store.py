@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from . import ordered
 
 SCOPE = ["product_id", "tenant_id"]
 MOST_BYTES, MOST_PAGES, MOST_FIELD_NAME, MOST_RATIO = 64 << 20, 1000, 128, 200
@@ -20,12 +21,18 @@ def unnest(df: DataFrame, *arrays: str) -> DataFrame:
     return df.select(*others, F.inline(F.arrays_zip(*arrays)))
 
 
-def compare_and_swap(current: DataFrame, updates: DataFrame, key: list[str]) -> DataFrame:
-    """Outcome of updates that name the revision they were made from: swapped (with the next revision), stale or not_found."""
-    now = current.select(*key, F.col("revision").alias("now"))
-    j = updates.join(now, key, "left")
-    outcome = F.when(F.col("now").isNull(), "not_found").when(F.col("now") == F.col("revision"), "swapped").otherwise("stale")
-    return j.withColumn("outcome", outcome).withColumn("revision", F.when(F.col("outcome") == "swapped", F.col("now") + 1).otherwise(F.col("now"))).drop("now")
+def compare_and_swap(current: DataFrame, updates: DataFrame, key: list[str], order: list[str], block: int = ordered.BLOCK) -> DataFrame:
+    """Outcome of updates that name the revision they were made from: swapped (with the next revision), stale or not_found.
+
+    Updates of one key are taken one after another in their ``order``, and each is held against the revision that those before it left, so of
+    two that name one revision at most one is swapped.  An update without a revision is stale.
+    """
+    now = current.select(*key, F.col("revision").alias("__now"))
+    rows = ordered.in_order(updates.join(now, key, "left"), key, order, "updates")
+    made = ordered.serial_swaps(rows.where("__now is not null"), key, "revision", "__now", block).withColumnRenamed("revision", "__after")
+    outcome = F.when(F.col("__now").isNull(), "not_found").when(F.col("swapped"), "swapped").otherwise("stale")
+    j = rows.join(made, "at", "left").withColumn("outcome", outcome).withColumn("revision", F.coalesce("__after", "__now"))
+    return j.drop("at", "swapped", "__after", "__now")
 
 
 def merge_flags(current: DataFrame, changes: DataFrame, keys: list[str], flags: list[str]) -> DataFrame:

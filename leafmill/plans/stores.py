@@ -20,10 +20,12 @@ def array_insert(spark, sf_dir):
 
 
 def revision_swap(spark, sf_dir):
-    o = orders(spark, sf_dir)
-    current = o.where("k % 10 > 0").select("k", (F.col("k") % 5).alias("revision"))
-    updates = o.select("k", F.when(F.col("k") % 3 == 0, F.col("k") % 5 - 1).otherwise(F.col("k") % 5).alias("revision"))
-    return S.compare_and_swap(current, updates, ["k"]).groupBy("outcome", "revision").agg(F.count("*").alias("updates"))
+    """Line items as updates of their order, taken by ship date; each names the revision it was made from."""
+    current = orders(spark, sf_dir).where("k % 10 > 0").select("k", (F.col("k") % 3).alias("revision"))
+    line = F.col("l_linenumber").cast("int")
+    named = F.when(line != 7, F.col("l_orderkey") % 3 + F.floor((line - 1) / 2))
+    updates = tables.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), line.alias("line"), F.col("l_shipdate").alias("at_date"), named.alias("revision"))
+    return S.compare_and_swap(current, updates, ["k"], ["at_date", "line"]).select("k", "line", "outcome", "revision")
 
 
 def work_flags(spark, sf_dir):
@@ -121,8 +123,11 @@ QUERIES = {f.__name__: f for f in (
 
 ORACLES = {
     "array_insert": "select o_orderkey as k, page, page * 10 + o_orderkey % 7 as length from orders, lateral (select unnest(generate_series(1, o_orderkey % 3 + 1)) as page)",
-    "revision_swap": """with u as (select o_orderkey % 10 > 0 as known, o_orderkey % 3 = 0 as old, o_orderkey % 5 as r from orders)
-        select case when not known then 'not_found' when old then 'stale' else 'swapped' end as outcome, case when not known then null when old then r else r + 1 end as revision, count(*) as updates from u group by all""",
+    "revision_swap": """with recursive u as (select l_orderkey as k, cast(l_linenumber as integer) as line, case when l_linenumber <> 7 then l_orderkey % 3 + (l_linenumber - 1) // 2 end as named, l_orderkey % 10 > 0 as known,
+          row_number() over (partition by l_orderkey order by l_shipdate, l_linenumber) as n from lineitem),
+        f as (select k, line, n, known, case when named = k % 3 then 'swapped' else 'stale' end as outcome, k % 3 + cast(named is not distinct from k % 3 as bigint) as revision from u where n = 1
+          union all select u.k, u.line, u.n, u.known, case when u.named = f.revision then 'swapped' else 'stale' end, f.revision + cast(u.named is not distinct from f.revision as bigint) from f join u on u.k = f.k and u.n = f.n + 1)
+        select k, line, case when known then outcome else 'not_found' end as outcome, case when known then revision end as revision from f""",
     "work_flags": "select 'p' || (user_id % 3) as product_id, 'ten_' || user_id as tenant_id, bool_or(event_id % 50 = 0) as upload_pending, bool_or(event_id % 70 = 1) as dispatch_pending from events group by all",
     "cache_cascade": "select l_linenumber, count(*) as pages from lineitem where l_orderkey % 4 <> 0 group by 1",
     "object_versions": """with v as (select o_orderkey as k, case when o_orderkey % 3 > 0 then o_orderkey end as g, case when o_orderkey % 5 = 0 then null when o_orderkey % 7 = 0 then 'v' || o_orderkey when o_orderkey % 11 = 0 then (o_orderkey + 1)::varchar else o_orderkey::varchar end as v from orders)
