@@ -1,8 +1,10 @@
 """Streaming forms of outbox and upload leases: state for each event.
 
 Leases end by the commands' own times, so results don't depend on when a batch
-runs, and no timers are needed.  Published and dead events keep their state, so
-that later commands find them so: state grows with the number of events.
+runs.  When an event is published or dead its delivery state goes, and a mark of its end stays for a time (``keep``, of
+the processing clock) so that commands that come late find it so; then Spark drops the mark, too.  So state
+grows with the events that are under way, and with those that ended within that time.  An event that is
+inserted again after its mark is gone is a new one: ``keep`` must be longer than any producer repeats itself.
 """
 
 from __future__ import annotations
@@ -17,7 +19,10 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..operators.outbox import LEASE_MINUTES, MOST_ATTEMPTS
 
-STATE = "attempts int, owner string, expires timestamp, published boolean, dead boolean"
+STATE = "attempts int, owner string, expires timestamp"
+ENDED = "attempts int, published boolean"
+#: For how long the end of an event is known.
+KEEP = timedelta(days=7)
 OUTPUT = "event_id long, owner string, outcome string, attempts int, lease_expires_at timestamp"
 COMMANDS = "event_id long, kind string, owner string, at timestamp"
 
@@ -45,30 +50,48 @@ def step(state: tuple | None, kind: str, owner: str | None, at: datetime) -> tup
 class Deliveries(StatefulProcessor):
     """Delivery state of each outbox event; commands of one batch are taken in the order of their time."""
 
+    def __init__(self, keep: timedelta = KEEP) -> None:
+        self.keep = int(keep.total_seconds() * 1000)
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.delivery = handle.getValueState("delivery", STATE)
+        self.ended = handle.getValueState("ended", ENDED, ttlDurationMs=self.keep)
+
+    def known(self) -> tuple | None:
+        """The state as :func:`step` takes it."""
+        if self.ended.exists():
+            attempts, published = self.ended.get()
+            return attempts, None, None, published, not published
+        if self.delivery.exists():
+            attempts, owner, expires = self.delivery.get()
+            return attempts, owner, None if pd.isna(expires) else pd.Timestamp(expires).to_pydatetime().replace(tzinfo=None), False, False
+        return None
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         commands = pd.concat(list(rows)).sort_values(["at", "kind"], kind="stable")
-        state, out = (tuple(self.delivery.get()) if self.delivery.exists() else None), []
-        if state is not None:
-            state = (*state[:2], None if pd.isna(state[2]) else pd.Timestamp(state[2]).to_pydatetime().replace(tzinfo=None), *state[3:])
+        before = state = self.known()
+        out = []
         for c in commands.itertuples(index=False):
             made, outcome = step(state, c.kind, c.owner, pd.Timestamp(c.at).to_pydatetime().replace(tzinfo=None))
             if outcome != "not_found":
                 state = made
             out.append((key[0], made[1], outcome, made[0], made[2]))
-        if state is not None:
-            self.delivery.update(state)
+        over = state is not None and (state[3] or state[4])
+        # A mark isn't written anew by those that only find it, so its time runs from the event's end.
+        if over and not (before and (before[3] or before[4])):
+            self.delivery.clear()
+            self.ended.update((state[0], state[3]))
+        elif state is not None and not over:
+            self.delivery.update(state[:3])
         yield pd.DataFrame(out, columns=["event_id", "owner", "outcome", "attempts", "lease_expires_at"]).astype({"lease_expires_at": "datetime64[ns]"})
 
     def close(self) -> None:
         pass
 
 
-def deliveries(commands: DataFrame) -> DataFrame:
+def deliveries(commands: DataFrame, keep: timedelta = KEEP) -> DataFrame:
     """Outcomes of a stream of commands (``event_id``, kind, owner, at) against each event's delivery state."""
-    return commands.groupBy("event_id").transformWithStateInPandas(Deliveries(), OUTPUT, "append", "None")
+    return commands.groupBy("event_id").transformWithStateInPandas(Deliveries(keep), OUTPUT, "append", "ProcessingTime")
 
 
 def once(events: DataFrame, key: str, at: str, delay: str) -> DataFrame:
