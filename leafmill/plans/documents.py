@@ -83,24 +83,14 @@ def benchmark_pairs(spark, sf_dir):
     return b.join(after, "item_id").withColumnRenamed("text", "reference")
 
 
-def ascii_pairs(spark, sf_dir):
-    """The pairs that SQL can check: DuckDB's levenshtein counts bytes."""
-    return benchmark_pairs(spark, sf_dir).where(~(F.col("reference").rlike("[^\\x00-\\x7F]") | F.col("candidate").rlike("[^\\x00-\\x7F]")))
-
-
 def char_error_rate_pairs(spark, sf_dir):
-    """ASCII pairs only, for the SQL; ``char_error_rate_all_pairs`` has every pair."""
-    p = ascii_pairs(spark, sf_dir)
-    e = X.char_edits(F.col("reference"), F.col("candidate"))
-    n = F.length("reference").cast("long")
-    return p.select("item_id", e.alias("char_edits"), n.alias("char_units"), F.round(X.rate(e, n), 6).alias("char_error_rate"))
+    """Every pair, in NFC and by code points."""
+    return char_error_rate_all_pairs(spark, sf_dir).drop("limit")
 
 
 def corpus_error_rate(spark, sf_dir):
-    """ASCII pairs only, for the SQL; ``corpus_error_rate_all_pairs`` sums every pair."""
-    p = char_error_rate_pairs(spark, sf_dir)
-    g = p.groupBy((F.col("item_id") % 4).alias("cohort")).agg(F.sum("char_edits").alias("char_edits"), F.sum("char_units").alias("char_units"))
-    return g.withColumn("char_error_rate", F.round(X.rate(F.col("char_edits"), F.col("char_units")), 6))
+    """Every pair within the bounds."""
+    return corpus_error_rate_all_pairs(spark, sf_dir).drop("pairs", "limited")
 
 
 def char_error_rate_all_pairs(spark, sf_dir):
@@ -169,9 +159,13 @@ QUERIES = {f.__name__: f for f in (
     char_error_rate_pairs, corpus_error_rate, char_error_rate_all_pairs, corpus_error_rate_all_pairs, word_error_rate_pairs, latency_nearest_rank, field_score_join, benchmark_mismatch_report, content_dedup, quality_cohort_rollup, html_lines,
 )}
 
-_PAIRS = """pairs as (select a.item_id, a.text as reference, b.text as candidate from benchmark a join benchmark b on b.item_id = a.item_id + 1
-  where not regexp_matches(a.text, '[^\\x00-\\x7F]') and not regexp_matches(b.text, '[^\\x00-\\x7F]')),
-scored as (select item_id, levenshtein(reference, candidate) as char_edits, length(reference) as char_units from pairs)"""
+# DuckDB's distance counts bytes, so each pair's different characters, and its different words, are numbered and stand as one byte each.
+_PAIRS = r"""pairs as (select a.item_id, nfc_normalize(a.text) as r, nfc_normalize(b.text) as c from benchmark a join benchmark b on b.item_id = a.item_id + 1),
+  parts as (select item_id, string_split(r, '') as rc, string_split(c, '') as cc, list_filter(regexp_split_to_array(r, '\s+'), lambda x: x <> '') as rw, list_filter(regexp_split_to_array(c, '\s+'), lambda x: x <> '') as cw from pairs),
+  known as (select *, list_distinct(list_concat(rc, cc)) as chars, list_distinct(list_concat(rw, cw)) as words from parts),
+  coded as (select item_id, len(rc) as char_units, len(rw) as word_units, array_to_string(list_transform(rc, lambda x: chr(list_position(chars, x)::int)), '') as a, array_to_string(list_transform(cc, lambda x: chr(list_position(chars, x)::int)), '') as b,
+    array_to_string(list_transform(rw, lambda x: chr(list_position(words, x)::int)), '') as v, array_to_string(list_transform(cw, lambda x: chr(list_position(words, x)::int)), '') as w from known),
+  scored as (select item_id, levenshtein(a, b) as char_edits, char_units, levenshtein(v, w) as word_edits, word_units from coded)"""
 
 _FACTS = f"""{OBSERVATIONS},
 pages as (select doc_id, cast(unnest(generate_series(1, cast(ceil(len(string_split(coalesce(text, ''), chr(10))) / 40.0) as bigint))) as integer) as page from documents),
@@ -215,6 +209,10 @@ ORACLES = {
         a as (select l_linenumber, abs(x1 * y2 - x2 * y1 + x2 * y3 - x3 * y2 + x3 * y1 - x1 * y3) as area2 from p)
         select l_linenumber, area2 > 2.220446049250313e-16 as valid, count(*) as polygons, round(sum(round(area2, 6)), 3) as area2 from a group by all""",
     "char_error_rate_pairs": f"with {_PAIRS} select item_id, char_edits, char_units, round(char_edits / char_units, 6) as char_error_rate from scored",
+    "char_error_rate_all_pairs": f"with {_PAIRS} select item_id, char_edits, char_units, round(char_edits / char_units, 6) as char_error_rate, cast(null as varchar) as \"limit\" from scored",
+    "corpus_error_rate_all_pairs": f"""with {_PAIRS} select item_id % 4 as cohort, count(*) as pairs, cast(0 as bigint) as limited, cast(sum(char_edits) as bigint) as char_edits, cast(sum(char_units) as bigint) as char_units,
+        round(sum(char_edits) / sum(char_units), 6) as char_error_rate from scored group by 1""",
+    "word_error_rate_pairs": f"""with {_PAIRS} select item_id, char_edits, char_units, word_edits, word_units, char_edits / char_units as char_error_rate, word_edits / word_units as word_error_rate, cast(null as varchar) as "limit" from scored""",
     "corpus_error_rate": f"with {_PAIRS} select item_id % 4 as cohort, cast(sum(char_edits) as bigint) as char_edits, cast(sum(char_units) as bigint) as char_units, round(sum(char_edits) / sum(char_units), 6) as char_error_rate from scored group by 1",
     "latency_nearest_rank": """
         with e as (select event_type, case when user_id % 10 = 0 then 'failed' else 'completed' end as outcome, cast(floor(value * 100) as bigint) as ms from events)
