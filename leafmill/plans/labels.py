@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, ids
 from ..functions import quantity as Q
-from ..operators import images, labels, regions
+from ..operators import images, labels, prepare, regions
 from ..sources import tables
 
 
@@ -105,6 +105,18 @@ def image_deskew(spark, sf_dir):
     return d.select("s_suppkey", "decision", "skew.degrees", F.round("skew.confidence", 6).alias("confidence"), F.sha2("luma", 256).alias("digest"))
 
 
+def image_preparation(spark, sf_dir):
+    """Suppliers' images with an orientation tag, some cut to half their height: outcome, steps, size when ready and enlarged, and where a point of the ready image was."""
+    k = F.col("s_suppkey")
+    rows = image_rows(spark, sf_dir).withColumn("orientation", F.when(k % 11 > 0, (k % 11).cast("int")))
+    half = k % 5 == 0
+    rows = rows.withColumns({"luma": F.when(half, F.substring("luma", 1, 64 * 32)).otherwise(F.col("luma")), "height": F.when(half, 32).otherwise(64)})
+    p = prepare.upscaled(prepare.prepare(rows, least_width=1, least_height=1))
+    point = geometry.to_original(F.col("transforms"), F.lit(0.25), F.lit(0.5))
+    kinds = F.array_join(F.transform("transforms", lambda s: s["kind"]), ",")
+    return p.select("s_suppkey", "outcome", "verdict", kinds.alias("steps"), "upscaled", "width", "height", F.octet_length("luma").alias("bytes"), point["x"].alias("x"), point["y"].alias("y"))
+
+
 def mime_sniff(spark, sf_dir):
     from ..schema import sniff
 
@@ -114,7 +126,7 @@ def mime_sniff(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    gtin_candidates, quantity_tokens, label_row_classifier, label_extract_validate, spatial_cells, nms_regions, transform_inverse, image_quality_scores, image_deskew, mime_sniff,
+    gtin_candidates, quantity_tokens, label_row_classifier, label_extract_validate, spatial_cells, nms_regions, transform_inverse, image_quality_scores, image_deskew, image_preparation, mime_sniff,
 )}
 
 _GRID = """g as (select s_suppkey, i, i // 64 as y, i % 64 as x, case s_suppkey % 4 when 0 then case when (i // 64) % 8 < 2 then 20 else 230 end when 1 then 128
@@ -156,5 +168,17 @@ ORACLES = {
           round(case when blank then 0 else contrast * greatest(1 - abs(mean_luminance - 0.5) * 2, 0) end, 6) as quality_score,
           case when list_contains(ws, 'blank') then 'unusable' when list_contains(ws, 'blurry') then 'hold_steady' when list_contains(ws, 'glare') then 'avoid_glare'
             when list_contains(ws, 'underexposed') then 'add_light' when list_contains(ws, 'overexposed') then 'reduce_light' else 'usable' end as verdict from w""",
+    "image_preparation": f"""with {_GRID}, c as (select s_suppkey, v, x, y, case when s_suppkey % 5 = 0 then 32 else 64 end as h from g where s_suppkey % 5 <> 0 or y < 32),
+        m as (select s_suppkey, h, (max(v) - min(v)) / 255 as contrast, avg(v) / 255 as mean, count(*) filter (v >= 250) / count(*) >= 0.01 and quantile_disc(v, 0.75) <= 217 as glare from c group by 1, 2),
+        s as (select a.s_suppkey, sum(coalesce(abs(a.v - r.v), 0) + coalesce(abs(a.v - d.v), 0)) / (63 * any_value(a.h) + 64 * (any_value(a.h) - 1)) / 255 as sharp
+          from c a left join c r on r.s_suppkey = a.s_suppkey and r.y = a.y and r.x = a.x + 1 left join c d on d.s_suppkey = a.s_suppkey and d.x = a.x and d.y = a.y + 1 group by 1),
+        q as (select s_suppkey, h, case when contrast < 0.02 then 'unusable' when sharp < 0.01 then 'hold_steady' when glare then 'avoid_glare' when mean < 0.05 then 'add_light' when mean > 0.95 then 'reduce_light' else 'usable' end as verdict,
+          case when s_suppkey % 11 > 0 then s_suppkey % 11 else 1 end as tag from m join s using (s_suppkey)),
+        o as (select *, verdict = 'usable' as ok, case when verdict = 'usable' then coalesce(['', 'flip_horizontal', 'clockwise_180', 'flip_vertical', 'clockwise_90,flip_horizontal', 'clockwise_90', 'clockwise_270,flip_horizontal', 'clockwise_270'][tag], '') else '' end as steps from q),
+        z as (select *, steps like '%0,%' or steps in ('clockwise_90', 'clockwise_270') as turned, tag = 1 and h = 64 as big from o)
+        select s_suppkey, case when ok then 'ready' else 'request_better_source' end as outcome, verdict, steps, big as upscaled, cast(case when turned then h else 64 end * case when big then 3 else 1 end as integer) as width,
+          cast(case when turned then 64 else h end * case when big then 3 else 1 end as integer) as height, cast(64 * h * case when big then 9 else 1 end as integer) as bytes,
+          case when steps in ('flip_horizontal', 'clockwise_180') then 0.75 when turned then 0.5 else 0.25 end as x,
+          case when steps in ('clockwise_90,flip_horizontal', 'clockwise_270') then 0.25 when turned then 0.75 else 0.5 end as y from z""",
     "mime_sniff": """select (['application/pdf', 'image/png', 'image/jpeg', 'image/webp', 'image/tiff', 'unknown'])[p_partkey % 6 + 1] as mime, count(*) as files from part group by 1""",
 }
