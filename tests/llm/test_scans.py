@@ -58,6 +58,15 @@ WRAPPED = {
 }
 
 
+def test_words_far_apart_are_no_license(spark):
+    rows = [
+        (1, "Researchers at MIT said the study, released in May, put every driver under a new license."), (2, "released " + "x " * 6500 + "under the " + "y " * 6500 + "MIT license"),
+        (3, "released\nunder the\n * MIT\n * license"), (4, "Released, in 2020, under the MIT license."), (5, "released under the famous old good MIT license"), (6, "the license: MIT, under which it is released"),
+    ]
+    got = {r.doc_id: (r.labels, r.score) for r in L.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("", 0.0), 2: ("mit", 0.5), 3: ("mit,notice-mit", 1.0), 4: ("mit,notice-mit", 1.0), 5: ("mit", 0.5), 6: ("", 0.0)}
+
+
 def test_wrapped_licenses(spark):
     rows = [(k, f"some code here\n{t}\nand more") for k, t in WRAPPED.items()]
     words = L.TEMPLATES["text-mit"].split()
@@ -68,11 +77,11 @@ def test_wrapped_licenses(spark):
 
 
 def test_runs_by_brute_force(spark):
-    """Every run of words, and every line, against every template."""
+    """Every run of a template's window, against every template."""
     import random
     import re
 
-    rng, sets, longest = random.Random(5), L.template_sets(L.TEMPLATES, L.CONTAINMENT), max(len(t.split()) for t in L.TEMPLATES.values())
+    rng, sets = random.Random(5), L.template_sets(L.TEMPLATES, L.CONTAINMENT)
     texts = []
     for _ in range(150):
         words = rng.choice(list(L.TEMPLATES.values())).split()
@@ -84,9 +93,8 @@ def test_runs_by_brute_force(spark):
     want = []
     for text in texts:
         words = re.findall(f"{L.WORD}+", text)
-        blocks = [set(re.findall(f"{L.WORD}+", line)) for line in text.split("\n")]
-        blocks += [set(words[i : i + longest]) for i in range(len(words))]
-        met = {label: best for label, own, need in sets if (best := max(len(b & set(own)) for b in blocks) / len(own)) * len(own) > need - 0.5}
+        blocks = lambda size: [set(words[i : i + size]) for i in range(len(words))]
+        met = {label: best for label, own, need in sets if (best := max(len(b & set(own)) for b in blocks(L.window(L.TEMPLATES[label]))) / len(own)) * len(own) > need - 0.5}
         want.append((set(met), max(met.values(), default=0.0)))
     got = L.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), phrases={"no such phrase": "none"}).orderBy("doc_id").collect()
     assert [(set(filter(None, r.labels.split(","))), r.score) for r in got] == want
