@@ -16,8 +16,9 @@
    between different components is found.  In crowded lists this would still be
    a product: their classes retain their whole sets.  Each is held against the
    most typical member of its lists first, the one with the most common values,
-   which the whole sets tell better than the sketches; then the exact prefix and
-   position filters say which of the pairs that are still apart can reach the
+   which the whole sets tell better than the sketches; then lists hold the smaller set of a
+   pair under its shorter indexing prefix only, the larger one under its probing prefix, and the
+   position filter says which of the pairs that are still apart can reach the
    threshold.
 4. Candidates pass a union-sketch estimate, then exact similarity of full sets.
 5. Components come from contraction with pointer jumps, all in tables.
@@ -155,22 +156,29 @@ def open_pairs(lists: DataFrame, condition: Column) -> DataFrame:
 
     Each pair has a member outside its list's largest component, which is never
     held against itself.  A long list is cut into copies, with all of those
-    outside the largest component in each.
+    outside the largest component in each.  Where rows say whether they are ``indexed``,
+    only pairs whose smaller set (of equal ones that with the smaller id) is so are formed.
     """
-    copies = F.ceil(F.col("members") / PER_COPY).cast("int")
-    left = lists.where("c <> large").select("value", F.col("id").alias("a"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("c").alias("d"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
-    right = lists.select("value", F.col("id").alias("b"), "n", "place", "c", "large", F.pmod(F.xxhash64("id"), copies).cast("int").alias("copy"))
+    copies, more = F.ceil(F.col("members") / PER_COPY).cast("int"), ["indexed"] if "indexed" in lists.columns else []
+    left = lists.where("c <> large").select("value", F.col("id").alias("a"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("c").alias("d"), *more, F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+    right = lists.select("value", F.col("id").alias("b"), "n", "place", "c", "large", *more, F.pmod(F.xxhash64("id"), copies).cast("int").alias("copy"))
     new = (F.col("c") != F.col("d")) & ((F.col("c") == F.col("large")) | (F.col("a") < F.col("b")))
-    found = left.join(right, ["value", "copy"]).where(new & condition)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    smaller = F.struct("m", "a") < F.struct(F.col("n").alias("m"), F.col("b").alias("a"))
+    if more:
+        found = left.where("indexed").drop("indexed").join(right.drop("indexed"), ["value", "copy"]).where(smaller)
+        found = found.unionByName(left.drop("indexed").join(right.where("indexed").drop("indexed"), ["value", "copy"]).where(~smaller))
+    else:
+        found = left.join(right, ["value", "copy"])
+    return found.where(new & condition).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def still_open(lists: DataFrame) -> DataFrame:
-    """Rows of those lists (``value``, ``c``) that hold several components, with the largest and the number of members."""
+    """Rows of those lists (``value``, ``c``) that hold several components, and an ``indexed`` row if rows are, with the largest and the number of members."""
     lists = settle(lists, "placed")
-    sizes = lists.groupBy("value", "c").agg(F.count("*").alias("members"))
-    largest = sizes.groupBy("value").agg(F.max_by("c", F.struct("members", "c")).alias("large"), F.count("*").alias("parts"), F.sum("members").alias("members"))
-    return look_up(lists, settle(largest.where("parts > 1").drop("parts"), "largest"), "value")
+    indexed = F.bool_or("indexed") if "indexed" in lists.columns else F.lit(True)
+    sizes = lists.groupBy("value", "c").agg(F.count("*").alias("members"), indexed.alias("some"))
+    largest = sizes.groupBy("value").agg(F.max_by("c", F.struct("members", "c")).alias("large"), F.count("*").alias("parts"), F.sum("members").alias("members"), F.bool_or("some").alias("some"))
+    return look_up(lists, settle(largest.where("parts > 1 and some").drop("parts", "some"), "largest"), "value")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, k: int, part: float) -> DataFrame:
@@ -224,13 +232,16 @@ def near_duplicate_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def whole_lists(ids: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Inverted lists of whole sets by the prefix principle: ``id``, ``n``, ``typical`` (mean frequency of its values), ``place`` of ``value`` among them."""
+    """Inverted lists of whole sets by the prefix principle: ``id``, ``n``, ``typical`` (mean frequency of its values), ``place`` of ``value`` among them, and whether it is ``indexed``: early enough in a set that is the smaller of a pair."""
     sets = sets_of(ids, docs, words).withColumn("n", F.size("hashes").cast("long"))
     most = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     whole = by_rarity(settle(sets.select("id", F.explode("hashes").alias("value")), "values")).join(sets.select("id", "n"), "id")
     alone, total = F.col("n") - F.size("shared"), F.aggregate("shared", F.lit(0).cast("long"), lambda t, x: t + x["f"])
     whole = whole.where(alone < most).select("id", "n", (total / F.col("n")).alias("typical"), alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), (most - alone).cast("int"))).alias("i", "x"))
-    return settle(whole.select("id", "n", "typical", (F.col("alone") + F.col("i") + 1).alias("place"), F.col("x.value").alias("value")), "whole")
+    place = F.col("alone") + F.col("i") + 1
+    # The smaller of two sets that reach the threshold has this much in common with the other, so their first common value stands this early in it.
+    indexed = place <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1
+    return settle(whole.select("id", "n", "typical", place.alias("place"), F.col("x.value").alias("value"), indexed.alias("indexed")), "whole")
 
 
 def whole_hubs(lists: DataFrame, crowd: DataFrame, percent: int) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from leafmill.llm import near_dedup as N
 from leafmill.llm import shingles as S
@@ -75,6 +76,32 @@ def test_crowd(spark):
     assert found(df, words=3, percent=85) == brute(rows, 3, 85)
 
 
+def family(n, shared=90, own=10):
+    """Documents with one passage and a few words of their own: just not similar enough."""
+    passage = " ".join(f"w{i}" for i in range(shared))
+    return [(i, passage + " " + " ".join(f"d{i}x{j}" for j in range(own))) for i in range(n)]
+
+
+def test_family_forms_no_pairs(spark):
+    """Lists that hold every document give no pair, for none of them is indexed there."""
+    df = spark.createDataFrame(family(3000), "doc_id long, text string").repartition(8)
+    sets = N.whole_lists(df.select(F.col("doc_id").alias("id")), df.select(F.col("doc_id").alias("id"), "text"), 3, 85)
+    assert sets.where("not indexed").count() > 3000 and sets.where("indexed").isEmpty()
+    assert found(df, words=3, percent=85) == {i: (98, i) for i in range(3000)}
+
+
+def test_indexing_prefix(spark):
+    """Sets of different sizes near the threshold, from both sides."""
+    rng = random.Random(11)
+    rows, base = [], [f"w{i}" for i in range(100)]
+    for i in range(240):
+        t = base[: rng.randint(84, 100)] + [f"o{rng.randrange(12)}" for _ in range(rng.randint(0, 14))]
+        rows.append((i, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for percent in (80, 85, 95):
+        assert found(df, words=1, percent=percent, exact=True) == brute(rows, 1, percent)
+
+
 def test_exact(spark):
     """All classes by whole sets, without estimates; also with sketches too small to find much."""
     rows = crowd()
