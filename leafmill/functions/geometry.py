@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,50 @@ def iou(a: Column, b: Column) -> Column:
     return w * h / (area(a) + area(b) - w * h)
 
 
+POLYGON = "array<struct<x:double,y:double>>"
+
+
+def turned_on(points: Column) -> Column:
+    """The polygon's points, beginning with the second."""
+    return F.concat(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def beside(points: Column, a: Column, b: Column, sign: Column) -> Column:
+    """The part of a convex polygon on the inner side of the line from ``a`` to ``b``."""
+    inner = lambda p: sign * ((b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"]))
+    none = F.array().cast(POLYGON)
+
+    def cut(p: Column, q: Column) -> Column:
+        s, t = p["s"], q["s"]
+        between = lambda c: p["p"][c] + s / (s - t) * (q["p"][c] - p["p"][c])
+        crossing = F.array(F.struct(between("x").alias("x"), between("y").alias("y")))
+        return F.concat(F.when(s >= 0, F.array(p["p"])).otherwise(none), F.when(((s > 0) & (t < 0)) | ((s < 0) & (t > 0)), crossing).otherwise(none))
+
+    placed = F.transform(points, lambda p: F.struct(p.alias("p"), inner(p).alias("s")))
+    return F.flatten(once(placed, lambda held: F.zip_with(held, turned_on(held), cut)))
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """What two convex polygons have in common, as a polygon: ``a`` cut along each side of ``b``; without points where they are apart."""
+    sides = once(b, lambda p: F.zip_with(p, turned_on(p), lambda x, y: F.struct(x.alias("a"), y.alias("b"), F.signum(twice_area(p)).alias("sign"))))
+    return F.aggregate(sides, a.cast(POLYGON), lambda held, side: beside(held, side["a"], side["b"], side["sign"]))
+
+
+def area(points: Column) -> Column:
+    return once(points, lambda p: F.when(F.size(p) >= 3, F.abs(twice_area(p)) / 2).otherwise(0.0))
+
+
+def polygon_iou(a: Column, b: Column) -> Column:
+    """Overlap of two convex polygons by their union; null where either isn't valid."""
+    whole = once(area(overlap(a, b)), lambda both: both / (area(a) + area(b) - both))
+    return F.when(polygon_valid(a) & polygon_valid(b), whole)
+
+
 def points_to_pixels(points: Column, rotation: Column, other: Column) -> Column:
     """Pixels at 300 dpi of a page side in points; a quarter turn swaps it with the other side."""
     side = F.when(F.pmod(rotation, F.lit(180)) == 90, other).otherwise(points)

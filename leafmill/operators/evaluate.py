@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.staging import staged
 
 #: Bounds before any distance is computed: units of a text, cells of a table.
 MOST_UNITS, MOST_CELLS = 1_000_000, 100_000_000
@@ -40,6 +41,45 @@ def nearest_rank(value: str, percent: int) -> Column:
     return F.expr(f"percentile_disc({percent / 100}) within group (order by {value})")
 
 
+def nearest_ranks(df: DataFrame, keys: list[str], value: str, percents: list[int], accuracy: int = 10_000) -> DataFrame:
+    """:func:`nearest_rank` of groups of any size, as columns ``n`` and ``p50`` and so on, without a task that holds a group.
+
+    A first pass brackets each rank between two values by a mergeable summary, whose ranks are off by n / ``accuracy`` at most; a
+    second one counts the rows below the bracket and those at each value within it, and the rank is found among these few.
+    """
+    off, v = 3 / accuracy, F.col(value)
+    ends = [F.struct(F.lit(p).alias("percent"), *[F.percentile_approx(v, min(1.0, max(0.0, p / 100 + d)), accuracy).alias(c) for c, d in (("low", -off), ("high", off))]) for p in percents]
+    bounds = df.groupBy(*keys).agg(F.count(v).alias("n"), F.array(*ends).alias("ends"))
+    # Written, so that Spark knows its size and moves the rows only if it is large.
+    bounds = staged(bounds.select(*[F.col(k).alias(f"of_{k}") for k in keys], "n", F.inline("ends")), "brackets")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    rows = df.where(v.isNotNull()).select(*keys, v.alias("v")).join(bounds, same).where(F.col("v") <= F.col("high"))
+    # Rows below count as one value, null, which comes first.
+    counted = rows.groupBy(*keys, "percent", "n", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v")).agg(F.count("*").alias("rows"))
+    upto = F.sum("rows").over(Window.partitionBy(*keys, "percent").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
+    rank = F.ceil(F.col("n") * F.col("percent") / 100)
+    found = counted.withColumn("upto", upto).where(F.col("v").isNotNull() & (F.col("upto") >= rank))
+    return found.groupBy(*keys, "n").agg(*[F.min(F.when(F.col("percent") == p, F.col("v"))).alias(f"p{p}") for p in percents])
+
+
+def reliability(df: DataFrame, confidence: str, correct: str, *keys: str, bins: int = 10) -> DataFrame:
+    """For each bin of confidence: rows, mean confidence, the part that is correct, and what the bin adds to the calibration error of its ``keys``."""
+    number = F.least(F.floor(F.col(confidence) * bins), F.lit(bins - 1)).cast("int")
+    right = F.when(F.col(correct), 1.0).otherwise(0.0)
+    judged = df.where(F.col(confidence).between(0, 1) & F.col(correct).isNotNull())
+    g = judged.groupBy(*keys, number.alias("bin")).agg(F.count("*").alias("n"), F.avg(confidence).alias("mean_confidence"), F.avg(right).alias("accuracy"))
+    whole = F.sum("n").over(Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0)))
+    return g.withColumn("error", F.col("n") / whole * F.abs(F.col("mean_confidence") - F.col("accuracy")))
+
+
+def calibration_error(df: DataFrame, confidence: str, correct: str, *keys: str, bins: int = 10) -> DataFrame:
+    """Expected and greatest calibration error, with the rows behind them."""
+    r = reliability(df, confidence, correct, *keys, bins=bins)
+    return r.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("error").alias("expected_error"), F.max(F.abs(F.col("mean_confidence") - F.col("accuracy"))).alias("greatest_error"))
+
+
 def value_outcome(expected: Column, found: Column) -> Column:
     """Of an expected and a found scalar (as strings): missing, correct (numbers within 0.01) or wrong."""
     a, b = expected.try_cast("double"), found.try_cast("double")

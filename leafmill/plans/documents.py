@@ -113,7 +113,15 @@ def word_error_rate_pairs(spark, sf_dir):
 
 def latency_nearest_rank(spark, sf_dir):
     e = tables.read(spark, sf_dir, "events").select("event_type", F.when(F.col("user_id") % 10 == 0, "failed").otherwise("completed").alias("outcome"), F.floor(F.col("value") * 100).cast("long").alias("elapsed_ms"))
-    return e.groupBy("event_type", "outcome").agg(F.count("*").alias("n"), evaluate.nearest_rank("elapsed_ms", 50).cast("long").alias("p50_ms"), evaluate.nearest_rank("elapsed_ms", 95).cast("long").alias("p95_ms"))
+    return evaluate.nearest_ranks(e, ["event_type", "outcome"], "elapsed_ms", [50, 95]).withColumnsRenamed({"p50": "p50_ms", "p95": "p95_ms"})
+
+
+def confidence_calibration(spark, sf_dir):
+    """Confidence of documents' lines held against whether they are of more than three words, by page source."""
+    o = tables.observations(spark, sf_dir).withColumn("right", F.size(F.split(F.trim("text"), " +")) > 3)
+    o = o.withColumn("kind", F.regexp_extract("observation_id", "^obs_([a-z]*)", 1))
+    r = evaluate.reliability(o, "confidence", "right", "kind", bins=20)
+    return r.select("kind", "bin", "n", *[F.round(c, 9).alias(c) for c in ("mean_confidence", "accuracy", "error")])
 
 
 def field_score_join(spark, sf_dir):
@@ -156,7 +164,7 @@ def html_lines(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     observation_lines, leaf_observations, assembled_text_digest, document_review_routing, provenance_classes, usable_page_filter, identifier_violations, polygon_validity,
-    char_error_rate_pairs, corpus_error_rate, char_error_rate_all_pairs, corpus_error_rate_all_pairs, word_error_rate_pairs, latency_nearest_rank, field_score_join, benchmark_mismatch_report, content_dedup, quality_cohort_rollup, html_lines,
+    char_error_rate_pairs, corpus_error_rate, char_error_rate_all_pairs, corpus_error_rate_all_pairs, word_error_rate_pairs, latency_nearest_rank, confidence_calibration, field_score_join, benchmark_mismatch_report, content_dedup, quality_cohort_rollup, html_lines,
 )}
 
 # DuckDB's distance counts bytes, so each pair's different characters, and its different words, are numbered and stand as one byte each.
@@ -214,6 +222,11 @@ ORACLES = {
         round(sum(char_edits) / sum(char_units), 6) as char_error_rate from scored group by 1""",
     "word_error_rate_pairs": f"""with {_PAIRS} select item_id, char_edits, char_units, word_edits, word_units, char_edits / char_units as char_error_rate, word_edits / word_units as word_error_rate, cast(null as varchar) as "limit" from scored""",
     "corpus_error_rate": f"with {_PAIRS} select item_id % 4 as cohort, cast(sum(char_edits) as bigint) as char_edits, cast(sum(char_units) as bigint) as char_units, round(sum(char_edits) / sum(char_units), 6) as char_error_rate from scored group by 1",
+    "confidence_calibration": f"""
+        with {OBSERVATIONS},
+        j as (select regexp_extract(observation_id, '^obs_([a-z]*)', 1) as kind, confidence, len(regexp_split_to_array(trim(text, ' '), ' +')) > 3 as good from observations),
+        b as (select kind, least(cast(floor(confidence * 20) as integer), 19) as bin, count(*) as n, avg(confidence) as mean_confidence, avg(good::integer) as accuracy from j group by 1, 2)
+        select kind, bin, n, round(mean_confidence, 9) as mean_confidence, round(accuracy, 9) as accuracy, round(n / sum(n) over (partition by kind) * abs(mean_confidence - accuracy), 9) as error from b""",
     "latency_nearest_rank": """
         with e as (select event_type, case when user_id % 10 = 0 then 'failed' else 'completed' end as outcome, cast(floor(value * 100) as bigint) as ms from events)
         select event_type, outcome, count(*) as n, quantile_disc(ms, 0.5) as p50_ms, quantile_disc(ms, 0.95) as p95_ms from e group by all""",

@@ -68,6 +68,20 @@ def spatial_cells(spark, sf_dir):
     return got.unionByName(failures.where("severity = 'error'").select("doc_id", F.col("code").alias("name"), F.lit(None).cast("double").alias("value")))
 
 
+def polygon_overlaps(spark, sf_dir):
+    """Two polygons of each line item, a box and a diamond or a box, the second with its points in either direction: area in common and overlap."""
+    li = tables.read(spark, sf_dir, "lineitem")
+    grid = lambda c, d: F.col(c).cast("long") % d / F.lit(float(d))
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    box = lambda x, y, w: F.array(point(x, y), point(x + w, y), point(x + w, y + w), point(x, y + w))
+    a = box(grid("l_partkey", 8) / 2, grid("l_suppkey", 8) / 2, 0.5)
+    x, y, r = grid("l_orderkey", 16) / 2 + 0.25, grid("l_quantity", 16) / 2 + 0.25, F.lit(0.25)
+    diamond = F.array(point(x - r, y), point(x, y - r), point(x + r, y), point(x, y + r))
+    b = F.when(F.col("l_linenumber") % 2 == 0, F.reverse(box(x - r, y - r, 0.5))).otherwise(diamond)
+    made = li.select("l_orderkey", "l_linenumber", a.alias("a"), b.alias("b"))
+    return made.select("l_orderkey", "l_linenumber", F.round(geometry.area(geometry.overlap(F.col("a"), F.col("b"))), 9).alias("common"), F.round(geometry.polygon_iou(F.col("a"), F.col("b")), 9).alias("iou"))
+
+
 def nms_regions(spark, sf_dir):
     li = tables.read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
     left, top = F.col("p") % 8 / 16.0, F.col("s") % 8 / 16.0
@@ -126,7 +140,7 @@ def mime_sniff(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    gtin_candidates, quantity_tokens, label_row_classifier, label_extract_validate, spatial_cells, nms_regions, transform_inverse, image_quality_scores, image_deskew, image_preparation, mime_sniff,
+    gtin_candidates, quantity_tokens, label_row_classifier, label_extract_validate, spatial_cells, polygon_overlaps, nms_regions, transform_inverse, image_quality_scores, image_deskew, image_preparation, mime_sniff,
 )}
 
 _GRID = """g as (select s_suppkey, i, i // 64 as y, i % 64 as x, case s_suppkey % 4 when 0 then case when (i // 64) % 8 < 2 then 20 else 230 end when 1 then 128
@@ -180,5 +194,13 @@ ORACLES = {
           cast(case when turned then 64 else h end * case when big then 3 else 1 end as integer) as height, cast(64 * h * case when big then 9 else 1 end as integer) as bytes,
           case when steps in ('flip_horizontal', 'clockwise_180') then 0.75 when turned then 0.5 else 0.25 end as x,
           case when steps in ('clockwise_90,flip_horizontal', 'clockwise_270') then 0.25 when turned then 0.75 else 0.5 end as y from z""",
+    "polygon_overlaps": """with p as (select l_orderkey, l_linenumber, (l_partkey % 8) / 16.0 as ax, (l_suppkey % 8) / 16.0 as ay, (l_orderkey % 16) / 32.0 + 0.25 as x, (cast(l_quantity as bigint) % 16) / 32.0 + 0.25 as y from lineitem),
+        s as (select l_orderkey, l_linenumber, ax, ay, x, y, greatest(ay, y - 0.25) as y0, least(ay + 0.5, y + 0.25) as y1 from p),
+        -- A diamond's width at a height is piecewise linear, so between the heights where a piece ends the trapezoid rule is exact.
+        h as (select l_orderkey, l_linenumber, ax, x, y, y0, y1, list_sort(list_distinct(list_filter([y0, y1, y, y - 0.25 + abs(x - 0.25 - ax), y + 0.25 - abs(x - 0.25 - ax), y - 0.25 + abs(ax - x), y + 0.25 - abs(ax - x), y - 0.25 + abs(ax + 0.5 - x), y + 0.25 - abs(ax + 0.5 - x)], lambda v: v >= y0 and v <= y1))) as hs from s where l_linenumber % 2 = 1),
+        w as (select l_orderkey, l_linenumber, y0, y1, hs, list_transform(hs, lambda v: greatest(0, least(ax + 0.5, x + 0.25 - abs(v - y)) - greatest(ax, x - 0.25 + abs(v - y)))) as ws from h),
+        c as (select l_orderkey, l_linenumber, case when y1 > y0 then coalesce(list_sum(list_transform(range(1, len(hs)), lambda i: (hs[i + 1] - hs[i]) * (ws[i] + ws[i + 1]) / 2)), 0) else 0 end as common, 0.125 as other from w
+          union all select l_orderkey, l_linenumber, greatest(0, least(ax + 0.5, x + 0.25) - greatest(ax, x - 0.25)) * greatest(0, y1 - y0), 0.25 from s where l_linenumber % 2 = 0)
+        select l_orderkey, l_linenumber, round(common, 9) as common, round(common / (0.25 + other - common), 9) as iou from c""",
     "mime_sniff": """select (['application/pdf', 'image/png', 'image/jpeg', 'image/webp', 'image/tiff', 'unknown'])[p_partkey % 6 + 1] as mime, count(*) as files from part group by 1""",
 }
