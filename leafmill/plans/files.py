@@ -6,8 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..sources import pdf, tables
+from ..functions import ids
+from ..operators import evaluate, lifecycle
+from ..sources import files as readers, pdf, tables
 from ..sources.staging import shared_folder
+from ..streaming import runner
 
 
 def written(df, label: str, *by: str) -> str:
@@ -49,9 +52,54 @@ def pdf_page_geometry(spark, sf_dir):
     return found.select("doc_id", "outcome", "objects", "total_pixels", F.inline_outer("pages"))
 
 
-QUERIES = {f.__name__: f for f in (pdf_page_geometry,)}
+def benchmark_files(spark, sf_dir):
+    """A benchmark's manifest and a run's samples as JSON files, read and scored: a third of the texts with one character more, a fourth without their field, a fifth with another value."""
+    b, k = tables.read(spark, sf_dir, "benchmark"), F.col("item_id")
+    digest = F.sha2(F.col("text"), 256).alias("sha256")
+    case = F.struct(k.cast("string").alias("id"), F.concat(F.lit("images/"), k.cast("string"), F.lit(".png")).alias("image"), digest, F.col("text").alias("reference_text"), F.create_map(F.lit("total"), k.cast("string")).alias("expected_fields"))
+    # The format is one object for all cases, of which it allows 1,000.
+    manifest = b.agg(F.to_json(F.struct(F.lit("1").alias("version"), F.lit("made").alias("provenance"), F.collect_list(case).alias("cases"))).alias("value"))
+    found = F.when(k % 4 > 0, F.struct(F.struct(F.when(k % 5 == 0, k + 1).otherwise(k).cast("string").alias("value")).alias("total"))).otherwise(F.struct(F.lit(None).cast("struct<value:string>").alias("total")))
+    said = F.when(k % 3 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    samples = b.select(F.to_json(F.struct(k.cast("string").alias("id"), digest, F.lit("completed").alias("status"), (k * 10).alias("elapsed_ms"), said.alias("text"), found.alias("fields"))).alias("value"), k.alias("file"))
+    cases, _ = evaluate.score_benchmark(readers.manifest(spark, written(manifest, "manifest")), readers.samples(spark, written(samples, "samples", "file")))
+    return cases.select(F.col("id").cast("long").alias("id"), "elapsed_ms", F.round("char_error_rate", 6).alias("char_error_rate"), "expected_fields", "correct_fields", "missing_fields", "wrong_fields")
+
+
+def object_paths(spark, sf_dir):
+    """Where results and documents of jobs are stored, and the parts of their addresses in three stores."""
+    j = tables.jobs(spark, sf_dir)
+    hexes = F.substring("request_digest", 8, 64)
+    j = j.select("job_id", ids.result_path(F.col("product_id"), F.col("tenant_id"), F.col("job_id"), hexes).alias("result"), ids.document_path(F.col("product_id"), F.col("tenant_id"), hexes).alias("document"), "order_key")
+    store = F.element_at(F.array(F.lit("gs://"), F.lit("s3://"), F.lit("az://"), F.lit("")), (F.col("order_key") % 4 + 1).cast("int"))
+    place = ids.location(F.concat(store, F.lit("bucket-"), (F.col("order_key") % 7).cast("string"), F.lit("/"), F.col("document")))
+    return j.select("job_id", "result", "document", place["provider"].alias("provider"), place["bucket"].alias("bucket"), (place["object"] == F.col("document")).alias("whole"))
+
+
+def job_events_commit(spark, sf_dir):
+    """Jobs and their outbox events published together in two commits, one for each half of the jobs; then a commit from an old version, of which nothing is seen."""
+    j = tables.jobs(spark, sf_dir).withColumn("outcome", F.when(F.col("order_key") % 6 == 0, "existing").otherwise("created"))
+    ledger = runner.new_ledger(spark, "jobs")
+    first = ledger.head()
+    for odd in (0, 1):
+        jobs, events = lifecycle.with_events(j.where(F.col("order_key") % 2 == odd).drop("status"))
+        runner.committed(ledger.commit(ledger.head(), append={"jobs": jobs.select("job_id", "product_id", "tenant_id", "order_key"), "outbox": events}))
+    late = ledger.commit(first, replace={"jobs": j.limit(0), "outbox": j.limit(0)})
+    head = ledger.head()
+    both = ledger.table("jobs", head).join(ledger.table("outbox", head), ["product_id", "tenant_id", "job_id"], "full")
+    return both.select("job_id", "order_key", "event_type", "payload", F.lit(late is None).alias("refused"), F.lit(head.number).cast("long").alias("version"))
+
+
+QUERIES = {f.__name__: f for f in (pdf_page_geometry, benchmark_files, object_paths, job_events_commit)}
 
 ORACLES = {
+    "benchmark_files": """select item_id as id, item_id * 10 as elapsed_ms, round(case when item_id % 3 = 0 then 1.0 / length(text) else 0.0 end, 6)::double as char_error_rate, cast(1 as bigint) as expected_fields,
+        cast(item_id % 4 <> 0 and item_id % 5 <> 0 as bigint) as correct_fields, cast(item_id % 4 = 0 as bigint) as missing_fields, cast(item_id % 4 <> 0 and item_id % 5 = 0 as bigint) as wrong_fields from benchmark""",
+    "object_paths": """with j as (select o_orderkey as k, lower(c_mktsegment) as p, 'ten_' || o_custkey as t, sha256(o_orderkey::varchar) as h from orders join customer on o_custkey = c_custkey)
+        select 'job_' || k as job_id, 'products/' || p || '/tenants/' || t || '/results/job_' || k || '/' || h || '.json' as result, 'products/' || p || '/tenants/' || t || '/documents/sha256/' || h as document,
+          (['gs', 's3', 'az', 'gs'])[k % 4 + 1] as provider, 'bucket-' || (k % 7) as bucket, true as whole from j""",
+    "job_events_commit": """select 'job_' || o_orderkey as job_id, o_orderkey as order_key, 'ocr.job.accepted.v1' as event_type, '{"job_id":"job_' || o_orderkey || '","status":"accepted"}' as payload, true as refused, cast(2 as bigint) as version
+        from orders join customer on o_custkey = c_custkey where o_orderkey % 6 <> 0""",
     "pdf_page_geometry": """with d as (select doc_id, cast(ceil(len(string_split(coalesce(text, ''), chr(10))) / 40.0) as integer) as n,
           case when doc_id % 17 = 0 then 'not_pdf' when doc_id % 11 = 0 then 'damaged' when doc_id % 13 = 0 then 'password_protected' when doc_id % 19 = 0 then 'damaged' else 'ok' end as outcome from documents),
         p as (select d.*, i, case when i % 3 = 1 then i + 310.25 - 10.5 else doc_id % 300 + 400 end as w, case when i % 3 = 1 then abs((doc_id + i) % 500 + 120 - 20) else doc_id % 400 + 500 end as h,
