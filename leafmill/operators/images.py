@@ -119,7 +119,9 @@ def rotated(image: np.ndarray, degrees: float) -> np.ndarray:
 
 @F.pandas_udf(T.BinaryType())
 def rotate(luma: pd.Series, width: pd.Series, height: pd.Series, degrees: pd.Series) -> pd.Series:
-    return pd.Series([rotated(pixels(p, w, h), d).tobytes() for p, w, h, d in zip(luma, width, height, degrees)])
+    """Pixels turned; null for what isn't an image or has no angle."""
+    found = [(pixels(p, w, h), d) for p, w, h, d in zip(luma, width, height, degrees)]
+    return pd.Series([None if x is None or pd.isna(d) else rotated(x, d).tobytes() for x, d in found], dtype=object)
 
 
 def deskew(images: DataFrame, least_degrees: float = 0.5, least_confidence: float = 0.1) -> DataFrame:

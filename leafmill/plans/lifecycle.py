@@ -117,8 +117,10 @@ def job_fsm_replay(spark, sf_dir):
 
 
 def fsm_relations(spark, sf_dir):
+    """Jobs that may make each move, by either relation, and their tenants."""
     t = L.transitions_table(spark)
-    return t.groupBy("relation", "before").agg(F.count("*").alias("moves"))
+    j = tables.jobs(spark, sf_dir).withColumn("state", F.when((F.col("status") == "processing") & (F.col("order_key") % 5 == 0), "validating").when((F.col("status") == "processing") & (F.col("order_key") % 7 == 0), "accepted").otherwise(F.col("status")))
+    return j.join(t, F.col("state") == F.col("before")).groupBy("relation", "before", "after").agg(F.count("*").alias("jobs"), F.countDistinct("tenant_id").alias("tenants"))
 
 
 def page_workflow_status(spark, sf_dir):
@@ -245,7 +247,11 @@ ORACLES = {
           union all select e.job, e.place, case when ok then e.target else r.state end, r.moved + ok::bigint, r.refused + (not ok)::bigint
           from r join e on e.job = r.job and e.place = r.place + 1, lateral (select e.target = r.state or exists (select 1 from moves where a = r.state and b = e.target) as ok))
         select job, state, moved, refused from r qualify row_number() over (partition by job order by place desc) = 1""",
-    "fsm_relations": "select relation, before, cast(moves as bigint) as moves from (values ('domain', 'accepted', 2), ('domain', 'inspecting', 3), ('domain', 'processing', 3), ('domain', 'validating', 3), ('domain', 'cancelling', 1), ('domain', 'partial', 1), ('store', 'accepted', 2), ('store', 'processing', 2), ('store', 'validating', 4), ('store', 'cancelling', 1)) as t(relation, before, moves)",
+    "fsm_relations": f"""with {_JOBS}, moves(relation, before, afters) as (values ('domain', 'accepted', ['inspecting', 'cancelling']), ('domain', 'inspecting', ['rejected', 'processing', 'cancelling']), ('domain', 'processing', ['validating', 'partial', 'cancelling']),
+          ('domain', 'validating', ['completed', 'review_required', 'cancelling']), ('domain', 'cancelling', ['cancelled']), ('domain', 'partial', ['review_required']), ('store', 'accepted', ['processing', 'cancelled']), ('store', 'processing', ['validating', 'cancelled']),
+          ('store', 'validating', ['completed', 'partial', 'review_required', 'cancelled']), ('store', 'cancelling', ['cancelled'])),
+        s as (select tenant_id, case when status = 'processing' and k % 5 = 0 then 'validating' when status = 'processing' and k % 7 = 0 then 'accepted' else status end as state from jobs),
+        m as (select relation, before, unnest(afters) as after from moves) select relation, before, after, count(*) as jobs, count(distinct tenant_id) as tenants from s join m on state = before group by all""",
     "page_workflow_status": """with p as (select l_orderkey as job, l_orderkey % 17 = 0 as cancelled, case when l_orderkey % 4 = 0 then 'succeeded' when l_partkey % 5 = 0 then 'exhausted' when l_partkey % 7 = 0 then 'permanently_failed'
           when l_orderkey % 3 = 0 and l_partkey % 2 = 0 then 'running' else 'succeeded' end as state from lineitem)
         select job, case when bool_or(cancelled) then 'cancelled' when bool_and(state = 'succeeded') then 'completed' when bool_and(state <> 'running') then 'partial' else 'running' end as status,

@@ -86,3 +86,9 @@ def test_upscaled(spark):
     rows = [(1, image, 64, 64, 1, 1), (2, image, 64, 64, 6, 1), (3, image, 64, 64, None, 2), (4, image[:-1], 64, 64, 1, 1), (5, None, 64, 64, 1, 1), (6, marked(40, 24).tobytes(), 40, 24, 1, 1)]
     got = {r.id: r for r in prepare.upscaled(spark.createDataFrame(rows, "id int, luma binary, width int, height int, orientation int, frames int"), frames="frames").collect()}
     assert [k for k in sorted(got) if got[k].upscaled] == [1] and (got[1].width, len(got[1].luma)) == (192, 192 * 192) and got[5].luma is None
+
+
+def test_rotate_takes_what_is_no_image(spark):
+    rows = [(1, bytes(4), 2, 2, 5.0), (2, None, 2, 2, 5.0), (3, bytes(3), 2, 2, 5.0), (4, bytes(4), 2, 2, None), (5, bytes(4), None, 2, 5.0)]
+    got = spark.createDataFrame(rows, "i int, luma binary, w int, h int, d double").select("i", images.rotate("luma", "w", "h", "d").alias("r")).collect()
+    assert [r.i for r in got if r.r is not None] == [1]
