@@ -161,8 +161,8 @@ OTHER = r"[^\t\n\r\f\v\x20-\x7e\xa0-įı-ſ‐-‧]"
 #: The normaliser and splitter that the pattern stands for; fixed values of the file format.
 NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-#: Pieces whose identifiers a task remembers at most; when there are more it begins anew.
-REMEMBERED = 600_000
+#: Words, and pieces, whose identifiers a worker remembers at most; when there are more it begins anew.
+REMEMBERED = 800_000
 
 
 @lru_cache(maxsize=2)
@@ -174,9 +174,9 @@ def tokenizer_of(path: str) -> WordTokenizer:
 class WordTokenizer:
     """Identifiers as the tokenizer file's own library gives them, without added special tokens.
 
-    Where the file is a byte-pair model over lower-case words, pieces don't depend on what stands around them:
-    each is merged once by the library's model and remembered.  White space ends a piece,
-    so a word with an uncommon character or a special token's string goes through the whole library by
+    Where the file is a byte-pair model over lower-case words, white space ends a piece and pieces don't depend on what stands around them:
+    words are remembered, and pieces of new words are merged once by the library's model and remembered.
+    A word with an uncommon character or a special token's string goes through the whole library by
     itself; any other file takes the library for whole texts.
     """
 
@@ -195,7 +195,8 @@ class WordTokenizer:
         self.other = re.compile("|".join([OTHER, *special]))
         self.find = re.compile(PIECE).findall
         self.to_chars = {b: c for c, b in byte_of().items()}
-        self.seen: dict[str, bytes] = {}
+        self.seen: dict[str, bytes] = {}  # by piece
+        self.met: dict[bytes, bytes] = {}  # by word, as it stands between ASCII white space
 
     def piece(self, piece: str) -> bytes:
         got = self.seen.get(piece)
@@ -206,9 +207,13 @@ class WordTokenizer:
             got = self.seen[piece] = self.pack(*[t.id for t in tokens])
         return got
 
-    def plain(self, text: str) -> bytes:
-        known = self.seen
-        return b"".join([known.get(p) or self.piece(p) for p in self.find(text.lower())])
+    def word(self, word: bytes) -> bytes:
+        text = word.decode()
+        got = self.whole(text) if self.other.search(text) else b"".join(map(self.piece, self.find(text.lower())))
+        if len(self.met) >= REMEMBERED:
+            self.met.clear()
+        self.met[word] = got
+        return got
 
     def whole(self, text: str) -> bytes:
         return np.array(self.own.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -217,12 +222,8 @@ class WordTokenizer:
         """The identifiers, as little-endian numbers of :attr:`dtype`."""
         if not self.words:
             return self.whole(text)
-        if not self.other.search(text):
-            return self.plain(text)
-        parts = []
-        for word in re.split("[ \t\n\r\f\v]+", text):
-            parts.append(self.whole(word) if self.other.search(word) else self.plain(word))
-        return b"".join(parts)
+        known = self.met
+        return b"".join([known.get(w) or self.word(w) for w in text.encode().split()])
 
 
 def tokens(df: DataFrame, id_col: str, text_col: str, source_col: str, path: str, end_id: int) -> DataFrame:
