@@ -15,13 +15,18 @@ PATTERNS = {k: f"^{p}[A-Za-z0-9_]{{1,64}}$" for k, p in PREFIXES.items()} | {
     "code": "^[a-z][a-z0-9_]{0,63}$",
     "currency": "^[A-Z]{3}$",
     "language": "^[A-Za-z]{2,3}(?:-[A-Za-z0-9]{2,8})*$",
-    "semver": r"^(?:0|[1-9]\d*)\.(?:0|[1-9]\d*)\.(?:0|[1-9]\d*)$",
+    "semver": r"^(?:0|[1-9]\d{0,4})\.(?:0|[1-9]\d{0,4})\.(?:0|[1-9]\d{0,4})$",
+    "model": "^(?=.{1,64}$)[a-z0-9](?:[a-z0-9._-]*[a-z0-9])?$",
+    "license": "^(?! )[A-Za-z0-9.+() -]{1,128}(?<! )$",
+    "locale": "^(?=.{2,32}$)[A-Za-z][A-Za-z-]*[A-Za-z]$",
+    "tensor": "^[A-Za-z][A-Za-z0-9_]{0,63}$",
 }
 
 
 def valid(kind: str, value: Column) -> Column:
-    """Whether an identifier has its form; null counts as not."""
-    return F.coalesce(value.rlike(PATTERNS[kind]), F.lit(False))
+    """Whether an identifier has its form; null counts as not, and so does one with a line end behind it."""
+    # A pattern's last sign would also match before a line end.
+    return F.coalesce(value.rlike(PATTERNS[kind].removesuffix("$") + r"\z"), F.lit(False))
 
 
 def digest(value: Column) -> Column:

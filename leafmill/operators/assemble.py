@@ -72,7 +72,7 @@ def review_signals(facts: DataFrame, extraction_codes: str | None = None) -> Dat
         .when(F.array_contains(own, "nutrition_panel_not_found"), "retake_include_column_headers")
     )
     warnings = F.array_compact(F.array(F.when(legacy, F.lit("manual_review_required")), F.when(F.col("empty_page"), F.lit("manual_review_required")), retake))
-    out = facts.withColumn("failures", F.concat(own, failures)).withColumn("warnings", warnings)
+    out = facts.withColumn("failures", F.array_distinct(F.concat(own, failures))).withColumn("warnings", warnings)
     partial = F.coalesce(F.col("workflow") == "partial", F.lit(False)) if "workflow" in facts.columns else F.lit(False)
     return out.withColumn("state", F.when(partial, "partial").when(F.size("failures") > 0, "review_required").otherwise("completed"))
 

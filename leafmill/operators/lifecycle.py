@@ -96,6 +96,19 @@ def transition(jobs: DataFrame, requests: DataFrame, sources: list[str], target:
     return r.withColumn("outcome", outcome).withColumn("status", F.when(outcome == "updated", F.lit(target)).otherwise(F.col("status")))
 
 
+def artifact_batches(artifacts: DataFrame, pages: DataFrame, most: int = 64) -> DataFrame:
+    """Artifacts of each job's batch with the first ``rule`` they break: too_many, activity_key, task (their page hasn't succeeded in that attempt) or page_twice; null for good ones.
+
+    A batch may be saved if all of its artifacts are good: ``accepted``.
+    """
+    done = pages.where("state = 'succeeded'").select("job_id", F.col("page").alias("page_number"), F.col("n").alias("attempt"), F.lit(True).alias("__done"))
+    j = artifacts.join(done, ["job_id", "page_number", "attempt"], "left")
+    job, page = Window.partitionBy("job_id"), Window.partitionBy("job_id", "page_number")
+    key = ids.activity_key(F.col("job_id"), F.col("page_number"), F.col("attempt"))
+    rule = F.when(F.count("*").over(job) > most, "too_many").when(~F.col("activity_key").eqNullSafe(key), "activity_key").when(F.col("__done").isNull(), "task").when(F.count("*").over(page) > 1, "page_twice")
+    return j.withColumn("rule", rule).drop("__done").withColumn("accepted", F.count("rule").over(job) == 0)
+
+
 def artifact_rules(artifacts: DataFrame, most: int = 64) -> DataFrame:
     """Jobs whose artifacts break a batch's rules: too many, or a page twice."""
     g = artifacts.groupBy("job_id").agg(F.count("*").alias("artifacts"), F.countDistinct("page_number").alias("pages"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..operators import evaluate, lifecycle
+from ..schema import json_rows
 from ..sources import files as readers, pdf, tables
 from ..sources.staging import shared_folder
 from ..streaming import runner
@@ -49,7 +50,7 @@ def pdf_page_geometry(spark, sf_dir):
     """Geometry of every page of the documents' PDF files; files that can't be read say why."""
     files = spark.read.format("binaryFile").load(written(pdf_texts(spark, sf_dir), "pdf", "doc_id"))
     found = pdf.inspected(files.select(F.col("doc_id").cast("long").alias("doc_id"), "content"), "content")
-    return found.select("doc_id", "outcome", "objects", "total_pixels", F.inline_outer("pages"))
+    return found.select("doc_id", "outcome", "objects", "max_pixels", "total_pixels", F.inline_outer("pages"))
 
 
 def benchmark_files(spark, sf_dir):
@@ -90,9 +91,55 @@ def job_events_commit(spark, sf_dir):
     return both.select("job_id", "order_key", "event_type", "payload", F.lit(late is None).alias("refused"), F.lit(head.number).cast("long").alias("version"))
 
 
-QUERIES = {f.__name__: f for f in (pdf_page_geometry, benchmark_files, object_paths, job_events_commit)}
+def model_names(spark, sf_dir):
+    """Names of parts as identifiers, licenses, locales, tensor names and versions of a model: which forms they have."""
+    p = tables.read(spark, sf_dir, "part")
+    low = F.regexp_replace("p_name", " ", F.when(F.col("p_partkey") % 5 == 0, "_").otherwise("-"))
+    made = {
+        "model": F.when(F.col("p_partkey") % 7 == 0, F.concat(low, F.lit("."))).otherwise(low), "license": F.when(F.col("p_partkey") % 3 == 0, F.concat("p_brand", F.lit(" "))).otherwise(F.regexp_replace("p_brand", "#", "-")),
+        "locale": F.substring(low, 1, (F.col("p_partkey") % 12).cast("int")), "tensor": F.when(F.col("p_partkey") % 11 == 0, F.concat("p_type", F.lit("\n"))).otherwise(F.concat("p_type", F.lit("_"), F.col("p_size").cast("string"))),
+        "semver": F.concat_ws(".", F.col("p_size") % 10, F.when(F.col("p_partkey") % 4 == 0, F.lpad((F.col("p_partkey") % 20).cast("string"), 2, "0")).otherwise((F.col("p_partkey") % 20).cast("string")), F.col("p_partkey") * 101),
+    }
+    return p.select("p_partkey", *[ids.valid(kind, c).alias(kind) for kind, c in made.items()])
+
+
+def artifact_batch(spark, sf_dir):
+    """Line items as artifacts of their order's pages: some under another attempt's key, of pages that failed, or twice."""
+    li, k = tables.read(spark, sf_dir, "lineitem"), F.col("l_orderkey")
+    job, page = k.cast("string").alias("job_id"), F.col("l_linenumber").cast("int")
+    twice = F.when(k % 9 == 0, F.greatest(page - 1, F.lit(1))).otherwise(page)
+    attempt = (F.col("l_suppkey") % 2 + 1).cast("int")
+    key = ids.activity_key(job, twice, F.when(F.col("l_partkey") % 13 == 0, 9).otherwise(attempt))
+    artifacts = li.select(job, twice.alias("page_number"), attempt.alias("attempt"), key.alias("activity_key"), page.alias("line"))
+    pages = li.groupBy(job, twice.alias("page")).agg(F.when(F.min("l_partkey") % 17 == 0, "exhausted").otherwise("succeeded").alias("state"), F.min(attempt).alias("n"))
+    return lifecycle.artifact_batches(artifacts, pages, most=6)
+
+
+def json_array_rows(spark, sf_dir):
+    """Line items of each order as a JSON array and back as rows; some arrays are cut off, some are objects."""
+    one = F.struct("l_linenumber", "l_quantity", "l_returnflag")
+    o = tables.read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.sort_array(F.collect_list(one))).alias("json"))
+    k = F.col("l_orderkey")
+    o = o.withColumn("json", F.when(k % 10 == 0, F.expr("left(json, length(json) - 9)")).when(k % 10 == 1, F.expr("substring(json, 2, length(json) - 2)")).when(k % 10 == 2, F.lit("[]")).otherwise(F.col("json")))
+    return json_rows(o, "json", "l_linenumber int, l_quantity double, l_returnflag string", "l_orderkey")
+
+
+QUERIES = {f.__name__: f for f in (model_names, artifact_batch, json_array_rows, pdf_page_geometry, benchmark_files, object_paths, job_events_commit)}
 
 ORACLES = {
+    "model_names": """with p as (select p_partkey as k, p_size, p_type, replace(p_name, ' ', case when p_partkey % 5 = 0 then '_' else '-' end) as low, p_brand from part)
+        select k as p_partkey, regexp_full_match(case when k % 7 = 0 then low || '.' else low end, '[a-z0-9]([a-z0-9._-]{0,62}[a-z0-9])?') as model, k % 3 <> 0 as license,
+          k % 12 between 2 and 32 and regexp_full_match(left(low, cast(k % 12 as integer)), '[A-Za-z][A-Za-z-]*[A-Za-z]') as locale, k % 11 <> 0 and regexp_full_match(p_type || '_' || p_size, '[A-Za-z][A-Za-z0-9_]{0,63}') as tensor,
+          (k % 4 <> 0 or k % 20 > 9) and k * 101 < 100000 as semver from p""",
+    "artifact_batch": """with a as (select l_orderkey as k, l_linenumber as line, case when l_orderkey % 9 = 0 then greatest(l_linenumber - 1, 1) else l_linenumber end as page, l_suppkey % 2 + 1 as attempt, l_partkey % 13 = 0 as other, l_partkey from lineitem),
+        p as (select k, page, min(l_partkey) % 17 <> 0 as good, min(attempt) as n from a group by all),
+        j as (select a.*, good and attempt = n as done, count(*) over (partition by k) as m, count(*) over (partition by k, page) as same from a join p using (k, page)),
+        r as (select *, case when m > 6 then 'too_many' when other then 'activity_key' when not done then 'task' when same > 1 then 'page_twice' end as rule from j)
+        select cast(k as varchar) as job_id, cast(page as integer) as page_number, cast(attempt as integer) as attempt, 'ocr-job-' || k || '-page-' || page || '-attempt-' || case when other then 9 else attempt end as activity_key, cast(line as integer) as line, rule,
+          count(rule) over (partition by k) = 0 as accepted from r""",
+    "json_array_rows": """with o as (select distinct l_orderkey from lineitem where l_orderkey % 10 < 2),
+        r as (select l_orderkey, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_quantity, l_returnflag) - 1 as integer) as element, cast(l_linenumber as integer) as l_linenumber, cast(l_quantity as double) as l_quantity, l_returnflag from lineitem where l_orderkey % 10 > 2)
+        select l_orderkey, null as error, element, l_linenumber, l_quantity, l_returnflag from r union all select l_orderkey, 'not_an_array', null, null, null, null from o""",
     "benchmark_files": """select item_id as id, item_id * 10 as elapsed_ms, round(case when item_id % 3 = 0 then 1.0 / length(text) else 0.0 end, 6)::double as char_error_rate, cast(1 as bigint) as expected_fields,
         cast(item_id % 4 <> 0 and item_id % 5 <> 0 as bigint) as correct_fields, cast(item_id % 4 = 0 as bigint) as missing_fields, cast(item_id % 4 <> 0 and item_id % 5 = 0 as bigint) as wrong_fields from benchmark""",
     "object_paths": """with j as (select o_orderkey as k, lower(c_mktsegment) as p, 'ten_' || o_custkey as t, sha256(o_orderkey::varchar) as h from orders join customer on o_custkey = c_custkey)
@@ -105,7 +152,7 @@ ORACLES = {
         p as (select d.*, i, case when i % 3 = 1 then i + 310.25 - 10.5 else doc_id % 300 + 400 end as w, case when i % 3 = 1 then abs((doc_id + i) % 500 + 120 - 20) else doc_id % 400 + 500 end as h,
           (doc_id + i) % 4 = 0 as turned from d, lateral (select unnest(range(n)) as i)),
         s as (select *, cast(ceil(w * 300 / 72) as integer) as a, cast(ceil(h * 300 / 72) as integer) as b from p where outcome = 'ok')
-        select doc_id, outcome, 2 + 2 * n as objects, cast(sum(cast(a as bigint) * b) over (partition by doc_id) as bigint) as total_pixels, cast(i + 1 as integer) as page,
+        select doc_id, outcome, 2 + 2 * n as objects, max(cast(a as bigint) * b) over (partition by doc_id) as max_pixels, cast(sum(cast(a as bigint) * b) over (partition by doc_id) as bigint) as total_pixels, cast(i + 1 as integer) as page,
           case when turned then b else a end as width, case when turned then a else b end as height from s
-        union all select doc_id, outcome, null, null, null, null, null from d where outcome <> 'ok'""",
+        union all select doc_id, outcome, null, null, null, null, null, null from d where outcome <> 'ok'""",
 }

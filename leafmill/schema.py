@@ -42,6 +42,16 @@ def decode_strict(df: DataFrame, json_col: str, schema: str, out: str = "decoded
     return df.withColumn("decode_error", error).withColumn(out, F.when(F.col("decode_error").isNull(), value))
 
 
+def json_rows(df: DataFrame, json_col: str, schema: str, *keys: str) -> DataFrame:
+    """Rows from a JSON array of objects: the ``keys``, the ``element`` number from 0 and the fields of ``schema``; text that isn't such an array is one row with an ``error``."""
+    read = df.select(*keys, F.col(json_col).alias("__json"), F.from_json(json_col, f"array<struct<{schema}>>", {"mode": "PERMISSIVE"}).alias("__read"), F.json_array_length(json_col).alias("__size"))
+    # A text that is cut off reads as less than it says, or as nothing.
+    good = F.coalesce(F.size("__read") == F.col("__size"), F.lit(False)) & F.coalesce(F.forall("__read", lambda x: x.isNotNull()), F.lit(False))
+    rows = read.select(*keys, F.when(~good, "not_an_array").alias("error"), F.when(good, F.col("__read")).alias("__read"))
+    names = [F.col(f"__x.{n}").alias(n) for n in T._parse_datatype_string(schema).fieldNames()]
+    return rows.select(*keys, "error", F.posexplode_outer("__read").alias("element", "__x")).where("error is not null or element is not null").select(*keys, "error", "element", *names)
+
+
 def flatten_pages(df: DataFrame, pages_col: str, *keys: str) -> DataFrame:
     """One row for each observation of an array of pages."""
     pages = df.select(*keys, F.explode(pages_col).alias("p")).select(*keys, "p.page", "p.width", "p.height", F.explode("p.observations").alias("o"))
