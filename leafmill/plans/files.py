@@ -124,9 +124,22 @@ def json_array_rows(spark, sf_dir):
     return json_rows(o, "json", "l_linenumber int, l_quantity double, l_returnflag string", "l_orderkey")
 
 
-QUERIES = {f.__name__: f for f in (model_names, artifact_batch, json_array_rows, pdf_page_geometry, benchmark_files, object_paths, job_events_commit)}
+def pinned_files(spark, sf_dir):
+    """A file for each supplier, held against what a reader expects: its digest, and the version it was told of; some are others, changed, missing or outside of the folder."""
+    k = F.col("s_suppkey")
+    texts = tables.read(spark, sf_dir, "supplier").select(k, F.concat_ws(" ", k.cast("string"), "s_name").alias("value"))
+    path = written(texts, "pinned", "s_suppkey")
+    there = readers.listing(spark, path).select("name", "generation", F.regexp_extract("name", "s_suppkey=([0-9]+)/part-[^/]*[.]txt$", 1).cast("long").alias("s_suppkey")).where("s_suppkey is not null")
+    name = F.when(k % 11 == 0, F.concat(F.lit("../"), "name")).when(k % 13 == 0, F.concat("name", F.lit(".old"))).otherwise(F.col("name"))
+    digest = F.sha2(F.concat("value", F.when(k % 5 == 0, " ").otherwise("\n")), 256)
+    expected = there.join(texts, "s_suppkey").select("s_suppkey", name.alias("name"), digest.alias("sha256"), F.when(k % 3 > 0, F.col("generation") + F.when(k % 7 == 0, 1).otherwise(0)).alias("generation"))
+    return readers.pinned(spark, path, expected).select("s_suppkey", "outcome")
+
+
+QUERIES = {f.__name__: f for f in (pinned_files, model_names, artifact_batch, json_array_rows, pdf_page_geometry, benchmark_files, object_paths, job_events_commit)}
 
 ORACLES = {
+    "pinned_files": """select s_suppkey, case when s_suppkey % 11 = 0 then 'outside' when s_suppkey % 13 = 0 then 'missing' when s_suppkey % 7 = 0 and s_suppkey % 3 > 0 then 'other_version' when s_suppkey % 5 = 0 then 'changed' else 'ok' end as outcome from supplier""",
     "model_names": """with p as (select p_partkey as k, p_size, p_type, replace(p_name, ' ', case when p_partkey % 5 = 0 then '_' else '-' end) as low, p_brand from part)
         select k as p_partkey, regexp_full_match(case when k % 7 = 0 then low || '.' else low end, '[a-z0-9]([a-z0-9._-]{0,62}[a-z0-9])?') as model, k % 3 <> 0 as license,
           k % 12 between 2 and 32 and regexp_full_match(left(low, cast(k % 12 as integer)), '[A-Za-z][A-Za-z-]*[A-Za-z]') as locale, k % 11 <> 0 and regexp_full_match(p_type || '_' || p_size, '[A-Za-z][A-Za-z0-9_]{0,63}') as tensor,

@@ -40,21 +40,33 @@ def _fields(ddl: str) -> str:
     return ",".join(out)
 
 
-def pinned(spark: SparkSession, path: str, expected: DataFrame, most_bytes: int = 20 << 20) -> DataFrame:
-    """Files under ``path`` held against ``expected`` (name, the path from there; sha256): ok, missing, too_large, changed or outside.
-
-    Files that are too large are told by their length and not read.
-    """
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """Files under ``path``: ``name`` (the path from there), ``length``, and ``generation``, the time of their last change in milliseconds."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     root = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = F.expr(f"substring(path, {len(root) + 2})").alias("name")
-    sizes = files.select(name, "length")
-    digests = files.where(F.col("length") <= most_bytes).select(name, F.sha2("content", 256).alias("found"))
-    j = expected.join(sizes, "name", "left").join(digests, "name", "left")
+    return files.select(F.expr(f"substring(path, {len(root) + 2})").alias("name"), "length", F.unix_millis("modificationTime").alias("generation"), "content")
+
+
+def pinned(spark: SparkSession, path: str, expected: DataFrame, most_bytes: int = 20 << 20) -> DataFrame:
+    """Files under ``path`` held against ``expected`` (name, the path from there; sha256; maybe length and generation): ok, missing, too_large, other_version, changed or outside.
+
+    Files that are too large are told by the listing and not read; those of another version or length than the expected one aren't hashed.
+    """
+    files = listing(spark, path)
+    found = files.select("name", F.col("length").alias("found_length"), F.col("generation").alias("found_generation"))
+    j = expected.join(found, "name", "left")
     outside = F.col("name").startswith("/") | F.array_contains(F.split("name", "/"), "..")
-    outcome = F.when(outside, "outside").when(F.col("length").isNull(), "missing").when(F.col("length") > most_bytes, "too_large").when(F.col("found").eqNullSafe(F.col("sha256")), "ok").otherwise("changed")
-    return j.withColumn("outcome", outcome)
+    other = F.lit(False)
+    for c in ("length", "generation"):
+        if c in expected.columns:
+            other = other | (F.col(c).isNotNull() & ~F.col(c).eqNullSafe(F.col(f"found_{c}")))
+    told = F.when(outside, "outside").when(F.col("found_length").isNull(), "missing").when(F.col("found_length") > most_bytes, "too_large").when(other, "other_version")
+    j = j.withColumn("told", told)
+    sought = j.where("told is null").select("name").distinct()
+    digests = files.join(sought, "name", "left_semi").where(F.col("length") <= most_bytes).select("name", F.sha2("content", 256).alias("found"))
+    j = j.join(digests, "name", "left")
+    return j.withColumn("outcome", F.coalesce("told", F.when(F.col("found").eqNullSafe(F.col("sha256")), "ok").otherwise("changed"))).drop("told")
 
 
 def anchored(text: Column, segments: Column) -> Column:
