@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,7 +23,8 @@ STATE = "attempts int, owner string, expires timestamp"
 ENDED = "attempts int, published boolean"
 #: For how long the end of an event is known.
 KEEP = timedelta(days=7)
-OUTPUT = "event_id long, owner string, outcome string, attempts int, lease_expires_at timestamp"
+MADE = "event_id long, owner string, outcome string, attempts int, lease_expires_at long"
+EPOCH, MICROSECOND = datetime(1970, 1, 1), timedelta(microseconds=1)
 COMMANDS = "event_id long, kind string, owner string, at timestamp"
 
 
@@ -58,32 +59,32 @@ class Deliveries(StatefulProcessor):
         self.ended = handle.getValueState("ended", ENDED, ttlDurationMs=self.keep)
 
     def known(self) -> tuple | None:
-        """The state as :func:`step` takes it."""
-        if self.ended.exists():
-            attempts, published = self.ended.get()
-            return attempts, None, None, published, not published
-        if self.delivery.exists():
-            attempts, owner, expires = self.delivery.get()
+        """The state as :func:`step` takes it.  An event has one of the two, so most are known by one call or two."""
+        if (held := self.delivery.get()) is not None:
+            attempts, owner, expires = held
             return attempts, owner, None if pd.isna(expires) else pd.Timestamp(expires).to_pydatetime().replace(tzinfo=None), False, False
+        if (held := self.ended.get()) is not None:
+            attempts, published = held
+            return attempts, None, None, published, not published
         return None
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        commands = pd.concat(list(rows)).sort_values(["at", "kind"], kind="stable")
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        # Rows, not frames: most events have a handful of commands.
+        commands = sorted(rows, key=lambda c: (c.at is None, c.at or 0, c.kind is None, c.kind or ""))
         before = state = self.known()
-        out = []
-        for c in commands.itertuples(index=False):
-            made, outcome = step(state, c.kind, c.owner, pd.Timestamp(c.at).to_pydatetime().replace(tzinfo=None))
+        for c in commands:
+            made, outcome = step(state, c.kind, c.owner, pd.NaT if c.at is None else EPOCH + timedelta(microseconds=c.at))
             if outcome != "not_found":
                 state = made
-            out.append((key[0], made[1], outcome, made[0], made[2]))
+            yield Row(event_id=key[0], owner=made[1], outcome=outcome, attempts=made[0], lease_expires_at=None if pd.isna(made[2]) else (made[2] - EPOCH) // MICROSECOND)
         over = state is not None and (state[3] or state[4])
         # A mark isn't written anew by those that only find it, so its time runs from the event's end.
         if over and not (before and (before[3] or before[4])):
-            self.delivery.clear()
+            if before:
+                self.delivery.clear()
             self.ended.update((state[0], state[3]))
         elif state is not None and not over:
-            self.delivery.update(state[:3])
-        yield pd.DataFrame(out, columns=["event_id", "owner", "outcome", "attempts", "lease_expires_at"]).astype({"lease_expires_at": "datetime64[ns]"})
+            self.delivery.update((*state[:2], None if pd.isna(state[2]) else state[2]))
 
     def close(self) -> None:
         pass
@@ -91,7 +92,10 @@ class Deliveries(StatefulProcessor):
 
 def deliveries(commands: DataFrame, keep: timedelta = KEEP) -> DataFrame:
     """Outcomes of a stream of commands (``event_id``, kind, owner, at) against each event's delivery state."""
-    return commands.groupBy("event_id").transformWithStateInPandas(Deliveries(keep), OUTPUT, "append", "ProcessingTime")
+    # Times as numbers, so that no time zone has a part in what Python makes of them.
+    timed = commands.select("event_id", "kind", "owner", F.unix_micros(F.col("at").cast("timestamp")).alias("at"))
+    made = timed.groupBy("event_id").transformWithState(Deliveries(keep), MADE, "append", "ProcessingTime")
+    return made.withColumn("lease_expires_at", F.timestamp_micros("lease_expires_at"))
 
 
 def once(events: DataFrame, key: str, at: str, delay: str) -> DataFrame:

@@ -22,3 +22,43 @@ def test_pdf_files_are_rows(spark, sf_dir):
     assert files.pdf_page_geometry(spark, sf_dir).count() > 0
     (made,) = set(glob.glob(f"{at}/pdf-*")) - before
     assert len(glob.glob(f"{made}/**/part-*", recursive=True)) <= 8
+
+
+class Value:
+    """A value state that counts its calls."""
+
+    def __init__(self, calls):
+        self.calls, self.held = calls, None
+
+    def __getattr__(self, name):
+        def call(*value):
+            self.calls.append(name)
+            if name == "get":
+                return self.held
+            self.held = value[0] if name == "update" else None
+
+        return call
+
+
+def fake(processor):
+    calls = []
+    processor.init(SimpleNamespace(getValueState=lambda *a, **k: Value(calls)))
+    return calls
+
+
+def test_few_state_calls(spark):
+    """Each call is a message to the executor: a new event or job needs its state once, however many its commands are."""
+    d = outbox.Deliveries()
+    calls = fake(d)
+    row = lambda kind, at, owner=None: Row(event_id=1, kind=kind, owner=owner, at=at * 60_000_000)
+    out = list(d.handleInputRows((1,), iter([row("acknowledge", 2, "a"), row("claim", 1, "a"), row("insert", 0)]), None))
+    assert [r.outcome for r in out] == ["inserted", "claimed", "published"] and len(calls) == 3
+    assert list(d.handleInputRows((1,), iter([row("claim", 3, "b")]), None))[0].outcome == "refused"
+
+    w = pages.Workflows()
+    calls = fake(w)
+    event = lambda kind, at, page=0, attempt=0: Row(job_id="j", kind=kind, page=page, attempt=attempt, pages=2, at=at)
+    events = [event("create", 0), event("claim", 1, 1), event("success", 2, 1, 1), event("success", 3, 1, 1)]
+    assert [r.accepted for r in w.handleInputRows(("j",), iter(events), None)] == [True, True, True, False] and len(calls) == 2
+    (late,) = w.handleInputRows(("j",), iter([event("claim", 4, 2)]), None)
+    assert late.accepted and late.succeeded == 1
