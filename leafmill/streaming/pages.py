@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 EVENTS = "job_id string, kind string, page int, attempt int, pages int, at timestamp"
 OUTPUT = "job_id string, kind string, page int, accepted boolean, status string, succeeded int"
+STATE = "pages array<struct<state:string,n:int>>, cancelled boolean"
 DONE = {"succeeded", "exhausted", "permanently_failed"}
 
 
@@ -60,33 +61,25 @@ class Workflow:
 
 
 class Workflows(StatefulProcessor):
-    """State of each job: its pages in a map, and a flag for cancellation."""
+    """State of each job: its pages in their order, and whether it is cancelled; one value, read and written once for all events of a batch."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pages = handle.getMapState("pages", "page int", "state string, n int")
-        self.cancelled = handle.getValueState("cancelled", "flag boolean")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        events = pd.concat(list(rows)).sort_values("at", kind="stable")
-        held = {k[0]: tuple(v) for k, v in self.pages.iterator()}
-        flow = Workflow(len(held)) if held else None
-        if flow:
-            flow.pages = [held[i + 1] for i in range(len(held))]
-            flow.cancelled = self.cancelled.exists()
-        out = []
-        for e in events.itertuples(index=False):
+        self.job = handle.getValueState("job", STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        flow = None
+        if (held := self.job.get()) is not None:
+            flow = Workflow(0)
+            flow.pages, flow.cancelled = [tuple(p) for p in held[0]], held[1]
+        for e in sorted(rows, key=lambda e: (e.at is None, e.at or 0)):
             if e.kind == "create":
-                ok = flow is None and 1 <= int(e.pages) <= 1000
-                flow = Workflow(int(e.pages)) if ok else flow
+                ok = flow is None and 1 <= (e.pages or 0) <= 1000
+                flow = Workflow(e.pages) if ok else flow
             else:
-                ok = flow is not None and flow.apply(e.kind, int(e.page), int(e.attempt))
-            out.append((key[0], e.kind, int(e.page), ok, flow.status if flow else "unknown", flow.succeeded if flow else 0))
+                ok = flow is not None and flow.apply(e.kind, e.page or 0, e.attempt or 0)
+            yield Row(job_id=key[0], kind=e.kind, page=e.page, accepted=ok, status=flow.status if flow else "unknown", succeeded=flow.succeeded if flow else 0)
         if flow:
-            for i, progress in enumerate(flow.pages, 1):
-                self.pages.updateValue((i,), progress)
-            if flow.cancelled:
-                self.cancelled.update((True,))
-        yield pd.DataFrame(out, columns=["job_id", "kind", "page", "accepted", "status", "succeeded"])
+            self.job.update((flow.pages, flow.cancelled))
 
     def close(self) -> None:
         pass
@@ -94,7 +87,8 @@ class Workflows(StatefulProcessor):
 
 def page_workflows(events: DataFrame) -> DataFrame:
     """Accepted and stale events of each job with its status after each."""
-    return events.groupBy("job_id").transformWithStateInPandas(Workflows(), OUTPUT, "append", "None")
+    timed = events.select("job_id", "kind", "page", "attempt", "pages", F.unix_micros(F.col("at").cast("timestamp")).alias("at"))
+    return timed.groupBy("job_id").transformWithState(Workflows(), OUTPUT, "append", "None")
 
 
 def checkpointed(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, seconds: float | None = None):
