@@ -129,8 +129,9 @@ def deskew(images: DataFrame, least_degrees: float = 0.5, least_confidence: floa
     e = images.withColumn("skew", estimate_skew("luma", "width", "height"))
     decision = F.when(F.col("skew.degrees").isNull(), "unreadable").when(F.abs("skew.degrees") < least_degrees, "below_material_angle").when(F.col("skew.confidence") < least_confidence, "below_confidence").otherwise("applied")
     e = e.withColumn("decision", decision).withColumn("turn", F.when(F.col("decision") == "applied", F.col("skew.degrees")).otherwise(0.0))
-    turned = e.where("decision = 'applied'").withColumn("luma", rotate("luma", "width", "height", "turn"))
-    return turned.unionByName(e.where("decision <> 'applied'")).drop("turn")
+    # One pass: a union of those turned and the rest would estimate every image twice.
+    turned = rotate("luma", "width", "height", F.when(F.col("decision") == "applied", F.col("turn")))
+    return e.withColumn("luma", F.coalesce(turned, "luma")).drop("turn")
 
 
 def lanczos(image: np.ndarray, factor: int = 3, taps: int = 3) -> np.ndarray:

@@ -8,6 +8,7 @@ from ..functions import geometry, ids
 from ..functions import quantity as Q
 from ..operators import images, labels, prepare, regions
 from ..sources import tables
+from ..sources.staging import spread
 
 
 def label_lines(spark, sf_dir):
@@ -102,10 +103,11 @@ def transform_inverse(spark, sf_dir):
 
 
 def image_rows(spark, sf_dir):
-    """A small image for each supplier: ruled lines, blocks or plain."""
-    s, n = tables.read(spark, sf_dir, "supplier"), 64
+    """A small image for each supplier: ruled lines, blocks or plain.  Keys are dealt first: a file of few bytes is one task's, its images aren't."""
+    s, n = spread(tables.read(spark, sf_dir, "supplier").select("s_suppkey")), 64
     pixel = lambda i: F.when(F.col("s_suppkey") % 4 == 0, F.when(F.floor(i / n) % 8 < 2, 20).otherwise(230)).when(F.col("s_suppkey") % 4 == 1, F.lit(128)).when(F.col("s_suppkey") % 4 == 2, F.when((i % n + F.floor(i / n)) % 2 == 0, 255).otherwise(0)).otherwise(F.pmod(i * F.col("s_suppkey"), F.lit(256)))
-    luma = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda i: F.lpad(F.hex(pixel(i).cast("int")), 2, "0")), ""))
+    # Every kind comes again after eight rows.
+    luma = F.unhex(F.repeat(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(8 * n - 1)), lambda i: F.lpad(F.hex(pixel(i).cast("int")), 2, "0")), ""), F.lit(n // 8)))
     return s.select("s_suppkey", luma.alias("luma"), F.lit(n).alias("width"), F.lit(n).alias("height"))
 
 

@@ -28,3 +28,8 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark)}/leafmill/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, per_core: int = 4) -> DataFrame:
+    """``df``'s rows dealt over all cores.  Rows that are small but dear to work on lie in few files, so that few tasks would get them."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * per_core)

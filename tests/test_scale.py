@@ -24,6 +24,12 @@ def test_pdf_files_are_rows(spark, sf_dir):
     assert len(glob.glob(f"{made}/**/part-*", recursive=True)) <= 8
 
 
+def test_images_are_dealt_and_made_once(spark, sf_dir):
+    assert labels.image_rows(spark, sf_dir).rdd.getNumPartitions() >= 4
+    for query in (labels.image_deskew, labels.image_preparation, labels.image_quality_scores):
+        assert plan(query(spark, sf_dir)).count("FileScan parquet") == 1
+
+
 class Value:
     """A value state that counts its calls."""
 
