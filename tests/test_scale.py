@@ -30,6 +30,11 @@ def test_images_are_dealt_and_made_once(spark, sf_dir):
         assert plan(query(spark, sf_dir)).count("FileScan parquet") == 1
 
 
+def test_moves_hold_no_tenants(spark, sf_dir):
+    """Tenants are counted for each state, not for each move."""
+    assert "distinct" not in plan(lifecycle.fsm_relations(spark, sf_dir))
+
+
 class Value:
     """A value state that counts its calls."""
 
