@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from ..sources.staging import by_key
 
 SCOPE = ["product_id", "tenant_id"]
 
@@ -148,6 +149,7 @@ def ready_tasks(pages: DataFrame, key: str, limit: int = 64) -> DataFrame:
 
 def bounded_bytes(pages: DataFrame, keys: list[str], size: str, limit: int = 64 << 20) -> DataFrame:
     """Bytes of all pages beside each page, their running sum in page order, and whether the sum stays in the limit."""
+    pages = by_key(pages, keys)
     total, running = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("page_number").rangeBetween(Window.unboundedPreceding, 0)
     return pages.withColumns({"total_bytes": F.sum(size).over(total), "running_bytes": F.sum(size).over(running)}).withColumn("within", F.col("total_bytes") <= limit)
 

@@ -33,3 +33,13 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 def spread(df: DataFrame, per_core: int = 4) -> DataFrame:
     """``df``'s rows dealt over all cores.  Rows that are small but dear to work on lie in few files, so that few tasks would get them."""
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism * per_core)
+
+
+#: Rows that a task sorts, on the average.
+TASK_ROWS = 1_000_000
+
+
+def by_key(df: DataFrame, keys: list[str], rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` with the rows of each key together, in as many partitions as its rows ask for, so that a task's share doesn't grow with the table.  Rows are counted first."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-df.count() // rows)), *keys)

@@ -73,3 +73,10 @@ def test_few_state_calls(spark):
     assert [r.accepted for r in w.handleInputRows(("j",), iter(events), None)] == [True, True, True, False] and len(calls) == 2
     (late,) = w.handleInputRows(("j",), iter([event("claim", 4, 2)]), None)
     assert late.accepted and late.succeeded == 1
+
+
+def test_tasks_by_rows(spark):
+    from leafmill.sources.staging import by_key
+
+    df = spark.range(1000).withColumnRenamed("id", "k")
+    assert by_key(df, ["k"], rows=50).rdd.getNumPartitions() == 20
