@@ -75,7 +75,12 @@ def area(points: Column) -> Column:
 
 def polygon_iou(a: Column, b: Column) -> Column:
     """Overlap of two convex polygons by their union; null where either isn't valid."""
-    whole = once(area(overlap(a, b)), lambda both: both / (area(a) + area(b) - both))
+    return common_iou(area(overlap(a, b)), a, b)
+
+
+def common_iou(common: Column, a: Column, b: Column) -> Column:
+    """As :func:`polygon_iou`, where the area in ``common`` is known."""
+    whole = once(common, lambda both: both / (area(a) + area(b) - both))
     return F.when(polygon_valid(a) & polygon_valid(b), whole)
 
 
