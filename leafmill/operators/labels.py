@@ -11,8 +11,9 @@ import math
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import quantity as Q
 from ..functions.ids import gtin_valid
@@ -65,17 +66,21 @@ def classify(lines: DataFrame) -> DataFrame:
     return low.withColumn("class", cls).withColumn("at", F.struct("page", "reading_order"))
 
 
-def readings(rows: DataFrame, doc: str) -> DataFrame:
-    """Quantities of rows (``given``, ``kind``, ``quantities``, ``at``) as nutrient, slot and amount; a bound takes a slot but gives nothing."""
-    q = rows.select(doc, "at", "kind", F.coalesce("given", F.when(F.col("kind") == "calories", "kcal")).alias("given"), "confidence", F.posexplode("quantities").alias("i", "q"))
-    unit = F.coalesce("q.unit", "given")
-    energy = F.col("kind").isin("energy", "calories")
-    nutrient = F.when(energy & (unit == "kj"), "energy_kj").when(energy & (unit == "kcal"), "energy_kcal").when(~energy, F.col("kind"))
-    value = F.when(energy, F.col("q.amount")).otherwise(Q.normal_mass(F.col("q.amount"), unit, F.col("kind")))
-    q = q.withColumns({"nutrient": nutrient, "amount": value}).where("nutrient is not null and amount is not null")
-    order = Window.partitionBy(doc, "at", "nutrient").orderBy("i")
-    q = q.withColumn("slot", (F.row_number().over(order) - 1).cast("int"))
-    return q.where(~F.col("q.upper_bound")).select(doc, "at", "i", "nutrient", "slot", "amount", "confidence")
+def read_array(quantities: Column, kind: Column, given: Column) -> Column:
+    """A row's quantities as nutrient, slot (the place among the row's amounts of that nutrient) and amount; a bound takes a slot but gives nothing."""
+    given, energy = F.coalesce(given, F.when(kind == "calories", "kcal")), kind.isin("energy", "calories")
+
+    def read(q: Column, i: Column) -> Column:
+        unit = F.coalesce(q["unit"], given)
+        nutrient = F.when(energy & (unit == "kj"), "energy_kj").when(energy & (unit == "kcal"), "energy_kcal").when(~energy, kind)
+        value = F.when(energy, q["amount"]).otherwise(Q.normal_mass(q["amount"], unit, kind))
+        return F.struct(i.alias("i"), nutrient.alias("nutrient"), value.alias("amount"), q["upper_bound"].alias("bound"))
+
+    told = F.filter(F.transform(quantities, read), lambda r: r["nutrient"].isNotNull() & r["amount"].isNotNull())
+    slot = lambda all_, r: F.size(F.filter(all_, lambda o: (o["nutrient"] == r["nutrient"]) & (o["i"] < r["i"])))
+    shaped = lambda all_: F.transform(F.filter(all_, lambda r: ~r["bound"]), lambda r: F.struct(r["i"].alias("i"), r["nutrient"].alias("nutrient"), slot(all_, r).alias("slot"), r["amount"].alias("amount")))
+    # The array of an array, so that what is told is made once.
+    return F.flatten(F.transform(F.array(told), shaped))
 
 
 # -- spatial rows -------------------------------------------------------------
@@ -110,13 +115,12 @@ def same_row(a: Box, b: Box) -> bool:
     return min(a.bottom, b.bottom) - max(a.top, b.top) > 0.5 * min(a.bottom - a.top, b.bottom - b.top)
 
 
-def page_cells(page: pd.DataFrame) -> list[tuple[int, int, int, int]]:
+def page_cells(rows: list[dict]) -> list[tuple[int, int, int, int]]:
     """For the label lines of a page without numbers: (label, cell, header, slot) by place of the lines, where they are told apart.
 
-    ``page`` has class, kind, lower, polygon, columns, n_quantities and ``slots``
+    Lines have class, kind, lower, polygon, columns, n_quantities and ``slots``
     (the document's columns found before a line, in order).
     """
-    rows = page.to_dict("records")
     angle = panel_angle([r["polygon"] for r in rows if r["kind"] is not None])
     boxes = [turned(r["polygon"], math.cos(angle), math.sin(angle)) for r in rows]
     labels = [i for i, r in enumerate(rows) if r["kind"] is not None]
@@ -149,26 +153,41 @@ def page_cells(page: pd.DataFrame) -> list[tuple[int, int, int, int]]:
     return found
 
 
-def spatial_readings(lines: DataFrame, doc: str) -> DataFrame:
-    """Readings of rows whose numbers stand in other lines of the page (a page's lines meet in one group), with the least confidence of label, cell and header."""
-    pages = lines.where((F.col("class") == "row") & (F.size("quantities") == 0)).select(doc, "page").distinct()
-    kind = lines.select(doc).schema.fields[0].dataType.simpleString()
-
-    def match(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("reading_order").reset_index(drop=True)
-        frame["kind"] = frame["kind"].where(frame["kind"].notna(), None)
-        out = [(frame.at[i, doc], frame.at[i, "page"], frame.at[i, "reading_order"], frame.at[c, "reading_order"], frame.at[h, "reading_order"], slot) for i, c, h, slot in page_cells(frame)]
-        return pd.DataFrame(out, columns=[doc, "page", "label", "cell", "header", "slot"])
-
-    small = lines.join(pages, [doc, "page"], "left_semi").select(doc, "page", "reading_order", "class", "kind", "lower", "polygon", "columns", "slots", F.size("quantities").alias("n_quantities"))
-    cells = small.groupBy(doc, "page").applyInPandas(match, f"{doc} {kind}, page int, label int, cell int, header int, slot int")
-    part = lambda name, **cols: lines.select(doc, "page", F.col("reading_order").alias(name), *[F.col(a).alias(b) for b, a in cols.items()])
-    both = cells.join(part("label", kind="kind", given="given", at="at", c1="confidence"), [doc, "page", "label"])
-    both = both.join(part("cell", quantities="quantities", c2="confidence"), [doc, "page", "cell"]).join(part("header", c3="confidence"), [doc, "page", "header"])
-    both = both.withColumns({"confidence": F.least("c1", "c2", "c3"), "at": F.struct("at.page", "at.reading_order", "slot")})
-    found = readings(both, doc)
+CELLS = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("label", "cell", "header", "slot")]))
+
+
+@F.pandas_udf(CELLS)
+def match_cells(pages: pd.Series) -> pd.Series:
+    """Cells of pages, each an array of its lines in their order."""
+    return pd.Series([[dict(zip(CELLS.elementType.names, c)) for c in page_cells(list(lines))] for lines in pages], dtype=object)
+
+
+def before(known: Column, at: Column) -> Column:
+    """The columns found before a line, in order."""
+    return F.transform(F.filter(known, lambda k: k["since"] < at), lambda k: k["column"])
+
+
+def spatial_readings(lines: DataFrame, known: DataFrame, doc: str) -> DataFrame:
+    """Readings of rows whose numbers stand in other lines of the page (a page's lines meet in one row), with the least confidence of label, cell and header."""
+    bare = (F.col("class") == "row") & (F.size("quantities") == 0)
+    pages = lines.where(bare).select(doc, "page").distinct().hint("merge")
+    parts = ("reading_order", "class", "kind", "given", "lower", "polygon", "columns", "quantities", "confidence")
+    small = lines.join(pages, [doc, "page"], "left_semi").select(doc, "page", F.struct(*parts).alias("line"))
+    whole = small.groupBy(doc, "page").agg(F.array_sort(F.collect_list(F.struct(F.col("line.reading_order").alias("place"), "line"))).alias("lines"))
+    whole = whole.withColumn("lines", F.transform("lines", lambda x: x["line"])).join(known.hint("merge"), doc, "left")
+    none = F.array().cast(known.schema["known"].dataType)
+    seen = F.coalesce("known", none)
+    told = lambda x: F.struct(*[x[c].alias(c) for c in ("class", "kind", "lower", "polygon", "columns")], F.size(x["quantities"]).alias("n_quantities"), before(seen, F.struct(F.col("page"), x["reading_order"])).alias("slots"))
+    # Written before and after, so that the function's argument is a column and its result nothing that the planner moves.
+    asked = staged(whole.select(doc, "page", "lines", F.transform("lines", told).alias("told")), "pages")
+    matched = staged(asked.select(doc, "page", "lines", match_cells("told").alias("cells")), "cells")
+    cells = matched.select(doc, "page", "lines", F.explode("cells").alias("c"))
+    line = lambda part: F.get("lines", F.col(f"c.{part}"))
+    cells = cells.select(doc, "page", line("label").alias("label"), line("cell").alias("cell"), line("header").alias("header"), "c.slot")
+    at = F.struct("page", F.col("label.reading_order").alias("reading_order")).alias("at")
+    found = cells.select(doc, at, "slot", F.least("label.confidence", "cell.confidence", "header.confidence").alias("confidence"), F.explode(read_array(F.col("cell.quantities"), F.col("label.kind"), F.col("label.given"))).alias("r"))
     # A cell's readings all go to its header's column.
-    return found.withColumn("slot", F.col("at.slot")).withColumn("at", F.struct("at.page", "at.reading_order"))
+    return found.select(doc, "at", "slot", "confidence", "r.i", "r.nutrient", "r.amount")
 
 
 # -- documents ----------------------------------------------------------------
@@ -180,86 +199,105 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def extract(lines: DataFrame, doc: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Fields (``doc``, name, value, confidence) and failures (``doc``, code, severity) of each document's label."""
+    """Fields (``doc``, name, value, confidence) and failures (``doc``, code, severity) of each document's label.
+
+    What a line says is told from the line; lines then meet once, as one row of each document, with arrays of what their checks and fields
+    need.  All tables grow with the documents, so none is broadcast.
+    """
     c = staged(classify(lines), "classified")
-    heads = c.where("class = 'header'").select(doc, "at", "confidence", F.posexplode("columns").alias("i", "column"))
-    columns = first_wins(heads, [doc, "column"], ["at", "i"])
-    order = Window.partitionBy(doc).orderBy("at", "i")
-    columns = columns.select(doc, "column", F.col("at").alias("since"), (F.row_number().over(order) - 1).cast("int").alias("slot"))
-    known = columns.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("slot", "column", "since"))).alias("known"))
-    c = c.join(known, doc, "left")
-    before = F.filter(F.coalesce("known", F.array().cast(c.select("known").schema.fields[0].dataType)), lambda k: k["since"] < F.col("at"))
-    c = c.withColumn("slots", F.transform(before, lambda k: k["column"]))
-
-    c = staged(c.drop("known"), "lines")
-    rows = c.where("class = 'row'")
-    own, spatial = readings(rows, doc), spatial_readings(c, doc)
-    all_readings = staged(own.unionByName(spatial), "readings")
-    placed = all_readings.join(columns.select(doc, "slot", "column"), [doc, "slot"])
-    values = staged(first_wins(placed, [doc, "column", "nutrient"], ["at", "i"]).select(doc, "column", "nutrient", "amount", "confidence"), "values")
-
-    counts = rows.select(doc, "at", F.exists("quantities", lambda q: q["upper_bound"]).alias("bound"), (F.size("quantities") == 0).alias("bare"), F.size("slots").alias("open"))
-    got = all_readings.groupBy(doc, "at").agg(F.countDistinct("slot").alias("filled"))
-    seen = counts.join(got, [doc, "at"], "left").groupBy(doc).agg(
-        F.bool_or(F.col("filled").isNotNull() | F.col("bound")).alias("panel"), F.bool_or(F.col("bare") & (F.coalesce("filled", F.lit(0)) < F.col("open"))).alias("incomplete")
-    )
-    docs = lines.select(doc).distinct().join(seen, doc, "left").join(known.select(doc, F.lit(True).alias("headed")), doc, "left")
-    panel = F.coalesce("panel", F.lit(False))
-    docs = docs.select(doc, panel.alias("panel"), F.coalesce("headed", F.lit(False)).alias("headed"), F.coalesce("incomplete", F.lit(False)).alias("incomplete"))
+    is_row, bare = F.col("class") == "row", F.size("quantities") == 0
+    size = F.when(F.col("class") == "header", Q.header_serving(F.col("lower"))).when(F.col("class") == "serving", Q.metric(F.col("quantities")))
+    told = c.select(
+        doc, "at", "confidence", F.when(F.col("class") == "header", F.col("columns")).alias("heads"), F.when(is_row & ~bare, read_array(F.col("quantities"), F.col("kind"), F.col("given"))).alias("own"),
+        (is_row & F.exists("quantities", lambda q: q["upper_bound"])).alias("bound"), (is_row & bare).alias("bare"), size.alias("size"), *single_fields(),
+    )
+    first = lambda value, *order: F.min_by(F.struct(value.alias("value"), F.col("confidence").alias("confidence")), F.struct(*order, "at", "confidence"))
+    some = lambda condition, *cols: F.collect_list(F.when(condition, F.struct(*cols)))
+    docs = told.groupBy(doc).agg(
+        F.sort_array(some(F.col("heads").isNotNull(), "at", "heads", "confidence")).alias("heads"), some(F.size("own") > 0, "at", "confidence", "own").alias("rows"),
+        F.collect_list(F.when(F.col("bare"), F.col("at"))).alias("bare"), F.bool_or("bound").alias("bound"), first(F.when(F.col("size").isNotNull(), F.col("size")), F.col("size").isNull()).alias("serving"),
+        *[first(F.col(f"{name}.value"), F.col(name).isNull(), F.col(f"{name}.rank")).alias(name) for name in SINGLE],
+    )
+    # Each column where it is found first, in that order.
+    every = F.flatten(F.transform("heads", lambda h: F.transform(h["heads"], lambda x: F.struct(x.alias("column"), h["at"].alias("since")))))
+    docs = docs.withColumn("every", every).withColumn("names", F.array_distinct(F.transform("every", lambda x: x["column"])))
+    docs = docs.withColumn("known", F.transform("names", lambda name: F.struct(name.alias("column"), F.filter("every", lambda x: x["column"] == name)[0]["since"].alias("since")))).drop("every", "names")
+    docs = staged(docs, "documents")
+
+    reading = lambda at, r, slot, confidence: F.struct(at.alias("at"), r["i"].alias("i"), r["nutrient"].alias("nutrient"), slot.alias("slot"), r["amount"].alias("amount"), confidence.alias("confidence"))
+    own = F.flatten(F.transform("rows", lambda x: F.transform(x["own"], lambda r: reading(x["at"], r, r["slot"], x["confidence"]))))
+    docs = docs.withColumn("readings", own)
+    if docs.where(F.size("bare") > 0).isEmpty():
+        docs = docs.withColumn("spatial", F.slice("readings", 1, 0))
+    else:
+        spatial = spatial_readings(c, docs.select(doc, "known").where(F.size("known") > 0), doc)
+        spatial = spatial.groupBy(doc).agg(F.collect_list(F.struct("at", "i", "nutrient", "slot", "amount", "confidence")).alias("spatial"))
+        docs = docs.join(spatial.hint("merge"), doc, "left").withColumn("spatial", F.coalesce("spatial", F.slice("readings", 1, 0)))
+    docs = docs.withColumn("readings", F.concat("readings", "spatial"))
+    # A row without numbers is incomplete where fewer columns have a cell of their own than stand before it.
+    filled = lambda at: F.size(F.array_distinct(F.transform(F.filter("spatial", lambda r: r["at"] == at), lambda r: r["slot"])))
+    incomplete = F.exists("bare", lambda at: filled(at) < F.size(before(F.col("known"), at)))
+    headed, panel = F.size("known") > 0, (F.size("readings") > 0) | F.col("bound")
+    docs = docs.withColumns({"headed": headed, "panel": panel, "incomplete": incomplete})
+    placed = F.filter("readings", lambda r: r["slot"] < F.size("known"))
+    key = lambda r: F.struct(r["slot"], r["nutrient"])
+    ordered = F.array_sort(F.transform(placed, lambda r: F.struct(r["at"].alias("at"), r["i"].alias("i"), r["slot"].alias("slot"), r["nutrient"].alias("nutrient"), r["amount"].alias("amount"), r["confidence"].alias("confidence"))))
+    docs = docs.withColumn("readings", ordered)
+    wins = F.filter("readings", lambda r, i: ~F.exists(F.slice("readings", F.lit(1), i), lambda o: key(o) == key(r)))
+    value = lambda r: F.struct(F.get("known", r["slot"])["column"].alias("column"), r["nutrient"].alias("nutrient"), r["amount"].alias("amount"), r["confidence"].alias("confidence"))
+    docs = docs.withColumn("values", F.when(F.col("panel") & F.col("headed"), F.transform(wins, value)))
+    docs = staged(docs.select(doc, "headed", "panel", "incomplete", "known", "values", "serving", *SINGLE, F.array_min(F.transform("heads", lambda h: h["confidence"])).alias("head_confidence")), "labels")
+
     codes = F.array_compact(F.array(F.when(F.col("incomplete"), F.lit(ERRORS[2])), F.when(~F.col("panel"), F.lit(ERRORS[0])).when(~F.col("headed"), F.lit(ERRORS[1]))))
     failures = docs.select(doc, F.explode(codes).alias("code"), F.lit("error").alias("severity"))
+    text = lambda name, value, confidence: F.struct(name.alias("name"), value.alias("value"), confidence.alias("confidence"))
+    values = F.transform(F.coalesce("values", F.array().cast(docs.schema["values"].dataType)), lambda v: text(F.concat_ws(".", v["column"], v["nutrient"]), Q.round3(v["amount"]).cast("string"), v["confidence"]))
+    serving = F.to_json(F.struct(Q.round3(F.col("serving.value.amount")).alias("amount"), F.col("serving.value.unit").alias("unit")))
+    heads = F.to_json(F.transform("known", lambda k: k["column"]))
+    others = [F.when(F.col("serving.value").isNotNull(), text(F.lit("serving_size"), serving, F.col("serving.confidence"))), F.when(F.col("values").isNotNull(), text(F.lit("column_headers"), heads, F.col("head_confidence")))]
+    others += [F.when(F.col(f"{name}.value").isNotNull(), text(F.lit(name), F.col(f"{name}.value"), F.col(f"{name}.confidence"))) for name in SINGLE]
+    fields = docs.select(doc, F.inline(F.concat(values, F.array_compact(F.array(*others)))))
+    return fields, failures.unionByName(checks(docs, doc))
 
-    shown = docs.where("panel and headed").select(doc)
-    values = values.join(shown, doc, "left_semi")
-    serving = servings(c, doc)
-    fields = values.select(doc, F.concat_ws(".", "column", "nutrient").alias("name"), Q.round3(F.col("amount")).cast("string").alias("value"), "confidence")
-    size = serving.select(doc, F.lit("serving_size").alias("name"), F.to_json(F.struct(Q.round3(F.col("size.amount")).alias("amount"), F.col("size.unit").alias("unit"))).alias("value"), "confidence")
-    headers = heads.groupBy(doc).agg(F.min("confidence").alias("confidence")).join(shown, doc, "left_semi").join(known, doc)
-    headers = headers.select(doc, F.lit("column_headers").alias("name"), F.to_json(F.transform("known", lambda k: k["column"])).alias("value"), "confidence")
-    fields = fields.unionByName(size).unionByName(headers).unionByName(single_fields(c, doc))
-    return fields, failures.unionByName(checks(values, serving, doc))
 
-
-def servings(c: DataFrame, doc: str) -> DataFrame:
-    """The first serving size that a header or a serving line gives."""
-    size = F.when(F.col("class") == "header", Q.header_serving(F.col("lower"))).when(F.col("class") == "serving", Q.metric(F.col("quantities")))
-    return first_wins(c.select(doc, "at", "confidence", size.alias("size")).where("size is not null"), [doc], ["at"])
+#: Fields of which the first line that has one gives the value.
+SINGLE = ("servings_per_pack", "barcode", "locale")
 
 
-def single_fields(c: DataFrame, doc: str) -> DataFrame:
-    """Servings per pack, bar code and locale, the first line that has each."""
-    pack = c.where("class = 'servings' and size(quantities) > 0").select(doc, F.lit("servings_per_pack").alias("name"), Q.round3(F.col("quantities")[0]["amount"]).cast("string").alias("value"), "confidence", F.lit(0).alias("rank"), "at")
+def single_fields() -> list[Column]:
+    """Servings per pack, bar code and locale of a line, each with its rank before the line's place; null where it has none."""
     digits = F.regexp_replace("text", r"(?U)\s+", "")
-    bar = c.where("class = 'other'").where(gtin_valid(digits)).select(doc, F.lit("barcode").alias("name"), digits.alias("value"), "confidence", F.lit(0).alias("rank"), "at")
-    locale = [c.where(F.col("lower").contains(m)).select(doc, F.lit("locale").alias("name"), F.lit(v).alias("value"), "confidence", F.lit(i).alias("rank"), "at") for i, (m, v) in enumerate(LOCALES)]
-    every = pack.unionByName(bar)
-    for part in locale:
-        every = every.unionByName(part)
-    return first_wins(every, [doc, "name"], ["rank", "at"]).drop("rank", "at")
-
-
-def checks(values: DataFrame, serving: DataFrame, doc: str) -> DataFrame:
-    """Warnings on values that don't agree; each code once for a document."""
-    wide = values.groupBy(doc, "column").pivot("nutrient", NUTRIENTS).agg(F.max("amount"))
+    made = lambda value, rank: F.struct(value.alias("value"), F.lit(rank).alias("rank"))
+    pack = F.when((F.col("class") == "servings") & (F.size("quantities") > 0), made(Q.round3(F.get("quantities", F.lit(0))["amount"]).cast("string"), 0))
+    bar = F.when((F.col("class") == "other") & gtin_valid(digits), made(digits, 0))
+    locale = F.coalesce(*[F.when(F.col("lower").contains(m), made(F.lit(v), i)) for i, (m, v) in enumerate(LOCALES)])
+    return [c.alias(name) for c, name in zip((pack, bar, locale), SINGLE)]
+
+
+def checks(docs: DataFrame, doc: str) -> DataFrame:
+    """Warnings on documents' ``values`` (column, nutrient, amount) that don't agree, and with their ``serving``; each code once for a document."""
+    columns = F.array_distinct(F.transform("values", lambda v: v["column"]))
+    every = docs.where("values is not null").select(doc, "values", "serving", F.explode(columns).alias("column"))
+    amount = lambda column, nutrient: F.get(F.filter("values", lambda x: (x["column"] == column) & (x["nutrient"] == nutrient)), F.lit(0))["amount"]
+    wide = every.select(doc, "column", "values", "serving", *[amount(F.col("column"), F.lit(n)).alias(n) for n in NUTRIENTS])
     v = F.col
     kcal = F.coalesce(v("energy_kcal"), v("energy_kj") / Q.KJ_PER_KCAL)
     atwater = 4.0 * v("protein_g") + 4.0 * v("carbohydrate_g") + 9.0 * v("fat_g")
     zero = lambda c: F.coalesce(v(c), F.lit(0.0))
     solids = zero("protein_g") + zero("fat_g") + zero("carbohydrate_g") + zero("fibre_g")
+    # Served amounts against those of the reference column.
+    reference = F.when(v("serving.value.unit") == "ml", "per_100ml").otherwise("per_100g")
+    expected = lambda per_100: per_100 * v("serving.value.amount") / 100.0
+    odd = lambda n: F.abs(v(n) - expected(amount(reference, F.lit(n)))) > F.greatest(0.1 * expected(amount(reference, F.lit(n))), F.lit(0.5))
+    differ = F.array_contains(F.array(*[F.coalesce(odd(n), F.lit(False)) for n in NUTRIENTS]), True)
     rules = [
         ((v("energy_kcal") > 0) & ~(v("energy_kj") / v("energy_kcal")).between(3.9, 4.5), "energy_unit_mismatch"),
         (F.abs(atwater - kcal) > F.greatest(0.2 * kcal, F.lit(15.0)), "energy_atwater_mismatch"),
         (v("saturated_fat_g") > v("fat_g") + 0.05, "saturated_fat_exceeds_fat"), (v("sugars_g") > v("carbohydrate_g") + 0.05, "sugars_exceed_carbohydrate"),
-        ((v("column") == "per_100g") & (solids > 101.0), "per_100g_exceeds_100g"),
+        ((v("column") == "per_100g") & (solids > 101.0), "per_100g_exceeds_100g"), ((v("column") == "per_serving") & v("serving.value").isNotNull() & differ, "serving_column_mismatch"),
     ]
     found = wide.select(doc, F.explode(F.array_compact(F.array(*[F.when(bad, F.lit(code)) for bad, code in rules]))).alias("code"))
-    s = serving.select(doc, "size", F.when(F.col("size.unit") == "ml", "per_100ml").otherwise("per_100g").alias("reference"))
-    per = values.where("column = 'per_serving'").select(doc, "nutrient", F.col("amount").alias("served"))
-    base = values.select(doc, F.col("column").alias("reference"), "nutrient", F.col("amount").alias("per_100"))
-    j = per.join(s, doc).join(base, [doc, "reference", "nutrient"])
-    expected = F.col("per_100") * F.col("size.amount") / 100.0
-    odd = j.where(F.abs(F.col("served") - expected) > F.greatest(0.1 * expected, F.lit(0.5))).select(doc, F.lit("serving_column_mismatch").alias("code"))
-    return found.union(odd).distinct().withColumn("severity", F.lit("warning"))
+    return found.distinct().withColumn("severity", F.lit("warning"))
 
 
 #: Registered extractions by schema and version; anything else is unregistered.

@@ -75,6 +75,14 @@ def test_few_state_calls(spark):
     assert late.accepted and late.succeeded == 1
 
 
+def test_labels_meet_once(spark, sf_dir):
+    """Lines meet as one row of each document, in a written table: fields and failures are read from it, without a join that could be broadcast."""
+    from leafmill.operators.labels import extract
+
+    fields, failures = extract(labels.label_lines(spark, sf_dir))
+    assert "Exchange" not in plan(fields) and "Join" not in plan(fields) + plan(failures)
+
+
 def test_tasks_by_rows(spark):
     from leafmill.sources.staging import by_key
 
