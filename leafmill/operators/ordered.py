@@ -3,6 +3,7 @@
 A fold over all rows of a key is a chain of functions of the state.  Rows are put in order by range, so a key with
 many rows stands in many partitions; each block of a bounded number of rows becomes one function of the state, a pass over
 these functions gives the state in which each block is entered, and blocks are then folded by themselves.
+Keys with no more rows than a block need none of this: they are folded where they were joined (:func:`folded_swaps`).
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -46,6 +47,32 @@ def in_order(df: DataFrame, key: Sequence[str], order: Sequence[str], label: str
     return staged(rows.repartitionByRange(*by).sortWithinPartitions(*by).drop("__row").withColumn("at", F.monotonically_increasing_id()), label)
 
 
+def folded_swaps(rows: DataFrame, key: Sequence[str], order: Sequence[str], revision: str, now: str) -> DataFrame:
+    """``rows`` with whether each is ``swapped``, and the revision that holds ``after`` it, for keys with few rows: a task folds them as they come, in their order.
+
+    Rows stand in the order of ``order``; ``now`` is the revision before a key's first row.
+    """
+    rows = rows.withColumn("__place", F.row_number().over(Window.partitionBy(*key).orderBy(*[F.asc_nulls_first(c) for c in order])))
+    given = rows.withColumns({"__named": F.coalesce(F.col(revision).cast("long"), F.lit(NO_REVISION)), "__start": F.coalesce(F.col(now).cast("long"), F.lit(NO_REVISION - 1))})
+    n, fields = len(rows.columns) - 1, T.StructType([*rows.drop("__place").schema, T.StructField("swapped", T.BooleanType()), T.StructField("after", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types, state = to_arrow_schema(fields), 0
+        for batch in batches:
+            done, after = [], []
+            for place, named, start in zip(*[batch.column(n + i).to_numpy().tolist() for i in range(3)]):
+                if place == 1:
+                    state = start
+                swapped = named == state
+                state += swapped
+                done.append(swapped)
+                after.append(state)
+            columns = [batch.column(i).cast(types.field(i).type) for i in range(n)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(done, pa.bool_()), pa.array(after, pa.int64())], schema=types)
+
+    return given.mapInArrow(run, fields)
+
+
 def swaps(start: int, named: Sequence[int]) -> tuple[list[bool], int]:
     """Which of the updates, in their order, name the revision that holds when they come; and the revision after them."""
     done = []

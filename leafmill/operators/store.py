@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from ..sources.staging import staged
 from . import ordered
 
 SCOPE = ["product_id", "tenant_id"]
@@ -25,14 +29,26 @@ def compare_and_swap(current: DataFrame, updates: DataFrame, key: list[str], ord
     """Outcome of updates that name the revision they were made from: swapped (with the next revision), stale or not_found.
 
     Updates of one key are taken one after another in their ``order``, and each is held against the revision that those before it left, so of
-    two that name one revision at most one is swapped.  An update without a revision is stale.
+    two that name one revision at most one is swapped.  An update without a revision is stale.  Keys with more than a ``block`` of updates
+    are folded in blocks, all others in one pass.
     """
     now = current.select(*key, F.col("revision").alias("__now"))
-    rows = ordered.in_order(updates.join(now, key, "left"), key, order, "updates")
+    result = lambda after: {"outcome": F.when(F.col("__now").isNull(), "not_found").when(F.col("swapped"), "swapped").otherwise("stale"), "revision": F.when(F.col("__now").isNotNull(), F.col(after))}
+    many = staged(updates.groupBy(*[F.col(c).alias(f"__{c}") for c in key]).agg(F.count("*").alias("__n")).where(F.col("__n") > block).drop("__n"), "many-updates")
+    if few := many.isEmpty():
+        light = updates
+    else:
+        mine = reduce(and_, [updates[c].eqNullSafe(many[f"__{c}"]) for c in key])
+        light = updates.join(many, mine, "left_anti")
+    light = light.withColumn("__row", F.monotonically_increasing_id()).join(now, key, "left")
+    folded = ordered.folded_swaps(light, key, [*order, "__row"], "revision", "__now")
+    folded = folded.withColumns(result("after")).drop("__row", "__now", "swapped", "after")
+    if few:
+        return folded
+    rows = ordered.in_order(updates.join(many, mine, "left_semi").join(now, key, "left"), key, order, "updates")
     made = ordered.serial_swaps(rows.where("__now is not null"), key, "revision", "__now", block).withColumnRenamed("revision", "__after")
-    outcome = F.when(F.col("__now").isNull(), "not_found").when(F.col("swapped"), "swapped").otherwise("stale")
-    j = rows.join(made, "at", "left").withColumn("outcome", outcome).withColumn("revision", F.coalesce("__after", "__now"))
-    return j.drop("at", "swapped", "__after", "__now")
+    blocks = rows.join(made, "at", "left").withColumns(result("__after")).drop("at", "swapped", "__after", "__now")
+    return folded.unionByName(blocks)
 
 
 def merge_flags(current: DataFrame, changes: DataFrame, keys: list[str], flags: list[str]) -> DataFrame:

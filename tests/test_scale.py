@@ -7,7 +7,7 @@ from types import SimpleNamespace
 
 from pyspark.sql import Row
 
-from leafmill.plans import files, labels, lifecycle
+from leafmill.plans import files, labels, lifecycle, stores
 from leafmill.streaming import outbox, pages
 
 
@@ -97,3 +97,10 @@ def test_pinned_files_hold_many(spark, sf_dir):
     suppliers = files.pinned_files(spark, sf_dir).count()
     made = (set(glob.glob(f"{at}/pinned-*/file=*")) | set(glob.glob(f"{at}/pinned-*/s_suppkey=*"))) - before
     assert suppliers == 10 and len(made) == 1
+
+
+def test_few_updates_of_a_key_are_folded_where_they_are_joined(spark, sf_dir):
+    """Only keys with more than a block of updates are put in order by range, written and cut."""
+    at = f"{spark.conf.get('spark.checkpoint.dir')}/leafmill/updates-*"
+    before = len(glob.glob(at))
+    assert stores.revision_swap(spark, sf_dir).count() > 0 and len(glob.glob(at)) == before
