@@ -12,7 +12,7 @@ from ..sources.staging import spread
 
 
 def label_lines(spark, sf_dir):
-    """A label for each part: amounts follow from its key."""
+    """A label for each part: amounts follow from its key.  Keys are dealt first: a small file is one task's, reading its labels isn't."""
     k = F.col("p_partkey")
     num = lambda m, d: (k * m % d / 10.0).cast("string")
     two = lambda name, m, d, unit: F.concat(F.lit(f"{name} "), num(m, d), F.lit(f"{unit} "), num(m + 2, d), F.lit(unit))
@@ -22,7 +22,7 @@ def label_lines(spark, sf_dir):
         two("Protein", 3, 300, "g"), two("Fat, total", 5, 400, "g"), two("- Saturated", 7, 300, "g"), two("Carbohydrate", 11, 900, "g"), two("- Sugars", 13, 500, "g"),
         F.concat(F.lit("Sodium <"), (k % 50).cast("string"), F.lit("mg "), (k % 700).cast("string"), F.lit("mg")), F.lpad((k * 7919).cast("string"), 8, "0"),
     )
-    rows = tables.read(spark, sf_dir, "part").select("p_partkey", F.posexplode(lines).alias("i", "text"))
+    rows = spread(tables.read(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", F.posexplode(lines).alias("i", "text"))
     box = F.array(*[F.struct(F.lit(x).alias("x"), ((F.col("i") + y) / 20.0).alias("y")) for x, y in ((0.1, 0), (0.9, 0), (0.9, 0.8), (0.1, 0.8))])
     return rows.select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("page"), F.col("i").cast("int").alias("reading_order"), F.concat(F.lit("obs_"), F.col("i").cast("string")).alias("observation_id"), "text", (0.9 - F.col("i") / 100.0).alias("confidence"), box.alias("polygon"))
 

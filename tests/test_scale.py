@@ -99,6 +99,11 @@ def test_pinned_files_hold_many(spark, sf_dir):
     assert suppliers == 10 and len(made) == 1
 
 
+def test_labels_are_dealt(spark, sf_dir):
+    """Keys of parts stand in a small file; what is made of them is no single task's."""
+    assert labels.label_lines(spark, sf_dir).rdd.getNumPartitions() >= 4
+
+
 def test_few_updates_of_a_key_are_folded_where_they_are_joined(spark, sf_dir):
     """Only keys with more than a block of updates are put in order by range, written and cut."""
     at = f"{spark.conf.get('spark.checkpoint.dir')}/leafmill/updates-*"
