@@ -18,14 +18,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.outbox import LEASE_MINUTES, MOST_ATTEMPTS
+from .together import by_group
 
-STATE = "attempts int, owner string, expires timestamp"
+STATE = "attempts int, owner string, expires long"
 ENDED = "attempts int, published boolean"
 #: For how long the end of an event is known.
 KEEP = timedelta(days=7)
 MADE = "event_id long, owner string, outcome string, attempts int, lease_expires_at long"
 EPOCH, MICROSECOND = datetime(1970, 1, 1), timedelta(microseconds=1)
+OUTCOME = Row("event_id", "owner", "outcome", "attempts", "lease_expires_at")
 COMMANDS = "event_id long, kind string, owner string, at timestamp"
+#: Bits of the numbers of events whose state is kept together: at most 2^8 events, however many there are.
+NEIGHBOURS = 8
 
 
 def step(state: tuple | None, kind: str, owner: str | None, at: datetime) -> tuple[tuple, str]:
@@ -48,6 +52,11 @@ def step(state: tuple | None, kind: str, owner: str | None, at: datetime) -> tup
     return (attempts + (not renewed), owner, at + timedelta(minutes=LEASE_MINUTES), False, False), "renewed" if renewed else "claimed"
 
 
+def micros(at: datetime | None) -> int | None:
+    """Microseconds since 1970; times are kept so, and no time zone has a part in them."""
+    return None if at is None or at is pd.NaT else (at - EPOCH) // MICROSECOND
+
+
 class Deliveries(StatefulProcessor):
     """Delivery state of each outbox event; commands of one batch are taken in the order of their time."""
 
@@ -62,7 +71,7 @@ class Deliveries(StatefulProcessor):
         """The state as :func:`step` takes it.  An event has one of the two, so most are known by one call or two."""
         if (held := self.delivery.get()) is not None:
             attempts, owner, expires = held
-            return attempts, owner, None if pd.isna(expires) else pd.Timestamp(expires).to_pydatetime().replace(tzinfo=None), False, False
+            return attempts, owner, None if expires is None else EPOCH + timedelta(microseconds=expires), False, False
         if (held := self.ended.get()) is not None:
             attempts, published = held
             return attempts, None, None, published, not published
@@ -76,7 +85,7 @@ class Deliveries(StatefulProcessor):
             made, outcome = step(state, c.kind, c.owner, pd.NaT if c.at is None else EPOCH + timedelta(microseconds=c.at))
             if outcome != "not_found":
                 state = made
-            yield Row(event_id=key[0], owner=made[1], outcome=outcome, attempts=made[0], lease_expires_at=None if pd.isna(made[2]) else (made[2] - EPOCH) // MICROSECOND)
+            yield OUTCOME(key[0], made[1], outcome, made[0], micros(made[2]))
         over = state is not None and (state[3] or state[4])
         # A mark isn't written anew by those that only find it, so its time runs from the event's end.
         if over and not (before and (before[3] or before[4])):
@@ -84,7 +93,7 @@ class Deliveries(StatefulProcessor):
                 self.delivery.clear()
             self.ended.update((state[0], state[3]))
         elif state is not None and not over:
-            self.delivery.update((*state[:2], None if pd.isna(state[2]) else state[2]))
+            self.delivery.update((*state[:2], micros(state[2])))
 
     def close(self) -> None:
         pass
@@ -94,7 +103,7 @@ def deliveries(commands: DataFrame, keep: timedelta = KEEP) -> DataFrame:
     """Outcomes of a stream of commands (``event_id``, kind, owner, at) against each event's delivery state."""
     # Times as numbers, so that no time zone has a part in what Python makes of them.
     timed = commands.select("event_id", "kind", "owner", F.unix_micros(F.col("at").cast("timestamp")).alias("at"))
-    made = timed.groupBy("event_id").transformWithState(Deliveries(keep), MADE, "append", "ProcessingTime")
+    made = by_group(timed, F.shiftright("event_id", NEIGHBOURS), Deliveries(keep), "event_id long", MADE, "ProcessingTime")
     return made.withColumn("lease_expires_at", F.timestamp_micros("lease_expires_at"))
 
 

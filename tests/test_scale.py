@@ -109,3 +109,56 @@ def test_few_updates_of_a_key_are_folded_where_they_are_joined(spark, sf_dir):
     at = f"{spark.conf.get('spark.checkpoint.dir')}/leafmill/updates-*"
     before = len(glob.glob(at))
     assert stores.revision_swap(spark, sf_dir).count() > 0 and len(glob.glob(at)) == before
+
+
+class Elements(Value):
+    """A list state that counts its calls."""
+
+    def __getattr__(self, name):
+        def call(*value):
+            self.calls.append(name)
+            if name == "get":
+                return iter(self.held or [])
+            self.held = {"put": value[0] if value else [], "appendList": [*(self.held or []), *(value[0] if value else [])], "clear": None}[name]
+
+        return call
+
+
+def test_state_calls_of_a_group(spark):
+    """A group's states are read and written once, however many of its events or jobs have rows."""
+    from leafmill.streaming.together import Together
+
+    def together(processor, key, made):
+        calls, t = [], Together(processor, key, list(made))
+        t.init(SimpleNamespace(getListState=lambda *a, **k: Elements(calls)))
+        return t, calls
+
+    t, calls = together(outbox.Deliveries(), "event_id long", outbox.OUTCOME)
+    n, minute = 200, 60_000_000
+    packed = lambda kind, owner, at: Row(event_id=list(range(n)), kind=[kind] * n, owner=[owner] * n, at=[at * minute] * n, __group=0)
+    (out,) = t.handleInputRows((0,), iter([packed("claim", "a", 1), packed("insert", None, 0)]), None)
+    assert len(calls) == 3 and sorted(out.outcome) == ["claimed"] * n + ["inserted"] * n
+    (out,) = t.handleInputRows((0,), iter([packed("acknowledge", "a", 2)]), None)
+    assert len(calls) == 7 and out.outcome == ["published"] * n and calls[-2:] == ["clear", "appendList"]
+    (out,) = t.handleInputRows((0,), iter([packed("claim", "b", 3)]), None)
+    assert len(calls) == 9 and out.outcome == ["refused"] * n
+
+
+def test_state_of_groups_stands(spark):
+    """Events and jobs of one group that have no rows in a batch keep their state; null, negative and large keys are their own."""
+    from datetime import datetime, timedelta
+
+    from leafmill.plans.streams import batches, run_once
+
+    t, far = datetime(2024, 3, 31, 1, 59), 2**62 + 1
+    commands = lambda *rows: spark.createDataFrame([(k, kind, owner, t + timedelta(minutes=m)) for k, kind, owner, m in rows], outbox.COMMANDS)
+    keys = [None, -1, 0, 1, far, far + 1]
+    stream = batches(
+        spark,
+        commands(*[(k, "insert", None, 0) for k in keys], *[(k, "claim", "a", 1) for k in keys if k != 1]),
+        commands((1, "claim", "b", 2)), commands((0, "claim", "b", 3), (far + 1, "claim", "b", 3)), commands(*[(k, "acknowledge", "a", 4) for k in keys]),
+    )
+    got = run_once(spark, outbox.deliveries(stream), by_clock=True)
+    assert {(r.event_id, r.outcome, r.lease_expires_at) for r in got.where("outcome not in ('inserted', 'claimed')").collect()} == {
+        *((k, "published", None) for k in keys if k != 1), (1, "lease_lost", t + timedelta(minutes=7)), *((k, "refused", t + timedelta(minutes=6)) for k in (0, far + 1)),
+    }
